@@ -150,3 +150,49 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
             for new, c in sums.items()
         ],
     )
+
+
+COUNTS = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+CHUNK = 1 << 13
+
+
+def count_rows(counts: np.ndarray, part: int) -> pa.RecordBatch:
+    """A task's count vector as rows of ``COUNTS``, cut so that no group of parts grows large."""
+    pieces = counts.astype(np.int64).reshape(-1, min(CHUNK, len(counts)))
+    data = {"chunk": range(len(pieces)), "part": [part % 64] * len(pieces), "counts": [p.tobytes() for p in pieces]}
+    return rows(data, COUNTS)
+
+
+def total_counts(df: DataFrame) -> np.ndarray:
+    """The sum of all tasks' count vectors; what reaches the driver is one vector of fixed length."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist())
+        first = {"chunk": t.column("chunk")[:1].to_pylist(), "part": [0], "counts": [total.tobytes()]}
+        return pa.Table.from_batches([rows(first, COUNTS)])
+
+    kind = "chunk int, part int, counts binary"
+    some = df.groupBy("chunk", "part").applyInArrow(add, kind)
+    got = some.groupBy("chunk").applyInArrow(add, kind).collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])])
+
+
+def kth_largest(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
+    """The k-th largest value, by counting in ever narrower bins; at most ``most`` values reach the driver."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    above = 0  # values over ``high``
+    while True:
+        inside = df.where(F.col(column).between(low, high))
+        if low == high or inside.count() <= most:
+            values = sorted((r[0] for r in inside.select(column).take(most)), reverse=True) if low < high else []
+            return values[k - above - 1] if values else low
+        width = (high - low) / 1024
+        binned = inside.groupBy(F.least(F.floor((F.col(column) - low) / width), F.lit(1023)).alias("b"))
+        for r in sorted(
+            binned.agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect(),
+            key=lambda r: -r["b"],
+        ):
+            if above + r["n"] >= k:
+                low, high = r["lo"], r["hi"]
+                break
+            above += r["n"]

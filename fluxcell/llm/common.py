@@ -75,6 +75,24 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+class Forest:
+    """Union-find that keeps only the links that join two trees."""
+
+    def __init__(self, n: int):
+        self.up, self.links = list(range(n)), []
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.top(i), self.top(j)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.links.append((i, j))
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxcell.llm.common import (
     COUNTS,
+    Forest,
     WordHash,
     components,
     count_rows,
@@ -71,24 +72,6 @@ def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.sort((level[bucket] << np.uint64(57)) | (found & np.uint64((1 << 57) - 1)))
 
 
-class Forest:
-    """Union-find that keeps only the links that join two trees."""
-
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.top(i), self.top(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((i, j))
-
-
 def traverse(sets: list[np.ndarray], sizes: list[int], queries: list[np.ndarray], wanted: list[int], link) -> None:
     """Call ``link(set, query)`` for every pair that reaches the Jaccard bound.
 

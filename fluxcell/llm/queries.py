@@ -1,6 +1,7 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
 
 from fluxcell.llm.chat import OP9_SQL, op9_chat_formatting
+from fluxcell.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from fluxcell.llm.fingerprints import op4_fingerprints
 from fluxcell.llm.language_id import op1_language_id
 from fluxcell.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -17,10 +18,11 @@ QUERIES = {
         op3_quality_classifier,
         op4_fingerprints,
         op6_mixing,
+        op7_embedding_dedup,
         op8_secret_scan,
         op9_chat_formatting,
         op10_ngram_join,
     )
 }
 
-SQL = {"op2_line_dedup": OP2_SQL, "op9_chat_formatting": OP9_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL}

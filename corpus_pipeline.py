@@ -13,6 +13,7 @@ from fluxcell.llm.common import cut, table
 from fluxcell.llm.line_dedup import line_dedup
 from fluxcell.llm.mixing import WORD, mix
 from fluxcell.llm.ngram_join import similar_documents
+from fluxcell.llm.pieces import encode
 from fluxcell.llm.quality import resample_quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,11 +65,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as piece ids: one row for each of its rows, with the ids that decode to its text."""
+    return encode(docs)
+
+
 STAGES = [
     ("quality", quality),
     ("lines", lines),
     ("near_duplicates", near_duplicates),
     ("mixing", mixing),
+    ("pieces", pieces),
 ]
 
 ORACLE_SQL = None  # sampling, shingle sets and piece lattices have no SQL of equal meaning

@@ -31,11 +31,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{app}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost a re-read.
 
-    The tables belong to the application's own subfolder and may be removed when it has ended.
+    ``small``: a table with few bytes a row of input, put in a sixteenth as many files. The tables
+    belong to the application's own subfolder and may be removed when it has ended.
     """
+    if small:
+        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,18 +56,18 @@ def components(edges: DataFrame) -> DataFrame:
         .where("a is not null and b is not null and u <> v")
         .distinct()
     )
-    e = cut(e, "edges")
+    e = cut(e, "edges", small=True)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large")
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large", small=True)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct(), "large-star")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        large = cut(large.where("u <> v").distinct(), "large-star", small=True)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "small", small=True)
         small = large.join(low, "u")
         e2 = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        e = cut(e2.distinct(), "small-star")
+        e = cut(e2.distinct(), "small-star", small=True)
         inner = e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi")
         many = e.groupBy("u").count().where("count > 1")
         if inner.isEmpty() and many.isEmpty():
@@ -156,6 +159,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
             *[F.coalesce(F.sum(f"__{new}").over(before), F.lit(0)).alias(f"__{new}") for new in sums],
         ),
         f"{name}-carry",
+        small=True,
     )
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(keys):

@@ -253,7 +253,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     )
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     spaces = nodes.groupBy("space").agg(F.ceil(F.count("*") / shard_size).alias("shards"))
-    spaces = cut(spaces, "spaces").withColumnRenamed("space", "s")
+    spaces = cut(spaces, "spaces", small=True).withColumnRenamed("space", "s")
     dealt = nodes.join(spaces, F.col("space") == F.col("s")).select(
         "space", F.pmod("h", "shards").alias("shard"), "node", "times", "x"
     )
@@ -273,7 +273,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     shards = dealt.groupBy("space", "shard").applyInArrow(index, "space long, shard long, vectors binary, graph binary")
     shards = cut(shards, "shards")
     other = shards.select(F.col("space").alias("s"), F.col("shard").alias("asked"))
-    pairs = cut(shards.select("space", "shard").join(other, F.col("space") == F.col("s")).drop("s"), "shard-pairs")
+    pairs = cut(shards.select("space", "shard").join(other, F.col("space") == F.col("s")).drop("s"), "shard-pairs", small=True)
     have = pairs.join(shards, ["space", "shard"])
     ask = pairs.join(
         shards.select(F.col("space"), F.col("shard").alias("asked"), F.col("vectors")), ["space", "asked"]
@@ -317,7 +317,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     group = components(found.where("n is null").select("a", "b"))
     nodes = cut(
-        nodes.select("h", "g", "node", "times").join(counts, "node", "left").join(group, "node", "left"), "linked"
+        nodes.select("h", "g", "node", "times").join(counts, "node", "left").join(group, "node", "left"), "linked", small=True
     ).select(
         F.col("h").alias("h2"),
         F.col("g").alias("g2"),
@@ -327,8 +327,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     known = listed.select("vec_id", "h", "g", "sound").join(
         nodes, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")) & F.col("sound"), "left"
     )
-    known = cut(known.select("vec_id", "n", "class"), "classes")
-    lowest = cut(known.where("class is not null").groupBy(F.col("class").alias("c")).agg(F.min("vec_id").alias("low")), "least")
+    known = cut(known.select("vec_id", "n", "class"), "classes", small=True)
+    lowest = cut(known.where("class is not null").groupBy(F.col("class").alias("c")).agg(F.min("vec_id").alias("low")), "least", small=True)
     out = known.join(lowest, F.col("class") == F.col("c"), "left")
     component = F.coalesce("low", "vec_id")
     return out.select(

@@ -138,7 +138,7 @@ def mix(
             )
         ).alias("block"),
     )
-    drawn = cut(drawn, "drawn")
+    drawn = cut(drawn, "drawn", small=True)
     lo = F.greatest(F.col("block") * block_words - F.col("begin"), F.lit(0))
     hi = F.least((F.col("block") + 1) * block_words - F.col("begin"), F.col("size"))
     pieces = parts.join(drawn, ["sid", "block"]).select("rid", lo.alias("lo"), hi.alias("hi"), "times")

@@ -278,6 +278,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             F.col("d.doc_id").alias("__doc"), F.col("d.n").alias("n"), "node", F.col("component").alias("comp")
         ),
         "candidates",
+        small=True,
     )
     per = chosen.groupBy("comp").agg(F.count("*").alias("m"))
     # by size class, whose neighbours alone can link, and by hash; a small component is one block
@@ -288,11 +289,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         "cls",
         F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(F.ceil(F.col("k") / BLOCK)).alias("blocks"),
     )
-    plan = cut(plan, "plan").withColumnsRenamed({"comp": "c2", "cls": "l2"})
+    plan = cut(plan, "plan", small=True).withColumnsRenamed({"comp": "c2", "cls": "l2"})
     dealt = chosen.withColumn("cls", cls).join(plan, (F.col("comp") == F.col("c2")) & (F.col("cls") == F.col("l2")))
     nth = F.pmod(F.xxhash64("node"), F.greatest(F.col("blocks"), F.lit(1)))
     block = F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cls") * 1_000_000_000 + nth + 1)
-    dealt = cut(dealt.select("__doc", "n", "node", "comp", "cls", block.alias("block")), "blocks")
+    dealt = cut(dealt.select("__doc", "n", "node", "comp", "cls", block.alias("block")), "blocks", small=True)
 
     set_schema = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("block", pa.int64()), ("cls", pa.int64()), ("tokens", pa.binary())])
 
@@ -317,7 +318,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     large = dealt.where("block > 0").select("comp", "block", "cls").distinct()
     pivot = F.struct(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p"))
     pivots = sets.where("block > 0").groupBy("comp", "cls", pivot).agg(F.min("node").alias("node"))
-    pivots = sets.join(cut(pivots.select("node"), "pivots"), "node", "left_semi")
+    pivots = sets.join(cut(pivots.select("node"), "pivots", small=True), "node", "left_semi")
     shared = pivots.select("node", "tokens", F.col("comp").alias("c2"), F.col("block").alias("own")).join(
         large, (F.col("c2") == F.col("comp")) & (F.col("own") != F.col("block"))
     )
@@ -327,15 +328,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         now = components(links)
         state = sets.where("block > 0").select("comp", "block", "cls", "node").join(now, "node", "left")
-        state = cut(state.withColumn("component", F.coalesce("component", "node")), "state")
+        state = cut(state.withColumn("component", F.coalesce("component", "node")), "state", small=True)
         main = state.groupBy("comp", "component").count().groupBy("comp").agg(F.max_by("component", "count").alias("main"))
-        main = cut(main, "main").withColumnRenamed("comp", "c2")
+        main = cut(main, "main", small=True).withColumnRenamed("comp", "c2")
         outside = state.join(main, F.col("comp") == F.col("c2")).where("component <> main").select("node")
         # sets outside the largest class, in blocks of their own, against every block of neighbouring size
         out = cut(sets.join(outside, "node", "left_semi"), "outside")
         todo = out.select("comp", F.col("block").alias("a"), F.col("cls").alias("ca")).distinct()
         todo = todo.join(large.select(F.col("comp").alias("c2"), F.col("block").alias("b"), F.col("cls").alias("cb")), F.col("comp") == F.col("c2"))
-        todo = cut(todo.where(F.abs(F.col("ca") - F.col("cb")) <= 1).select("comp", "a", "b"), "todo")
+        todo = cut(todo.where(F.abs(F.col("ca") - F.col("cb")) <= 1).select("comp", "a", "b"), "todo", small=True)
         queries = out.withColumnsRenamed({"block": "a"}).join(todo, ["comp", "a"])
         stored = sets.withColumnsRenamed({"block": "b"}).join(todo, ["comp", "b"])
         # the key names the pair (stored block, queries of block a); -1 - a keeps it apart from a == b
@@ -345,10 +346,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     final = components(links).withColumnRenamed("component", "comp")
     known = listed.join(final, (F.col("h") == F.col("node")) & (F.col("n") > 0), "left")
-    known = cut(known.select("doc_id", "n", "h", F.coalesce("comp", "h").alias("class_id")), "classes")
+    known = cut(known.select("doc_id", "n", "h", F.coalesce("comp", "h").alias("class_id")), "classes", small=True)
     least = cut(
         known.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least")).withColumnRenamed("class_id", "c"),
         "least",
+        small=True,
     )
     return known.join(least, (F.col("class_id") == F.col("c")) & (F.col("n") > 0), "left").select(
         "doc_id",

@@ -8,15 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxcell.llm.common import count_rows, cut, kth_largest, mix64, rows, sliced, table, texts, total_counts
 
-BUCKETS = 1 << 16
-SMOOTH = 0.5
+WORD_BITS, SHAPE_BITS = 12, 14  # buckets of word and of shape n-grams
+BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+PRIOR = 2.0  # pseudo-counts that draw a bucket's ratio to 1
 SAMPLE_DOCS = 20_000  # target documents that the target model is fitted on, about
-FLOOR = -8.0  # documents whose log weight is above it set the size of the sample
+EFFECTIVE = 64  # n-grams that a longer document's evidence counts as
+FLOOR = -11.0  # documents whose log weight is above it set the size of the sample
 SEED = 29
 
 EDGE = re.compile(rb"^([^\w\x80-\xff]*)(.*?)([^\w\x80-\xff]*)$", re.DOTALL)
@@ -51,19 +54,34 @@ def ngrams(words: list[bytes], known: Features) -> np.ndarray:
     core, shape = x[:, 0], x[:, 1]
     again = (core[1:] == core[:-1]).astype(np.uint64)
     k = np.uint64(0x9E3779B97F4A7C15)
-    grams = np.concatenate(
-        [
-            mix64(core + np.uint64(1)),
-            mix64(core[:-1] * k + core[1:] + np.uint64(2)),
-            mix64(shape + np.uint64(3)),
-            mix64((shape[:-1] * k + shape[1:]) * np.uint64(2) + again + np.uint64(4)),
-        ]
+    word = np.concatenate([mix64(core + np.uint64(1)), mix64(core[:-1] * k + core[1:] + np.uint64(2))])
+    form = np.concatenate(
+        [mix64(shape + np.uint64(3)), mix64((shape[:-1] * k + shape[1:]) * np.uint64(2) + again + np.uint64(4))]
     )
-    return (grams >> np.uint64(48)).astype(np.int64)
+    word, form = word >> np.uint64(64 - WORD_BITS), (form >> np.uint64(64 - SHAPE_BITS)) + np.uint64(1 << WORD_BITS)
+    return np.concatenate([word, form]).astype(np.int64)
+
+
+def log_ratio(grams: np.ndarray, raw: np.ndarray, target: np.ndarray, learned: bool) -> float:
+    """Mean of log p_target / p_raw over a text's n-grams, times at most ``EFFECTIVE`` of them.
+
+    The text's own n-grams are taken out of the counts first, so that no text speaks for itself.
+    The target model is drawn to the raw one by ``PRIOR`` pseudo-counts in each bucket.
+    """
+    if not len(grams):
+        return 0.0
+    bucket, n = np.unique(grams, return_counts=True)
+    own = n if learned else 0
+    others, good = raw.sum() - len(grams), target.sum() - (len(grams) if learned else 0)
+    if others <= 0 or good <= 0:
+        return 0.0
+    due = (raw[bucket] - n) * (good / others)
+    ratio = np.log((target[bucket] - own + PRIOR) / (due + PRIOR))
+    return float((ratio * n).sum() / len(grams) * min(len(grams), EFFECTIVE))
 
 
 def fit_models(docs: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw for each bucket, from ``docs(text, target)``.
+    """n-gram counts of the raw and of the target text by bucket, from ``docs(text, target)``.
 
     The raw model counts the n-grams of every document, the target model those of the rows with
     ``target``; each task counts into two vectors of fixed length, and Spark sums the vectors.
@@ -73,33 +91,30 @@ def fit_models(docs: DataFrame) -> np.ndarray:
         known, total = Features(), np.zeros((2, BUCKETS), np.int64)
         for batch in sliced(batches, "text"):
             for text, target in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(ngrams((text or b"").split(), known), minlength=BUCKETS)
-                total[0] += got
+                grams = ngrams((text or b"").split(), known)
+                np.add.at(total[0], grams, 1)
                 if target:
-                    total[1] += got
-        from pyspark import TaskContext
-
+                    np.add.at(total[1], grams, 1)
         yield count_rows(total.reshape(-1), TaskContext.get().partitionId())
 
     counted = docs.select("text", "target").mapInArrow(count, "chunk int, part int, counts binary")
-    raw, target = total_counts(counted).reshape(2, BUCKETS) + SMOOTH
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return total_counts(counted).reshape(2, BUCKETS).astype(float)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``(doc_id, n_grams, log_weight)`` of every row: the sum of its n-grams' log ratios."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def log_weights(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``(doc_id, n_grams, log_weight)`` of every row of ``docs(doc_id, text, target)``."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+        known, (raw, target) = Features(), shared.value
         for batch in sliced(batches, "text"):
             grams = [ngrams((t or b"").split(), known) for t in texts(batch.column(1))]
-            weight = [float(shared.value[g].sum()) for g in grams]
+            weight = [log_ratio(g, raw, target, f) for g, f in zip(grams, batch.column(2).to_pylist(), strict=True)]
             data = {"doc_id": batch.column(0).to_pylist(), "n_grams": [len(g) for g in grams], "log_weight": weight}
             yield rows(data, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), "text", "target").mapInArrow(
         score, "doc_id long, n_grams long, log_weight double"
     )
 
@@ -112,7 +127,8 @@ def resample_quality(
     Target text is a bounded sample of the documents with quality 1 in ``labels(doc_id, quality)``
     (a fraction chosen by a hash of doc_id, about ``sample_docs`` of them); raw text is every
     document. A document's importance weight is the product of its n-grams' ratios p_target /
-    p_raw, truncated at 1 so that no document counts for more than one. The sample is drawn
+    p_raw, counted as that of at most ``EFFECTIVE`` n-grams (copies and boilerplate make them
+    depend on each other) and truncated at 1, so that no document counts for more than one. The sample is drawn
     without replacement by Gumbel top-k: key = truncated log weight + Gumbel noise from a hash of
     seed and doc_id; k is the number of documents whose log weight exceeds ``floor``. ``kept``
     marks the k largest keys; ties at the last key are kept too. The k-th key is found by
@@ -128,10 +144,10 @@ def resample_quality(
     good = good.where(part).select(F.col("doc_id").alias("__good"))  # about sample_docs rows at most
     flagged = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
     flagged = flagged.withColumn("target", F.col("__good").isNotNull())
-    ratio = fit_models(flagged) if n else np.zeros(BUCKETS)
+    counts = fit_models(flagged) if n else np.zeros((2, BUCKETS))
     weight = F.least(F.col("log_weight"), F.lit(0.0))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "doc_id"), 11) + 0.5) / float(1 << 53)
-    scored = log_weights(docs, ratio).withColumn("key", weight - F.log(-F.log(uniform)))
+    scored = log_weights(flagged, counts).withColumn("key", weight - F.log(-F.log(uniform)))
     scored = cut(scored, "weights")
     k = scored.where(F.col("log_weight") > floor).count()
     least = kth_largest(scored, "key", k) if k else float("inf")

@@ -7,6 +7,7 @@ from fluxcell.llm.language_id import op1_language_id
 from fluxcell.llm.line_dedup import OP2_SQL, op2_line_dedup
 from fluxcell.llm.mixing import op6_mixing
 from fluxcell.llm.ngram_join import op10_ngram_join
+from fluxcell.llm.pieces import op5_sentencepiece
 from fluxcell.llm.quality import op3_quality_classifier
 from fluxcell.llm.secret_scan import op8_secret_scan
 
@@ -17,6 +18,7 @@ QUERIES = {
         op2_line_dedup,
         op3_quality_classifier,
         op4_fingerprints,
+        op5_sentencepiece,
         op6_mixing,
         op7_embedding_dedup,
         op8_secret_scan,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from fluxcell.llm.common import (
     COUNTS,
     Forest,
-    WordHash,
     components,
     count_rows,
     cut,
@@ -23,6 +22,7 @@ from fluxcell.llm.common import (
     table,
     texts,
     total_counts,
+    word_hashes,
 )
 
 WORDS = 5
@@ -32,15 +32,16 @@ QUERIES = 128  # sets that traverse a trie together
 SALTS = 64
 PIVOTS = 8
 REMEMBERED = 1 << 19
+PEELS = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes | None, known: WordHash) -> np.ndarray:
+def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of a text's five-word shingles (of all its words where it has fewer)."""
     words = (text or b"").lower().split()  # of bytes: A-Z alone is lowered, ASCII white space alone parts words
     if not words:
         return np.zeros(0, np.uint64)
-    h = known.array(words)
+    h = word_hashes(words)
     k = min(WORDS, len(h))
     x = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -53,10 +54,12 @@ def linked(both: int, a: int, b: int) -> bool:
 
 
 def set_ids(found: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    first = mix64(found + np.uint64(len(found))).sum(dtype=np.uint64)
-    second = mix64(found ^ GOLDEN).sum(dtype=np.uint64)
-    return int(mix64(first[None])[0].view(np.int64)), int(mix64(second[None])[0].view(np.int64))
+    """Two 64-bit hashes of a set: the mixed sum and the mixed exclusive or of its members' hashes."""
+    if not len(found):
+        return 0, 0
+    both = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(found)], np.uint64)
+    h, g = mix64(both).view(np.int64)
+    return int(h), int(g)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -72,6 +75,25 @@ def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.sort((level[bucket] << np.uint64(57)) | (found & np.uint64((1 << 57) - 1)))
 
 
+def prefix_length(n: int) -> int:
+    """First tokens of a set of n of which any set it links to must share ``1 + min(n) // 10`` in its own."""
+    return min(n, n - -(-3 * n // 4) + 1 + n // 10)
+
+
+def shared_tokens(found: DataFrame) -> DataFrame:
+    """Distinct rows (token, salt, node) whose token another node has too; hot tokens count as shared."""
+    w = Window.partitionBy("token", "salt")
+    both = found.withColumns(
+        {
+            "low": F.min("node").over(w),
+            "high": F.max("node").over(w),
+            "last": F.lag("node").over(w.orderBy("node")),
+        }
+    )
+    other = (F.col("low") < F.col("high")) | (F.col("token") >= 1 << 57)
+    return both.where(other & (F.col("last").isNull() | (F.col("last") != F.col("node")))).select("token", "salt", "node")
+
+
 def traverse(sets: list[np.ndarray], sizes: list[int], queries: list[np.ndarray], wanted: list[int], link) -> None:
     """Call ``link(set, query)`` for every pair that reaches the Jaccard bound.
 
@@ -182,9 +204,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     1. Sets become sorted 64-bit hashes; a fixed-size sketch of shingle frequencies gives the
        global order, rare first. Equal sets are one node (two hashes are compared).
-    2. A set's prefix, the first n - ceil(3n/4) + 1 tokens, must share a token with that of any
-       set it links to. Nodes that share a prefix token are chained, hot tokens by salted parts;
-       the chains' components are the only places where links can be.
+    2. A set's prefix, its first n - ceil(3n/4) + k tokens with k = 1 + n // 10, must share at
+       least 1 + 3n // 40 tokens with that of any set it links to. Nodes whose prefix shares fewer
+       with all others together are left out, repeatedly. Nodes that share a prefix token are
+       chained, hot tokens by salted parts; links can be within a chain component only.
     3. A component's sets are stored in tries of at most ``BLOCK`` or so sets, with a few pivots
        of the component in each, and joined there. What the pivots have brought together needs no
        further comparison; every set outside a component's largest class is then joined with all
@@ -201,11 +224,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), *COUNTS])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, total = WordHash(), set(), np.zeros(1 << SKETCH_BITS, np.int64)
+        seen, total = set(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in sliced(batches, "text"):
             ids, n, hs, gs, fresh = batch.column(0).to_pylist(), [], [], [], []
             for text in texts(batch.column(1)):
-                found = shingles(text, known)
+                found = shingles(text)
                 h, g = set_ids(found)
                 n.append(len(found))
                 hs.append(h)
@@ -231,14 +254,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if not listed.where("n > 0").groupBy("h").agg(F.min("g"), F.max("g")).where("min(g) <> max(g)").isEmpty():
         raise ArithmeticError("two different sets of shingles share a 64-bit hash")  # about 1 in 10**8 at 10**6 sets
 
-    token = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64())])
+    rows_of = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHash(), set()
+        seen = set()
         for batch in sliced(batches, "text"):
             toks, nodes = [], []
             for text in texts(batch.column(0)):
-                found = shingles(text, known)
+                found = shingles(text)
                 if not len(found):
                     continue
                 h = set_ids(found)[0]
@@ -247,21 +270,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(h)
-                n = len(found)
-                first = ordered(found, level.value)[: n - -(-3 * n // 4) + 1]
+                first = ordered(found, level.value)[: prefix_length(len(found))]
                 toks.append(first)
                 nodes.append(np.full(len(first), h, np.int64))
             if toks:
                 t, node = np.concatenate(toks), np.concatenate(nodes)
                 hot = t >> np.uint64(57) > 0
                 salt = np.where(hot, mix64(node.view(np.uint64)) % np.uint64(SALTS), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(salt), pa.array(node)], schema=token)
+                columns = [pa.array(t.view(np.int64)), pa.array(salt), pa.array(node)]
+                yield pa.RecordBatch.from_arrays(columns, schema=rows_of)
 
     found = docs.select("text").mapInArrow(prefixes, "token long, salt int, node long")
+    found = cut(shared_tokens(found), "shared")
+    sizes = listed.where("n > 0").groupBy("h").agg(F.first("n").alias("n"))
+    sizes = cut(sizes, "sizes", small=True)
+    need = 1 + F.floor(F.col("n") * 3 / 40)
+    for _ in range(PEELS):
+        has = found.groupBy("node").agg(F.count("*").alias("has"))
+        able = has.join(sizes, F.col("node") == F.col("h")).where(F.col("has") >= need).select("node")
+        found = cut(shared_tokens(found.join(cut(able, "able", small=True), "node", "left_semi")), "shared")
     spot = Window.partitionBy("token", "salt").orderBy("node")
     chained = found.withColumn("last", F.lag("node").over(spot))
     # a row per link of a chain; the head of each part of a hot token, to chain the parts
-    chained = chained.where("last <> node or (last is null and token >= 1L << 57)").select(
+    chained = chained.where("last is not null or token >= 1L << 57").select(
         "token", F.col("last").alias("a"), F.col("node").alias("b")
     )
     chained = cut(
@@ -298,13 +329,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     set_schema = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("block", pa.int64()), ("cls", pa.int64()), ("tokens", pa.binary())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in sliced(batches, "text", 2 << 20):
             kept: list[list] = [[], [], [], [], []]
             for node, *rest, text in zip(
                 *(batch.column(i).to_pylist() for i in range(4)), texts(batch.column(4)), strict=True
             ):
-                found = shingles(text, known)
+                found = shingles(text)
                 if set_ids(found)[0] == node:  # a repeated doc_id may bring another text
                     for c, x in zip(kept, [node, *rest, ordered(found, level.value).tobytes()], strict=True):
                         c.append(x)

@@ -19,6 +19,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK_CHARS = 48_000_000  # text that shares one list of units
 LOWEST = -40_000.0  # scores below it count as it, lest a path's other terms drown in rounding
+EDGE_FACTOR = 4
 LONGEST_UNIT = 256  # a longer run is cut here, as if pieces could not span the cut
 
 # Runs of letters and digits, or of other characters, each with the spaces before it.
@@ -92,6 +93,8 @@ def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     spark = listed.sparkSession
     pieces = spark.createDataFrame(vocabulary.pieces, "piece string, score double, id int")
+    # a unit's row becomes dozens of edges, so the units take more partitions than a shuffle of rows would
+    listed = listed.repartition(EDGE_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
     first = F.row_number().over(Window.partitionBy("unit").orderBy("place")) == 1
     spans = F.flatten(
         F.transform(
@@ -108,8 +111,9 @@ def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     some = some.select("unit", "place", "s.start", "s.n", F.substring("unit", F.col("s.start") + 1, F.col("s.n")).alias("sub"))
     edges = some.join(F.broadcast(pieces), F.col("sub") == F.col("piece"), "left")
+    edges = edges.where("start < 0 or id is not null or n = 1").select("unit", "place", "start", "n", "sub", "id", "score")
     edge = F.when(
-        (F.col("start") >= 0) & (F.col("id").isNotNull() | (F.col("n") == 1)),
+        F.col("start") >= 0,
         F.struct(
             (F.col("start") + F.col("n")).alias("end"),
             "start",

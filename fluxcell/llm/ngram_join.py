@@ -27,7 +27,8 @@ from fluxcell.llm.common import (
 
 WORDS = 5
 SKETCH_BITS = 18
-BLOCK = 512  # sets that one trie holds
+BLOCK_TOKENS = 1 << 20  # that one trie holds, about
+FILTER_BITS = 24  # size of the fixed-size filter of candidates' doc_ids
 QUERIES = 128  # sets that traverse a trie together
 SALTS = 64
 PIVOTS = 8
@@ -76,8 +77,8 @@ def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int) -> int:
-    """First tokens of a set of n of which any set it links to must share ``1 + min(n) // 10`` in its own."""
-    return min(n, n - -(-3 * n // 4) + 1 + n // 10)
+    """First tokens of a set of n of which any set it links to must share ``1 + min(n) // 20`` in its own."""
+    return min(n, n - -(-3 * n // 4) + 1 + n // 20)
 
 
 def shared_tokens(found: DataFrame) -> DataFrame:
@@ -204,11 +205,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     1. Sets become sorted 64-bit hashes; a fixed-size sketch of shingle frequencies gives the
        global order, rare first. Equal sets are one node (two hashes are compared).
-    2. A set's prefix, its first n - ceil(3n/4) + k tokens with k = 1 + n // 10, must share at
-       least 1 + 3n // 40 tokens with that of any set it links to. Nodes whose prefix shares fewer
+    2. A set's prefix, its first n - ceil(3n/4) + k tokens with k = 1 + n // 20, must share at
+       least 1 + 3n // 80 tokens with that of any set it links to. Nodes whose prefix shares fewer
        with all others together are left out, repeatedly. Nodes that share a prefix token are
        chained, hot tokens by salted parts; links can be within a chain component only.
-    3. A component's sets are stored in tries of at most ``BLOCK`` or so sets, with a few pivots
+    3. A component's sets are stored in tries of about ``BLOCK_TOKENS`` tokens at most, with a few pivots
        of the component in each, and joined there. What the pivots have brought together needs no
        further comparison; every set outside a component's largest class is then joined with all
        blocks of neighbouring sizes.
@@ -284,7 +285,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     found = cut(shared_tokens(found), "shared")
     sizes = listed.where("n > 0").groupBy("h").agg(F.first("n").alias("n"))
     sizes = cut(sizes, "sizes", small=True)
-    need = 1 + F.floor(F.col("n") * 3 / 40)
+    need = 1 + F.floor(F.col("n") * 3 / 80)
     for _ in range(PEELS):
         has = found.groupBy("node").agg(F.count("*").alias("has"))
         able = has.join(sizes, F.col("node") == F.col("h")).where(F.col("has") >= need).select("node")
@@ -311,14 +312,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         "candidates",
         small=True,
     )
-    per = chosen.groupBy("comp").agg(F.count("*").alias("m"))
+    per = chosen.groupBy("comp").agg(F.sum("n").alias("m"))
     # by size class, whose neighbours alone can link, and by hash; a small component is one block
     cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    classes = chosen.groupBy("comp", cls.alias("cls")).agg(F.count("*").alias("k"))
+    classes = chosen.groupBy("comp", cls.alias("cls")).agg(F.sum("n").alias("k"))
     plan = classes.join(per, "comp").select(
         "comp",
         "cls",
-        F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(F.ceil(F.col("k") / BLOCK)).alias("blocks"),
+        F.when(F.col("m") <= BLOCK_TOKENS, F.lit(0)).otherwise(F.ceil(F.col("k") / BLOCK_TOKENS)).alias("blocks"),
     )
     plan = cut(plan, "plan", small=True).withColumnsRenamed({"comp": "c2", "cls": "l2"})
     dealt = chosen.withColumn("cls", cls).join(plan, (F.col("comp") == F.col("c2")) & (F.col("cls") == F.col("l2")))
@@ -326,22 +327,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     block = F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cls") * 1_000_000_000 + nth + 1)
     dealt = cut(dealt.select("__doc", "n", "node", "comp", "cls", block.alias("block")), "blocks", small=True)
 
-    set_schema = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("block", pa.int64()), ("cls", pa.int64()), ("tokens", pa.binary())])
+    # sets are made where the text is read, of documents that a filter of fixed size lets pass
+    place = lambda doc: F.shiftrightunsigned(F.xxhash64(doc), 64 - FILTER_BITS)
+    words = dealt.select(place("__doc").alias("at")).select(
+        F.expr("cast(at div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b")
+    )
+    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # len(bits) rows at most
+        bits[r["w"]] = r["b"]
+    maybe = spark.sparkContext.broadcast(bits.view(np.uint8))
+    set_schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("tokens", pa.binary())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
-            kept: list[list] = [[], [], [], [], []]
-            for node, *rest, text in zip(
-                *(batch.column(i).to_pylist() for i in range(4)), texts(batch.column(4)), strict=True
-            ):
-                found = shingles(text)
-                if set_ids(found)[0] == node:  # a repeated doc_id may bring another text
-                    for c, x in zip(kept, [node, *rest, ordered(found, level.value).tobytes()], strict=True):
-                        c.append(x)
-            yield rows(dict(zip(set_schema.names, kept, strict=True)), set_schema)
-
-    joined = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("node", "comp", "block", "cls", "text")
-    sets = joined.mapInArrow(whole, "node long, comp long, block long, cls long, tokens binary")
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((maybe.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            found = list(map(shingles, texts(batch.column(2))))
+            tokens = [ordered(x, level.value).tobytes() for x in found]
+            ids = batch.column(0).to_pylist()
+            yield rows({"doc_id": ids, "h": [set_ids(x)[0] for x in found], "tokens": tokens}, set_schema)
+
+    made = docs.select("doc_id", place("doc_id").alias("at"), "text").mapInArrow(whole, "doc_id long, h long, tokens binary")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("node"))  # a repeated doc_id may bring another text
+    sets = made.join(dealt, same).select("node", "comp", "block", "cls", "tokens")
     sets = cut(sets.dropDuplicates(["node"]), "candidate-sets")
 
     pair = lambda d, other, side: d.select("comp", "block", other.alias("other"), F.lit(side).alias("side"), "node", "tokens")  # noqa: E731, E501

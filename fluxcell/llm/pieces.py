@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,36 +52,43 @@ class Vocabulary:
                 raise ValueError(f"piece {text!r} spans a unit boundary")
 
 
-def units_of(text: str) -> list[str]:
-    return UNIT.findall(" " + text)  # with the leading space that the model family adds
+def words_of(text: str) -> list[str]:
+    """Parts of the text, a space put before it as the model family does, that no unit spans; each begins
+    with one space but for the whole of a text with spaces in a row."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text:
+        return [" " + text]
+    return [" " + w for w in text.split(" ")]
 
 
-def viterbi(edges: Column, length: Column) -> Column:
-    """Ids of the best path from 0 to ``length``: a fold over places, each taking its best edge.
+def viterbi(edges: Column) -> Column:
+    """Ids of the best path through a lattice: a fold over its edges in order of (end, start).
 
-    ``edges``: array<struct<end, start, score, id>>. Equal scores go to the smaller start.
+    ``edges``: array<struct<end, start, score, id>>, sorted, with an edge into every place. The
+    state holds the best path to each place passed and the best edge into the place at hand;
+    equal scores go to the smaller start, which comes first.
     """
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
-
-    def step(best: Column, place: Column) -> Column:
-        into = F.filter(edges, lambda e: e["end"] == place)
-        ways = F.transform(
-            into,
-            lambda e: F.struct(
-                (F.get(best, e["start"])["score"] + e["score"]).alias("score"),
-                (-e["start"]).alias("back"),
-                e["id"].alias("id"),
-            ),
-        )
-        chosen = F.transform(
-            F.array(F.array_max(ways)),
-            lambda w: F.struct(
-                w["score"].alias("score"), F.concat(F.get(best, -w["back"])["ids"], F.array(w["id"])).alias("ids")
-            ),
+    path = lambda score, ids: F.struct(score.alias("score"), ids.alias("ids"))
+    edge = lambda score, back, id_: F.struct(score.alias("score"), back.alias("back"), id_.alias("id"))
+    start = F.struct(
+        F.array(path(F.lit(0.0), F.array().cast("array<int>"))).alias("best"),
+        F.lit(1).alias("place"),
+        edge(F.lit(float("-inf")), F.lit(0), F.lit(0)).alias("top"),
+    )
+    reached = lambda s: path(s["top"]["score"], F.concat(F.get(s["best"], s["top"]["back"])["ids"], F.array(s["top"]["id"])))  # noqa: E731, E501
+
+    def step(s: Column, e: Column) -> Column:
+        here = e["end"] == s["place"]
+        before = F.when(e["start"] == F.size(s["best"]), s["top"]["score"]).otherwise(F.get(s["best"], e["start"])["score"])
+        score = before + e["score"]
+        return F.struct(
+            F.when(here, s["best"]).otherwise(F.concat(s["best"], F.array(reached(s)))).alias("best"),
+            e["end"].alias("place"),
+            F.when(here & (score <= s["top"]["score"]), s["top"]).otherwise(edge(score, e["start"], e["id"])).alias("top"),
         )
-        return F.concat(best, chosen)
 
-    return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda best: F.get(best, length)["ids"])
+    return F.aggregate(edges, start, step, lambda s: reached(s)["ids"])
 
 
 def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -125,7 +133,7 @@ def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.collect_list(edge).alias("edges"),
         F.collect_list(F.when(F.col("start") < 0, F.col("place"))).alias("places"),
     )
-    return grouped.select("unit", viterbi(F.col("edges"), F.length("unit")).alias("ids"), "places")
+    return grouped.select("unit", viterbi(F.array_sort("edges")).alias("ids"), "places")
 
 
 PACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -185,7 +193,7 @@ def pack(ids: DataFrame) -> DataFrame:
 def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
     """(block, whether it is the block's first batch, batch): a task's rows in blocks of about ``BLOCK_CHARS``."""
     block, size, fresh = TaskContext.get().partitionId() << 10, 0, True
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", 2 << 20):
         if size > BLOCK_CHARS:
             block, size, fresh = block + 1, 0, True
         yield block, fresh, batch
@@ -197,17 +205,20 @@ def list_units(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("unit", pa.string()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}
+        number, seen = {}, set()
         for block, fresh, batch in in_blocks(batches):
             if fresh:
-                number = {}
+                number, seen = {}, set()
             before = len(number)
             new: list[str] = []
             for text in batch.column(1).to_pylist():
-                for unit in set(units_of(text)) if text else ():
-                    if unit not in number:
-                        number[unit] = len(number)
-                        new.append(unit.replace(" ", SPACE))
+                for word in words_of(text):
+                    if word not in seen:
+                        seen.add(word)
+                        for unit in UNIT.findall(word):
+                            if unit not in number:
+                                number[unit] = len(number)
+                                new.append(unit.replace(" ", SPACE))
             yield rows({"unit": new, "place": (block << 32) + np.arange(before, len(number))}, schema)
 
     return docs.mapInArrow(run, "unit string, place long")
@@ -259,20 +270,19 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_ids, decoded = shared.value
-        block, got, ids, begin, length, number = None, [], None, None, None, {}
+        block, got, words = None, [], None
         for batch in batches:
             for b, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
                 if b.as_py() != block:
-                    block, got, ids, number = b.as_py(), [], None, {}
+                    block, got, words = b.as_py(), [], None
                 data = data.as_py()
                 if kind.as_py() == 0:
                     got.append(unpack(data))
                     continue
-                if ids is None:
-                    ids, begin, length = unit_ids(got, byte_ids)
-                    got = []
-                for docs_ in pa.ipc.open_stream(data):
-                    yield encoded(docs_, number, ids, begin, length, decoded)
+                if words is None:
+                    words, got = BlockWords(*unit_ids(got, byte_ids)), []
+                for part in pa.ipc.open_stream(data):
+                    yield words.encoded(part, decoded)
 
     dealt = both.repartition("block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
@@ -311,28 +321,43 @@ def unit_ids(got: list, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return flat, first, length
 
 
-def encoded(docs: pa.RecordBatch, number: dict, ids, begin, length, decoded: list[bytes]) -> pa.RecordBatch:
-    texts = docs.column(1).to_pylist()
-    at, sizes = [], []
-    for text in texts:
-        units = units_of(text) if text else []
-        for unit in set(units):  # numbered as list_units does
-            if unit not in number:
-                number[unit] = len(number)
-        found = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
-        at.append(found)
-        sizes.append(int(length[found].sum()))
-    unit = np.concatenate(at) if at else np.zeros(0, np.int64)
-    n = length[unit]
-    flat = ids[np.repeat(begin[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    whole = flat.tolist()
-    same = []
-    for i, text in enumerate(texts):
-        back = b"".join(map(decoded.__getitem__, whole[ends[i] : ends[i + 1]]))[1:]
-        same.append(back == (text or "").encode())
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-    return pa.RecordBatch.from_arrays([docs.column(0), pa.array(sizes, pa.int64()), lists, pa.array(same)], schema=ENCODED)
+class BlockWords:
+    """A block's words as runs of ids, filled in the order in which ``list_units`` numbers their units."""
+
+    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.unit_ids, self.begin, self.length = ids, begin, length
+        self.units: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+
+    def numbers(self, text: str) -> np.ndarray:
+        words = words_of(text)
+        for word in words:
+            if word not in self.words:
+                self.words[word] = len(self.words)
+                for unit in UNIT.findall(word):
+                    k = self.units.setdefault(unit, len(self.units))
+                    a = self.begin[k]
+                    self.flat.frombytes(self.unit_ids[a : a + self.length[k]].tobytes())
+                self.ends.append(len(self.flat))
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def encoded(self, docs: pa.RecordBatch, decoded: list[bytes]) -> pa.RecordBatch:
+        texts = docs.column(1).to_pylist()
+        at = [self.numbers(t or "") for t in texts]
+        ends, ids = np.array(self.ends), np.array(self.flat, np.int32)
+        word = np.concatenate(at) if at else np.zeros(0, np.int64)
+        n = ends[word + 1] - ends[word]
+        flat = ids[np.repeat(ends[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        cover = np.concatenate([[0], np.cumsum(n)])
+        stops = cover[np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)]
+        same = []
+        for i, text in enumerate(texts):
+            back = b"".join(map(decoded.__getitem__, flat[stops[i] : stops[i + 1]].tolist()))[1:]
+            same.append(back == (text or "").encode())
+        lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32()))
+        columns = [docs.column(0), pa.array(np.diff(stops), pa.int64()), lists, pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, schema=ENCODED)
 
 
 def decode(encoded_docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

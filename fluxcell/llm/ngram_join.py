@@ -172,20 +172,22 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
     keys = ["comp", "block", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, left, right = None, [], []
+        at, left, right, held = None, [], [], 0
 
         def finish() -> list[tuple[int, int]]:
-            if at is None or (at[1] == at[2] and len(left) < 2):
+            if not left or (at[1] == at[2] and len(left) < 2) or (at[1] != at[2] and not right):
                 return []
             return trie_links(left, None if at[1] == at[2] else right)
 
         for batch in batches:
             out = []
             for comp, block, other, side, node, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, block, other) != at:
-                    out += finish()
-                    at, left, right = (comp, block, other), [], []
+                if (comp, block, other) != at or held > 2 * BLOCK_TOKENS:
+                    out += finish()  # the queries of a block may come in several lots
+                    left = left if (comp, block, other) == at else []
+                    at, right, held = (comp, block, other), [], 0
                 (right if side else left).append((node, np.frombuffer(tokens, np.uint64)))
+                held += side * len(tokens) // 8
             if out:
                 yield rows({"a": [x for x, _ in out], "b": [y for _, y in out]}, LINKS)
         if out := finish():
@@ -211,8 +213,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
        chained, hot tokens by salted parts; links can be within a chain component only.
     3. A component's sets are stored in tries of about ``BLOCK_TOKENS`` tokens at most, with a few pivots
        of the component in each, and joined there. What the pivots have brought together needs no
-       further comparison; every set outside a component's largest class is then joined with all
-       blocks of neighbouring sizes.
+       further comparison; a set then also meets each block of neighbouring size in which sets of
+       other classes hold enough of its prefix's tokens.
     4. Each join returns a spanning forest of its links, never all pairs.
 
     Null, blank or empty text: empty set, linked with nothing, its own component. Fewer words
@@ -222,18 +224,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), *COUNTS])
+    named = [(c, pa.int64()) for c in ("doc_id", "n", "h", "g", "least")]
+    schema = pa.schema([*named, *COUNTS])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = set(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in sliced(batches, "text"):
-            ids, n, hs, gs, fresh = batch.column(0).to_pylist(), [], [], [], []
+            ids, n, hs, gs, least, fresh = batch.column(0).to_pylist(), [], [], [], [], []
             for text in texts(batch.column(1)):
                 found = shingles(text)
                 h, g = set_ids(found)
                 n.append(len(found))
                 hs.append(h)
                 gs.append(g)
+                least.append(int(found[0].view(np.int64)) if len(found) else 0)
                 if h not in seen:  # a copy adds nothing
                     if len(seen) > REMEMBERED:
                         seen.clear()
@@ -242,15 +246,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             if fresh:
                 total += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=len(total))
             none = [None] * len(ids)
-            data = {"doc_id": ids, "n": n, "h": hs, "g": gs, "chunk": none, "part": none, "counts": none}
+            data = {"doc_id": ids, "n": n, "h": hs, "g": gs, "least": least, "chunk": none, "part": none, "counts": none}
             yield rows(data, schema)
         counts = count_rows(total, TaskContext.get().partitionId())
         none = pa.nulls(counts.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, *counts.columns], schema=schema)
+        yield pa.RecordBatch.from_arrays([none] * len(named) + counts.columns, schema=schema)
 
-    kind = "doc_id long, n long, h long, g long, chunk int, part int, counts binary"
+    kind = "doc_id long, n long, h long, g long, least long, chunk int, part int, counts binary"
     both = cut(docs.mapInArrow(sketch, kind), "sets")
-    listed = both.where("n is not null").select("doc_id", "n", "h", "g")
+    listed = both.where("n is not null").select("doc_id", "n", "h", "g", "least")
     level = spark.sparkContext.broadcast(levels(total_counts(both.where("n is null").select(*COUNTS.names))))
     if not listed.where("n > 0").groupBy("h").agg(F.min("g"), F.max("g")).where("min(g) <> max(g)").isEmpty():
         raise ArithmeticError("two different sets of shingles share a 64-bit hash")  # about 1 in 10**8 at 10**6 sets
@@ -304,28 +308,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     group = components(chained.where("a is not null").select("a", "b").unionByName(heads))
 
     # one document's text for each node that shares a prefix
-    chosen = listed.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("d"))
+    chosen = listed.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "n", "least")).alias("d"))
     chosen = cut(
         chosen.join(group, F.col("h") == F.col("node")).select(
-            F.col("d.doc_id").alias("__doc"), F.col("d.n").alias("n"), "node", F.col("component").alias("comp")
+            F.col("d.doc_id").alias("__doc"), F.col("d.n").alias("n"), F.col("d.least").alias("least"), "node", F.col("component").alias("comp")
         ),
         "candidates",
         small=True,
     )
-    per = chosen.groupBy("comp").agg(F.sum("n").alias("m"))
-    # by size class, whose neighbours alone can link, and by hash; a small component is one block
+    # blocks: by size class, whose neighbours alone can link, by the least token, which near copies
+    # tend to share, and, where that gathers too much, by hash; a small component is one block
     cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    classes = chosen.groupBy("comp", cls.alias("cls")).agg(F.sum("n").alias("k"))
-    plan = classes.join(per, "comp").select(
-        "comp",
-        "cls",
-        F.when(F.col("m") <= BLOCK_TOKENS, F.lit(0)).otherwise(F.ceil(F.col("k") / BLOCK_TOKENS)).alias("blocks"),
-    )
-    plan = cut(plan, "plan", small=True).withColumnsRenamed({"comp": "c2", "cls": "l2"})
+    total = chosen.groupBy("comp").agg(F.sum("n").alias("m"))
+    classes = chosen.groupBy("comp", cls.alias("cls")).agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    plan = cut(classes.join(total, "comp"), "plan", small=True).withColumnsRenamed({"comp": "c2", "cls": "l2"})
     dealt = chosen.withColumn("cls", cls).join(plan, (F.col("comp") == F.col("c2")) & (F.col("cls") == F.col("l2")))
-    nth = F.pmod(F.xxhash64("node"), F.greatest(F.col("blocks"), F.lit(1)))
-    block = F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cls") * 1_000_000_000 + nth + 1)
-    dealt = cut(dealt.select("__doc", "n", "node", "comp", "cls", block.alias("block")), "blocks", small=True)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("least"), "parts")).drop("c2", "l2")
+    heavy = dealt.groupBy("comp", "cls", "part").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("subs")).where("subs > 1")
+    heavy = cut(heavy, "heavy", small=True).withColumnsRenamed({"comp": "c2", "cls": "l2", "part": "p2"})
+    same = (F.col("comp") == F.col("c2")) & (F.col("cls") == F.col("l2")) & (F.col("part") == F.col("p2"))
+    sub = F.pmod(F.xxhash64("node"), F.coalesce("subs", F.lit(1)))
+    block = F.when(F.col("m") > BLOCK_TOKENS, F.xxhash64("cls", "part", sub)).otherwise(F.lit(0))
+    dealt = dealt.join(heavy, same, "left").select("__doc", "n", "node", "comp", "cls", block.alias("block"))
+    dealt = cut(dealt, "blocks", small=True)
 
     # sets are made where the text is read, of documents that a filter of fixed size lets pass
     place = lambda doc: F.shiftrightunsigned(F.xxhash64(doc), 64 - FILTER_BITS)
@@ -353,34 +358,39 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = cut(sets.dropDuplicates(["node"]), "candidate-sets")
 
     pair = lambda d, other, side: d.select("comp", "block", other.alias("other"), F.lit(side).alias("side"), "node", "tokens")  # noqa: E731, E501
-    large = dealt.where("block > 0").select("comp", "block", "cls").distinct()
+    large = cut(dealt.where("block <> 0").select("comp", "block", "cls").distinct(), "large", small=True)
     pivot = F.struct(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p"))
-    pivots = sets.where("block > 0").groupBy("comp", "cls", pivot).agg(F.min("node").alias("node"))
+    pivots = sets.where("block <> 0").groupBy("comp", "cls", pivot).agg(F.min("node").alias("node"))
     pivots = sets.join(cut(pivots.select("node"), "pivots", small=True), "node", "left_semi")
-    shared = pivots.select("node", "tokens", F.col("comp").alias("c2"), F.col("block").alias("own")).join(
-        large, (F.col("c2") == F.col("comp")) & (F.col("own") != F.col("block"))
-    )
-    near = F.abs(F.floor(F.col("own") / 1_000_000_000) - F.col("cls")) <= 1
-    first = pair(sets, F.col("block"), False).unionByName(pair(shared.where(near), F.col("block"), False))
+    pivots = pivots.select("node", "tokens", F.col("comp").alias("c2"), F.col("block").alias("own"), F.col("cls").alias("l2"))
+    near = (F.col("c2") == F.col("comp")) & (F.col("own") != F.col("block")) & (F.abs(F.col("l2") - F.col("cls")) <= 1)
+    first = pair(sets, F.col("block"), False).unionByName(pair(pivots.join(large, near), F.col("block"), False))
     links = cut(join_blocks(first), "links")
     if not large.isEmpty():
         now = components(links)
-        state = sets.where("block > 0").select("comp", "block", "cls", "node").join(now, "node", "left")
-        state = cut(state.withColumn("component", F.coalesce("component", "node")), "state", small=True)
-        main = state.groupBy("comp", "component").count().groupBy("comp").agg(F.max_by("component", "count").alias("main"))
-        main = cut(main, "main", small=True).withColumnRenamed("comp", "c2")
-        outside = state.join(main, F.col("comp") == F.col("c2")).where("component <> main").select("node")
-        # sets outside the largest class, in blocks of their own, against every block of neighbouring size
-        out = cut(sets.join(outside, "node", "left_semi"), "outside")
-        todo = out.select("comp", F.col("block").alias("a"), F.col("cls").alias("ca")).distinct()
-        todo = todo.join(large.select(F.col("comp").alias("c2"), F.col("block").alias("b"), F.col("cls").alias("cb")), F.col("comp") == F.col("c2"))
-        todo = cut(todo.where(F.abs(F.col("ca") - F.col("cb")) <= 1).select("comp", "a", "b"), "todo", small=True)
-        queries = out.withColumnsRenamed({"block": "a"}).join(todo, ["comp", "a"])
-        stored = sets.withColumnsRenamed({"block": "b"}).join(todo, ["comp", "b"])
-        # the key names the pair (stored block, queries of block a); -1 - a keeps it apart from a == b
-        ask = queries.select("comp", F.col("b").alias("block"), (-1 - F.col("a")).alias("other"), F.lit(True).alias("side"), "node", "tokens")
-        have = stored.select("comp", F.col("b").alias("block"), (-1 - F.col("a")).alias("other"), F.lit(False).alias("side"), "node", "tokens")
-        links = links.unionByName(cut(join_blocks(have.unionByName(ask)), "more-links"))
+        state = dealt.where("block <> 0").join(now.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
+        state = state.select(F.col("node").alias("x"), "comp", "block", "cls", "n", F.coalesce("component", "node").alias("label"))
+        state = cut(state, "state", small=True)
+        # a set must still meet a block where enough of its prefix's tokens stand in sets of other classes
+        told = found.select("token", "node").join(state, F.col("node") == F.col("x"))
+        told = cut(told.select("token", "x", "comp", "block", "cls", "n", "label"), "told")
+        held = told.groupBy("token", "comp", "block", "cls").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        held = cut(held, "held").withColumnsRenamed({"token": "t2", "comp": "c2", "block": "b2", "cls": "l2"})
+        meets = (
+            (F.col("token") == F.col("t2"))
+            & (F.col("comp") == F.col("c2"))
+            & (F.col("block") != F.col("b2"))
+            & (F.abs(F.col("cls") - F.col("l2")) <= 1)
+            & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
+        )
+        todo = told.join(held, meets).groupBy("x", "n", "comp", "b2").agg(F.count("*").alias("has")).where(F.col("has") >= need)
+        todo = cut(todo.select("x", F.col("comp").alias("c2"), "b2"), "todo", small=True)
+        ask = sets.select("node", "tokens").join(todo, F.col("node") == F.col("x"))
+        ask = ask.select(F.col("c2").alias("comp"), F.col("b2").alias("block"), F.lit(True).alias("side"), "node", "tokens")
+        asked = cut(todo.select("c2", "b2").distinct(), "asked", small=True)
+        have = sets.join(asked, (F.col("comp") == F.col("c2")) & (F.col("block") == F.col("b2")), "left_semi")
+        have = have.select("comp", "block", F.lit(False).alias("side"), "node", "tokens")
+        links = links.unionByName(cut(join_blocks(have.unionByName(ask).withColumn("other", F.lit(0).cast("long"))), "more-links"))
 
     final = components(links).withColumnRenamed("component", "comp")
     known = listed.join(final, (F.col("h") == F.col("node")) & (F.col("n") > 0), "left")

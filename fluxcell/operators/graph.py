@@ -187,19 +187,20 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def potential(edges: DataFrame, rounds: int = 50, step: float = 0.5) -> DataFrame:
     """``(node, f)`` with graph gradient close to the antisymmetric flow (i, j, v): relaxed Jacobi rounds
-    of the Poisson equation L f = -div, mean 0; lineage is cut by a checkpoint every ten rounds."""
-    div = divergence(edges).withColumnRenamed("divergence", "b")
-    adj = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().persist()
+    of the Poisson equation L f = -div, mean 0. A round is one join and one aggregate over weighted
+    edges that include each node itself; lineage is cut by a checkpoint every ten rounds."""
+    b = divergence(edges).withColumnRenamed("divergence", "b")
+    adj = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    adj = adj.where("i <> j").distinct()
     deg = adj.groupBy("i").agg(F.count("*").alias("deg"))
-    base = div.join(deg, F.col("node") == F.col("i")).select("node", "b", "deg").persist()
-    f = base.select("node", F.lit(0.0).alias("f"))
+    w = adj.join(deg, "i").select("i", "j", (step / F.col("deg")).alias("w"))
+    own = deg.select("i", F.col("i").alias("j"), F.lit(1.0 - step).alias("w"))
+    w = w.unionByName(own).persist()
+    shift = b.join(deg, F.col("node") == F.col("i")).select("node", (step * F.col("b") / F.col("deg")).alias("b")).persist()
+    f = shift.select("node", F.lit(0.0).alias("f"))
     for k in range(rounds):
-        near = adj.join(f.withColumnRenamed("node", "j"), "j").groupBy("i").agg(F.sum("f").alias("s"))
-        f = (
-            base.join(near, F.col("node") == F.col("i"))
-            .join(f, "node")
-            .select("node", ((1 - step) * F.col("f") + step * (F.col("s") - F.col("b")) / F.col("deg")).alias("f"))
-        )
+        new = w.join(f.withColumnRenamed("node", "j"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("f")).alias("s"))
+        f = new.join(shift, F.col("node") == F.col("i")).select("node", (F.col("s") - F.col("b")).alias("f"))
         if k % 10 == 9:
             f = f.checkpoint()
     middle = f.agg(F.avg("f").alias("m"))

@@ -153,7 +153,7 @@ def fit_kinetics(strata: DataFrame, rounds: int = 60) -> DataFrame:
     """``(gene_id, alpha, gamma, cost)``: m(t) = alpha / gamma (1 - exp(-gamma t)) fitted by damped
     Gauss-Newton to ``strata(gene_id, t, m)``. A gene's rows are one for each time point."""
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t, m = pdf["t"].to_numpy(float), pdf["m"].to_numpy(float)
         g = 1.0 / max(t.mean(), 1e-9)
         a = max(m.max(), 1e-9) * g

@@ -67,7 +67,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """Trajectories: users, ordered by time and event; state = event type; t in days."""
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    t = F.col("ts").cast("double") / 86400.0
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6
     return e.select(
         F.col("user_id").alias("traj_id"), "ts", "event_id", t.alias("t"), F.col("event_type").alias("state"), "value"
     )
@@ -88,7 +88,7 @@ e AS (
 ), g AS (
   SELECT DISTINCT gene_id FROM e
 ), dense AS (
-  SELECT s_suppkey AS cell_id, gene_id, coalesce(spliced, 0.0) AS spliced, coalesce(unspliced, 0.0) AS unspliced
+  SELECT s_suppkey AS cell_id, g.gene_id, coalesce(spliced, 0.0) AS spliced, coalesce(unspliced, 0.0) AS unspliced
   FROM supplier CROSS JOIN g LEFT JOIN w ON w.cell_id = s_suppkey AND w.gene_id = g.gene_id
 )"""
 
@@ -112,5 +112,5 @@ lab AS (
 
 STEPS_SQL = """
 steps AS (
-  SELECT user_id AS traj_id, ts, event_id, epoch(ts) / 86400.0 AS t, event_type AS state, value FROM events
+  SELECT user_id AS traj_id, ts, event_id, epoch_us(ts) / 86400e6 AS t, event_type AS state, value FROM events
 )"""

@@ -23,7 +23,7 @@ def query(sql: str | None = None, prefix: str = B.COUNTS_SQL):
 
 
 def r(name: str, alias: str | None = None, digits: int = 6):
-    return F.round(F.col(name), digits).alias(alias or name)
+    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(alias or name)  # no negative zeros
 
 
 KNN = f"""v AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS x, label FROM embeddings),
@@ -83,8 +83,8 @@ def mutual_neighbours(spark, d):
 
 
 @query(
-    """, both AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn)
-    SELECT i, j, round(min(d), 6) AS d FROM both GROUP BY i, j""",
+    """, bo AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn)
+    SELECT i, j, round(min(d), 6) AS d FROM bo GROUP BY i, j""",
     KNN,
 )
 def symmetric_graph(spark, d):
@@ -118,7 +118,7 @@ def min_distance(spark, d):
 
 @query(
     """, f AS (SELECT i AS node, d / 2 AS v FROM knn UNION ALL SELECT j, -d / 2 FROM knn)
-    SELECT node, round(sum(v), 6) AS divergence FROM f GROUP BY node""",
+    SELECT node, round(sum(v), 6) + 0.0 AS divergence FROM f GROUP BY node""",
     KNN,
 )
 def graph_divergence(spark, d):
@@ -135,7 +135,7 @@ def graph_laplacian(spark, d):
 
 
 @query(
-    """SELECT i, j, round(d * (b.x[1] - a.x[1]), 6) AS v FROM knn JOIN v a ON a.cell_id = i JOIN v b ON b.cell_id = j""", KNN
+    """SELECT i, j, round(d * (b.x[1] - a.x[1]), 6) + 0.0 AS v FROM knn JOIN v a ON a.cell_id = i JOIN v b ON b.cell_id = j""", KNN
 )
 def graph_gradient(spark, d):
     f = B.vectors(spark, d).select(F.col("cell_id").alias("node"), F.get("x", 0).alias("f"))
@@ -143,9 +143,9 @@ def graph_gradient(spark, d):
 
 
 @query(
-    """, both AS (SELECT i, j, d AS v, 0.0 AS u FROM knn UNION ALL SELECT j, i, 0.0, d FROM knn),
-    s AS (SELECT i, j, sum(v) AS v, sum(u) AS u FROM both GROUP BY i, j)
-    SELECT i, j, round((v - u) / 2, 6) AS anti, round((v + u) / 2, 6) AS sym FROM s""",
+    """, bo AS (SELECT i, j, d AS v, 0.0 AS u FROM knn UNION ALL SELECT j, i, 0.0, d FROM knn),
+    s AS (SELECT i, j, sum(v) AS v, sum(u) AS u FROM bo GROUP BY i, j)
+    SELECT i, j, round((v - u) / 2, 6) + 0.0 AS anti, round((v + u) / 2, 6) AS sym FROM s""",
     KNN,
 )
 def split_field(spark, d):
@@ -292,9 +292,9 @@ def velocity(spark, d):
 
 @query(
     """, k AS (SELECT count(*) FILTER (WHERE gamma > 0.01 AND r2 > 0.3) AS k FROM fit),
-    top AS (SELECT gene_id FROM fit ORDER BY r2 DESC NULLS LAST, gene_id LIMIT 7)
+    best AS (SELECT gene_id FROM fit ORDER BY r2 DESC NULLS LAST, gene_id LIMIT 7)
     SELECT gene_id FROM fit CROSS JOIN k WHERE CASE WHEN k >= 5 THEN gamma > 0.01 AND r2 > 0.3
-    ELSE gene_id IN (FROM top) END""",
+    ELSE gene_id IN (FROM best) END""",
     OLS,
 )
 def transition_genes(spark, d):

@@ -34,11 +34,11 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost a re-read.
 
-    ``small``: a table with few bytes a row of input, put in a sixteenth as many files. The tables
+    ``small``: a table with few bytes a row of input, put in a 64th as many files. The tables
     belong to the application's own subfolder and may be removed when it has ended.
     """
     if small:
-        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.coalesce(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ QUERIES = 128  # sets that traverse a trie together
 SALTS = 64
 PIVOTS = 8
 REMEMBERED = 1 << 19
-PEELS = 2
+PEELS = 1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,8 +186,10 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
                     out += finish()  # the queries of a block may come in several lots
                     left = left if (comp, block, other) == at else []
                     at, right, held = (comp, block, other), [], 0
-                (right if side else left).append((node, np.frombuffer(tokens, np.uint64)))
-                held += side * len(tokens) // 8
+                some = right if side else left
+                if not some or some[-1][0] != node:  # sorted, so that repeats are neighbours
+                    some.append((node, np.frombuffer(tokens, np.uint64)))
+                    held += side * len(tokens) // 8
             if out:
                 yield rows({"a": [x for x, _ in out], "b": [y for _, y in out]}, LINKS)
         if out := finish():
@@ -355,7 +357,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     made = docs.select("doc_id", place("doc_id").alias("at"), "text").mapInArrow(whole, "doc_id long, h long, tokens binary")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("node"))  # a repeated doc_id may bring another text
     sets = made.join(dealt, same).select("node", "comp", "block", "cls", "tokens")
-    sets = cut(sets.dropDuplicates(["node"]), "candidate-sets")
+    sets = cut(sets, "candidate-sets")  # a repeated row gives its set again; join_blocks skips it
 
     pair = lambda d, other, side: d.select("comp", "block", other.alias("other"), F.lit(side).alias("side"), "node", "tokens")  # noqa: E731, E501
     large = cut(dealt.where("block <> 0").select("comp", "block", "cls").distinct(), "large", small=True)
@@ -374,6 +376,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         # a set must still meet a block where enough of its prefix's tokens stand in sets of other classes
         told = found.select("token", "node").join(state, F.col("node") == F.col("x"))
         told = cut(told.select("token", "x", "comp", "block", "cls", "n", "label"), "told")
+        for _ in range(PEELS):  # sets with too few tokens that other classes in other blocks have
+            ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "block") for f in (F.min, F.max)]
+            cross = told.groupBy("token", "comp").agg(*ends).where("min_label < max_label and min_block < max_block")
+            cross = cut(cross.select(F.col("token").alias("t2"), F.col("comp").alias("c2")), "cross", small=True)
+            told = told.join(cross, (F.col("token") == F.col("t2")) & (F.col("comp") == F.col("c2")), "left_semi")
+            able = told.groupBy("x").agg(F.count("*").alias("has"), F.first("n").alias("n")).where(F.col("has") >= need)
+            told = cut(told.join(cut(able.select("x"), "able", small=True), "x", "left_semi"), "told")
         held = told.groupBy("token", "comp", "block", "cls").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         held = cut(held, "held").withColumnsRenamed({"token": "t2", "comp": "c2", "block": "b2", "cls": "l2"})
         meets = (

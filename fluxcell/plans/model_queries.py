@@ -302,10 +302,9 @@ def split_labeled_counts(spark, d):
 
 
 @query(
-    """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS state, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""".replace(
-        "SELECT time_bucket", ", o AS (SELECT 1)\n    SELECT time_bucket"
-    )
+    """, d AS (SELECT strftime(ts, '%Y-%m-%d') AS start, event_type AS state, value FROM events)
+    SELECT start, state, count(*) AS n, round(sum(value), 4) AS total FROM d GROUP BY ALL"""
 )
 def windowed_totals(spark, d):
-    e = B.steps(spark, d)
-    return incremental.windowed_totals(e).select("start", "state", "n", r("total", digits=4))
+    w = incremental.windowed_totals(B.steps(spark, d))
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "state", "n", r("total", digits=4))

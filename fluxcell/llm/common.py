@@ -175,8 +175,8 @@ def count_rows(counts: np.ndarray, part: int) -> pa.RecordBatch:
     return rows(data, COUNTS)
 
 
-def total_counts(df: DataFrame) -> np.ndarray:
-    """The sum of all tasks' count vectors; what reaches the driver is one vector of fixed length."""
+def total_counts(df: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' count vectors of one size; what reaches the driver is one such vector."""
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist())
@@ -186,7 +186,8 @@ def total_counts(df: DataFrame) -> np.ndarray:
     kind = "chunk int, part int, counts binary"
     some = df.groupBy("chunk", "part").applyInArrow(add, kind)
     got = some.groupBy("chunk").applyInArrow(add, kind).collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])])
+    parts = [np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])]
+    return np.concatenate(parts) if parts else np.zeros(size, np.int64)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:

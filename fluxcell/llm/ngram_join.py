@@ -26,7 +26,7 @@ from fluxcell.llm.common import (
 )
 
 WORDS = 5
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 BLOCK_TOKENS = 1 << 20  # that one trie holds, about
 FILTER_BITS = 24  # size of the fixed-size filter of candidates' doc_ids
 QUERIES = 128  # sets that traverse a trie together
@@ -66,14 +66,14 @@ def set_ids(found: np.ndarray) -> tuple[int, int]:
 def levels(counts: np.ndarray) -> np.ndarray:
     """How much more frequent than chance a bucket's shingles are, on a log scale; 0 for ordinary ones."""
     mean = float(np.median(counts))
-    excess = np.maximum(counts - mean - 6 * np.sqrt(mean + 1) - 8, 0)
-    return np.ceil(np.log2(1 + excess)).astype(np.uint64)
+    excess = np.maximum(counts - mean - 3 * np.sqrt(mean + 1) - 3, 0)
+    return np.ceil(np.log2(1 + excess)).astype(np.uint8)
 
 
 def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set's tokens in the global order: rare before frequent, then by hash; as sortable integers."""
     bucket = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return np.sort((level[bucket] << np.uint64(57)) | (found & np.uint64((1 << 57) - 1)))
+    return np.sort((level[bucket].astype(np.uint64) << np.uint64(57)) | (found & np.uint64((1 << 57) - 1)))
 
 
 def prefix_length(n: int) -> int:
@@ -257,7 +257,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     kind = "doc_id long, n long, h long, g long, least long, chunk int, part int, counts binary"
     both = cut(docs.mapInArrow(sketch, kind), "sets")
     listed = both.where("n is not null").select("doc_id", "n", "h", "g", "least")
-    level = spark.sparkContext.broadcast(levels(total_counts(both.where("n is null").select(*COUNTS.names))))
+    level = spark.sparkContext.broadcast(levels(total_counts(both.where("n is null").select(*COUNTS.names), 1 << SKETCH_BITS)))
     if not listed.where("n > 0").groupBy("h").agg(F.min("g"), F.max("g")).where("min(g) <> max(g)").isEmpty():
         raise ArithmeticError("two different sets of shingles share a 64-bit hash")  # about 1 in 10**8 at 10**6 sets
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,14 +53,30 @@ class Vocabulary:
                 raise ValueError(f"piece {text!r} spans a unit boundary")
 
 
-def words_of(text: str) -> list[str]:
-    """Parts of the text, a space put before it as the model family does, that no unit spans; each begins
-    with one space but for the whole of a text with spaces in a row."""
+def words_of(text: str | None) -> list[str]:
+    """Parts of a text that no unit spans, each without the space before it (the model family puts one
+    before the text). A text with spaces in a row is one part, marked by a leading space."""
     if not text:
         return []
     if text[0] == " " or "  " in text:
         return [" " + text]
-    return [" " + w for w in text.split(" ")]
+    return text.split(" ")
+
+
+def units_of(word: str) -> list[str]:
+    return UNIT.findall(word if word[:1] == " " else " " + word)
+
+
+class Numbered(dict):
+    """word -> number, in order of first sight; ``new`` is told each word once."""
+
+    def __init__(self, new):
+        self.new = new
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.new(word)
+        return k
 
 
 def viterbi(edges: Column) -> Column:
@@ -104,20 +121,14 @@ def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     # a unit's row becomes dozens of edges, so the units take more partitions than a shuffle of rows would
     listed = listed.repartition(EDGE_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
     first = F.row_number().over(Window.partitionBy("unit").orderBy("place")) == 1
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.length("unit") - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("unit") - i)),
-                lambda n: F.struct(i.alias("start"), n.alias("n")),
-            ),
-        )
-    )
-    place = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("n"))
-    some = listed.withColumn("first", first).select(
-        "unit", "place", F.explode(F.when(F.col("first"), F.concat(F.array(place), spans)).otherwise(F.array(place))).alias("s")
+    # start -1 stands for the row that carries the place; one row of a unit brings its substrings as well
+    starts = F.when(F.col("first"), F.sequence(F.lit(-1), F.length("unit") - 1)).otherwise(F.array(F.lit(-1)))
+    some = listed.withColumn("first", first).select("unit", "place", F.explode(starts).alias("start"))
+    lengths = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("unit") - F.col("start")))
     )
-    some = some.select("unit", "place", "s.start", "s.n", F.substring("unit", F.col("s.start") + 1, F.col("s.n")).alias("sub"))
+    some = some.select("unit", "place", "start", F.explode(lengths).alias("n"))
+    some = some.select("unit", "place", "start", "n", F.substring("unit", F.col("start") + 1, F.col("n")).alias("sub"))
     edges = some.join(F.broadcast(pieces), F.col("sub") == F.col("piece"), "left")
     edges = edges.where("start < 0 or id is not null or n = 1").select("unit", "place", "start", "n", "sub", "id", "score")
     edge = F.when(
@@ -205,21 +216,25 @@ def list_units(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("unit", pa.string()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = {}, set()
+        number: dict[str, int] = {}
+        found: list[str] = []
+
+        def new(word: str) -> None:
+            for unit in units_of(word):
+                if unit not in number:
+                    number[unit] = len(number)
+                    found.append(unit.replace(" ", SPACE))
+
+        words = Numbered(new)
         for block, fresh, batch in in_blocks(batches):
             if fresh:
-                number, seen = {}, set()
+                words.clear()
+                number.clear()
             before = len(number)
-            new: list[str] = []
             for text in batch.column(1).to_pylist():
-                for word in words_of(text):
-                    if word not in seen:
-                        seen.add(word)
-                        for unit in UNIT.findall(word):
-                            if unit not in number:
-                                number[unit] = len(number)
-                                new.append(unit.replace(" ", SPACE))
-            yield rows({"unit": new, "place": (block << 32) + np.arange(before, len(number))}, schema)
+                deque(map(words.__getitem__, words_of(text)), maxlen=0)
+            yield rows({"unit": found, "place": (block << 32) + np.arange(before, len(number))}, schema)
+            found.clear()
 
     return docs.mapInArrow(run, "unit string, place long")
 
@@ -280,9 +295,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     got.append(unpack(data))
                     continue
                 if words is None:
-                    words, got = BlockWords(*unit_ids(got, byte_ids)), []
+                    words, got = BlockWords(*unit_ids(got, byte_ids), decoded), []
                 for part in pa.ipc.open_stream(data):
-                    yield words.encoded(part, decoded)
+                    yield words.encoded(part)
 
     dealt = both.repartition("block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
@@ -324,39 +339,39 @@ def unit_ids(got: list, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class BlockWords:
     """A block's words as runs of ids, filled in the order in which ``list_units`` numbers their units."""
 
-    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray):
-        self.unit_ids, self.begin, self.length = ids, begin, length
+    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, decoded: list[bytes]):
+        self.unit_ids, self.begin, self.length, self.decoded = ids, begin.tolist(), length.tolist(), decoded
         self.units: dict[str, int] = {}
-        self.words: dict[str, int] = {}
-        self.flat, self.ends = array("i"), array("q", [0])
-
-    def numbers(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        for word in words:
-            if word not in self.words:
-                self.words[word] = len(self.words)
-                for unit in UNIT.findall(word):
-                    k = self.units.setdefault(unit, len(self.units))
-                    a = self.begin[k]
-                    self.flat.frombytes(self.unit_ids[a : a + self.length[k]].tobytes())
-                self.ends.append(len(self.flat))
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-
-    def encoded(self, docs: pa.RecordBatch, decoded: list[bytes]) -> pa.RecordBatch:
-        texts = docs.column(1).to_pylist()
-        at = [self.numbers(t or "") for t in texts]
-        ends, ids = np.array(self.ends), np.array(self.flat, np.int32)
+        self.words = Numbered(self.add)
+        self.flat, self.ends, self.same = array("i"), array("q", [0]), array("b")
+
+    def add(self, word: str) -> None:
+        ids = []
+        for unit in units_of(word):
+            k = self.units.setdefault(unit, len(self.units))
+            a = self.begin[k]
+            ids += self.unit_ids[a : a + self.length[k]].tolist()
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        # decoding goes id by id, so a text comes back if each of its words does
+        back = b"".join([self.decoded[i] for i in ids])
+        self.same.append(back == (word if word[:1] == " " else " " + word).encode())
+
+    def encoded(self, docs: pa.RecordBatch) -> pa.RecordBatch:
+        at = []
+        for text in docs.column(1).to_pylist():
+            words = words_of(text)
+            at.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        ends, ids, same = np.array(self.ends), np.array(self.flat, np.int32), np.array(self.same, bool)
         word = np.concatenate(at) if at else np.zeros(0, np.int64)
         n = ends[word + 1] - ends[word]
         flat = ids[np.repeat(ends[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         cover = np.concatenate([[0], np.cumsum(n)])
-        stops = cover[np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)]
-        same = []
-        for i, text in enumerate(texts):
-            back = b"".join(map(decoded.__getitem__, flat[stops[i] : stops[i + 1]].tolist()))[1:]
-            same.append(back == (text or "").encode())
+        first = np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)
+        stops = cover[first]
+        wrong = np.concatenate([[0], np.cumsum(~same[word])])[first]
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32()))
-        columns = [docs.column(0), pa.array(np.diff(stops), pa.int64()), lists, pa.array(same, pa.bool_())]
+        columns = [docs.column(0), pa.array(np.diff(stops), pa.int64()), lists, pa.array(np.diff(wrong) == 0, pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, schema=ENCODED)
 
 

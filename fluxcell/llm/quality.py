@@ -98,7 +98,7 @@ def fit_models(docs: DataFrame) -> np.ndarray:
         yield count_rows(total.reshape(-1), TaskContext.get().partitionId())
 
     counted = docs.select("text", "target").mapInArrow(count, "chunk int, part int, counts binary")
-    return total_counts(counted).reshape(2, BUCKETS).astype(float)
+    return total_counts(counted, 2 * BUCKETS).reshape(2, BUCKETS).astype(float)
 
 
 def log_weights(docs: DataFrame, counts: np.ndarray) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxcell.functions.lineage import cut
 from fluxcell.functions.scalars import ratio
 
 BLOCK = 4096
@@ -202,7 +203,7 @@ def potential(edges: DataFrame, rounds: int = 50, step: float = 0.5) -> DataFram
         new = w.join(f.withColumnRenamed("node", "j"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("f")).alias("s"))
         f = new.join(shift, F.col("node") == F.col("i")).select("node", (F.col("s") - F.col("b")).alias("f"))
         if k % 10 == 9:
-            f = f.checkpoint()
+            f = cut(f)
     middle = f.agg(F.avg("f").alias("m"))
     return f.crossJoin(F.broadcast(middle)).select("node", (F.col("f") - F.col("m")).alias("f"))
 
@@ -234,7 +235,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         best = F.max(F.struct("n", (-F.col("label")).alias("l")))
         lab = votes.groupBy(F.col("i").alias("node")).agg((-best["l"]).alias("label"))
         if k % 3 == 2:
-            lab = lab.checkpoint()
+            lab = cut(lab)
     return lab
 
 

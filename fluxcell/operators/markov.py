@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxcell.functions.lineage import cut
 from fluxcell.functions.scalars import ratio
 
 
@@ -47,7 +48,7 @@ def evolve(start: DataFrame, chain: DataFrame, k: int) -> DataFrame:
         m = p.select(F.col("state").alias("i"), F.col("p").alias("a")).join(chain.select("i", "j", "p"), "i")
         p = m.groupBy(F.col("j").alias("state")).agg(F.sum(F.col("a") * F.col("p")).alias("p"))
         if n % 10 == 9:
-            p = p.checkpoint()
+            p = cut(p)
     return p
 
 
@@ -87,7 +88,7 @@ def hitting_time(chain: DataFrame, targets: list, rounds: int = 60) -> DataFrame
         )
         t = states.join(s, "state", "left").select("state", F.coalesce("t", F.lit(0.0)).alias("t"))
         if n % 10 == 9:
-            t = t.checkpoint()
+            t = cut(t)
     return t
 
 
@@ -192,5 +193,5 @@ def group_paths(chain: DataFrame) -> DataFrame:
     for _ in range(max(1, math.ceil(math.log2(max(2, n))))):
         right = d.select(F.col("a").alias("m"), F.col("b").alias("c"), F.col("length").alias("l2"))
         via = d.join(right, d["b"] == right["m"]).where("a <> c").select("a", F.col("c").alias("b"), (F.col("length") + F.col("l2")).alias("length"))
-        d = d.unionByName(via).groupBy("a", "b").agg(F.min("length").alias("length")).checkpoint()
+        d = cut(d.unionByName(via).groupBy("a", "b").agg(F.min("length").alias("length")))
     return d

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxcell.functions import scalars as S
-from fluxcell.operators import graph, kinetics, matrix, moments
+from fluxcell.operators import graph, kinetics, matrix, moments, sampling
 from fluxcell.plans import bindings as B
 
 QUERIES, SQL = {}, {}
@@ -175,6 +175,25 @@ def label_communities(spark, d):
     return graph.communities(knn(spark, d), rounds=6)
 
 
+@query(
+    """, s AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn), e AS (SELECT i, j, min(d) AS d FROM s GROUP BY i, j),
+    t0 AS (SELECT 0::BIGINT AS cell_id, 0.0::DOUBLE AS t),
+    t1 AS (SELECT cell_id, min(t) AS t FROM (FROM t0 UNION ALL SELECT j, t + d FROM e JOIN t0 ON i = cell_id) GROUP BY cell_id),
+    t2 AS (SELECT cell_id, min(t) AS t FROM (FROM t1 UNION ALL SELECT j, t + d FROM e JOIN t1 ON i = cell_id) GROUP BY cell_id),
+    t3 AS (SELECT cell_id, min(t) AS t FROM (FROM t2 UNION ALL SELECT j, t + d FROM e JOIN t2 ON i = cell_id) GROUP BY cell_id)
+    SELECT cell_id, round(t, 6) AS pseudotime FROM t3""",
+    KNN,
+)
+def pseudotime(spark, d):
+    return sampling.pseudotime(knn(spark, d), [0], 3).select("cell_id", r("pseudotime"))
+
+
+@query()
+def sample_by_group(spark, d):
+    cells = B.vectors(spark, d).select("cell_id", F.col("label").alias("grp"))
+    return sampling.sample_by_group(cells, 5)
+
+
 def _modalities(spark, d):
     v = B.vectors(spark, d)
     return v.select("cell_id", F.slice("x", 1, 32).alias("x")), v.select("cell_id", F.slice("x", 33, 32).alias("x"))

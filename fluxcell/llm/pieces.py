@@ -93,7 +93,9 @@ def viterbi(edges: Column) -> Column:
         F.lit(1).alias("place"),
         edge(F.lit(float("-inf")), F.lit(0), F.lit(0)).alias("top"),
     )
-    reached = lambda s: path(s["top"]["score"], F.concat(F.get(s["best"], s["top"]["back"])["ids"], F.array(s["top"]["id"])))  # noqa: E731, E501
+
+    def reached(s: Column) -> Column:
+        return path(s["top"]["score"], F.concat(F.get(s["best"], s["top"]["back"])["ids"], F.array(s["top"]["id"])))
 
     def step(s: Column, e: Column) -> Column:
         here = e["end"] == s["place"]
@@ -144,7 +146,7 @@ def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.collect_list(edge).alias("edges"),
         F.collect_list(F.when(F.col("start") < 0, F.col("place"))).alias("places"),
     )
-    return grouped.select("unit", viterbi(F.array_sort("edges")).alias("ids"), "places")
+    return grouped.select("unit", viterbi(F.sort_array("edges")).alias("ids"), "places")
 
 
 PACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])

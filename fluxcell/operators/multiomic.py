@@ -52,3 +52,30 @@ def gene_activity(links: DataFrame, peak_counts: DataFrame) -> DataFrame:
     """``(cell_id, gene_id, value)``: counts of the linked peaks added up by gene."""
     j = links.select("gene_id", "peak_id").join(peak_counts, "peak_id")
     return j.groupBy("cell_id", "gene_id").agg(F.sum("value").alias("value"))
+
+
+def chromatin_velocity_stochastic(cus: DataFrame, us2: DataFrame, extreme: float = 0.95) -> DataFrame:
+    """``(gene_id, gamma, r2)`` from first and second moments ``us2(cell_id, gene_id, us, ss)`` as well: first
+    moments count in cells whose u or s reaches its extreme quantile, second moments (2 ss - s, 2 us + u) in all;
+    the two parts are weighted by 1 / the deviation of their residuals; r2 is against sum(u^2)."""
+    edge = cus.groupBy("gene_id").agg(*[F.percentile(k, F.lit(extreme)).alias(f"{k}e") for k in "us"])
+    x = cus.join(edge, "gene_id").join(us2, ["cell_id", "gene_id"])
+    used = (F.col("u") >= F.col("ue")) | (F.col("s") >= F.col("se"))
+    first = lambda c: F.when(used, F.col(c)).otherwise(0.0)
+    x = x.withColumns(
+        {"y1": first("u"), "x1": first("s"), "y2": 2 * F.col("us") + F.col("u"), "x2": 2 * F.col("ss") - F.col("s")}
+    )
+    slope = lambda i: ratio(F.sum(F.col(f"y{i}") * F.col(f"x{i}")), F.sum(F.col(f"x{i}") * F.col(f"x{i}")))
+    g = x.groupBy("gene_id").agg(slope(1).alias("g1"), slope(2).alias("g2"))
+    x = x.join(g, "gene_id")
+    sums = {}
+    for i in (1, 2):
+        sums[f"d{i}"] = F.stddev_pop(F.col(f"y{i}") - F.col(f"g{i}") * F.col(f"x{i}"))
+        sums[f"a{i}"] = F.sum(F.col(f"y{i}") * F.col(f"x{i}"))
+        sums[f"b{i}"] = F.sum(F.col(f"x{i}") * F.col(f"x{i}"))
+    w = x.groupBy("gene_id").agg(*[v.alias(k) for k, v in sums.items()])
+    part = lambda c, i: F.coalesce(ratio(F.col(f"{c}{i}"), F.col(f"d{i}") * F.col(f"d{i}")), F.lit(0.0))
+    w = w.select("gene_id", ratio(part("a", 1) + part("a", 2), part("b", 1) + part("b", 2)).alias("gamma"))
+    r = cus.join(w, "gene_id")
+    res = F.col("u") - F.col("gamma") * F.col("s")
+    return r.groupBy("gene_id", "gamma").agg((1 - ratio(F.sum(res * res), F.sum(F.col("u") * F.col("u")))).alias("r2"))

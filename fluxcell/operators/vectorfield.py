@@ -371,3 +371,51 @@ def lineage(traj: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
     near = nearest(p.select(F.col("point").alias("cell_id"), "x"), cells.select("cell_id", "x"), k, skip_self=False)
     owner = p.select(F.col("point").alias("i"), F.col("cell_id").alias("origin"))
     return near.join(owner, "i").select("origin", F.col("j").alias("cell_id")).where("origin <> cell_id").distinct()
+
+
+def nullclines(bounds: DataFrame, field: Field, n_grid: int = 50) -> DataFrame:
+    """``(component, x, y)``: where a component of a 2-d field changes sign along the lines of a grid over
+    ``bounds(x0, x1, y0, y1)`` (one row), by linear interpolation. A task takes some of the grid's columns."""
+    schema = pa.schema([("component", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+    lines = bounds.select("*", F.explode(F.expr(f"sequence(0, {n_grid - 1})")).alias("k")).repartition("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for b in batch.to_pylist():
+                xs, ys = np.linspace(b["x0"], b["x1"], n_grid), np.linspace(b["y0"], b["y1"], n_grid)
+                for line in (np.stack([np.full(n_grid, xs[b["k"]]), ys], 1), np.stack([xs, np.full(n_grid, ys[b["k"]])], 1)):
+                    f = field(line)
+                    for c in (0, 1):
+                        at = np.flatnonzero(f[:-1, c] * f[1:, c] < 0)
+                        w = f[at, c] / (f[at, c] - f[at + 1, c])
+                        p = line[at] + w[:, None] * (line[at + 1] - line[at])
+                        out += [(c, float(x), float(y)) for x, y in p]
+            if out:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return lines.mapInArrow(run, "component int, x double, y double")
+
+
+def separatrices(saddles: DataFrame, field: Field, t_end: float, n_steps: int, n_keep: int, nudge: float = 1e-2) -> DataFrame:
+    """``(cell_id, step, t, x)``: from both sides of each saddle ``(cell_id, x)``, back in time along its stable
+    directions (eigenvector columns of negative eigenvalues); the curves that part basins."""
+    schema = pa.schema([("cell_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, out = [], []
+            x = matrix(batch, "x")
+            val, vec = np.linalg.eig(field.jacobian(x))
+            for i, k in np.argwhere(val.real < 0):
+                d = vec[i, :, k].real
+                for side in (-1, 1):
+                    ids.append(int(batch.column("cell_id")[i].as_py()) * 64 + 2 * int(k) + (side > 0))
+                    out.append((x[i] + side * nudge * d).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, schema.field("x").type)], schema=schema)
+
+    seeds = saddles.select("cell_id", "x").mapInArrow(starts, "cell_id long, x array<double>")
+    return integrate(seeds, field, t_end, n_steps, n_keep, direction=-1)

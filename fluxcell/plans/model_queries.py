@@ -116,6 +116,21 @@ def fixed_points(spark, d):
     return V.fixed_points(cells, f).select(F.round(F.get("x", 0), 2).alias("x0"), F.round(F.get("x", 1), 2).alias("x1"), "n", "stable")
 
 
+@query()
+def nullclines(spark, d):
+    cells, f = field(spark, d, 2)
+    ends = [g(F.get("x", i)).alias(n) for i, p in ((0, "x"), (1, "y")) for g, n in ((F.min, f"{p}0"), (F.max, f"{p}1"))]
+    return V.nullclines(cells.agg(*ends), f, 30).select("component", r("x", digits=3), r("y", digits=3))
+
+
+@query()
+def separatrices(spark, d):
+    cells, f = field(spark, d, 2)
+    points = V.fixed_points(cells, f).where("not stable").select(F.xxhash64("x").alias("h"), "x")
+    points = points.select((F.pmod("h", F.lit(1_000_000))).alias("cell_id"), "x")
+    return V.separatrices(points, f, 2.0, 40, 5).select("cell_id", "step", F.round(F.get("x", 0), 2).alias("x0"))
+
+
 @query()
 def knock_out(spark, d):
     cells, f = field(spark, d)
@@ -226,6 +241,23 @@ def chromatin_velocity(spark, d):
     return multiomic.chromatin_velocity(cus(spark, d)).select("cell_id", "gene_id", r("gamma"), r("velocity", digits=4))
 
 
+@query(
+    _CUS
+    + """, ed AS (SELECT gene_id, quantile_cont(u, 0.95) AS ue, quantile_cont(s, 0.95) AS se FROM cus GROUP BY ALL),
+    m AS (SELECT gene_id, u, s, CASE WHEN u >= ue OR s >= se THEN u ELSE 0 END AS y1, CASE WHEN u >= ue OR s >= se THEN s ELSE 0 END AS x1,
+      2 * u * s + u AS y2, 2 * s * s - s AS x2 FROM cus JOIN ed USING (gene_id)),
+    g1 AS (SELECT gene_id, sum(y1 * x1) / sum(x1 * x1) AS g1, sum(y2 * x2) / sum(x2 * x2) AS g2 FROM m GROUP BY ALL),
+    w2 AS (SELECT gene_id, stddev_pop(y1 - g1 * x1) AS d1, sum(y1 * x1) AS a1, sum(x1 * x1) AS b1, stddev_pop(y2 - g2 * x2) AS d2,
+      sum(y2 * x2) AS a2, sum(x2 * x2) AS b2 FROM m JOIN g1 USING (gene_id) GROUP BY ALL),
+    ga AS (SELECT gene_id, (a1 / (d1 * d1) + a2 / (d2 * d2)) / (b1 / (d1 * d1) + b2 / (d2 * d2)) AS gamma FROM w2)
+    SELECT gene_id, round(gamma, 6) AS gamma, round(1 - sum((u - gamma * s) ** 2) / sum(u * u), 6) AS r2 FROM cus JOIN ga USING (gene_id) GROUP BY gene_id, gamma"""
+)
+def chromatin_velocity_stochastic(spark, d):
+    x = cus(spark, d)
+    us2 = x.select("cell_id", "gene_id", (F.col("u") * F.col("s")).alias("us"), (F.col("s") * F.col("s")).alias("ss"))
+    return multiomic.chromatin_velocity_stochastic(x, us2).select("gene_id", r("gamma"), r("r2"))
+
+
 _PEAKS = """peaks AS (SELECT l_orderkey * 10 + l_linenumber AS peak_id, l_suppkey % 5 AS chrom, l_partkey * 3 AS s0, l_partkey * 3 + l_linenumber AS e0
   FROM lineitem WHERE l_linenumber <= 2),
 genes AS (SELECT p_partkey AS gene_id, p_size % 5 AS chrom, p_partkey * 3 + 1 AS tss FROM part),

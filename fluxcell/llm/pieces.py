@@ -19,7 +19,7 @@ from fluxcell.llm.common import rows, sliced, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_CHARS = 48_000_000  # text that shares one list of units
+BLOCK_CHARS = 14_000_000  # text that shares one list of units
 LOWEST = -40_000.0  # scores below it count as it, lest a path's other terms drown in rounding
 EDGE_FACTOR = 4
 LONGEST_UNIT = 256  # a longer run is cut here, as if pieces could not span the cut

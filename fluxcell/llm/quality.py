@@ -33,7 +33,7 @@ class Features(dict):
     """
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         head, core, tail = EDGE.match(word).groups()
         text = core.decode("utf-8", "replace")

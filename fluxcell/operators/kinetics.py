@@ -37,7 +37,8 @@ def gamma_ols(us: DataFrame, percent_left: float = 5.0) -> DataFrame:
         F.avg(res * res).alias("e_all"),
         F.var_pop("u").alias("v_all"),
     )
-    ll = F.when(F.col("e_in") > 0, -F.col("n") / 2 * (F.log(2 * math.pi * F.when(F.col("e_in") > 0, F.col("e_in"))) + 1))
+    sound = F.when(F.col("e_in") > 1e-18, F.col("e_in"))  # no likelihood of an exact fit
+    ll = -F.col("n") / 2 * (F.log(2 * math.pi * sound) + 1)
     return fit.select(
         "gene_id",
         "gamma",

@@ -74,7 +74,8 @@ def chromatin_velocity_stochastic(cus: DataFrame, us2: DataFrame, extreme: float
         sums[f"a{i}"] = F.sum(F.col(f"y{i}") * F.col(f"x{i}"))
         sums[f"b{i}"] = F.sum(F.col(f"x{i}") * F.col(f"x{i}"))
     w = x.groupBy("gene_id").agg(*[v.alias(k) for k, v in sums.items()])
-    part = lambda c, i: F.coalesce(ratio(F.col(f"{c}{i}"), F.col(f"d{i}") * F.col(f"d{i}")), F.lit(0.0))
+    # a part that its slope fits exactly has no finite weight and is left out
+    part = lambda c, i: F.when(F.col(f"d{i}") > 1e-9, F.col(f"{c}{i}") / (F.col(f"d{i}") * F.col(f"d{i}"))).otherwise(0.0)
     w = w.select("gene_id", ratio(part("a", 1) + part("a", 2), part("b", 1) + part("b", 2)).alias("gamma"))
     r = cus.join(w, "gene_id")
     res = F.col("u") - F.col("gamma") * F.col("s")

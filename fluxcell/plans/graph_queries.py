@@ -278,14 +278,14 @@ edge AS (SELECT gene_id, quantile_cont(ev, 0.95) AS edge FROM ev GROUP BY gene_i
 m AS (SELECT ev.*, ev >= edge AS ok FROM ev JOIN edge USING (gene_id)),
 gam AS (SELECT gene_id, avg(s * u) FILTER (WHERE ok) / avg(s * s) FILTER (WHERE ok) AS gamma FROM m GROUP BY gene_id),
 fit AS (SELECT gene_id, gamma, count(*) FILTER (WHERE ok) AS n,
-  1 - avg((u - gamma * s) ** 2) FILTER (WHERE ok) / var_pop(u) FILTER (WHERE ok) AS r2,
-  1 - avg((u - gamma * s) ** 2) / var_pop(u) AS r2_all, avg((u - gamma * s) ** 2) FILTER (WHERE ok) AS e_in
+  1 - avg((u - gamma * s) ** 2) FILTER (WHERE ok) / nullif(var_pop(u) FILTER (WHERE ok), 0) AS r2,
+  1 - avg((u - gamma * s) ** 2) / nullif(var_pop(u), 0) AS r2_all, avg((u - gamma * s) ** 2) FILTER (WHERE ok) AS e_in
   FROM m JOIN gam USING (gene_id) GROUP BY ALL)"""
 
 
 @query(
     """SELECT gene_id, round(gamma, 6) AS gamma, n, round(r2, 6) AS r2, round(r2_all, 6) AS r2_all,
-    round(-n / 2.0 * (ln(2 * pi() * e_in) + 1), 4) AS loglik FROM fit""",
+    CASE WHEN e_in > 1e-18 THEN round(-n / 2.0 * (ln(2 * pi() * e_in) + 1), 4) END AS loglik FROM fit""",
     OLS,
 )
 def gamma_ols(spark, d):

@@ -249,7 +249,7 @@ def chromatin_velocity(spark, d):
     g1 AS (SELECT gene_id, sum(y1 * x1) / sum(x1 * x1) AS g1, sum(y2 * x2) / sum(x2 * x2) AS g2 FROM m GROUP BY ALL),
     w2 AS (SELECT gene_id, stddev_pop(y1 - g1 * x1) AS d1, sum(y1 * x1) AS a1, sum(x1 * x1) AS b1, stddev_pop(y2 - g2 * x2) AS d2,
       sum(y2 * x2) AS a2, sum(x2 * x2) AS b2 FROM m JOIN g1 USING (gene_id) GROUP BY ALL),
-    ga AS (SELECT gene_id, (a1 / (d1 * d1) + a2 / (d2 * d2)) / (b1 / (d1 * d1) + b2 / (d2 * d2)) AS gamma FROM w2)
+    ga AS (SELECT gene_id, (CASE WHEN d1 > 1e-9 THEN a1 / (d1 * d1) ELSE 0 END + CASE WHEN d2 > 1e-9 THEN a2 / (d2 * d2) ELSE 0 END) / nullif(CASE WHEN d1 > 1e-9 THEN b1 / (d1 * d1) ELSE 0 END + CASE WHEN d2 > 1e-9 THEN b2 / (d2 * d2) ELSE 0 END, 0) AS gamma FROM w2)
     SELECT gene_id, round(gamma, 6) AS gamma, round(1 - sum((u - gamma * s) ** 2) / sum(u * u), 6) AS r2 FROM cus JOIN ga USING (gene_id) GROUP BY gene_id, gamma"""
 )
 def chromatin_velocity_stochastic(spark, d):

@@ -394,12 +394,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         )
         todo = told.join(held, meets).groupBy("x", "n", "comp", "b2").agg(F.count("*").alias("has")).where(F.col("has") >= need)
         todo = cut(todo.select("x", F.col("comp").alias("c2"), "b2"), "todo", small=True)
-        ask = sets.select("node", "tokens").join(todo, F.col("node") == F.col("x"))
-        ask = ask.select(F.col("c2").alias("comp"), F.col("b2").alias("block"), F.lit(True).alias("side"), "node", "tokens")
+        # what each set is there for, in small rows; the sets themselves are shuffled once
         asked = cut(todo.select("c2", "b2").distinct(), "asked", small=True)
-        have = sets.join(asked, (F.col("comp") == F.col("c2")) & (F.col("block") == F.col("b2")), "left_semi")
-        have = have.select("comp", "block", F.lit(False).alias("side"), "node", "tokens")
-        links = links.unionByName(cut(join_blocks(have.unionByName(ask).withColumn("other", F.lit(0).cast("long"))), "more-links"))
+        meant = dealt.join(asked, (F.col("comp") == F.col("c2")) & (F.col("block") == F.col("b2")), "left_semi")
+        roles = meant.select(F.col("node").alias("x"), "comp", "block", F.lit(False).alias("side")).unionByName(
+            todo.select("x", F.col("c2").alias("comp"), F.col("b2").alias("block"), F.lit(True).alias("side"))
+        )
+        again = sets.select("node", "tokens").join(cut(roles, "roles", small=True), F.col("node") == F.col("x"))
+        links = links.unionByName(cut(join_blocks(again.withColumn("other", F.lit(0).cast("long"))), "more-links"))
 
     final = components(links).withColumnRenamed("component", "comp")
     known = listed.join(final, (F.col("h") == F.col("node")) & (F.col("n") > 0), "left")

@@ -16,6 +16,7 @@ from fluxcell.llm.ngram_join import similar_documents
 from fluxcell.llm.pieces import encode
 from fluxcell.llm.quality import resample_quality
 
+PIECES_BLOCK = 14_000_000  # smaller than alone: executors hold what earlier stages used as well
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -67,7 +68,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as piece ids: one row for each of its rows, with the ids that decode to its text."""
-    return encode(docs)
+    return encode(docs, block_chars=PIECES_BLOCK)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ from fluxcell.llm.common import rows, sliced, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_CHARS = 14_000_000  # text that shares one list of units
+BLOCK_CHARS = 48_000_000  # text that shares one list of units
 LOWEST = -40_000.0  # scores below it count as it, lest a path's other terms drown in rounding
 EDGE_FACTOR = 4
 LONGEST_UNIT = 256  # a longer run is cut here, as if pieces could not span the cut
@@ -203,17 +203,17 @@ def pack(ids: DataFrame) -> DataFrame:
     return ids.select("ids", "places").mapInArrow(run, PACK_TYPE)
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
-    """(block, whether it is the block's first batch, batch): a task's rows in blocks of about ``BLOCK_CHARS``."""
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(block, whether it is the block's first batch, batch): a task's rows in blocks of about ``most`` bytes."""
     block, size, fresh = TaskContext.get().partitionId() << 10, 0, True
     for batch in sliced(batches, "text", 2 << 20):
-        if size > BLOCK_CHARS:
+        if size > most:
             block, size, fresh = block + 1, 0, True
         yield block, fresh, batch
         size, fresh = size + batch.column(1).nbytes, False
 
 
-def list_units(docs: DataFrame) -> DataFrame:
+def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(unit, place)``: each block's distinct units, place = block * 2**32 + number in the block."""
     schema = pa.schema([("unit", pa.string()), ("place", pa.int64())])
 
@@ -228,7 +228,7 @@ def list_units(docs: DataFrame) -> DataFrame:
                     found.append(unit.replace(" ", SPACE))
 
         words = Numbered(new)
-        for block, fresh, batch in in_blocks(batches):
+        for block, fresh, batch in in_blocks(batches, block_chars):
             if fresh:
                 words.clear()
                 number.clear()
@@ -241,12 +241,12 @@ def list_units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "unit string, place long")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
+def squeezed(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (block, 1 + part, data): each block's documents, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = 0
-        for block, fresh, batch in in_blocks(batches):
+        for block, fresh, batch in in_blocks(batches, block_chars):
             part = 1 if fresh else part + 1
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
@@ -261,7 +261,7 @@ ENCODED = pa.schema(
 )
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, n_pieces, ids, round_trip)`` for every row of ``docs(doc_id, text)``.
 
     The best-scoring segmentation of the text, a space before it, into the vocabulary's pieces,
@@ -270,7 +270,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     distinct unit's lattice is solved once. ``ids`` is whole; ``round_trip`` tells whether its
     decoding equals the text, which fails only for texts that hold U+2581 itself.
 
-    Documents are taken in blocks. A block's distinct units go to the lattice, their ids come
+    Documents are taken in blocks of about ``block_chars`` bytes: larger ones share more words,
+    smaller ones need less memory. A block's distinct units go to the lattice, their ids come
     back packed by block, and the block's compressed text meets them there, so text is shuffled
     once and neither a word table nor a document's words is ever gathered whole. The blocks are
     read twice and must be the same both times: ``docs`` has to be a table, not the outcome of a
@@ -283,7 +284,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     shared = docs.sparkSession.sparkContext.broadcast((model.bytes, model.decoded))
     # blocks are named by task number, which in a union counts on from child to child: this child is first
-    both = squeezed(docs).unionByName(pack(segment(list_units(docs), model)))
+    both = squeezed(docs, block_chars).unionByName(pack(segment(list_units(docs, block_chars), model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_ids, decoded = shared.value

@@ -197,7 +197,7 @@ def predict_language(docs: DataFrame, langs: list[str], pieces: list[str], p: np
                 post = np.exp(ll)
                 post /= post.sum(1, keepdims=True)
                 for i, w in enumerate(found):
-                    if w:
+                    if any(c.isalpha() for x in w for c in x):  # a word may be of other numerals alone
                         best = int(post[i].argmax())
                         pred[i], score[i] = langs[best], float(post[i, best])
             data = {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pred, "score": score}

@@ -22,10 +22,10 @@ SPACE = "▁"
 BLOCK_CHARS = 48_000_000  # text that shares one list of units
 LOWEST = -40_000.0  # scores below it count as it, lest a path's other terms drown in rounding
 EDGE_FACTOR = 4
-LONGEST_UNIT = 256  # a longer run is cut here, as if pieces could not span the cut
+LONGEST_UNIT = 256  # a longer unit's lattice is not exploded to rows: its block solves it in one pass
 
 # Runs of letters and digits, or of other characters, each with the spaces before it.
-UNIT = re.compile(rf" *(?:[^\W_²]{{1,{LONGEST_UNIT}}}|(?:[\W_²](?<! )){{1,{LONGEST_UNIT}}})| +")
+UNIT = re.compile(r" *(?:[^\W_²]++|(?:[\W_²](?<! ))++)| +")
 
 
 class Vocabulary:
@@ -49,7 +49,7 @@ class Vocabulary:
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.unknown_score = min(s for _, s, _ in self.pieces) - 10.0
         for text, _, _ in self.pieces:  # units are independent only if no piece spans two of them
-            if len(text) <= LONGEST_UNIT and UNIT.fullmatch(text.replace(SPACE, " ")) is None:
+            if UNIT.fullmatch(text.replace(SPACE, " ")) is None:
                 raise ValueError(f"piece {text!r} spans a unit boundary")
 
 
@@ -67,6 +67,43 @@ def units_of(word: str) -> list[str]:
     return UNIT.findall(word if word[:1] == " " else " " + word)
 
 
+class Paths:
+    """Best paths through long units, without rows for their edges: the same lattice, scores and ties as ``segment``."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.bytes, self.unknown_score = vocabulary.bytes, vocabulary.unknown_score
+        self.prefixes: dict[str, tuple[float, int] | None] = {}  # None: goes on, but is no piece itself
+        for text, score, id_ in vocabulary.pieces:
+            for n in range(1, len(text)):
+                self.prefixes.setdefault(text[:n])
+            self.prefixes[text] = (score, id_)
+
+    def ids(self, unit: str) -> list[int]:
+        unit = unit.replace(" ", SPACE)
+        size, prefixes = len(unit), self.prefixes
+        best = array("d", [0.0]) + array("d", [float("-inf")]) * size
+        back, by = array("q", [0]) * (size + 1), array("q", [0]) * (size + 1)
+        for start in range(size):
+            here = best[start]
+            if prefixes.get(unit[start]) is None and here + self.unknown_score > best[start + 1]:
+                best[start + 1], back[start + 1], by[start + 1] = here + self.unknown_score, start, -1 - ord(unit[start])
+            for end in range(start + 1, size + 1):
+                sub = unit[start:end]
+                if sub not in prefixes:
+                    break
+                piece = prefixes[sub]
+                if piece is not None and here + piece[0] > best[end]:
+                    best[end], back[end], by[end] = here + piece[0], start, piece[1]
+        path, place = [], size
+        while place:
+            path.append(by[place])
+            place = back[place]
+        ids: list[int] = []
+        for k in reversed(path):
+            ids += [k] if k >= 0 else self.bytes[list(chr(-1 - k).encode())].tolist()
+        return ids
+
+
 class Numbered(dict):
     """word -> number, in order of first sight; ``new`` is told each word once."""
 
@@ -214,7 +251,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[in
 
 
 def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(unit, place)``: each block's distinct units, place = block * 2**32 + number in the block."""
+    """``(unit, place)``: each block's distinct units but long ones, place = block * 2**32 + number in the block."""
     schema = pa.schema([("unit", pa.string()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +260,7 @@ def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
         def new(word: str) -> None:
             for unit in units_of(word):
-                if unit not in number:
+                if len(unit) <= LONGEST_UNIT and unit not in number:
                     number[unit] = len(number)
                     found.append(unit.replace(" ", SPACE))
 
@@ -267,8 +304,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
     The best-scoring segmentation of the text, a space before it, into the vocabulary's pieces,
     spaces written as U+2581; characters without a piece become byte pieces. Pieces do not span
     units (a run of letters and digits or of other characters, with the spaces before it), so each
-    distinct unit's lattice is solved once. ``ids`` is whole; ``round_trip`` tells whether its
-    decoding equals the text, which fails only for texts that hold U+2581 itself.
+    distinct unit's lattice is solved once. A unit of more than ``LONGEST_UNIT`` characters has the
+    same lattice, solved in one pass, in time linear in its length, where its block's text is read.
+    ``ids`` is whole; ``round_trip`` tells whether its decoding equals the text, which fails only
+    for texts that hold U+2581 itself.
 
     Documents are taken in blocks of about ``block_chars`` bytes: larger ones share more words,
     smaller ones need less memory. A block's distinct units go to the lattice, their ids come
@@ -282,12 +321,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
     """
     model = Vocabulary(vocabulary)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast((model.bytes, model.decoded))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bytes, model.decoded, Paths(model)))
     # blocks are named by task number, which in a union counts on from child to child: this child is first
     both = squeezed(docs, block_chars).unionByName(pack(segment(list_units(docs, block_chars), model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_ids, decoded = shared.value
+        byte_ids, decoded, paths = shared.value
         block, got, words = None, [], None
         for batch in batches:
             for b, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -298,7 +337,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
                     got.append(unpack(data))
                     continue
                 if words is None:
-                    words, got = BlockWords(*unit_ids(got, byte_ids), decoded), []
+                    words, got = BlockWords(*unit_ids(got, byte_ids), decoded, paths), []
                 for part in pa.ipc.open_stream(data):
                     yield words.encoded(part)
 
@@ -342,8 +381,8 @@ def unit_ids(got: list, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class BlockWords:
     """A block's words as runs of ids, filled in the order in which ``list_units`` numbers their units."""
 
-    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, decoded: list[bytes]):
-        self.unit_ids, self.begin, self.length, self.decoded = ids, begin.tolist(), length.tolist(), decoded
+    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, decoded: list[bytes], paths: Paths):
+        self.unit_ids, self.begin, self.length, self.decoded, self.paths = ids, begin.tolist(), length.tolist(), decoded, paths
         self.units: dict[str, int] = {}
         self.words = Numbered(self.add)
         self.flat, self.ends, self.same = array("i"), array("q", [0]), array("b")
@@ -351,6 +390,9 @@ class BlockWords:
     def add(self, word: str) -> None:
         ids = []
         for unit in units_of(word):
+            if len(unit) > LONGEST_UNIT:
+                ids += self.paths.ids(unit)
+                continue
             k = self.units.setdefault(unit, len(self.units))
             a = self.begin[k]
             ids += self.unit_ids[a : a + self.length[k]].tolist()

@@ -237,3 +237,36 @@ def test_encoding_odd_tables(spark):
     assert got[0]["n_pieces"] == got[1]["n_pieces"] == 0 and not got[2]["round_trip"] and got[3]["round_trip"]
     assert got[4]["ids"] == got[5]["ids"]
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_encoding_of_long_runs_matches_a_unigram_processor(spark):
+    import base64
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(pieces.VOCABULARY, "rb").read())
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        if p.type == 1:
+            p.score = max(p.score, pieces.LOWEST)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    rng = np.random.default_rng(5)
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 2000))
+    texts = [
+        "日本語の文章は空白なしで続くことが多い" * 20,
+        "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรค" * 12,
+        base64.b64encode(rng.bytes(600)).decode(),
+        letters,
+        "internationalization" * 30,
+        "=" * 613,
+        "🙂½" * 200,
+        " " * 700 + "x" * 300,
+        "y" * 255, "y" * 256, "y" * 257, "y" * 5000,
+        f"short {letters} words  between {letters} and\n{'-' * 300}\n",
+    ]
+    out = pieces.encode(docs(spark, texts)).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r["round_trip"] and r["ids"] == sp.encode(texts[r["doc_id"]])

@@ -151,6 +151,56 @@ def test_graph_search_recall():
     assert recall > 0.9
 
 
+def test_audit_without_links_still_measures_recall():
+    rng = np.random.default_rng(3)
+    x, y = (embedding_dedup.unit(rng.normal(size=(2000, 64))) for _ in range(2))
+    single = x.astype(np.float32)
+    g = embedding_dedup.build(single, np.arange(2000))
+    beam = embedding_dedup.passing_beam(x, single, g, y, 0.98)
+    audit = y[:: len(y) // embedding_dedup.AUDITED]
+    assert (audit @ x.T < 0.98).all()
+
+    def recall(beam):
+        ids, _ = embedding_dedup.search(single, g, audit.astype(np.float32), beam)
+        true = np.argsort(-(audit @ x.T), 1)[:, :10]
+        return np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), true.tolist(), strict=True)])
+
+    assert recall(embedding_dedup.FIRST_BEAM) < embedding_dedup.RECALL
+    assert beam > embedding_dedup.FIRST_BEAM
+    assert 4 * beam >= len(x) or recall(beam) >= embedding_dedup.RECALL
+
+
+def test_a_graph_that_hides_links_is_scanned():
+    rng = np.random.default_rng(8)
+    x, y = (embedding_dedup.unit(rng.normal(size=(1200, 16))) for _ in range(2))
+    spots = [i for i in range(1200) if i % (1200 // embedding_dedup.AUDITED)][:100]
+    y[spots] = x[1000:1100]
+    single = x.astype(np.float32)
+    g = embedding_dedup.build(single, np.arange(1200))
+    cut = g["layer0"]  # links between the halves are taken away, so that a walk stays in the half of its entry
+    half = np.arange(1200) >= 600
+    cut[(cut >= 0) & (half[np.maximum(cut, 0)] != half[:, None])] = -1
+    g = {"layer0": cut, "entry": np.array([0])}
+    beam = embedding_dedup.passing_beam(x, single, g, y, 0.98)
+    got = sum(len(q) for q, _ in embedding_dedup.linked(x, single, g, y, beam, 0.98))
+    assert got == (y @ x.T >= 0.98).sum() >= 100
+
+
+def test_vectors_in_large_shards_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(2800, 32)).astype(np.float32)
+    copies = base[rng.choice(2800, 150, False)] + 0.1 * rng.normal(size=(150, 32)).astype(np.float32)
+    x = np.concatenate([base, copies])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df, shard_size=1500).collect()}
+    y = embedding_dedup.unit(x.astype(float))
+    links = np.argwhere(np.triu(y @ y.T >= 0.98, 1))
+    comp = components_of(range(len(x)), links.tolist())
+    count = np.bincount(links.ravel(), minlength=len(x))
+    assert len(links) >= 150
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == [(count[i], comp[i]) for i in range(len(x))]
+
+
 # mixing
 
 

@@ -247,3 +247,12 @@ def test_aggregate_datasets_keeps_common(spark):
     a, b = expr(spark, [[1, 2], [3, 4]]), expr(spark, [[1, 0]])
     got = matrix.aggregate_datasets([a, b]).collect()
     assert [(r["cell_id"], r["gene_id"], r["value"]) for r in got] == [(0, "g0", 2.0)]
+
+
+def test_lineage_starts_from_every_cell(spark):
+    from fluxcell.plans import bindings as B
+    from fluxcell.plans.model_queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    origins = {r["origin"] for r in QUERIES["lineage_cells"](spark, d).select("origin").distinct().collect()}
+    assert origins == {r["cell_id"] for r in B.vectors(spark, d).select("cell_id").collect()}

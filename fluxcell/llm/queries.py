@@ -9,7 +9,7 @@ from fluxcell.llm.mixing import op6_mixing
 from fluxcell.llm.ngram_join import op10_ngram_join
 from fluxcell.llm.pieces import op5_sentencepiece
 from fluxcell.llm.quality import op3_quality_classifier
-from fluxcell.llm.secret_scan import op8_secret_scan
+from fluxcell.llm.secret_scan import OP8_SQL, op8_secret_scan
 
 QUERIES = {
     f.__name__: f
@@ -27,4 +27,9 @@ QUERIES = {
     )
 }
 
-SQL = {"op2_line_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL}
+SQL = {
+    "op2_line_dedup": OP2_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_secret_scan": OP8_SQL,
+    "op9_chat_formatting": OP9_SQL,
+}

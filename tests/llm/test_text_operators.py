@@ -96,13 +96,61 @@ def test_window_entropy_is_incremental_but_exact(spark):
     assert got == pytest.approx([entropy(s, 20) for s in strings])
 
 
+def brute_spans(text):
+    """Every span of a text as kind:start:end, with Python's own expressions and windows worked out afresh."""
+    a = re.compile(secret_scan.ASSIGN.removeprefix("(?i)"), re.I | re.A)
+    base = [(m.start(), 0, m.end()) for m in a.finditer(text) if len(m[2]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    more = []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        s = m[0]
+        parts = re.split("[-_/]", s)
+        allowed = (
+            re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s)
+            or len(parts) > 1 and all(re.fullmatch("[A-Za-z]+|[0-9]+", x) for x in parts)
+            or re.search("example|sample|placeholder|dummy", s, re.I)
+        )
+        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or allowed:
+            continue
+        if any(b[0] <= m.start() and m.end() <= b[2] for b in base):
+            continue
+        if entropy(s, 20) >= (3.0 if re.fullmatch("[0-9a-fA-F]+", s) else 3.8):
+            more.append((m.start(), 3, m.end()))
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+
+
+def test_all_spans_match_brute_force_on_the_whole_table(spark):
+    got = secret_scan.op8_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) == len(text)
+    assert all(r["spans"] == brute_spans(text[r["doc_id"]] or "") for r in got)
+
+
 def test_entropy_spans_and_allow_list(spark):
-    texts = ["key aB3xQ9zLmN0pRtYuIoWe7v end", "id 123e4567-e89b-12d3-a456-426614174000", "n 11111111111111111111a1", "see exampleB3xQ9zLmN0pRtYuIoW"]
-    got = [[s["kind"] for s in r["spans"]] for r in secret_scan.secret_spans(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got == [[3], [], [], []]
+    texts = ["key aB3xQ9zLmN0pRtYuIoWe7v end", "id 123e4567-e89b-12d3-a456-426614174000", "n 11111111111111111111a1", "see exampleB3xQ9zLmN0pRtYuIoW", "my-long-page-title/2023-11-05", "aB3xQ9zLmN0pRtYuIoWe7v=" + "z" * 40]
+    got = [r["spans"] for r in secret_scan.secret_spans(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert [[s["kind"] for s in x] for x in got] == [[3], [], [], [], [], [3]]
     assert secret_scan.secret_spans(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_long_texts_are_scanned_whole(spark):
+    import base64
+
+    rng = np.random.default_rng(4)
+    texts = [
+        "a-" * 100_000 + "1",
+        base64.b64encode(rng.bytes(750_000)).decode(),
+        " ".join(rng.bytes(16).hex() for _ in range(5000)),
+        "a1" * 20_000 + "aB3xQ9zLmN0pRtYuIoWe7v",
+        "password" + " " * 100_000,
+    ]
+    got = [r["spans"] for r in secret_scan.secret_spans(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert [len(x) for x in got] == [0, 1, 5000, 1, 0]
+    assert got[1][0]["end"] == len(texts[1]) and got[3][0]["end"] == len(texts[3])
+    assert [(s["start"], s["end"]) for s in got[2]] == [(33 * i, 33 * i + 32) for i in range(5000)]
+
+
 # fingerprints
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,12 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, by application.
 
-    Only where that setting is absent (a local test session) is a temporary folder used.
+    Only in a local session that doesn't name one (a test) is a temporary folder used; on a cluster that is an error.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="fluxcell-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="fluxcell-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{app}"
 
 
@@ -131,6 +138,24 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(i, step)
 
 
+def lean(run):
+    """A ``mapInArrow`` function that gives memory it has freed back to the system when a task ends.
+
+    Python workers outlive their tasks and stages; without this, each keeps the most it ever used.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], name: str) -> DataFrame:
     """``df`` plus, for each ``new: column`` of ``sums``, the sum of ``column`` over earlier rows of the same keys.
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxcell.llm.common import mix64, rows, sliced, table
+from fluxcell.llm.common import lean, mix64, rows, sliced, table
 
 # Chunk lengths in code points. The gear hash of a place covers the last 32 code points, so
 # boundaries depend on nearby text alone and come back after an insertion.
@@ -165,7 +165,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
                 yield rows(dict(zip(RESULT.names, zip(*out, strict=True), strict=True)), RESULT)
 
     kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"  # noqa: E501
-    return seen.mapInArrow(run, kind)
+    return seen.mapInArrow(lean(run), kind)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxcell.llm.common import cut, rows, sliced, table
+from fluxcell.llm.common import cut, lean, rows, sliced, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
@@ -144,7 +144,7 @@ def fit_pieces(
                 got.update((lang, w) for w in words_of(text))
             yield rows({"l": [k[0] for k in got], "word": [k[1] for k in got], "n": list(got.values())}, schema)
 
-    words = some.mapInArrow(count, "l int, word string, n long").groupBy("l", "word").agg(F.sum("n").alias("n"))
+    words = some.mapInArrow(lean(count), "l int, word string, n long").groupBy("l", "word").agg(F.sum("n").alias("n"))
     words = cut(words, "words")
     schema = pa.schema([("l", pa.int32()), ("piece", pa.int32()), ("n", pa.float64())])
 
@@ -168,7 +168,7 @@ def fit_pieces(
     p = np.repeat((guess / guess.sum())[:, None], len(langs), 1)
     for _ in range(rounds):
         counts = np.full((len(pieces), len(langs)), SMOOTH)
-        got = words.mapInArrow(expect(p), "l int, piece int, n double").groupBy("l", "piece").agg(F.sum("n").alias("n"))
+        got = words.mapInArrow(lean(expect(p)), "l int, piece int, n double").groupBy("l", "piece").agg(F.sum("n").alias("n"))
         for r in got.collect():
             counts[r["piece"], r["l"]] += round(r["n"], 6)
         p = counts / counts.sum(0)
@@ -206,7 +206,7 @@ def predict_language(docs: DataFrame, langs: list[str], pieces: list[str], p: np
             )
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
+        lean(run), "doc_id long, held_out boolean, lang_pred string, score double"
     )
 
 

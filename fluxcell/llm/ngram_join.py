@@ -16,6 +16,7 @@ from fluxcell.llm.common import (
     components,
     count_rows,
     cut,
+    lean,
     mix64,
     rows,
     sliced,
@@ -197,7 +198,7 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
 
     names = [x.split()[0] for x in SET.split(", ")]
     dealt = blocks.select(*names).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([none] * len(named) + counts.columns, schema=schema)
 
     kind = "doc_id long, n long, h long, g long, least long, chunk int, part int, counts binary"
-    both = cut(docs.mapInArrow(sketch, kind), "sets")
+    both = cut(docs.mapInArrow(lean(sketch), kind), "sets")
     listed = both.where("n is not null").select("doc_id", "n", "h", "g", "least")
     level = spark.sparkContext.broadcast(levels(total_counts(both.where("n is null").select(*COUNTS.names), 1 << SKETCH_BITS)))
     if not listed.where("n > 0").groupBy("h").agg(F.min("g"), F.max("g")).where("min(g) <> max(g)").isEmpty():
@@ -287,7 +288,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(t.view(np.int64)), pa.array(salt), pa.array(node)]
                 yield pa.RecordBatch.from_arrays(columns, schema=rows_of)
 
-    found = docs.select("text").mapInArrow(prefixes, "token long, salt int, node long")
+    found = docs.select("text").mapInArrow(lean(prefixes), "token long, salt int, node long")
     found = cut(shared_tokens(found), "shared")
     sizes = listed.where("n > 0").groupBy("h").agg(F.first("n").alias("n"))
     sizes = cut(sizes, "sizes", small=True)
@@ -354,7 +355,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             yield rows({"doc_id": ids, "h": [set_ids(x)[0] for x in found], "tokens": tokens}, set_schema)
 
-    made = docs.select("doc_id", place("doc_id").alias("at"), "text").mapInArrow(whole, "doc_id long, h long, tokens binary")
+    made = docs.select("doc_id", place("doc_id").alias("at"), "text").mapInArrow(lean(whole), "doc_id long, h long, tokens binary")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("node"))  # a repeated doc_id may bring another text
     sets = made.join(dealt, same).select("node", "comp", "block", "cls", "tokens")
     sets = cut(sets, "candidate-sets")  # a repeated row gives its set again; join_blocks skips it

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxcell.llm.common import rows, sliced, table
+from fluxcell.llm.common import lean, rows, sliced, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -237,7 +237,7 @@ def pack(ids: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return ids.select("ids", "places").mapInArrow(run, PACK_TYPE)
+    return ids.select("ids", "places").mapInArrow(lean(run), PACK_TYPE)
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
@@ -275,7 +275,7 @@ def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield rows({"unit": found, "place": (block << 32) + np.arange(before, len(number))}, schema)
             found.clear()
 
-    return docs.mapInArrow(run, "unit string, place long")
+    return docs.mapInArrow(lean(run), "unit string, place long")
 
 
 def squeezed(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -290,7 +290,7 @@ def squeezed(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
                 w.write_batch(batch)
             yield rows({"block": [block], "kind": [part], "data": [out.getvalue().to_pybytes()]}, PACK)
 
-    return docs.mapInArrow(run, PACK_TYPE)
+    return docs.mapInArrow(lean(run), PACK_TYPE)
 
 
 ENCODED = pa.schema(
@@ -342,7 +342,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
                     yield words.encoded(part)
 
     dealt = both.repartition("block").sortWithinPartitions("block", "kind")
-    return dealt.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return dealt.mapInArrow(lean(run), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

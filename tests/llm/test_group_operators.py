@@ -213,26 +213,53 @@ def test_targets_share_and_stop():
 
 def test_permutation_is_a_bijection():
     for n in (1, 2, 7, 100, 1025):
-        got = mixing.permuted(np.zeros(n, np.int64), np.ones(n, np.int64), np.arange(n), np.full(n, n), 3)
+        pass_ = (np.zeros(n, np.int64), np.ones(n, np.int64))
+        got = mixing.permuted(*pass_, np.arange(n), np.full(n, n), 3)
         assert sorted(got.tolist()) == list(range(n))
+        assert mixing.permuted(*pass_, got, np.full(n, n), 3, inverse=True).tolist() == list(range(n))
+
+
+def test_shards_draw_each_source_in_full():
+    draws = np.array([7000, 3000, 0, 1])
+    got = mixing.draw_shards(draws, 1)
+    assert got.sum(0).tolist() == draws.tolist() and got.sum(1).tolist() == [4096, 4096, 10_001 - 2 * 4096]
 
 
 def test_mix_hits_targets(spark):
     rng = np.random.default_rng(7)
-    rows = [(i, int(i), ["a", "b", None, "c"][i % 4], int(s)) for i, s in enumerate(rng.integers(0, 400, 300))] + [(300, 5, "a", 20), (301, None, "zz", 9)]
+    rows = [(i, int(i), ["a", "b", None, "c"][i % 4], int(s)) for i, s in enumerate(rng.integers(0, 400, 300))]
+    rows += [(300, 5, "a", 20), (301, None, "zz", 9), (302, 9, "tiny", 40), (303, 9, "tiny", 1), (304, 2, "long", 100_000)]
     df = spark.createDataFrame(rows, "rid long, doc_id long, source string, size long")
     sources, drawn = mixing.mix(df)
-    taken = {r["rid"]: r["n"] for r in drawn.groupBy("rid").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("n")).collect()}
+    taken, words = {}, {}
+    for r in drawn.collect():
+        assert 0 <= r["lo"] < r["hi"] <= rows[r["rid"]][3] and 1 <= r["copy"] <= 3
+        taken[r["rid"]] = taken.get(r["rid"], 0) + r["hi"] - r["lo"]
+        for w in range(r["lo"], r["hi"]):
+            key = (r["rid"], r["copy"], w)
+            assert key not in words  # no word twice in one pass
+            words[key] = r["shard"]
     goal = {r["source"]: r for r in sources.collect()}
     assert sum(r["target"] for r in goal.values()) == pytest.approx(sum(r[3] for r in rows))
     for s, g in goal.items():
-        n = sum(taken.get(r[0], 0) for r in rows if r[2] == s)
-        assert abs(n - g["target"]) <= 64
-    assert all(taken.get(r[0], 0) <= 3 * r[3] for r in rows)
+        assert sum(taken.get(r[0], 0) for r in rows if r[2] == s) == round(g["target"])
+        # a pass begins only when the one before took every word
+        last = max((k[1] for k in words if rows[k[0]][2] == s), default=1)
+        assert all((r[0], c, w) in words for r in rows if r[2] == s for c in range(1, last) for w in range(r[3]))
     again = mixing.mix(df)[1].collect()
     assert sorted(again) == sorted(drawn.collect())
 
 
+def test_last_pass_takes_words_to_the_word():
+    for size in (1, 40, 64, 65, 127, 128, 129, 640, 645):
+        n = -(-size // 64)
+        order = mixing.permuted(np.full(n, 3), np.full(n, 1), np.arange(n), np.full(n, n), 17)
+        length = [size - 64 * (n - 1) if b == n - 1 else 64 for b in order]
+        for words in range(1, size):
+            whole, cut = mixing.last_pass(3, words, n, size, 1, 64, 17)
+            assert sum(length[:whole]) + cut == words and (cut == 0 or cut < length[whole])
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "rid long, doc_id long, source string, size long")
     sources, drawn = mixing.mix(df)

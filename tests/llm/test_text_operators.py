@@ -248,6 +248,72 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert all(got[i] for i in range(200, 203))
 
 
+def brute_weights(texts, good):
+    """Log weights with counts in dictionaries, of every text, from the n-grams' definition."""
+    from collections import Counter
+    from math import log
+
+    import xxhash
+
+    def mixed(x):
+        x &= (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return x ^ x >> 31
+
+    def grams(text):
+        core, shape = [], []
+        for w in text.split():
+            head, body, tail = re.fullmatch(r"([^\w]*+)(.*?)([^\w]*+)", w, re.A).groups()
+            case = "l" if body.islower() else "u" if body.isupper() and len(body) > 1 else "c"
+            case = case if body.isalpha() else "d" if body.isdigit() else "m" if body else "p"
+            core.append(xxhash.xxh3_64_intdigest(body.lower().encode()))
+            shape.append(xxhash.xxh3_64_intdigest(f"{head}|{case}|{tail}".encode()))
+        k = 0x9E3779B97F4A7C15
+        out = [("w", mixed(c + 1) >> 52) for c in core] + [("s", mixed(s + 3) >> 50) for s in shape]
+        for i in range(1, len(core)):
+            out.append(("w", mixed(core[i - 1] * k + core[i] + 2) >> 52))
+            out.append(("s", mixed((shape[i - 1] * k + shape[i]) * 2 + (core[i] == core[i - 1]) + 4) >> 50))
+        return Counter(out)
+
+    own = [grams(t or "") for t in texts]
+    raw, target = sum(own, Counter()), sum((own[i] for i in good), Counter())
+    out = []
+    for i, g in enumerate(own):
+        others = raw.total() - g.total()
+        mine = g if i in good else Counter()
+        due = (target.total() - mine.total()) / others
+        out.append(sum(n * log((target[x] - mine[x] + 2) / ((raw[x] - n) * due + 2)) for x, n in g.items()))
+    return out
+
+
+def test_importance_weights_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    w = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(w, 30)).capitalize() + "." for _ in range(40)]
+    texts += [" ".join(f"[{x.upper()}]1" for x in rng.choice(w, 50)) for _ in range(10)]
+    texts += ["Same same SAME (same) 12 12!", "", "don't stop-it _x_ --", "a.b" * 30_000, "a" + "." * 100_000 + "b"]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(45, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.resample_quality(docs(spark, texts), labels, size=25).collect()}
+    want = brute_weights(texts, set(range(20)))
+    assert [got[i]["log_weight"] for i in range(len(texts))] == pytest.approx(want)
+    kept = sorted(range(len(texts)), key=lambda i: -got[i]["key"])[:25]
+    assert {i for i in got if got[i]["kept"]} == set(kept)
+
+
+def test_sample_follows_the_weights(spark):
+    import math
+
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.log(F.element_at(F.array(*map(F.lit, (1.0, 2.0, 5.0))), (F.col("id") % 3 + 1).cast("int"))).alias("log_weight"))
+    keys = [(r["key"], r["doc_id"] % 3) for r in quality.gumbel_keys(df, 5).collect()]
+    top = [c for _, c in sorted(keys, reverse=True)[:800]]
+    for c, share in enumerate((1 / 8, 2 / 8, 5 / 8)):  # nearly, as the sample is small beside the table
+        assert abs(top.count(c) - 800 * share) < 4 * math.sqrt(800 * share * (1 - share)) + 10
+    again = [r["key"] for r in quality.gumbel_keys(df, 5).orderBy("doc_id").collect()]
+    assert again == [k for k, _ in keys] or sorted(again) == sorted(k for k, _ in keys)
+
+
 def test_quality_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, ["a b", "c"])

@@ -35,6 +35,7 @@ SALTS = 64
 PIVOTS = 8
 REMEMBERED = 1 << 19
 PEELS = 1
+EXTRA = 8  # a prefix is longer by an EXTRA-th of its set than it must be, so that more of it has to be shared
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,8 +79,8 @@ def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int) -> int:
-    """First tokens of a set of n of which any set it links to must share ``1 + min(n) // 20`` in its own."""
-    return min(n, n - -(-3 * n // 4) + 1 + n // 20)
+    """First tokens of a set of n of which any set it links to must share ``1 + min(n) // EXTRA`` in its own."""
+    return min(n, n - -(-3 * n // 4) + 1 + n // EXTRA)
 
 
 def shared_tokens(found: DataFrame) -> DataFrame:
@@ -202,16 +203,18 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id)`` for every row of ``docs(doc_id, text)``.
+    """``(doc_id, text_hash, n_shingles, component_id, class_h, class_g)`` for every row of ``docs(doc_id, text)``.
 
     Two documents link when the Jaccard similarity of their sets of five-word shingles is at
     least 0.75; component_id is the smallest doc_id reachable by links. All links count, none
-    is sampled or capped. class_id names the set of shingles.
+    is sampled or capped. (class_h, class_g) names the component, whatever its doc_ids; text_hash
+    is xxhash64 of the text.
 
     1. Sets become sorted 64-bit hashes; a fixed-size sketch of shingle frequencies gives the
-       global order, rare first. Equal sets are one node (two hashes are compared).
-    2. A set's prefix, its first n - ceil(3n/4) + k tokens with k = 1 + n // 20, must share at
-       least 1 + 3n // 80 tokens with that of any set it links to. Nodes whose prefix shares fewer
+       global order, rare first. Equal sets are one node, known by two 64-bit hashes (h, g). Where
+       two sets share h alone, steps 2 to 4 treat their tokens as one set's, which loses nothing.
+    2. A set's prefix, its first n - ceil(3n/4) + k tokens with k = 1 + n // 8, must share at
+       least 1 + 3n // 32 tokens with that of any set it links to. Nodes whose prefix shares fewer
        with all others together are left out, repeatedly. Nodes that share a prefix token are
        chained, hot tokens by salted parts; links can be within a chain component only.
     3. A component's sets are stored in tries of about ``BLOCK_TOKENS`` tokens at most, with a few pivots
@@ -221,19 +224,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     4. Each join returns a spanning forest of its links, never all pairs.
 
     Null, blank or empty text: empty set, linked with nothing, its own component. Fewer words
-    than five: one shingle. Rows with one doc_id each have their own set. Null doc_id: the row
+    than five: one shingle. Very long texts give their whole set. Rows with one doc_id each have their own set. Null doc_id: the row
     takes part, and is no component's smallest id unless all are null. Other columns are left
     behind. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    named = [(c, pa.int64()) for c in ("doc_id", "n", "h", "g", "least")]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    named = [(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "h", "g", "least")]
     schema = pa.schema([*named, *COUNTS])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = set(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in sliced(batches, "text"):
-            ids, n, hs, gs, least, fresh = batch.column(0).to_pylist(), [], [], [], [], []
+            n, hs, gs, least, fresh = [], [], [], [], []
             for text in texts(batch.column(1)):
                 found = shingles(text)
                 h, g = set_ids(found)
@@ -241,26 +244,24 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 hs.append(h)
                 gs.append(g)
                 least.append(int(found[0].view(np.int64)) if len(found) else 0)
-                if h not in seen:  # a copy adds nothing
+                if (h, g) not in seen:  # a copy adds nothing
                     if len(seen) > REMEMBERED:
                         seen.clear()
-                    seen.add(h)
+                    seen.add((h, g))
                     fresh.append(found >> np.uint64(64 - SKETCH_BITS))
             if fresh:
                 total += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=len(total))
-            none = [None] * len(ids)
-            data = {"doc_id": ids, "n": n, "h": hs, "g": gs, "least": least, "chunk": none, "part": none, "counts": none}
-            yield rows(data, schema)
+            ids = dict(zip(("doc_id", "text_hash"), (batch.column(i).to_pylist() for i in (0, 2)), strict=True))
+            none = [None] * len(n)
+            yield rows(ids | {"n": n, "h": hs, "g": gs, "least": least, "chunk": none, "part": none, "counts": none}, schema)
         counts = count_rows(total, TaskContext.get().partitionId())
         none = pa.nulls(counts.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([none] * len(named) + counts.columns, schema=schema)
 
-    kind = "doc_id long, n long, h long, g long, least long, chunk int, part int, counts binary"
+    kind = "doc_id long, text_hash long, n long, h long, g long, least long, chunk int, part int, counts binary"
     both = cut(docs.mapInArrow(lean(sketch), kind), "sets")
-    listed = both.where("n is not null").select("doc_id", "n", "h", "g", "least")
+    listed = both.where("n is not null").select(*[c for c, _ in named])
     level = spark.sparkContext.broadcast(levels(total_counts(both.where("n is null").select(*COUNTS.names), 1 << SKETCH_BITS)))
-    if not listed.where("n > 0").groupBy("h").agg(F.min("g"), F.max("g")).where("min(g) <> max(g)").isEmpty():
-        raise ArithmeticError("two different sets of shingles share a 64-bit hash")  # about 1 in 10**8 at 10**6 sets
 
     rows_of = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64())])
 
@@ -272,12 +273,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 found = shingles(text)
                 if not len(found):
                     continue
-                h = set_ids(found)[0]
-                if h in seen:
+                h, g = set_ids(found)
+                if (h, g) in seen:
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                seen.add(h)
+                seen.add((h, g))
                 first = ordered(found, level.value)[: prefix_length(len(found))]
                 toks.append(first)
                 nodes.append(np.full(len(first), h, np.int64))
@@ -290,9 +291,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     found = docs.select("text").mapInArrow(lean(prefixes), "token long, salt int, node long")
     found = cut(shared_tokens(found), "shared")
-    sizes = listed.where("n > 0").groupBy("h").agg(F.first("n").alias("n"))
+    sizes = listed.where("n > 0").groupBy("h").agg(F.min("n").alias("n"))
     sizes = cut(sizes, "sizes", small=True)
-    need = 1 + F.floor(F.col("n") * 3 / 80)
+    need = 1 + F.floor(F.col("n") * 3 / (4 * EXTRA))
     for _ in range(PEELS):
         has = found.groupBy("node").agg(F.count("*").alias("has"))
         able = has.join(sizes, F.col("node") == F.col("h")).where(F.col("has") >= need).select("node")
@@ -310,11 +311,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     heads = chained.where("a is null").select(F.lag("b").over(parts).alias("a"), "b").where("a is not null")
     group = components(chained.where("a is not null").select("a", "b").unionByName(heads))
 
-    # one document's text for each node that shares a prefix
-    chosen = listed.where("n > 0").groupBy("h").agg(F.min(F.struct("doc_id", "n", "least")).alias("d"))
+    # one document's text for each set that shares a prefix; from here on a node is a number of its own
+    chosen = listed.where("n > 0").groupBy("h", "g").agg(F.min(F.struct("doc_id", "n", "least")).alias("d"))
     chosen = cut(
         chosen.join(group, F.col("h") == F.col("node")).select(
-            F.col("d.doc_id").alias("__doc"), F.col("d.n").alias("n"), F.col("d.least").alias("least"), "node", F.col("component").alias("comp")
+            F.col("d.doc_id").alias("__doc"), F.col("d.n").alias("n"), F.col("d.least").alias("least"),
+            F.col("h").alias("node_h"), F.col("g").alias("node_g"), F.col("component").alias("comp"),
+            F.monotonically_increasing_id().alias("node"),
         ),
         "candidates",
         small=True,
@@ -332,7 +335,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     same = (F.col("comp") == F.col("c2")) & (F.col("cls") == F.col("l2")) & (F.col("part") == F.col("p2"))
     sub = F.pmod(F.xxhash64("node"), F.coalesce("subs", F.lit(1)))
     block = F.when(F.col("m") > BLOCK_TOKENS, F.xxhash64("cls", "part", sub)).otherwise(F.lit(0))
-    dealt = dealt.join(heavy, same, "left").select("__doc", "n", "node", "comp", "cls", block.alias("block"))
+    dealt = dealt.join(heavy, same, "left").select("__doc", "n", "node", "node_h", "node_g", "comp", "cls", block.alias("block"))
     dealt = cut(dealt, "blocks", small=True)
 
     # sets are made where the text is read, of documents that a filter of fixed size lets pass
@@ -344,7 +347,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # len(bits) rows at most
         bits[r["w"]] = r["b"]
     maybe = spark.sparkContext.broadcast(bits.view(np.uint8))
-    set_schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("tokens", pa.binary())])
+    set_schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("tokens", pa.binary())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
@@ -352,11 +355,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array((maybe.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             found = list(map(shingles, texts(batch.column(2))))
             tokens = [ordered(x, level.value).tobytes() for x in found]
-            ids = batch.column(0).to_pylist()
-            yield rows({"doc_id": ids, "h": [set_ids(x)[0] for x in found], "tokens": tokens}, set_schema)
-
-    made = docs.select("doc_id", place("doc_id").alias("at"), "text").mapInArrow(lean(whole), "doc_id long, h long, tokens binary")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("node"))  # a repeated doc_id may bring another text
+            two = list(map(set_ids, found))
+            data = {"h": [h for h, _ in two], "g": [g for _, g in two], "tokens": tokens}
+            yield rows(data | {"doc_id": batch.column(0).to_pylist()}, set_schema)
+
+    made = docs.select("doc_id", place("doc_id").alias("at"), "text")
+    made = made.mapInArrow(lean(whole), "doc_id long, h long, g long, tokens binary")
+    # a repeated doc_id may bring another text
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("node_h")) & (F.col("g") == F.col("node_g"))
     sets = made.join(dealt, same).select("node", "comp", "block", "cls", "tokens")
     sets = cut(sets, "candidate-sets")  # a repeated row gives its set again; join_blocks skips it
 
@@ -372,10 +378,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         now = components(links)
         state = dealt.where("block <> 0").join(now.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
-        state = state.select(F.col("node").alias("x"), "comp", "block", "cls", "n", F.coalesce("component", "node").alias("label"))
+        state = state.select(F.col("node").alias("x"), "node_h", "comp", "block", "cls", "n", F.coalesce("component", "node").alias("label"))
         state = cut(state, "state", small=True)
         # a set must still meet a block where enough of its prefix's tokens stand in sets of other classes
-        told = found.select("token", "node").join(state, F.col("node") == F.col("x"))
+        told = found.select("token", "node").join(state, F.col("node") == F.col("node_h"))
         told = cut(told.select("token", "x", "comp", "block", "cls", "n", "label"), "told")
         for _ in range(PEELS):  # sets with too few tokens that other classes in other blocks have
             ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "block") for f in (F.min, F.max)]
@@ -398,25 +404,33 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         # what each set is there for, in small rows; the sets themselves are shuffled once
         asked = cut(todo.select("c2", "b2").distinct(), "asked", small=True)
         meant = dealt.join(asked, (F.col("comp") == F.col("c2")) & (F.col("block") == F.col("b2")), "left_semi")
+        meant = meant.join(cut(told.select("x").distinct(), "meetable", small=True), F.col("node") == F.col("x"), "left_semi")
         roles = meant.select(F.col("node").alias("x"), "comp", "block", F.lit(False).alias("side")).unionByName(
             todo.select("x", F.col("c2").alias("comp"), F.col("b2").alias("block"), F.lit(True).alias("side"))
         )
         again = sets.select("node", "tokens").join(cut(roles, "roles", small=True), F.col("node") == F.col("x"))
         links = links.unionByName(cut(join_blocks(again.withColumn("other", F.lit(0).cast("long"))), "more-links"))
 
-    final = components(links).withColumnRenamed("component", "comp")
-    known = listed.join(final, (F.col("h") == F.col("node")) & (F.col("n") > 0), "left")
-    known = cut(known.select("doc_id", "n", "h", F.coalesce("comp", "h").alias("class_id")), "classes", small=True)
-    least = cut(
-        known.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least")).withColumnRenamed("class_id", "c"),
-        "least",
-        small=True,
+    final = components(links).withColumnRenamed("node", "x")
+    names = dealt.select("node", "node_h", "node_g")
+    roots = names.select(F.col("node").alias("root"), F.col("node_h").alias("root_h"), F.col("node_g").alias("root_g"))
+    named = cut(final.join(roots, F.col("component") == F.col("root")).select("x", "root_h", "root_g"), "roots", small=True)
+    named = cut(names.join(named, F.col("node") == F.col("x")).drop("node", "x"), "named", small=True)
+    own = (F.col("h") == F.col("node_h")) & (F.col("g") == F.col("node_g")) & (F.col("n") > 0)
+    known = listed.join(named, own, "left").select(
+        "doc_id", "text_hash", "n", F.coalesce("root_h", "h").alias("class_h"), F.coalesce("root_g", "g").alias("class_g")
     )
-    return known.join(least, (F.col("class_id") == F.col("c")) & (F.col("n") > 0), "left").select(
+    known = cut(known, "classes", small=True)
+    least = known.where("n > 0").groupBy(F.col("class_h").alias("c"), F.col("class_g").alias("d"))
+    least = cut(least.agg(F.min("doc_id").alias("least")), "least", small=True)
+    same = (F.col("class_h") == F.col("c")) & (F.col("class_g") == F.col("d")) & (F.col("n") > 0)
+    return known.join(least, same, "left").select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.coalesce("least", "doc_id").alias("component_id"),
-        F.col("h").alias("class_id"),
+        "class_h",
+        "class_g",
     )
 
 

@@ -86,6 +86,17 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, tokens):
     assert all(got[i]["n_shingles"] == len(s) for i, s in sets.items())
 
 
+def test_ngram_join_with_colliding_hashes(spark, monkeypatch):
+    whole = ngram_join.set_ids
+    monkeypatch.setattr(ngram_join, "set_ids", lambda found: (whole(found)[0] & 7, whole(found)[1]))
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(400)]
+    texts = [t for k in range(6) for t in family(rng, words, int(rng.integers(20, 60)), 6, k % 4)] + [texts_ for texts_ in family(rng, words, 30, 1, 0) * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(df).collect()}
+    assert got == brute_join(texts)[1]
+
+
 def test_ngram_join_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other words in this one"), (9, None)], "doc_id long, text string")
     got = ngram_join.similar_documents(df).collect()

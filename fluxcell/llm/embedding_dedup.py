@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fluxcell.llm.common import Forest, components, cut, mix64, rows, table
 
 LEAST = 0.98
-SHARD = 4096  # vectors of a shard, about
+SHARD = 16_384  # vectors of a shard, about: a search takes little longer in a larger shard, and there are fewer to search
 NEIGHBOURS = 12  # of a node in upper layers; twice as many in the lowest
 BUILD_BEAM = 48
 FIRST_BEAM = 32
@@ -165,11 +165,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def linked(x, vec, graph, y, beam: int, least: float):
     """(query, node) pairs with cosine >= least: found by beams that widen for a query until its
-    beam holds something below the bound; a beam as wide as a quarter of the shard is a whole scan."""
+    beam holds something below the bound; for a beam as wide as the shard, all of it is compared."""
     todo = np.arange(len(y))
     single = y.astype(np.float32)
     while len(todo):
-        if 4 * beam >= len(x):
+        if beam >= len(x):
             for i in range(0, len(todo), TOGETHER):
                 some = todo[i : i + TOGETHER]
                 q, node = np.nonzero(y[some] @ x.T >= least)
@@ -198,7 +198,7 @@ def passing_beam(x, vec, graph, y, least: float) -> int:
     k = min(NEAREST, len(x))
     kth = np.partition(exact, len(x) - k, 1)[:, len(x) - k, None]
     beam = FIRST_BEAM
-    while 4 * beam < len(x):
+    while beam < len(x):
         _, sim = search(vec, graph, single, beam)
         near = int(np.minimum((sim >= kth - 1e-6).sum(1), k).sum())
         if near >= RECALL * k * len(audit):

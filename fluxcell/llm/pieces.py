@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import deque
@@ -20,7 +21,8 @@ from fluxcell.llm.common import lean, rows, sliced, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK_CHARS = 48_000_000  # text that shares one list of units
-LOWEST = -40_000.0  # scores below it count as it, lest a path's other terms drown in rounding
+ZIPF = 100.0  # how much flatter than 1 / rank the frequencies of the first ranks are
+STEP = 1024  # scores are multiples of 1 / STEP, so that their sums are exact, in single precision too
 EDGE_FACTOR = 4
 LONGEST_UNIT = 256  # a longer unit's lattice is not exploded to rows: its block solves it in one pass
 
@@ -28,6 +30,19 @@ LONGEST_UNIT = 256  # a longer unit's lattice is not exploded to rows: its block
 UNIT = re.compile(r" *(?:[^\W_²]++|(?:[\W_²](?<! ))++)| +")
 
 
+def unigram_scores(scores: list[float]) -> list[float]:
+    """Log probabilities of pieces, from a file's scores.
+
+    Scores that are whole numbers are the ranks of a merge table, from 0 down; a segmentation's sum of
+    ranks means nothing. Merges are ranked by frequency, so Zipf's law gives the probability: p ~ 1 / (``ZIPF`` + rank).
+    Other scores are log probabilities already.
+    """
+    if any(s != round(s) for s in scores):
+        return scores
+    whole = sum(1 / (ZIPF - s) for s in scores)
+    return [round(-STEP * math.log((ZIPF - s) * whole)) / STEP for s in scores]
+
+
 class Vocabulary:
     """A model file's pieces: texts, scores and ids; the byte pieces; what each id decodes to."""
 
@@ -44,8 +59,10 @@ class Vocabulary:
             elif sp.is_control(i) or sp.is_unknown(i):
                 self.decoded.append(b"")
             else:
-                self.pieces.append((text, max(sp.get_score(i), LOWEST), i))
+                self.pieces.append((text, sp.get_score(i), i))
                 self.decoded.append(text.replace(SPACE, " ").encode())
+        scores = unigram_scores([s for _, s, _ in self.pieces])
+        self.pieces = [(t, s, i) for (t, _, i), s in zip(self.pieces, scores, strict=True)]
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.unknown_score = min(s for _, s, _ in self.pieces) - 10.0
         for text, _, _ in self.pieces:  # units are independent only if no piece spans two of them
@@ -301,7 +318,7 @@ ENCODED = pa.schema(
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, n_pieces, ids, round_trip)`` for every row of ``docs(doc_id, text)``.
 
-    The best-scoring segmentation of the text, a space before it, into the vocabulary's pieces,
+    The most probable segmentation of the text, a space before it, into the vocabulary's pieces (``unigram_scores``),
     spaces written as U+2581; characters without a piece become byte pieces. Pieces do not span
     units (a run of letters and digits or of other characters, with the spaces before it), so each
     distinct unit's lattice is solved once. A unit of more than ``LONGEST_UNIT`` characters has the
@@ -382,7 +399,8 @@ class BlockWords:
     """A block's words as runs of ids, filled in the order in which ``list_units`` numbers their units."""
 
     def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, decoded: list[bytes], paths: Paths):
-        self.unit_ids, self.begin, self.length, self.decoded, self.paths = ids, begin.tolist(), length.tolist(), decoded, paths
+        self.unit_ids, self.decoded, self.paths = ids, decoded, paths
+        self.begin, self.length = array("q", begin.tobytes()), array("q", length.tobytes())
         self.units: dict[str, int] = {}
         self.words = Numbered(self.add)
         self.flat, self.ends, self.same = array("i"), array("q", [0]), array("b")

@@ -326,23 +326,43 @@ def test_quality_odd_tables(spark):
 # pieces
 
 
-def test_encoding_matches_a_unigram_processor(spark):
+def unigram_processor():
+    """The public library's own unigram encoder, on the pieces and the scores that the operator uses."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     m.ParseFromString(open(pieces.VOCABULARY, "rb").read())
     m.trainer_spec.model_type = 1
-    for p in m.pieces:
-        if p.type == 1:
-            p.score = max(p.score, pieces.LOWEST)
-    sp = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-    texts = ["Hello world, this is  a test.", "naïve 🙂 日本語 ½ ²", "tab\tnew\nline ", *ODD[1:7], "word " * 50, "<|x|> == foo_bar(1);", " lead", "ab " * 3]
+    own = {i: s for _, s, i in pieces.Vocabulary().pieces}
+    for i, p in enumerate(m.pieces):
+        if i in own:
+            p.score = own[i]
+    return sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+def test_scores_are_log_probabilities():
+    import math
+
+    own = pieces.Vocabulary().pieces
+    assert sum(math.exp(s) for _, s, _ in own) == pytest.approx(1, abs=1e-3)
+    assert pieces.unigram_scores([-1.5, -2.0]) == [-1.5, -2.0]
+
+
+def test_encoding_matches_a_unigram_processor(spark):
+    import sentencepiece
+
+    sp = unigram_processor()
+    texts = ["Hello world, this is  a test.", "naïve 🙂 日本語 ½ ²", "tab\tnew\nline ", *ODD[1:], "word " * 50, "<|x|> == foo_bar(1);", " lead", "ab " * 3]
+    texts.append("The quick brown fox jumps over the lazy dog, unbelievably.")
     out = pieces.decode(pieces.encode(docs(spark, texts))).collect()
     for r in out:
         t = texts[r["doc_id"]]
         assert r["round_trip"] and r["decoded"] == t and r["n_pieces"] == len(r["ids"])
         assert r["ids"] == (sp.encode(t) if t else [])
+    # words of an ordinary sentence come out as the file's own merges give them
+    last = next(r for r in out if r["doc_id"] == len(texts) - 1)
+    assert last["ids"] == sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY).encode(texts[-1])
 
 
 def test_encoding_odd_tables(spark):
@@ -356,16 +376,7 @@ def test_encoding_odd_tables(spark):
 def test_encoding_of_long_runs_matches_a_unigram_processor(spark):
     import base64
 
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    m = pb.ModelProto()
-    m.ParseFromString(open(pieces.VOCABULARY, "rb").read())
-    m.trainer_spec.model_type = 1
-    for p in m.pieces:
-        if p.type == 1:
-            p.score = max(p.score, pieces.LOWEST)
-    sp = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    sp = unigram_processor()
     rng = np.random.default_rng(5)
     letters = "".join(rng.choice(list("etaoinshrdlu"), 2000))
     texts = [

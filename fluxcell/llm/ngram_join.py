@@ -28,7 +28,7 @@ from fluxcell.llm.common import (
 
 WORDS = 5
 SKETCH_BITS = 20
-BLOCK_TOKENS = 1 << 20  # that one trie holds, about
+BLOCK_TOKENS = 1 << 17  # that one trie holds, about; small, so that a corpus of any size has many
 FILTER_BITS = 24  # size of the fixed-size filter of candidates' doc_ids
 QUERIES = 128  # sets that traverse a trie together
 SALTS = 64

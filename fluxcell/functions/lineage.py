@@ -1,15 +1,64 @@
-"""Lineage cuts by reliable checkpoints in the folder that the cluster names."""
+"""Lineage cuts by tables in the folder that the cluster names, and quantiles of whole columns."""
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``. The folder is ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fluxcell-"))
-    return df.checkpoint()
+    """``df`` written once to the folder that driver and executors share (``spark.checkpoint.dir``, by application) and read back.
+
+    Lost executors then cost a re-read, and later plans start from the table. A temporary folder is
+    used only in a local session where that setting is absent.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if sc.applicationId not in _LOCAL:
+            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="fluxcell-")
+        base = _LOCAL[sc.applicationId]
+    path = f"{base.rstrip('/')}/{sc.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def order_statistic(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
+    """The k-th smallest value (from 0) of a column of doubles without nulls, by counting in ever narrower bins;
+    at most ``most`` values reach the driver."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    below = 0  # values under ``low``
+    while low < high:
+        inside = df.where(F.col(column).between(low, high))
+        if inside.count() <= most:
+            return sorted(r[0] for r in inside.select(column).take(most))[k - below]
+        bins = inside.groupBy(F.least(F.floor((F.col(column) - low) / ((high - low) / 1024)), F.lit(1023)).alias("b"))
+        bins = bins.agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        for b in sorted(bins.collect(), key=lambda b: b["b"]):  # 1024 rows at most
+            if below + b["n"] > k:
+                low, high = b["lo"], b["hi"]
+                break
+            below += b["n"]
+    return low
+
+
+def column_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The q-quantile of a column's values, interpolated linearly; null where there are none. ``df`` should be a written table."""
+    x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n = x.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    first = order_statistic(x, "x", math.floor(at))
+    second = order_statistic(x, "x", min(n - 1, math.floor(at) + 1)) if at % 1 else first
+    return first + at % 1 * (second - first)

@@ -29,6 +29,29 @@ def _best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: i
     return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
 
 
+def _finder(k: int, skip_self: bool):
+    """The k best (i, j, d) of a group's queries (side 0) among its points (side 1)."""
+
+    def find(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        ids = t.column("cell_id").to_numpy()
+        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        q, c = side == 0, side == 1
+        out = []
+        if q.any() and c.any():
+            for i in range(0, int(q.sum()), 512):
+                some = np.flatnonzero(q)[i : i + 512]
+                j, d = _best(ids[some], x[some], ids[c], x[c], k, skip_self)
+                out.append((np.repeat(ids[some], j.shape[1]), j.ravel(), d.ravel()))
+        cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in range(3)]
+        ok = np.isfinite(cols[2].astype(float))
+        return pa.table(
+            {"i": pa.array(cols[0][ok], pa.int64()), "j": pa.array(cols[1][ok], pa.int64()), "d": pa.array(cols[2][ok], pa.float64())}
+        )
+
+    return find
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """``(i, j, d, rank)``: the exact k nearest of ``points(cell_id, x)`` for each of ``queries(cell_id, x)``.
 
@@ -49,24 +72,49 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = Tru
         left.join(pairs, "a").select("a", "b", F.lit(0).alias("side"), "cell_id", "x")
     ).unionByName(right.join(pairs, "b").select("a", "b", F.lit(1).alias("side"), "cell_id", "x"))
 
-    def find(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids = t.column("cell_id").to_numpy()
-        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        q, c = side == 0, side == 1
-        out = []
-        if q.any() and c.any():
-            for i in range(0, int(q.sum()), 512):
-                some = np.flatnonzero(q)[i : i + 512]
-                j, d = _best(ids[some], x[some], ids[c], x[c], k, skip_self)
-                out.append((np.repeat(ids[some], j.shape[1]), j.ravel(), d.ravel()))
-        cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in range(3)]
-        ok = np.isfinite(cols[2].astype(float))
-        return pa.table(
-            {"i": pa.array(cols[0][ok], pa.int64()), "j": pa.array(cols[1][ok], pa.int64()), "d": pa.array(cols[2][ok], pa.float64())}
-        )
+    found = tasks.groupBy("a", "b").applyInArrow(_finder(k, skip_self), "i long, j long, d double")
+    w = Window.partitionBy("i").orderBy("d", "j")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+PIVOTS = 4096  # lists of an approximate search, at most
+
+
+def nearest_approximate(
+    queries: DataFrame, points: DataFrame, k: int, probes: int = 8, skip_self: bool = True, block: int = BLOCK, seed: int = 0
+) -> DataFrame:
+    """``(i, j, d, rank)`` as ``nearest``, searched only in the lists of each query's ``probes`` nearest pivots.
 
-    found = tasks.groupBy("a", "b").applyInArrow(find, "i long, j long, d double")
+    About sqrt(n) points (``PIVOTS`` at most), picked by hash, are the pivots; a point is in the
+    list of its nearest pivot. Lists of over ``block`` points are split by hash, so a crowded
+    region is no single task. Every query and point takes part, and found distances are exact; neighbours in lists
+    that aren't probed are missed. Work grows as n * probes rather than n * n.
+    """
+    points = points.where("x is not null")
+    n = points.count()
+    m = max(1, min(PIVOTS, round(n**0.5)))
+    pivot = np.array([r["x"] for r in points.orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id").limit(m).select("x").collect()], float)
+
+    def lists(df: DataFrame, probes: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                near = (pivot * pivot).sum(1)[None] - 2 * (x @ pivot.T)
+                best = np.argpartition(near, probes - 1, 1)[:, :probes]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.astype(np.int32).tolist())], names=["cell_id", "x", "lists"])
+
+        return df.select("cell_id", "x").mapInArrow(run, "cell_id long, x array<double>, lists array<int>")
+
+    at = cut(lists(points, 1).select("cell_id", "x", F.get("lists", 0).alias("a")))
+    ask = cut(lists(queries.where("x is not null"), min(probes, m)).select("cell_id", "x", F.explode("lists").alias("a")))
+    count = lambda df, name: df.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    parts = cut(count(at, "np").join(count(ask, "nq"), "a"))  # PIVOTS rows at most
+    spread = lambda c: F.explode(F.expr(f"sequence(0, {c} - 1)"))
+    at = at.join(F.broadcast(parts), "a").select("a", F.pmod(F.xxhash64("cell_id"), "np").cast("int").alias("b"), spread("nq").alias("c"), F.lit(1).alias("side"), "cell_id", "x")
+    ask = ask.join(F.broadcast(parts), "a").select("a", spread("np").alias("b"), F.pmod(F.xxhash64("cell_id"), "nq").cast("int").alias("c"), F.lit(0).alias("side"), "cell_id", "x")
+    found = ask.unionByName(at).groupBy("a", "b", "c").applyInArrow(_finder(k, skip_self), "i long, j long, d double")
     w = Window.partitionBy("i").orderBy("d", "j")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -175,37 +223,61 @@ def split_field(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return part(F.col("v") - F.col("u")), part(F.col("v") + F.col("u"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """``(node, n)``: 3-cliques at each node; each is found once, from its smallest node."""
+def oriented(edges: DataFrame) -> DataFrame:
+    """Undirected edges (i, j) once each as (x, y), from the end of smaller degree: no node then has many out-edges, hubs included."""
     e = edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a <> b").distinct()
-    wedge = e.join(e.select("a", F.col("b").alias("c")), "a").where("b < c")
-    closed = wedge.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
-    corner = closed.select(F.explode(F.array("a", "b", "c")).alias("node"))
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    e = cut(e)
+    deg = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    at = lambda side: deg.select(F.col("node").alias(side), F.struct("n", "node").alias(f"d{side}"))
+    e = e.join(at("a"), "a").join(at("b"), "b")
+    up = F.col("da") < F.col("db")
+    return cut(e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y")))
+
+
+def triangle_rows(e: DataFrame) -> DataFrame:
+    """``(x, y, z)``: the triangles of ``oriented`` edges, each once, from its node of least degree."""
+    wedge = e.join(e.select("x", F.col("y").alias("z")), "x").where("y < z")
+    closing = e.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"))
+    return wedge.join(closing, ["y", "z"])
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """``(node, n)``: 3-cliques at each node; each is found once, from its node of least degree."""
+    e = oriented(edges)
+    corner = triangle_rows(e).select(F.explode(F.array("x", "y", "z")).alias("node"))
+    nodes = e.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     counts = corner.groupBy("node").agg(F.count("*").alias("n"))
     return nodes.join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def potential(edges: DataFrame, rounds: int = 50, step: float = 0.5) -> DataFrame:
-    """``(node, f)`` with graph gradient close to the antisymmetric flow (i, j, v): relaxed Jacobi rounds
-    of the Poisson equation L f = -div, mean 0. A round is one join and one aggregate over weighted
-    edges that include each node itself; lineage is cut by a checkpoint every ten rounds."""
-    b = divergence(edges).withColumnRenamed("divergence", "b")
+def potential(edges: DataFrame, tolerance: float = 1e-9, rounds: int = 500) -> DataFrame:
+    """``(node, f)`` whose graph gradient is close to the antisymmetric flow (i, j, v): the Poisson equation
+    L f = -div, mean 0 in each connected graph of a connected table.
+
+    Conjugate gradients, preconditioned by degree: a round is one join of the edges with the
+    direction, one aggregate and two sums, written before the next. They end when the residual has fallen
+    to ``tolerance`` of the right-hand side, and raise if that takes more than ``rounds``.
+    """
     adj = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    adj = adj.where("i <> j").distinct()
-    deg = adj.groupBy("i").agg(F.count("*").alias("deg"))
-    w = adj.join(deg, "i").select("i", "j", (step / F.col("deg")).alias("w"))
-    own = deg.select("i", F.col("i").alias("j"), F.lit(1.0 - step).alias("w"))
-    w = w.unionByName(own).persist()
-    shift = b.join(deg, F.col("node") == F.col("i")).select("node", (step * F.col("b") / F.col("deg")).alias("b")).persist()
-    f = shift.select("node", F.lit(0.0).alias("f"))
-    for k in range(rounds):
-        new = w.join(f.withColumnRenamed("node", "j"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("f")).alias("s"))
-        f = new.join(shift, F.col("node") == F.col("i")).select("node", (F.col("s") - F.col("b")).alias("f"))
-        if k % 10 == 9:
-            f = cut(f)
-    middle = f.agg(F.avg("f").alias("m"))
-    return f.crossJoin(F.broadcast(middle)).select("node", (F.col("f") - F.col("m")).alias("f"))
+    adj = cut(adj.where("i <> j").distinct())
+    deg = adj.groupBy("i").agg(F.count("*").cast("double").alias("deg")).withColumnRenamed("i", "node")
+    b = divergence(edges).join(deg, "node").select("node", "deg", (-F.col("divergence")).alias("r"))
+    state = cut(b.select("node", "deg", F.lit(0.0).alias("f"), "r", (F.col("r") / F.col("deg")).alias("d")))
+    total = lambda df, *x: df.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in x]).first()
+    rz, start = total(state, F.col("r") * F.col("r") / F.col("deg"), F.col("r") * F.col("r"))
+    left = start
+    for _ in range(rounds):
+        if left <= tolerance * tolerance * start:
+            middle = state.agg(F.avg("f").alias("m"))
+            return state.crossJoin(F.broadcast(middle)).select("node", (F.col("f") - F.col("m")).alias("f"))
+        near = adj.join(state.select(F.col("node").alias("j"), "d"), "j").groupBy(F.col("i").alias("node")).agg(F.sum("d").alias("s"))
+        state = cut(state.join(near, "node").withColumn("ld", F.col("deg") * F.col("d") - F.col("s")))
+        step = rz / total(state, F.col("d") * F.col("ld"))[0]
+        state = state.select("node", "deg", (F.col("f") + step * F.col("d")).alias("f"), (F.col("r") - step * F.col("ld")).alias("r"), "d")
+        new, left = total(state, F.col("r") * F.col("r") / F.col("deg"), F.col("r") * F.col("r"))
+        state = state.withColumn("d", F.col("r") / F.col("deg") + new / rz * F.col("d"))
+        rz = new
+    raise ArithmeticError(f"the potential did not converge in {rounds} rounds")
 
 
 def group_links(edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -223,20 +295,78 @@ def purity(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return both.groupBy("i").agg(ratio(F.count_if(F.col("a") == F.col("b")), F.count("*")).alias("purity"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(node, label)`` by synchronous label propagation: the most frequent label of the neighbours
-    and itself, ties to the smaller one. A distributed stand-in for modularity search."""
-    adj = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().persist()
-    nodes = adj.select(F.col("i").alias("node")).distinct()
-    lab = nodes.withColumn("label", F.col("node"))
-    own = adj.unionByName(nodes.select(F.col("node").alias("i"), F.col("node").alias("j")))
-    for k in range(rounds):
-        votes = own.join(lab.withColumnRenamed("node", "j"), "j").groupBy("i", "label").agg(F.count("*").alias("n"))
-        best = F.max(F.struct("n", (-F.col("label")).alias("l")))
-        lab = votes.groupBy(F.col("i").alias("node")).agg((-best["l"]).alias("label"))
-        if k % 3 == 2:
-            lab = cut(lab)
-    return lab
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Modularity of ``labels(node, label)`` on the undirected graph (i, j[, w]): edges within less what degrees let expect."""
+    w = F.col("w") if "w" in edges.columns else F.lit(1.0)
+    e = edges.where("i <> j").select("i", "j", w.alias("w"))
+    at = lambda side, name: labels.select(F.col("node").alias(side), F.col("label").alias(name))
+    e = e.join(at("i", "a"), "i").join(at("j", "b"), "j")
+    m, inside = e.agg(F.sum("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")))).first()
+    half = e.select("a", "w").unionByName(e.select(F.col("b").alias("a"), "w")).groupBy("a").agg(F.sum("w").alias("k"))
+    return (inside or 0.0) / m - half.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * m * m)
+
+
+def communities(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """``(node, label)``: communities of high modularity on the undirected graph (i, j[, w]), by local moves and contraction.
+
+    A level moves nodes to the neighbouring community of largest modularity gain, if that beats
+    staying. In a round only half of the nodes (by a hash of node and round) may move, so that
+    neighbours don't swap for ever; the level ends when two rounds have moved none, or after
+    ``rounds``. Its communities are then the nodes of the next level's weighted graph, until a
+    level changes nothing. A label is the community's smallest node. Ties go to the smaller label.
+    """
+    w = F.col("w") if "w" in edges.columns else F.lit(1.0)
+    e = edges.where("i <> j").select("i", "j", w.alias("w"))
+    e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    e = cut(e.groupBy("i", "j").agg(F.max("w").alias("w")))
+    of = cut(e.select(F.col("i").alias("node")).distinct().withColumn("label", F.col("node")))
+    total = e.agg(F.sum("w")).first()[0]
+    for level in range(levels):
+        degree = cut(e.groupBy("i").agg(F.sum("w").alias("k")))
+        here = cut(degree.select(F.col("i").alias("node"), "k", F.col("i").alias("label")))
+        quiet = 0
+        for n in range(rounds):
+            weight = here.groupBy("label").agg(F.sum("k").alias("all"))
+            may = here.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(n), "node"), F.lit(2)) == 0)
+            near = e.where("i <> j").join(may.select(F.col("node").alias("i"), "k", F.col("label").alias("own")), "i")
+            near = near.join(here.select(F.col("node").alias("j"), "label"), "j").groupBy("i", "label").agg(
+                F.sum("w").alias("w"), F.first("k").alias("k"), F.first("own").alias("own")
+            )
+            stay = may.select(F.col("node").alias("i"), "label", F.lit(0.0).alias("w"), "k", F.col("label").alias("own"))
+            near = near.unionByName(stay).groupBy("i", "label").agg(F.sum("w").alias("w"), F.first("k").alias("k"), F.first("own").alias("own"))
+            others = F.col("all") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
+            gain = F.round(F.col("w") - F.col("k") * others / total, 9)
+            best = near.join(weight, "label").groupBy("i").agg(
+                F.max(F.struct(gain.alias("g"), (F.col("label") == F.col("own")).alias("stays"), (-F.col("label")).alias("l"))).alias("best")
+            )
+            moved = best.select(F.col("i").alias("node"), (-F.col("best.l")).alias("to"))
+            new = cut(here.join(moved, "node", "left").select("node", "k", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved")))
+            quiet = 0 if not new.where("moved").isEmpty() else quiet + 1
+            here = new.drop("moved")
+            if quiet == 2:
+                break
+        if here.where("node <> label").isEmpty():
+            break
+        name = here.groupBy("label").agg(F.min("node").alias("low"))
+        here = cut(here.join(name, "label").select("node", F.col("low").alias("label")))
+        of = cut(of.join(here.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")))
+        ends = lambda side: here.select(F.col("node").alias(side), F.col("label").alias(f"{side}2"))  # noqa: B023,E731
+        e = e.join(ends("i"), "i").join(ends("j"), "j").groupBy(F.col("i2").alias("i"), F.col("j2").alias("j")).agg(F.sum("w").alias("w"))
+        e = cut(e)
+    low = of.groupBy("label").agg(F.min("node").alias("low"))
+    return of.join(low, "label").select("node", F.col("low").alias("label"))
+
+
+def curl(edges: DataFrame) -> DataFrame:
+    """``(a, b, c, curl)``: circulation v_ab + v_bc + v_ca of the antisymmetric flow (i, j, v) around every triangle a < b < c."""
+    flow, _ = split_field(edges)
+    e = cut(flow.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), "v"))
+    for_wedge = oriented(e.select(F.col("a").alias("i"), F.col("b").alias("j")))
+    found = triangle_rows(for_wedge).select(F.array_sort(F.array("x", "y", "z")).alias("t"))
+    found = found.select(*[F.get("t", k).alias(n) for k, n in enumerate("abc")])
+    side = lambda p, q, name: e.select(F.col("a").alias(p), F.col("b").alias(q), F.col("v").alias(name))
+    found = found.join(side("a", "b", "ab"), ["a", "b"]).join(side("b", "c", "bc"), ["b", "c"]).join(side("a", "c", "ac"), ["a", "c"])
+    return found.select("a", "b", "c", (F.col("ab") + F.col("bc") - F.col("ac")).alias("curl"))
 
 
 def min_distance(points: DataFrame) -> DataFrame:

@@ -12,30 +12,43 @@ from pyspark.sql import functions as F
 from fluxcell.functions.scalars import gamma_from_old, ratio
 
 
-def gamma_ols(us: DataFrame, percent_left: float = 5.0) -> DataFrame:
-    """Steady-state slope of u on s for each gene of dense ``us(cell_id, gene_id, u, s)``.
+def gamma_ols(us: DataFrame, percent_left: float = 5.0, n_cells: DataFrame | None = None) -> DataFrame:
+    """Steady-state slope of u on s for each gene of ``us(cell_id, gene_id, u, s)``.
 
     Cells with s / max s + u / max u at or above the (100 - percent_left)th percentile (maxima at
     least 1e-3) give the slope through the origin, mean(s u) / mean(s^2). Returns gamma, the
     number of such cells, r2 on them and on all cells, and the Gaussian log-likelihood on them.
+
+    With ``n_cells`` (one row), us holds stored entries only and all other cells of a gene are one
+    row of zeros with their number; without, us is dense.
     """
+    us = us.select("gene_id", "u", "s", F.lit(1).cast("long").alias("k"))
     top = us.groupBy("gene_id").agg(
-        F.greatest(F.max("s"), F.lit(1e-3)).alias("ms"), F.greatest(F.max("u"), F.lit(1e-3)).alias("mu")
+        F.greatest(F.max("s"), F.lit(1e-3)).alias("ms"), F.greatest(F.max("u"), F.lit(1e-3)).alias("mu"), F.sum("k").alias("held")
     )
+    if n_cells is not None:
+        rest = top.crossJoin(F.broadcast(n_cells)).select(
+            "gene_id", F.lit(0.0).alias("u"), F.lit(0.0).alias("s"), (F.col("n_cells") - F.col("held")).alias("k")
+        )
+        us = us.unionByName(rest.where("k > 0"))
     both = us.join(top, "gene_id").withColumn("e", F.col("s") / F.col("ms") + F.col("u") / F.col("mu"))
-    edge = both.groupBy("gene_id").agg(F.percentile("e", F.lit(1 - percent_left / 100)).alias("edge"))
+    edge = both.groupBy("gene_id").agg(F.percentile("e", F.lit(1 - percent_left / 100), F.col("k")).alias("edge"))
     both = both.join(edge, "gene_id").withColumn("in", F.col("e") >= F.col("edge"))
     here = lambda c: F.when(F.col("in"), c)
+    k = F.col("k")
     g = both.groupBy("gene_id").agg(
-        ratio(F.avg(here(F.col("s") * F.col("u"))), F.avg(here(F.col("s") * F.col("s")))).alias("gamma")
+        ratio(F.sum(here(k * F.col("s") * F.col("u"))), F.sum(here(k * F.col("s") * F.col("s")))).alias("gamma"),
+        ratio(F.sum(here(k * F.col("u"))), F.sum(here(k))).alias("m_in"),
+        ratio(F.sum(k * F.col("u")), F.sum(k)).alias("m_all"),
     )
     res = F.col("u") - F.col("gamma") * F.col("s")
+    off = lambda m: k * (F.col("u") - F.col(m)) * (F.col("u") - F.col(m))
     fit = both.join(g, "gene_id").groupBy("gene_id", "gamma").agg(
-        F.count_if("in").alias("n"),
-        F.avg(here(res * res)).alias("e_in"),
-        F.var_pop(here(F.col("u"))).alias("v_in"),
-        F.avg(res * res).alias("e_all"),
-        F.var_pop("u").alias("v_all"),
+        F.sum(F.when(F.col("in"), k).otherwise(0)).alias("n"),
+        ratio(F.sum(here(k * res * res)), F.sum(here(k))).alias("e_in"),
+        ratio(F.sum(here(off("m_in"))), F.sum(here(k))).alias("v_in"),
+        ratio(F.sum(k * res * res), F.sum(k)).alias("e_all"),
+        ratio(F.sum(off("m_all")), F.sum(k)).alias("v_all"),
     )
     sound = F.when(F.col("e_in") > 1e-18, F.col("e_in"))  # no likelihood of an exact fit
     ll = -F.col("n") / 2 * (F.log(2 * math.pi * sound) + 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxcell.functions.lineage import cut
+from fluxcell.functions.lineage import column_quantile, cut
 from fluxcell.functions.scalars import ratio
 
 
@@ -58,7 +58,7 @@ def stationary(chain: DataFrame, rounds: int = 40, lazy: float = 0.5) -> DataFra
     n = states.agg(F.count("*").alias("n"))
     start = states.crossJoin(F.broadcast(n)).select("state", (1.0 / F.col("n")).alias("p"))
     stay = states.select(F.col("state").alias("i"), F.col("state").alias("j"), F.lit(lazy).alias("p"))
-    slow = chain.select("i", "j", (F.col("p") * (1 - lazy)).alias("p")).unionByName(stay).persist()
+    slow = cut(chain.select("i", "j", (F.col("p") * (1 - lazy)).alias("p")).unionByName(stay))
     return evolve(start, slow, rounds)
 
 
@@ -77,19 +77,45 @@ def lump(chain: DataFrame, groups: DataFrame, pi: DataFrame) -> DataFrame:
     return num.join(den, "ga").select(F.col("ga").alias("i"), F.col("gb").alias("j"), ratio(F.col("x"), F.col("s")).alias("p"))
 
 
-def hitting_time(chain: DataFrame, targets: list, rounds: int = 60) -> DataFrame:
-    """``(state, t)``: expected steps to a target, by ``rounds`` of t = 1 + P t from 0 (exact in the limit)."""
-    inner = chain.where(~F.col("i").isin(targets))
-    states = chain.select(F.explode(F.array("i", "j")).alias("state")).distinct().persist()
-    t = states.select("state", F.lit(0.0).alias("t"))
-    for n in range(rounds):
-        s = inner.join(t.withColumnRenamed("state", "j"), "j").groupBy(F.col("i").alias("state")).agg(
-            (1 + F.sum(F.col("p") * F.col("t"))).alias("t")
-        )
-        t = states.join(s, "state", "left").select("state", F.coalesce("t", F.lit(0.0)).alias("t"))
-        if n % 10 == 9:
-            t = cut(t)
-    return t
+def hitting_time(chain: DataFrame, targets: list, tolerance: float = 1e-10, rounds: int = 60) -> DataFrame:
+    """``(state, t)``: expected steps to a target, 0 at the targets; null where a target may never be reached.
+
+    Over the moves Q among states that aren't targets, t is the sum of Q^k 1 over all k. A round
+    doubles the terms summed, t := t + R t and R := R R from t = 1 and R = Q, and the rounds end when
+    R's rows sum to less than ``tolerance``. States from which some chain of moves leads to no
+    target are set aside first. Meant for chains of states (lumped, or of event types), whose powers stay small.
+    """
+    moves = chain.where((F.col("p") > 0) & ~F.col("i").isin(targets)).select("i", "j", "p")
+    states = cut(chain.select(F.explode(F.array("i", "j")).alias("state")).distinct())
+    # states that can reach a target, then those that can't avoid it for good
+    able = cut(states.where(F.col("state").isin(targets)))
+    while True:
+        more = moves.join(able.withColumnRenamed("state", "j"), "j", "left_semi").select(F.col("i").alias("state"))
+        more = cut(more.distinct().join(able, "state", "left_anti"))
+        if more.isEmpty():
+            break
+        able = cut(able.unionByName(more))
+    lost = cut(states.join(able, "state", "left_anti"))
+    while True:
+        more = moves.join(lost.withColumnRenamed("state", "j"), "j", "left_semi").select(F.col("i").alias("state"))
+        more = cut(more.distinct().join(lost, "state", "left_anti"))
+        if more.isEmpty():
+            break
+        lost = cut(lost.unionByName(more))
+    inner = moves.where(~F.col("j").isin(targets)).join(lost.withColumnRenamed("state", "i"), "i", "left_anti")
+    r = cut(inner)
+    t = cut(states.where(~F.col("state").isin(targets)).join(lost, "state", "left_anti").withColumn("t", F.lit(1.0)))
+    for _ in range(rounds):
+        left = r.groupBy("i").agg(F.sum("p").alias("s")).agg(F.max("s")).first()[0] or 0.0
+        if left < tolerance:
+            break
+        step = r.join(t.withColumnRenamed("state", "j"), "j").groupBy(F.col("i").alias("state")).agg(F.sum(F.col("p") * F.col("t")).alias("more"))
+        t = cut(t.join(step, "state", "left").select("state", (F.col("t") + F.coalesce("more", F.lit(0.0))).alias("t")))
+        r = cut(power(r, 2))
+    else:
+        raise ArithmeticError(f"hitting times did not converge in {rounds} doublings")
+    done = states.where(F.col("state").isin(targets)).withColumn("t", F.lit(0.0))
+    return t.unionByName(done).unionByName(lost.withColumn("t", F.lit(None).cast("double")))
 
 
 def embedded_chain(rates: DataFrame) -> DataFrame:
@@ -112,17 +138,30 @@ def fokker_planck(edges: DataFrame, weights: DataFrame, diffusion: float) -> Dat
 EDGE = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("p", pa.float64())])
 
 
-def correlation_kernel(edges: DataFrame, vectors: DataFrame, method: str = "pearson", sigma: float = 0.1) -> DataFrame:
+def correlation_kernel(
+    edges: DataFrame, vectors: DataFrame, method: str = "pearson", sigma: float = 0.1, transform: str = "sqrt"
+) -> DataFrame:
     """``(i, j, p)``: how well the step to a neighbour agrees with a cell's velocity.
 
-    Signed square roots of x_j - x_i and v_i are compared (Pearson or cosine, undefined = 0) over
-    the graph with its second neighbours; positive and negative parts c give expm1(c / sigma) and
-    -expm1(-c / sigma), each row divided by the sum of absolute values; no self edges. Work is a
+    x_j - x_i and v_i are compared (Pearson or cosine, undefined = 0) after a transform: ``sqrt`` or
+    ``log`` (log1p) of the absolute value with its sign, ``linear``, or ``logratio`` (differences of
+    log1p of absolute values, for x_j and for x_i + v_i). Positive and negative parts c give
+    expm1(c / sigma) and -expm1(-c / sigma). Each row is divided by the sum of absolute values,
+    in which staying takes part by expm1(d / sigma): d is what the cell's best match (0 at
+    least) lacks to the 98th percentile of all cells' best, at most 1. Self edges and zeros are then left out.
+    ``edges`` is usually the graph with its second neighbours. Work is a
     join of edges and vectors; the arithmetic runs in batches of edges.
     """
     a = vectors.select(F.col("cell_id").alias("i"), F.col("x").alias("xi"), F.col("v").alias("vi"))
     b = vectors.select(F.col("cell_id").alias("j"), F.col("x").alias("xj"))
     e = edges.where("i <> j").select("i", "j").join(a, "i").join(b, "j")
+    signed = {
+        "sqrt": lambda d: np.sign(d) * np.sqrt(np.abs(d)),
+        "log": lambda d: np.sign(d) * np.log1p(np.abs(d)),
+        "linear": lambda d: d,
+    }
+    if transform not in (*signed, "logratio"):
+        raise ValueError(transform)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -130,19 +169,26 @@ def correlation_kernel(edges: DataFrame, vectors: DataFrame, method: str = "pear
             if not n:
                 continue
             get = lambda c: t.column(c).flatten().to_numpy().reshape(n, -1)  # noqa: B023,E731
-            d, v = get("xj") - get("xi"), get("vi")
-            d, v = np.sign(d) * np.sqrt(np.abs(d)), np.sign(v) * np.sqrt(np.abs(v))
+            x, y, v = get("xi"), get("xj"), get("vi")
+            if transform == "logratio":
+                here = np.log1p(np.abs(x))
+                d, v = np.log1p(np.abs(y)) - here, np.log1p(np.abs(x + v)) - here
+            else:
+                d, v = signed[transform](y - x), signed[transform](v)
             if method == "pearson":
                 d, v = d - d.mean(1, keepdims=True), v - v.mean(1, keepdims=True)
             low = np.sqrt((d * d).sum(1) * (v * v).sum(1))
             c = np.where(low > 0, (d * v).sum(1) / np.where(low > 0, low, 1), 0.0)
             yield pa.RecordBatch.from_arrays([t.column("i"), t.column("j"), pa.array(c)], schema=EDGE)
 
-    c = e.select("i", "j", "xi", "vi", "xj").mapInArrow(run, "i long, j long, p double")
+    c = cut(e.select("i", "j", "xi", "vi", "xj").mapInArrow(run, "i long, j long, p double"))
     g = F.when(F.col("p") >= 0, F.expm1(F.col("p") / sigma)).otherwise(-F.expm1(-F.col("p") / sigma))
-    c = c.withColumn("p", g)
-    s = c.groupBy("i").agg(F.sum(F.abs("p")).alias("s"))
-    return c.join(s, "i").select("i", "j", F.coalesce(ratio(F.col("p"), F.col("s")), F.lit(0.0)).alias("p"))
+    per = c.groupBy("i").agg(F.greatest(F.max("p"), F.lit(0.0)).alias("best"), F.sum(F.abs(g)).alias("s"))
+    per = cut(vectors.select(F.col("cell_id").alias("i")).join(per, "i", "left").fillna(0.0, ["best", "s"]))
+    top = column_quantile(per, "best", 0.98)
+    stay = F.expm1(F.greatest(F.least(F.lit(top) - F.col("best"), F.lit(1.0)), F.lit(0.0)) / sigma)
+    p = F.coalesce(ratio(g, F.col("s") + stay), F.lit(0.0))
+    return c.join(per, "i").select("i", "j", p.alias("p")).where("p <> 0")
 
 
 def project_velocity(chain: DataFrame, positions: DataFrame) -> DataFrame:

@@ -53,6 +53,7 @@ def rank_jacobian(jac: DataFrame, mode: str = "full reg", absolute: bool = False
     full reg / full eff: regulators of each effector / effectors of each regulator; reg / eff: mean
     over the other side; int: pairs; switch: product of two mutually negative entries. Normalised
     values are divided by the pair's largest absolute value over groups (null where that is 0).
+    Values that differ by rounding alone (the ninth digit) are ranked by name.
     """
     v = F.abs("value") if absolute else F.col("value")
     m = jac.groupBy("grp", "effector", "regulator").agg(F.avg(v).alias("value"))
@@ -61,17 +62,17 @@ def rank_jacobian(jac: DataFrame, mode: str = "full reg", absolute: bool = False
         m = m.withColumn("value", ratio(F.col("value"), top))
     if mode in ("full reg", "full eff"):
         part, other = ("effector", "regulator") if mode == "full reg" else ("regulator", "effector")
-        w = Window.partitionBy("grp", part).orderBy(F.desc("value"), other)
+        w = Window.partitionBy("grp", part).orderBy(F.desc(F.round("value", 9)), other)
         return m.withColumn("rank", F.row_number().over(w))
     if mode in ("reg", "eff"):
         name = "regulator" if mode == "reg" else "effector"
         m = m.groupBy("grp", name).agg(F.avg("value").alias("value"))
-        return m.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("value"), name)))
+        return m.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(F.round("value", 9)), name)))
     if mode == "switch":
         back = m.select("grp", F.col("effector").alias("regulator"), F.col("regulator").alias("effector"), F.col("value").alias("back"))
         m = m.join(back, ["grp", "effector", "regulator"]).where("effector < regulator and value < 0 and back < 0")
         m = m.select("grp", "effector", "regulator", (F.col("value") * F.col("back")).alias("value"))
-    w = Window.partitionBy("grp").orderBy(F.desc("value"), "effector", "regulator")
+    w = Window.partitionBy("grp").orderBy(F.desc(F.round("value", 9)), "effector", "regulator")
     return m.withColumn("rank", F.row_number().over(w))
 
 

@@ -30,15 +30,17 @@ def sample_by_group(cells: DataFrame, n_each: int, seed: int = 0) -> DataFrame:
     return cells.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_each).drop("_r")
 
 
-def pseudotime(edges: DataFrame, roots: list, rounds: int = 20) -> DataFrame:
-    """``(cell_id, pseudotime)``: least path length from a root over undirected edges (i, j, d), along paths of
-    at most ``rounds`` edges; unreached cells are absent. A round relaxes every edge once."""
+def shortest_times(edges: DataFrame, roots: list) -> DataFrame:
+    """``(cell_id, pseudotime)``: least path length from a root over undirected edges (i, j, d >= 0); unreached
+    cells are absent. A round relaxes the edges of the cells that the round before improved, until none is."""
     both = edges.select("i", "j", "d").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    both = both.groupBy("i", "j").agg(F.min("d").alias("d")).persist()
-    t = both.select(F.col("i").alias("cell_id")).distinct().where(F.col("cell_id").isin(roots)).withColumn("t", F.lit(0.0))
-    for k in range(rounds):
-        step = both.join(t.withColumnRenamed("cell_id", "i"), "i").select(F.col("j").alias("cell_id"), (F.col("t") + F.col("d")).alias("t"))
-        t = t.unionByName(step).groupBy("cell_id").agg(F.min("t").alias("t"))
-        if k % 2 == 1:  # the table before occurs twice in each round
-            t = cut(t)
-    return t.withColumnRenamed("t", "pseudotime")
+    both = cut(both.groupBy("i", "j").agg(F.min("d").alias("d")))
+    t = both.select(F.col("i").alias("cell_id")).distinct().where(F.col("cell_id").isin(roots))
+    t = cut(t.select("cell_id", F.lit(0.0).alias("t"), F.lit(True).alias("new")))
+    while not t.where("new").isEmpty():
+        step = both.join(t.where("new").select(F.col("cell_id").alias("i"), "t"), "i")
+        step = step.select(F.col("j").alias("cell_id"), (F.col("t") + F.col("d")).alias("t"), F.lit(None).cast("double").alias("old"))
+        all_ = t.select("cell_id", "t", F.col("t").alias("old")).unionByName(step)
+        best = all_.groupBy("cell_id").agg(F.min("t").alias("t"), F.min("old").alias("old"))
+        t = cut(best.select("cell_id", "t", F.coalesce(F.col("t") < F.col("old"), F.lit(True)).alias("new")))
+    return t.select("cell_id", F.col("t").alias("pseudotime"))

@@ -92,22 +92,23 @@ def fano_selection(stats: DataFrame) -> DataFrame:
 
 def gini(x: DataFrame, n_cells: DataFrame) -> DataFrame:
     """Gini coefficient of each gene over all cells, of values less the global minimum (0 where any
-    entry is absent) plus 1e-7: sum((2 i - n - 1) x_i) / (n sum x_i). Zeros take ranks 1..n - k, so
-    only the k stored values are ranked."""
+    entry is absent) plus 1e-7: sum((2 i - n - 1) x_i) / (n sum x_i). Zeros take ranks 1..n - k, and
+    stored values are counted by gene and value first, so that only distinct ones are ranked."""
     low = x.agg(F.count("*").alias("entries"), F.count_distinct("gene_id").alias("g"), F.min("value").alias("mn"))
     low = low.crossJoin(n_cells).select(
         "n_cells", F.when(F.col("entries") < F.col("g") * F.col("n_cells"), F.least("mn", F.lit(0.0))).otherwise(F.col("mn")).alias("low")
     )
-    w = Window.partitionBy("gene_id").orderBy("value", "cell_id")
+    by = x.groupBy("gene_id", "value").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     v = F.col("value") - F.col("low") + 1e-7
-    k = x.groupBy("gene_id").agg(F.count("*").alias("k"))
-    ranked = x.withColumn("r", F.row_number().over(w)).join(k, "gene_id").crossJoin(F.broadcast(low))
-    n = F.col("n_cells")
-    i = F.col("r") + n - F.col("k")
+    k = by.groupBy("gene_id").agg(F.sum("c").alias("k"))
+    ranked = by.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(k, "gene_id").crossJoin(F.broadcast(low))
+    n, c = F.col("n_cells"), F.col("c")
     zeros = n - F.col("k")
     zero = F.lit(1e-7) - F.col("low")
+    ranks = c * (2 * (F.col("before") + zeros) + c + 1)  # twice the sum of the ranks of the equal values
     out = ranked.groupBy("gene_id", "k", "n_cells", "low").agg(
-        F.sum((2 * i - n - 1) * v).alias("top"), F.sum(v).alias("sum")
+        F.sum((ranks - c * (n + 1)) * v).alias("top"), F.sum(c * v).alias("sum")
     )
     # ranks 1..zeros of the absent entries: sum(2 i - n - 1) = zeros (zeros - n)
     top = F.col("top") + zeros * (zeros - n) * zero

@@ -21,7 +21,8 @@ def gillespie(
     max_events: int = 1_000_000,
 ) -> DataFrame:
     """``(traj_id, t, counts)``: the direct method for reactions with propensities ``rates(counts) -> array``,
-    observed at evenly spaced times. Trajectory k uses seed (seed, k), so reruns agree."""
+    observed at evenly spaced times. Trajectory k uses seed (seed, k), so reruns agree. One with more than
+    ``max_events`` events stops the job."""
     times = np.linspace(0, t_end, n_times)
     change = np.array(stoichiometry, np.int64)
     schema = pa.schema([("traj_id", pa.int64()), ("t", pa.float64()), ("counts", pa.list_(pa.int64()))])
@@ -39,6 +40,8 @@ def gillespie(
             if i >= n_times:
                 break
             x = x + change[np.searchsorted(np.cumsum(a), rng.random() * total, "right")]
+        if i < n_times:
+            raise ArithmeticError(f"trajectory {k} has more than {max_events} events before {times[-1]}")
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

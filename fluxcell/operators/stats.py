@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxcell.functions.lineage import cut
 from fluxcell.functions.scalars import cosine, norm, pearson, ratio
 
 
@@ -43,25 +45,33 @@ def morans_i(x: DataFrame, weights: DataFrame, n_cells: DataFrame) -> DataFrame:
     return out.select("gene_id", "moran_i", "z", normal_tail(F.col("z")).alias("p"))
 
 
-def two_group_de(x: DataFrame, least_fraction: float = 0.1) -> DataFrame:
-    """Test against control for each gene of dense ``x(gene_id, value, test boolean)``.
+def two_group_de(x: DataFrame, totals: DataFrame | None = None, least_fraction: float = 0.1) -> DataFrame:
+    """Test against control for each gene of ``x(gene_id, value, test boolean)``.
+
+    With ``totals(n_test, n_control)``, x holds stored entries only and every other cell of a gene
+    counts as 0; without, x is dense. Entries are counted by gene, value and side first, so that a
+    gene's order statistics run over its distinct values, and its zeros are one row.
 
     Genes detected in at least ``least_fraction`` of the test cells. log2 fold change of means,
     Mann-Whitney U with average ranks and a tie-corrected normal p-value, rank-biserial
     correlation 1 - 2 U / (n1 n2).
     """
-    gene = Window.partitionBy("gene_id")
-    same = F.count("*").over(Window.partitionBy("gene_id", "value"))
-    r = x.withColumn("r", F.rank().over(gene.orderBy("value")) + (same - 1) / 2).withColumn("ties", same)
-    t, c = F.col("test"), ~F.col("test")
-    g = r.groupBy("gene_id").agg(
-        F.count_if(t).alias("n1"),
-        F.count_if(c).alias("n2"),
-        F.sum(F.when(t, F.col("r")).otherwise(0.0)).alias("r1"),
-        F.avg(F.when(t, F.col("value"))).alias("m1"),
-        F.avg(F.when(c, F.col("value"))).alias("m2"),
-        ratio(F.count_if(t & (F.col("value") > 0)), F.count_if(t)).alias("fraction"),
-        F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tie"),
+    by = x.groupBy("gene_id", "value").agg(F.count_if("test").alias("k1"), F.count_if(~F.col("test")).alias("k2"))
+    if totals is not None:
+        held = by.groupBy("gene_id").agg(F.sum("k1").alias("k1"), F.sum("k2").alias("k2")).crossJoin(F.broadcast(totals))
+        absent = held.select("gene_id", F.lit(0.0).alias("value"), (F.col("n_test") - F.col("k1")).alias("k1"), (F.col("n_control") - F.col("k2")).alias("k2"))
+        by = by.unionByName(absent).groupBy("gene_id", "value").agg(F.sum("k1").alias("k1"), F.sum("k2").alias("k2"))
+    upto = Window.partitionBy("gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    k, k1, k2 = F.col("k"), F.col("k1"), F.col("k2")
+    by = by.withColumn("k", k1 + k2).withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0)))
+    g = by.groupBy("gene_id").agg(
+        F.sum("k1").alias("n1"),
+        F.sum("k2").alias("n2"),
+        F.sum(k1 * (F.col("before") + (k + 1) / 2.0)).alias("r1"),
+        ratio(F.sum(k1 * F.col("value")), F.sum("k1")).alias("m1"),
+        ratio(F.sum(k2 * F.col("value")), F.sum("k2")).alias("m2"),
+        ratio(F.sum(F.when(F.col("value") > 0, k1).otherwise(0)), F.sum("k1")).alias("fraction"),
+        F.sum(k.cast("double") * (k.cast("double") * k - 1)).alias("tie"),
     )
     g = g.where((F.col("fraction") >= least_fraction) & (F.col("n1") > 0) & (F.col("n2") > 0))
     n1, n2 = F.col("n1"), F.col("n2")
@@ -112,16 +122,34 @@ def glm_de(x: DataFrame, rounds: int = 25) -> DataFrame:
     return counted.groupBy("gene_id").applyInPandas(fit, f"gene_id {kind}, coefficient double, lrt double, p double")
 
 
-def regress_out(x: DataFrame, covariate: DataFrame) -> DataFrame:
-    """Residuals of dense ``x(cell_id, gene_id, value)`` on one covariate ``(cell_id, z)`` with intercept."""
-    j = x.join(covariate, "cell_id")
-    b = j.groupBy("gene_id").agg(
-        F.avg("value").alias("my"),
-        F.avg("z").alias("mz"),
-        ratio(F.covar_pop("value", "z"), F.var_pop("z")).alias("slope"),
+def regress_out(x: DataFrame, covariates: DataFrame, names: tuple[str, ...] = ("z",)) -> DataFrame:
+    """Residuals of dense ``x(cell_id, gene_id, value)`` on the named columns of ``covariates(cell_id, ...)`` and an intercept.
+
+    A gene's normal equations are sums over its cells, one small row a gene; they are solved in
+    batches of genes (least squares of least norm, so that constant or dependent covariates do no harm).
+    """
+    z = [F.lit(1.0), *[F.col(n).cast("double") for n in names]]
+    m = len(z)
+    j = x.join(covariates.select("cell_id", *names), "cell_id")
+    pairs = [(a, b) for a in range(m) for b in range(a, m)]
+    sums = j.groupBy("gene_id").agg(
+        F.array(*[F.sum(z[a] * z[b]) for a, b in pairs]).alias("zz"), F.array(*[F.sum(c * F.col("value")) for c in z]).alias("zy")
     )
-    fit = F.col("my") + F.coalesce("slope", F.lit(0.0)) * (F.col("z") - F.col("mz"))
-    return j.join(b, "gene_id").select("cell_id", "gene_id", (F.col("value") - fit).alias("value"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            beta = []
+            for zz, zy in zip(t["zz"], t["zy"], strict=True):
+                a = np.zeros((m, m))
+                for (p, q), v in zip(pairs, zz, strict=True):
+                    a[p, q] = a[q, p] = v
+                beta.append(np.linalg.lstsq(a, np.array(zy, float), rcond=1e-12)[0].tolist())
+            yield pd.DataFrame({"gene_id": t["gene_id"], "beta": beta})
+
+    kind = dict(x.dtypes)["gene_id"]
+    beta = sums.mapInPandas(solve, f"gene_id {kind}, beta array<double>")
+    fit = sum((F.get("beta", k) * c for k, c in enumerate(z)), F.lit(0.0))
+    return j.join(beta, "gene_id").select("cell_id", "gene_id", (F.col("value") - fit).alias("value"))
 
 
 def cell_cycle(x: DataFrame, phases: DataFrame) -> DataFrame:
@@ -146,10 +174,20 @@ def cell_cycle(x: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 def order_in_phase(cc: DataFrame) -> DataFrame:
-    """Place of each cell, 0 to 1, in order of phase and falling progress."""
-    w = Window.orderBy("phase", F.desc("progress"), "cell_id")
-    n = Window.partitionBy(F.lit(1))
-    return cc.withColumn("place", ratio(F.row_number().over(w) - 1, F.count("*").over(n) - 1))
+    """Place of each cell, 0 to 1, in order of phase and falling progress.
+
+    Rows are dealt to ranges of that order and written; a row's place is the count of the ranges
+    before its own plus its place in it, so no task holds all cells.
+    """
+    order = [F.col("phase"), F.desc("progress"), F.col("cell_id")]
+    at = cut(cc.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    n = at.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = n.select(F.col("_part").alias("_p"), F.col("_n").alias("_b"))
+    carry = n.join(before, F.col("_p") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("_before"))
+    total = n.agg(F.sum("_n").alias("_all"))
+    row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = at.join(F.broadcast(carry), "_part").crossJoin(F.broadcast(total))
+    return out.select(*cc.columns, ratio(F.col("_before") + row - 1, F.col("_all") - 1).alias("place"))
 
 
 def neighbour_confidence(vectors: DataFrame, edges: DataFrame, method: str = "cosine") -> DataFrame:
@@ -195,7 +233,7 @@ def score_cells(x: DataFrame, genes: DataFrame, edges: DataFrame, beta: float =
     s = s.crossJoin(F.broadcast(n)).select("cell_id", ratio(F.col("s"), F.col("n")).alias("score"))
     deg = edges.groupBy("i").agg(F.count("*").alias("deg"))
     w = edges.join(deg, "i").select("i", "j", ((1 - beta) / F.col("deg")).alias("w"))
-    w = w.unionByName(deg.select("i", F.col("i").alias("j"), F.lit(beta).alias("w"))).persist()
+    w = cut(w.unionByName(deg.select("i", F.col("i").alias("j"), F.lit(beta).alias("w"))))
     for _ in range(rounds):
         s = w.join(s.withColumnRenamed("cell_id", "j"), "j").groupBy(F.col("i").alias("cell_id")).agg(F.sum(F.col("w") * F.col("score")).alias("score"))
     return s

@@ -27,7 +27,7 @@ def r(name: str, alias: str | None = None, digits: int = 6):
 
 
 KNN = f"""v AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS x, label FROM embeddings),
-knn AS (SELECT a.cell_id AS i, b.cell_id AS j, list_distance(a.x, b.x) AS d,
+knn AS MATERIALIZED (SELECT a.cell_id AS i, b.cell_id AS j, list_distance(a.x, b.x) AS d,
   row_number() OVER (PARTITION BY a.cell_id ORDER BY list_distance(a.x, b.x), b.cell_id)::INTEGER AS rank
   FROM v a JOIN v b ON a.cell_id <> b.cell_id QUALIFY rank <= {K}),
 one AS (SELECT i, j FROM knn UNION SELECT cell_id, cell_id FROM v),
@@ -44,6 +44,12 @@ def nearest_neighbours(spark, d):
     return knn(spark, d).select("i", "j", r("d"), "rank")
 
 
+@query()
+def nearest_neighbours_approximate(spark, d):
+    v = B.vectors(spark, d)
+    return graph.nearest_approximate(v, v, K).select("i", "j", r("d"), "rank")
+
+
 @query("SELECT i, j, round(w, 9) AS w FROM wt", KNN)
 def smoothing_weights(spark, d):
     return graph.smoothing_weights(knn(spark, d), B.vectors(spark, d)).select("i", "j", r("w", digits=9))
@@ -167,25 +173,34 @@ def triangles(spark, d):
 @query()
 def graph_potential(spark, d):
     e = knn(spark, d).withColumnRenamed("d", "v")
-    return graph.potential(e, rounds=10).select("node", r("f"))
+    return graph.potential(e).select("node", r("f"))
 
 
 @query()
 def label_communities(spark, d):
-    return graph.communities(knn(spark, d), rounds=6)
+    return graph.communities(knn(spark, d).select("i", "j"))
 
 
 @query(
-    """, s AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn), e AS (SELECT i, j, min(d) AS d FROM s GROUP BY i, j),
-    t0 AS (SELECT 0::BIGINT AS cell_id, 0.0::DOUBLE AS t),
-    t1 AS (SELECT cell_id, min(t) AS t FROM (FROM t0 UNION ALL SELECT j, t + d FROM e JOIN t0 ON i = cell_id) GROUP BY cell_id),
-    t2 AS (SELECT cell_id, min(t) AS t FROM (FROM t1 UNION ALL SELECT j, t + d FROM e JOIN t1 ON i = cell_id) GROUP BY cell_id),
-    t3 AS (SELECT cell_id, min(t) AS t FROM (FROM t2 UNION ALL SELECT j, t + d FROM e JOIN t2 ON i = cell_id) GROUP BY cell_id)
-    SELECT cell_id, round(t, 6) AS pseudotime FROM t3""",
+    """, fl AS (SELECT i, j, d / 2 AS v FROM knn UNION ALL SELECT j, i, -d / 2 FROM knn), ft AS (SELECT i, j, sum(v) AS v FROM fl GROUP BY ALL),
+    f AS (SELECT i AS a, j AS b, v FROM ft WHERE i < j)
+    SELECT x.a, x.b, y.b AS c, round(x.v + y.v - z.v, 6) + 0.0 AS curl FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b""",
     KNN,
 )
+def graph_curl(spark, d):
+    return graph.curl(knn(spark, d).withColumnRenamed("d", "v")).select("a", "b", "c", r("curl"))
+
+
+@query(
+    """, s AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn), e AS (SELECT i, j, min(d) AS d FROM s GROUP BY i, j),
+    t AS (SELECT 0 AS n, 0::BIGINT AS cell_id, 0.0::DOUBLE AS t UNION ALL
+      SELECT n, cell_id, min(t) FROM (SELECT n + 1 AS n, cell_id, t FROM t WHERE n < 40
+        UNION ALL SELECT n + 1, j, t + d FROM t JOIN e ON i = cell_id WHERE n < 40) GROUP BY ALL)
+    SELECT cell_id, round(t, 6) AS pseudotime FROM t WHERE n = 40""",
+    "RECURSIVE " + KNN,
+)
 def pseudotime(spark, d):
-    return sampling.pseudotime(knn(spark, d), [0], 3).select("cell_id", r("pseudotime"))
+    return sampling.shortest_times(knn(spark, d), [0]).select("cell_id", r("pseudotime"))
 
 
 @query()
@@ -245,6 +260,12 @@ def us(spark, d):
     return dense.select("cell_id", "gene_id", F.col("unspliced").alias("u"), F.col("spliced").alias("s"))
 
 
+def ols(spark, d):
+    """Steady-state slopes of the brands, from stored entries and the number of cells."""
+    w = matrix.wide(B.counts(spark, d), B.LAYERS).withColumnsRenamed({"unspliced": "u", "spliced": "s"})
+    return kinetics.gamma_ols(w, n_cells=B.n_cells(spark, d))
+
+
 @query("SELECT i AS cell_id, gene_id, round(sum(w * value), 6) AS m FROM ring JOIN x ON x.cell_id = j GROUP BY ALL", RING)
 def first_moment(spark, d):
     return moments.first_moment(ring(spark, d), B.total_layer(B.counts(spark, d))).select("cell_id", "gene_id", r("m"))
@@ -289,13 +310,13 @@ fit AS (SELECT gene_id, gamma, count(*) FILTER (WHERE ok) AS n,
     OLS,
 )
 def gamma_ols(spark, d):
-    g = kinetics.gamma_ols(us(spark, d))
+    g = ols(spark, d)
     return g.select("gene_id", r("gamma"), "n", r("r2"), r("r2_all"), r("loglik", digits=4))
 
 
 @query("SELECT gene_id, round(gamma, 6) AS gamma, round(r2, 6) AS r2, n FROM fit ORDER BY gamma DESC, gene_id LIMIT 20", OLS)
 def steepest_genes(spark, d):
-    g = kinetics.gamma_ols(us(spark, d))
+    g = ols(spark, d)
     return g.orderBy(F.desc("gamma"), "gene_id").limit(20).select("gene_id", r("gamma"), r("r2"), "n")
 
 
@@ -305,7 +326,7 @@ def steepest_genes(spark, d):
 )
 def velocity(spark, d):
     x = us(spark, d)
-    p = kinetics.gamma_ols(x).select("gene_id", "gamma", F.lit(0.5).alias("alpha"))
+    p = ols(spark, d).select("gene_id", "gamma", F.lit(0.5).alias("alpha"))
     return kinetics.velocity(x, p).select("cell_id", "gene_id", r("v_u"), r("v_s"))
 
 
@@ -317,7 +338,7 @@ def velocity(spark, d):
     OLS,
 )
 def transition_genes(spark, d):
-    return kinetics.transition_genes(kinetics.gamma_ols(us(spark, d)), min_r2=0.3, fallback=7)
+    return kinetics.transition_genes(ols(spark, d), min_r2=0.3, fallback=7)
 
 
 @query(
@@ -385,14 +406,14 @@ def experiment_type(spark, d):
 
 
 @query(
-    """, s AS (SELECT gene_id, sum(new) AS l, sum(total) AS r FROM lab WHERE t BETWEEN 1 AND 3 GROUP BY gene_id),
+    """, s AS (SELECT gene_id, sum(new) AS l, sum(total) AS r FROM lab GROUP BY gene_id),
     k AS (SELECT gene_id, l, r, l / r AS k, -ln(1 - l / r) / 2.0 AS g FROM s WHERE l < r)
     SELECT gene_id, round(g, 6) AS gamma, round(CASE WHEN g = 0 THEN NULL ELSE l * g / (1 - exp(-g * 2.0)) END, 4) AS alpha,
     round((r - l) / (1 - k), 4) AS r0, round(l / exp(-g * 2.0), 4) AS l0 FROM k""",
     B.LABELED_SQL,
 )
 def one_shot(spark, d):
-    s = B.labeled(spark, d).where("t between 1 and 3").groupBy("gene_id").agg(F.sum("new").alias("l"), F.sum("total").alias("r"))
+    s = B.labeled(spark, d).groupBy("gene_id").agg(F.sum("new").alias("l"), F.sum("total").alias("r"))
     s = s.where("l < r").withColumn("k", S.ratio(F.col("l"), F.col("r")))
     s = s.withColumn("g", S.gamma_one_shot(F.col("k"), 2.0))
     return s.select(

@@ -100,13 +100,16 @@ def filter_genes_by_pattern(spark, d):
 
 
 @query(
-    """SELECT s_suppkey AS cell_id, s_nationkey::VARCHAR AS grp FROM supplier
-    WHERE s_suppkey IN (SELECT cell_id FROM x WHERE gene_id <= 40 GROUP BY cell_id HAVING sum(value) <> 0)""",
+    """, gs AS (SELECT gene_id, sum(value) AS s FROM x GROUP BY gene_id), vg AS (SELECT gene_id FROM gs WHERE s > 1.5 * (SELECT avg(s) FROM gs))
+    SELECT s_suppkey AS cell_id, s_nationkey::VARCHAR AS grp FROM supplier
+    WHERE s_suppkey IN (SELECT cell_id FROM x WHERE gene_id IN (FROM vg) GROUP BY cell_id HAVING sum(value) <> 0)""",
     B.SPARSE_SQL,
 )
 def filter_cells_by_variable_genes(spark, d):
     x = B.total_layer(B.sparse_counts(spark, d))
-    return qc.filter_cells_by_variable_genes(x, B.cells(spark, d), x.where("gene_id <= 40").select("gene_id").distinct())
+    s = x.groupBy("gene_id").agg(F.sum("value").alias("s"))
+    high = s.crossJoin(F.broadcast(s.agg(F.avg("s").alias("m")))).where("s > 1.5 * m").select("gene_id")
+    return qc.filter_cells_by_variable_genes(x, B.cells(spark, d), high)
 
 
 @query(
@@ -138,8 +141,8 @@ def select_cells(spark, d):
 
 @query(
     """, parts AS (
-      SELECT 0 AS p, cell_id, gene_id, layer, value FROM e WHERE cell_id % 3 <> 0
-      UNION ALL SELECT 1, cell_id, gene_id, layer, value FROM e WHERE gene_id % 2 = 0
+      SELECT 0 AS p, cell_id, gene_id, layer, value FROM e WHERE layer = 'spliced'
+      UNION ALL SELECT 1, cell_id, gene_id, layer, value FROM e WHERE layer = 'unspliced'
     ), c AS (SELECT cell_id FROM parts GROUP BY cell_id HAVING count(DISTINCT p) = 2),
     gs AS (SELECT gene_id FROM parts GROUP BY gene_id HAVING count(DISTINCT p) = 2)
     SELECT cell_id, gene_id, layer, sum(value) AS value FROM parts
@@ -148,7 +151,7 @@ def select_cells(spark, d):
 )
 def aggregate_datasets(spark, d):
     e = B.sparse_counts(spark, d)
-    return matrix.aggregate_datasets([e.where("cell_id % 3 <> 0"), e.where("gene_id % 2 = 0")])
+    return matrix.aggregate_datasets([e.where("layer = 'spliced'"), e.where("layer = 'unspliced'")])
 
 
 _TOTALS = """, t AS (SELECT s_suppkey AS cell_id, CASE WHEN coalesce(sum(value), 0) = 0 THEN 1.0 ELSE sum(value) END AS t

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from fluxcell.functions.lineage import cut
 from fluxcell.operators import decompose, matrix, multiomic, rank, select, simulate
 from fluxcell.operators import vectorfield as V
 from fluxcell.plans import bindings as B
@@ -38,7 +39,7 @@ def low(spark, d, k: int = 3):
 
 
 def field(spark, d, k: int = 3):
-    cells = low(spark, d, k).persist()
+    cells = cut(low(spark, d, k))
     return cells, V.fit_field(cells, 40, beta=0.5, rounds=8)
 
 
@@ -156,14 +157,14 @@ def fate_trajectories(spark, d):
 @query()
 def fate_bias(spark, d):
     cells, f = field(spark, d)
-    t = V.integrate(cells, f, 5.0, 50, 11).persist()
+    t = cut(V.integrate(cells, f, 5.0, 50, 11))
     return V.fate_shares(t, cells, 10, 5).select("cell_id", "grp", r("share"))
 
 
 @query()
 def lineage_cells(spark, d):
     cells, f = field(spark, d)
-    t = V.integrate(cells, f, 5.0, 50, 11).persist()
+    t = cut(V.integrate(cells, f, 5.0, 50, 11))
     return V.lineage(t, cells)
 
 
@@ -259,14 +260,14 @@ def chromatin_velocity_stochastic(spark, d):
 
 
 _PEAKS = """peaks AS (SELECT l_orderkey * 10 + l_linenumber AS peak_id, l_suppkey % 5 AS chrom, l_partkey * 3 AS s0, l_partkey * 3 + l_linenumber AS e0
-  FROM lineitem WHERE l_linenumber <= 2),
+  FROM lineitem),
 genes AS (SELECT p_partkey AS gene_id, p_size % 5 AS chrom, p_partkey * 3 + 1 AS tss FROM part),
 links AS (SELECT gene_id, peak_id, greatest(s0 - tss, tss - e0, 0) AS distance FROM genes JOIN peaks USING (chrom)
   WHERE s0 <= tss + 10 AND e0 >= tss - 10)"""
 
 
 def _links(spark, d):
-    li = B.table(spark, d, "lineitem").where("l_linenumber <= 2")
+    li = B.table(spark, d, "lineitem")
     peaks = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("peak_id"),
         (F.col("l_suppkey") % 5).alias("chrom"),
@@ -300,6 +301,24 @@ def recipe_monocle(spark, d):
     return matrix.restrict(matrix.layer(p.expr, "X"), None, chosen).select("cell_id", "gene_id", r("value"))
 
 
+@query()
+def recipe_monocle_components(spark, d):
+    """The whole recipe on brands: log counts less two covariates, five components (by absolute value), cell cycle and share of new."""
+    e = B.counts(spark, d)
+    s = B.table(spark, d, "supplier")
+    z = s.select(F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("z"), (F.col("s_nationkey") % 5).cast("double").alias("y"))
+    phases = e.select("gene_id").distinct().select("gene_id", (F.substring("gene_id", 7, 9).cast("int") % 5).alias("phase"))
+    p = recipes.monocle(e, B.cells(spark, d), 20, n_pcs=5, covariates=z, names=("z", "y"), phases=phases, new="unspliced")
+    out = p.pca.join(p.cells, "cell_id")
+    return out.select("cell_id", *[F.round(F.abs(F.get("x", k)), 3).alias(f"pc{k}") for k in range(2)], "phase", r("progress", digits=3), r("ntr"))
+
+
+@query()
+def recipe_monocle_pearson(spark, d):
+    p = recipes.monocle_pearson(B.sparse_counts(spark, d), B.cells(spark, d), 200)
+    return p.expr.select("cell_id", "gene_id", r("value"))
+
+
 @query()
 def recipe_seurat(spark, d):
     p = recipes.seurat(B.sparse_counts(spark, d), B.cells(spark, d), 200)
@@ -323,13 +342,13 @@ def pearson_residuals(spark, d):
 
 
 @query(
-    """, p AS (SELECT cell_id, gene_id, value, (gene_id % 10) / 10.0 AS pi FROM x WHERE gene_id % 3 <> 0)
+    """, p AS (SELECT cell_id, gene_id, value, (gene_id % 10) / 10.0 AS pi FROM x)
     SELECT cell_id, gene_id, 'new' AS layer, round(value * pi, 6) AS value FROM p UNION ALL
     SELECT cell_id, gene_id, 'old', round(value * (1 - pi), 6) FROM p""", B.SPARSE_SQL
 )
 def split_labeled_counts(spark, d):
     x = B.total_layer(B.sparse_counts(spark, d))
-    share = x.where("gene_id % 3 <> 0").select("cell_id", "gene_id", ((F.col("gene_id") % 10) / 10.0).alias("pi"))
+    share = x.select("cell_id", "gene_id", ((F.col("gene_id") % 10) / 10.0).alias("pi"))
     return tables.split_labeled(x, share).select("cell_id", "gene_id", "layer", r("value"))
 
 

@@ -108,12 +108,11 @@ def roc_auc(spark, d):
 JAC = DENSE + """, jac AS (
   SELECT c.grp, a.cell_id, a.gene_id AS effector, b.gene_id AS regulator, a.value * b.value / 1000.0 - 0.5 AS value
   FROM dx a JOIN dx b USING (cell_id) JOIN c USING (cell_id)
-  WHERE a.gene_id < 'Brand#3' AND b.gene_id < 'Brand#3'
 ), jm AS (SELECT grp, effector, regulator, avg(value) AS value FROM jac GROUP BY ALL)"""
 
 
 def _jacobian(spark, d):
-    x = dense(spark, d).where("gene_id < 'Brand#3'")
+    x = dense(spark, d)
     a = x.select("cell_id", F.col("gene_id").alias("effector"), F.col("value").alias("a"))
     b = x.select("cell_id", F.col("gene_id").alias("regulator"), F.col("value").alias("b"))
     j = a.join(b, "cell_id").join(B.cells(spark, d), "cell_id")
@@ -125,17 +124,36 @@ def _jacobian(spark, d):
     row_number() OVER (PARTITION BY grp, effector ORDER BY round(value, 9) DESC, regulator)::INTEGER AS rank FROM jm""", JAC
 )
 def rank_jacobian_full(spark, d):
-    j = _jacobian(spark, d)
-    m = j.groupBy("grp", "effector", "regulator").agg(F.round(F.avg("value"), 9).alias("value")).withColumn("cell_id", F.lit(0))
-    return rank.rank_jacobian(m, "full reg").select("grp", "effector", "regulator", r("value"), "rank")
+    j = rank.rank_jacobian(_jacobian(spark, d), "full reg")
+    return j.select("grp", "effector", "regulator", r("value"), "rank")
+
+
+@query(
+    """SELECT grp, effector, regulator, round(value, 6) + 0.0 AS value,
+    row_number() OVER (PARTITION BY grp, regulator ORDER BY round(value, 9) DESC, effector)::INTEGER AS rank FROM jm""", JAC
+)
+def rank_jacobian_effectors(spark, d):
+    j = rank.rank_jacobian(_jacobian(spark, d), "full eff")
+    return j.select("grp", "effector", "regulator", r("value"), "rank")
+
+
+@query(
+    """, nm AS (SELECT grp, effector, regulator, value / nullif(max(abs(value)) OVER (PARTITION BY effector, regulator), 0) AS value FROM jm)
+    SELECT grp, effector, regulator, round(value, 6) + 0.0 AS value,
+    row_number() OVER (PARTITION BY grp ORDER BY round(value, 9) DESC NULLS LAST, effector, regulator)::INTEGER AS rank FROM nm""", JAC
+)
+def rank_jacobian_pairs(spark, d):
+    j = rank.rank_jacobian(_jacobian(spark, d), "int", normalize=True)
+    return j.select("grp", "effector", "regulator", r("value"), "rank")
 
 
 @query(
-    """, rg AS (SELECT grp, regulator, round(avg(value), 6) + 0.0 AS value FROM jm GROUP BY ALL)
-    SELECT grp, regulator, value FROM rg""", JAC
+    """, rg AS (SELECT grp, regulator, avg(value) AS value FROM jm GROUP BY ALL)
+    SELECT grp, regulator, round(value, 6) + 0.0 AS value,
+    row_number() OVER (PARTITION BY grp ORDER BY round(value, 9) DESC, regulator)::INTEGER AS rank FROM rg""", JAC
 )
 def rank_jacobian_regulators(spark, d):
-    return rank.rank_jacobian(_jacobian(spark, d), "reg").select("grp", "regulator", r("value"))
+    return rank.rank_jacobian(_jacobian(spark, d), "reg").select("grp", "regulator", r("value"), "rank")
 
 
 @query(
@@ -203,6 +221,14 @@ def morans_i(spark, d):
     return stats.morans_i(dense(spark, d, "s + u"), ring(spark, d), B.n_cells(spark, d)).select("gene_id", r("moran_i"))
 
 
+def _two_groups(spark, d):
+    """Every fourth cell against the others, from stored entries."""
+    test = F.col("cell_id") % 4 == 0
+    x = B.total_layer(B.counts(spark, d)).select("gene_id", "value", test.alias("test"))
+    totals = B.cells(spark, d).agg(F.count_if(test).alias("n_test"), F.count_if(~test).alias("n_control"))
+    return stats.two_group_de(x, totals)
+
+
 @query(
     """, t AS (SELECT gene_id, total AS value, cell_id % 4 = 0 AS test FROM dx),
     rk AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2.0 AS r FROM t),
@@ -213,15 +239,13 @@ def morans_i(spark, d):
     round(1 - 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2), 6) + 0.0 AS rbc FROM g2 WHERE fraction >= 0.1"""
 )
 def two_group_de(spark, d):
-    x = us(spark, d).select("gene_id", (F.col("s") + F.col("u")).alias("value"), (F.col("cell_id") % 4 == 0).alias("test"))
-    g = stats.two_group_de(x)
+    g = _two_groups(spark, d)
     return g.select("gene_id", "n1", "n2", r("fraction"), r("log2fc"), "u", r("rbc"))
 
 
 @query()
 def two_group_de_tests(spark, d):
-    x = us(spark, d).select("gene_id", (F.col("s") + F.col("u")).alias("value"), (F.col("cell_id") % 4 == 0).alias("test"))
-    g = stats.two_group_de(x).withColumn("family", F.lit(1))
+    g = _two_groups(spark, d).withColumn("family", F.lit(1))
     return rank.bh_monotone(g).select("gene_id", r("p"), r("q"))
 
 
@@ -241,6 +265,19 @@ def regress_out(spark, d):
     return stats.regress_out(dense(spark, d, "s + u"), z).select("cell_id", "gene_id", r("value", digits=4))
 
 
+@query(
+    """, z AS (SELECT s_suppkey AS cell_id, s_acctbal AS z, (s_nationkey % 5)::DOUBLE AS y FROM supplier),
+    m AS (SELECT gene_id, avg(total) AS mt, avg(z) AS mz, avg(y) AS my, covar_pop(z, total) AS zt, covar_pop(y, total) AS yt,
+      var_pop(z) AS zz, var_pop(y) AS yy, covar_pop(z, y) AS zy FROM dx JOIN z USING (cell_id) GROUP BY gene_id),
+    b AS (SELECT *, (zt * yy - yt * zy) / (zz * yy - zy * zy) AS bz, (yt * zz - zt * zy) / (zz * yy - zy * zy) AS byy FROM m)
+    SELECT cell_id, gene_id, round(total - mt - bz * (z - mz) - byy * (y - my), 4) + 0.0 AS value FROM dx JOIN z USING (cell_id) JOIN b USING (gene_id)"""
+)
+def regress_out_covariates(spark, d):
+    s = B.table(spark, d, "supplier")
+    z = s.select(F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("z"), (F.col("s_nationkey") % 5).cast("double").alias("y"))
+    return stats.regress_out(dense(spark, d, "s + u"), z, ("z", "y")).select("cell_id", "gene_id", r("value", digits=4))
+
+
 _CYCLE = """, s AS (SELECT cell_id, (gene_id[7:]::INTEGER % 5) AS phase, sum(total) AS s FROM dx GROUP BY ALL),
     z1 AS (SELECT cell_id, phase, (s - avg(s) OVER (PARTITION BY phase)) / stddev_samp(s) OVER (PARTITION BY phase) AS z FROM s),
     z2 AS (SELECT cell_id, phase, (z - avg(z) OVER (PARTITION BY cell_id)) / stddev_samp(z) OVER (PARTITION BY cell_id) AS z FROM z1),
@@ -326,16 +363,18 @@ def gene_confidence(spark, d):
     return g.select("gene_id", "progenitor", "mature", r("confidence"))
 
 
-@query(
-    """, s0 AS (SELECT cell_id, sum(total) FILTER (WHERE gene_id < 'Brand#2') / (SELECT count(DISTINCT gene_id) FROM dx WHERE gene_id < 'Brand#2') AS s FROM dx GROUP BY cell_id),
-    s1 AS (SELECT o.cell_id, 0.1 * o.s + 0.9 * avg(b.s) AS s FROM s0 o JOIN ring ON i = o.cell_id AND j <> i JOIN s0 b ON b.cell_id = j GROUP BY o.cell_id, o.s),
-    s2 AS (SELECT o.cell_id, 0.1 * o.s + 0.9 * avg(b.s) AS s FROM s1 o JOIN ring ON i = o.cell_id AND j <> i JOIN s1 b ON b.cell_id = j GROUP BY o.cell_id, o.s)
-    SELECT cell_id, round(s, 6) AS score FROM s2""", DENSE + RING.replace(B.COUNTS_SQL, "")
+_SCORES = """, s0 AS (SELECT cell_id, sum(total) FILTER (WHERE gene_id < 'Brand#2') / (SELECT count(DISTINCT gene_id) FROM dx WHERE gene_id < 'Brand#2') AS s FROM dx GROUP BY cell_id)""" + "".join(
+    f""",
+    s{k + 1} AS (SELECT o.cell_id, 0.1 * o.s + 0.9 * avg(b.s) AS s FROM s{k} o JOIN ring ON i = o.cell_id AND j <> i JOIN s{k} b ON b.cell_id = j GROUP BY o.cell_id, o.s)"""
+    for k in range(5)
 )
+
+
+@query(_SCORES + " SELECT cell_id, round(s, 6) AS score FROM s5", DENSE + RING.replace(B.COUNTS_SQL, ""))
 def score_cells(spark, d):
     x = dense(spark, d, "s + u")
     genes = x.where("gene_id < 'Brand#2'").select("gene_id").distinct()
-    return stats.score_cells(x, genes, ring(spark, d).where("i <> j").select("i", "j"), rounds=2).select("cell_id", r("score"))
+    return stats.score_cells(x, genes, ring(spark, d).where("i <> j").select("i", "j")).select("cell_id", r("score"))
 
 
 @query(
@@ -417,13 +456,15 @@ def lumped_chain(spark, d):
 
 
 @query(
-    """, t1 AS (SELECT state, (state <> 'purchase')::INTEGER::DOUBLE AS t FROM st),
-    t2 AS (SELECT st.state, coalesce(1 + sum(p * t), 0) AS t FROM st LEFT JOIN mp ON i = st.state AND i <> 'purchase' LEFT JOIN t1 ON t1.state = j GROUP BY st.state),
-    t3 AS (SELECT st.state, coalesce(1 + sum(p * t), 0) AS t FROM st LEFT JOIN mp ON i = st.state AND i <> 'purchase' LEFT JOIN t2 ON t2.state = j GROUP BY st.state)
-    SELECT state, round(t, 6) AS t FROM t3""", M
+    """, h AS (SELECT 0 AS n, state, 0.0::DOUBLE AS t FROM st UNION ALL
+      SELECT n, state, sum(t) FROM (
+        SELECT h.n + 1 AS n, i AS state, p * (1 + t) AS t FROM h JOIN mp ON j = h.state WHERE i <> 'purchase' AND n < 600
+        UNION ALL SELECT h.n + 1, state, 0.0 FROM h WHERE n < 600) GROUP BY ALL)
+    SELECT state, round(t, 6) AS t FROM h WHERE n = 600""".replace("AND n < 600", "AND h.n < 600").replace("WHERE n < 600)", "WHERE h.n < 600)"),
+    "RECURSIVE " + M,
 )
 def hitting_time(spark, d):
-    return markov.hitting_time(markov.transitions(B.steps(spark, d)), ["purchase"], 3).select("state", r("t"))
+    return markov.hitting_time(markov.transitions(B.steps(spark, d)), ["purchase"]).select("state", r("t"))
 
 
 @query("SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 9) AS p FROM mn WHERE i <> j", M)
@@ -437,36 +478,62 @@ def group_paths(spark, d):
     return markov.group_paths(markov.transitions(B.steps(spark, d))).select("a", "b", r("length"))
 
 
-_C = VEL + """, e AS (SELECT i, j, [sign(q) * sqrt(abs(q)) FOR q IN [b.x[k] - a.x[k] FOR k IN range(1, 65)]] AS d, [sign(q) * sqrt(abs(q)) FOR q IN a.v] AS u
-  FROM knn JOIN vv a ON a.cell_id = i JOIN vv b ON b.cell_id = j),
-e2 AS (SELECT i, j, coalesce(list_cosine_similarity(d, u), 0) AS c FROM e),
+_STEP = {  # (the step to a neighbour, the velocity) by transform, from the lists a.x, b.x and a.v
+    "sqrt": ("[sign(b.x[k] - a.x[k]) * sqrt(abs(b.x[k] - a.x[k])) FOR k IN range(1, 65)]", "[sign(q) * sqrt(abs(q)) FOR q IN a.v]"),
+    "log": ("[sign(b.x[k] - a.x[k]) * ln(1 + abs(b.x[k] - a.x[k])) FOR k IN range(1, 65)]", "[sign(q) * ln(1 + abs(q)) FOR q IN a.v]"),
+    "linear": ("[b.x[k] - a.x[k] FOR k IN range(1, 65)]", "a.v"),
+    "logratio": (
+        "[ln(1 + abs(b.x[k])) - ln(1 + abs(a.x[k])) FOR k IN range(1, 65)]",
+        "[ln(1 + abs(a.x[k] + a.v[k])) - ln(1 + abs(a.x[k])) FOR k IN range(1, 65)]",
+    ),
+}
+
+
+def _kernel_sql(transform: str, method: str) -> str:
+    d, u = _STEP[transform]
+    center = "e1 AS (SELECT i, j, [z - list_avg(d) FOR z IN d] AS d, [z - list_avg(u) FOR z IN u] AS u FROM e)" if method == "pearson" else "e1 AS (FROM e)"
+    return VEL + f""", hop AS (SELECT i, j FROM knn UNION SELECT a.i, b.j FROM knn a JOIN knn b ON a.j = b.i),
+e AS (SELECT i, j, {d} AS d, {u} AS u FROM hop JOIN vv a ON a.cell_id = i JOIN vv b ON b.cell_id = j WHERE i <> j), {center},
+e2 AS MATERIALIZED (SELECT i, j, coalesce(list_cosine_similarity(d, u), 0) AS c FROM e1),
 g2 AS (SELECT i, j, CASE WHEN c >= 0 THEN exp(c / 0.1) - 1 ELSE -(exp(-c / 0.1) - 1) END AS g FROM e2),
-tp AS (SELECT i, j, g / sum(abs(g)) OVER (PARTITION BY i) AS p FROM g2)"""
+bst AS (SELECT cell_id AS i, greatest(0, coalesce(max(c), 0)) AS best FROM v LEFT JOIN e2 ON i = cell_id GROUP BY cell_id),
+sty AS (SELECT i, exp(least(1, greatest(0, (SELECT quantile_cont(best, 0.98) FROM bst) - best)) / 0.1) - 1 AS stay FROM bst),
+tp AS (SELECT i, j, g / (sum(abs(g)) OVER (PARTITION BY i) + stay) AS p FROM g2 JOIN sty USING (i))"""
+
 
+def kernel(spark, d, transform: str = "sqrt", method: str = "cosine"):
+    return markov.correlation_kernel(graph.two_hop(knn(spark, d)), vel(spark, d), method, transform=transform)
 
-@query("SELECT i, j, round(p, 6) + 0.0 AS p FROM tp", _C)
-def velocity_transition_matrix(spark, d):
-    return markov.correlation_kernel(knn(spark, d), vel(spark, d), "cosine").select("i", "j", r("p"))
+
+def _transitions(transform: str, method: str):
+    def run(spark, d):
+        return kernel(spark, d, transform, method).select("i", "j", r("p"))
+
+    return run
+
+
+for _name, _transform, _method in (
+    ("velocity_transition_matrix", "sqrt", "cosine"),
+    ("velocity_transition_pearson", "sqrt", "pearson"),
+    ("velocity_transition_log", "log", "pearson"),
+    ("velocity_transition_linear", "linear", "cosine"),
+    ("velocity_transition_logratio", "logratio", "cosine"),
+):
+    QUERIES[_name] = _transitions(_transform, _method)
+    SQL[_name] = f"WITH {_kernel_sql(_transform, _method)} SELECT i, j, round(p, 6) + 0.0 AS p FROM tp WHERE p <> 0"
 
 
 @query(
     """, un AS (SELECT i, p, generate_subscripts(a.x, 1) AS k, unnest([(b.x[k] - a.x[k]) / list_distance(a.x, b.x) FOR k IN range(1, 65)]) AS u
-      FROM tp JOIN v a ON a.cell_id = i JOIN v b ON b.cell_id = j),
+      FROM tp JOIN v a ON a.cell_id = i JOIN v b ON b.cell_id = j WHERE p <> 0),
     pr AS (SELECT i, k, sum(p * u) - avg(p) * sum(u) AS v FROM un GROUP BY i, k)
-    SELECT i AS cell_id, k::INTEGER - 1 AS k, round(v, 5) + 0.0 AS v FROM pr""", _C
+    SELECT i AS cell_id, k::INTEGER - 1 AS k, round(v, 5) + 0.0 AS v FROM pr""", _kernel_sql("sqrt", "cosine")
 )
 def project_velocity(spark, d):
-    x = vel(spark, d)
-    p = markov.project_velocity(markov.correlation_kernel(knn(spark, d), x, "cosine"), x)
+    p = markov.project_velocity(kernel(spark, d), B.vectors(spark, d))
     return p.select("cell_id", F.posexplode("v").alias("k", "v")).select("cell_id", "k", r("v", digits=5))
 
 
-@query()
-def velocity_transition_pearson(spark, d):
-    hop = graph.two_hop(knn(spark, d))
-    return markov.correlation_kernel(hop, vel(spark, d)).select("i", "j", r("p"))
-
-
 @query()
 def ito_kernel(spark, d):
     return markov.ito_kernel(graph.two_hop(knn(spark, d)), vel(spark, d)).select("i", "j", r("p"))

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxcell.functions import lineage
 from fluxcell.functions import scalars as S
-from fluxcell.operators import decompose, graph, kinetics, markov, matrix, moments, multiomic, normalize, qc, rank, select, simulate, stats, trajectory
+from fluxcell.operators import decompose, graph, kinetics, markov, matrix, moments, multiomic, normalize, qc, rank, sampling, select, simulate, stats, trajectory
 from fluxcell.operators import vectorfield as V
+from fluxcell.plans import recipes
 from fluxcell.sources import tables
 from fluxcell.streaming import incremental
 
@@ -154,7 +156,7 @@ def test_stationary_of_two_state_chain(spark):
     c = spark.createDataFrame([("a", "a", 0.9), ("a", "b", 0.1), ("b", "a", 0.5), ("b", "b", 0.5)], "i string, j string, p double")
     pi = {r["state"]: r["p"] for r in markov.stationary(c, 60).collect()}
     assert pi["a"] == pytest.approx(5 / 6, abs=1e-6)
-    t = {r["state"]: r["t"] for r in markov.hitting_time(c, ["b"], 200).collect()}
+    t = {r["state"]: r["t"] for r in markov.hitting_time(c, ["b"]).collect()}
     assert t["a"] == pytest.approx(10, abs=1e-3)
 
 
@@ -256,3 +258,192 @@ def test_lineage_starts_from_every_cell(spark):
     d = "/root/testdata/sf0.001"
     origins = {r["origin"] for r in QUERIES["lineage_cells"](spark, d).select("origin").distinct().collect()}
     assert origins == {r["cell_id"] for r in B.vectors(spark, d).select("cell_id").collect()}
+
+
+def test_two_groups_from_stored_entries_match_dense(spark):
+    rng = np.random.default_rng(3)
+    m = rng.poisson(1.0, (40, 6)) * rng.integers(0, 2, (40, 6))
+    dense = [(f"g{j}", float(m[i, j]), i % 4 == 0) for i in range(40) for j in range(6)]
+    kind = "gene_id string, value double, test boolean"
+    a = stats.two_group_de(spark.createDataFrame(dense, kind)).orderBy("gene_id").collect()
+    totals = spark.createDataFrame([(10, 30)], "n_test long, n_control long")
+    b = stats.two_group_de(spark.createDataFrame([r for r in dense if r[1]], kind), totals).orderBy("gene_id").collect()
+    assert a == b and len(a) >= 4
+    for r in a:
+        x = m[:, int(r["gene_id"][1:])]
+        t, c = x[::4], np.delete(x, np.arange(0, 40, 4))
+        u = sum((v > c).sum() + (v == c).sum() / 2 for v in t)
+        assert r["u"] == u and (r["n1"], r["n2"]) == (10, 30)
+        n, k = 40, np.unique(x, return_counts=True)[1]
+        sd = math.sqrt(10 * 30 / 12 * (n + 1 - (k**3 - k).sum() / (n * (n - 1))))
+        assert r["p"] == pytest.approx(math.erfc(max(abs(u - 150) - 0.5, 0) / sd / math.sqrt(2)), abs=1e-6)
+
+
+def test_slopes_from_stored_entries_match_dense(spark):
+    rng = np.random.default_rng(4)
+    m = rng.poisson(2.0, (50, 3, 2)).astype(float) * rng.integers(0, 2, (50, 3, 1))
+    rows = [(i, f"g{j}", *map(float, m[i, j])) for i in range(50) for j in range(3)]
+    kind = "cell_id long, gene_id string, u double, s double"
+    dense = kinetics.gamma_ols(spark.createDataFrame(rows, kind)).orderBy("gene_id").collect()
+    some = spark.createDataFrame([r for r in rows if r[2] or r[3]], kind)
+    sparse = kinetics.gamma_ols(some, n_cells=ncells(spark, 50)).orderBy("gene_id").collect()
+    for a, b in zip(dense, sparse, strict=True):
+        assert a["gene_id"] == b["gene_id"] and list(a)[1:] == pytest.approx(list(b)[1:])
+
+
+def test_column_quantile(spark):
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=3000), np.repeat([1.0, 5.0], 1500), np.array([2.0])):
+        df = spark.createDataFrame([(float(v),) for v in x], "v double")
+        for q in (0.0, 0.31, 0.98, 1.0):
+            assert lineage.column_quantile(df, "v", q) == pytest.approx(np.quantile(x, q))
+        assert lineage.order_statistic(df, "v", len(x) // 2, most=5) == np.sort(x)[len(x) // 2]
+    assert lineage.column_quantile(df.limit(0), "v", 0.5) is None
+
+
+def test_kernel_row_sums_leave_room_to_stay(spark):
+    rng = np.random.default_rng(6)
+    x, v = rng.normal(size=(30, 4)), rng.normal(size=(30, 4))
+    cells = spark.createDataFrame([(i, x[i].tolist(), v[i].tolist()) for i in range(30)], "cell_id long, x array<double>, v array<double>")
+    e = [(i, (i + k) % 30) for i in range(30) for k in (1, 2, 5)]
+    got = {(r["i"], r["j"]): r["p"] for r in markov.correlation_kernel(spark.createDataFrame(e, "i long, j long"), cells, "cosine", transform="log").collect()}
+    f = lambda z: np.sign(z) * np.log1p(np.abs(z))
+    c = {(i, j): f(x[j] - x[i]) @ f(v[i]) / np.linalg.norm(f(x[j] - x[i])) / np.linalg.norm(f(v[i])) for i, j in e}
+    best = np.array([max(0, *(c[i, (i + k) % 30] for k in (1, 2, 5))) for i in range(30)])
+    stay = np.expm1(np.clip(np.percentile(best, 98) - best, 0, 1) / 0.1)
+    g = {k: math.copysign(math.expm1(abs(z) / 0.1), z) for k, z in c.items()}
+    for i, j in e:
+        assert got[i, j] == pytest.approx(g[i, j] / (sum(abs(g[i, (i + k) % 30]) for k in (1, 2, 5)) + stay[i]))
+
+
+def test_hitting_times_solve_the_linear_system(spark):
+    rng = np.random.default_rng(7)
+    p = rng.random((7, 7)) * (rng.random((7, 7)) < 0.5) + np.eye(7) * 0.3
+    p[5] = p[6] = 0
+    p[5, 5] = 1.0  # never leaves
+    p[:5, 5] = 0
+    p[3, 5] = 0.5
+    p[:4, 6] += 0.2
+    p[4] = 0
+    p[4, [4, 6]] = 0.9, 0.1
+    p[6, 6] = 1
+    p /= p.sum(1, keepdims=True)
+    chain = edges(spark, p, "p")
+    got = {r["state"]: r["t"] for r in markov.hitting_time(chain, [6]).collect()}
+    reach = {3}
+    while True:  # states from which some moves lead to state 5
+        more = {i for i in range(6) if any(p[i, j] for j in reach | {5})} | reach
+        if more == reach:
+            break
+        reach = more
+    sound = [i for i in range(6) if i not in reach and i != 5]
+    t = np.linalg.solve(np.eye(len(sound)) - p[np.ix_(sound, sound)], np.ones(len(sound)))
+    assert got[6] == 0 and got[5] is None and all(got[i] is None for i in reach)
+    assert [got[i] for i in sound] == pytest.approx(t.tolist())
+
+
+def test_potential_solves_the_poisson_equation(spark):
+    rng = np.random.default_rng(8)
+    e = {(i, (i + k) % 40): rng.normal() for i in range(40) for k in (1, 3, 11)}
+    got = {r["node"]: r["f"] for r in graph.potential(spark.createDataFrame([(i, j, float(v)) for (i, j), v in e.items()], "i long, j long, v double")).collect()}
+    lap, b = np.zeros((40, 40)), np.zeros(40)
+    for (i, j), v in e.items():
+        lap[i, j] = lap[j, i] = -1
+        b[i] -= v / 2
+        b[j] += v / 2
+    np.fill_diagonal(lap, -lap.sum(1))
+    f = np.linalg.lstsq(lap, b, rcond=None)[0]
+    assert [got[i] for i in range(40)] == pytest.approx((f - f.mean()).tolist(), abs=1e-7)
+
+
+def test_communities_find_planted_groups(spark):
+    rng = np.random.default_rng(9)
+    e = [(i, j) for i in range(90) for j in range(i) if rng.random() < (0.5 if i // 30 == j // 30 else 0.02)]
+    df = spark.createDataFrame(e, "i long, j long")
+    got = graph.communities(df)
+    label = {r["node"]: r["label"] for r in got.collect()}
+    assert label == {i: i // 30 * 30 for i in range(90)}
+    assert graph.modularity(df, got) > 0.5
+
+
+def test_shortest_times_and_triangles(spark):
+    import heapq
+
+    rng = np.random.default_rng(10)
+    e = {(int(a), int(b)): float(d) for a, b, d in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.random(150), strict=True) if a != b}
+    df = spark.createDataFrame([(a, b, d) for (a, b), d in e.items()], "i long, j long, d double")
+    near = {}
+    for (a, b), d in e.items():
+        near.setdefault(a, []).append((b, d))
+        near.setdefault(b, []).append((a, d))
+    root = min(near)
+    want, todo = {}, [(0.0, root)]
+    while todo:
+        d, a = heapq.heappop(todo)
+        if a not in want:
+            want[a] = d
+            for b, x in near[a]:
+                heapq.heappush(todo, (d + x, b))
+    got = {r["cell_id"]: r["pseudotime"] for r in sampling.shortest_times(df, [root]).collect()}
+    assert got == pytest.approx(want)
+    pairs = {tuple(sorted(p)) for p in e}
+    three = {(a, b, c) for a, b in pairs for c in range(b + 1, 60) if (a, c) in pairs and (b, c) in pairs}
+    n = {r["node"]: r["n"] for r in graph.triangles(df).collect()}
+    assert all(n[i] == sum(i in t for t in three) for i in n)
+    assert {(r["a"], r["b"], r["c"]) for r in graph.curl(df.withColumnRenamed("d", "v")).collect()} == three
+
+
+def test_regress_out_leaves_least_squares_residuals(spark):
+    rng = np.random.default_rng(11)
+    z, y = rng.normal(size=(25, 2)), rng.normal(size=(25, 3))
+    x = spark.createDataFrame([(i, f"g{j}", float(y[i, j])) for i in range(25) for j in range(3)], "cell_id long, gene_id string, value double")
+    c = spark.createDataFrame([(i, float(z[i, 0]), float(z[i, 1]), 1.0) for i in range(25)], "cell_id long, a double, b double, same double")
+    got = {(r["cell_id"], r["gene_id"]): r["value"] for r in stats.regress_out(x, c, ("a", "b", "same")).collect()}
+    a = np.hstack([np.ones((25, 1)), z])
+    want = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
+    assert [got[i, f"g{j}"] for i in range(25) for j in range(3)] == pytest.approx(want.ravel().tolist(), abs=1e-8)
+
+
+def test_gene_components_match_numpy(spark):
+    rng = np.random.default_rng(12)
+    m = rng.poisson(1.0, (60, 70)) + 5 * rng.poisson(0.5, (60, 3)) @ rng.integers(0, 2, (3, 70))
+    m[7] = 0
+    x = expr(spark, m).select("cell_id", "gene_id", "value")
+    scores, loadings, share = decompose.gene_pca(x, spark.range(60).withColumnRenamed("id", "cell_id"), x.select("gene_id"), 3)
+    got = np.array([r["x"] for r in scores.orderBy("cell_id").collect()])
+    u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-3)
+    assert share == pytest.approx(s[:3] ** 2 / (s**2).sum(), rel=1e-4) and loadings.count() == 70
+
+
+def test_recipe_lists_and_components(spark):
+    rng = np.random.default_rng(13)
+    m = rng.poisson(3.0, (40, 30)) * rng.integers(0, 2, (40, 30))
+    e = expr(spark, m, "spliced").unionByName(expr(spark, m // 2, "unspliced"))
+    cells = spark.range(40).withColumnRenamed("id", "cell_id")
+    p = recipes.monocle(e, cells, 10, append=["g29"], exclude=["g0"], n_pcs=2, new="unspliced")
+    chosen = {r["gene_id"] for r in p.genes.where("selected").collect()}
+    assert "g29" in chosen and "g0" not in chosen
+    assert p.pca.count() == p.cells.count() and len(p.pca.first()["x"]) == 2
+    part = {r["cell_id"]: r["ntr"] for r in p.cells.collect()}
+    new, total = (m // 2).sum(1), (m + m // 2).sum(1)
+    kept = [g for g in range(30) if (m[:, g] > 0).sum() >= 5]
+    assert all(part[i] == pytest.approx((m[i, kept] // 2).sum() / (m[i, kept] + m[i, kept] // 2).sum()) for i in part)
+    assert new.sum() < total.sum()
+    forced = recipes.monocle(e, cells, 10, force=["g1", "g2"])
+    assert {r["gene_id"] for r in forced.genes.where("selected").collect()} == {"g1", "g2"}
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 1200)] + 0.6 * rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, x array<double>")
+    exact = {(r["i"], r["j"]) for r in graph.nearest(df, df, 10).select("i", "j").collect()}
+    got = {(r["i"], r["j"]): r["d"] for r in graph.nearest_approximate(df, df, 10, block=300).collect()}
+    assert len(exact & set(got)) >= 0.9 * len(exact)
+    assert all(d == pytest.approx(float(np.linalg.norm(x[i] - x[j]))) for (i, j), d in list(got.items())[:200])
+
+
+def test_simulation_stops_at_too_many_events(spark):
+    with pytest.raises(Exception, match="more than 20 events"):
+        simulate.gillespie(spark, 1, [0, 0], simulate.EXPRESSION, simulate.expression_rates(50.0, 1.0, 0.5), 10.0, 5, max_events=20).count()

@@ -15,7 +15,7 @@ def test_matches_sql(spark, module, name):
     same(x.QUERIES[name](spark, SF), x.SQL[name])
 
 
-@pytest.mark.parametrize("module,name", [w for w in WITHOUT if w[1] not in ("graph_potential", "fate_bias")])
+@pytest.mark.parametrize("module,name", WITHOUT)
 def test_runs(spark, module, name):
     df = LOADED[module].QUERIES[name](spark, SF)
     assert df.columns

@@ -22,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows that the importance resampling draws, by doc_id (which may be null) and text."""
+    docs = docs.select(*COLUMNS)
     rated = resample_quality(docs, table(spark, sf_dir, "labels")).where("not kept")
     gone = rated.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
@@ -34,6 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null or empty text is one empty line, which stays. Rows without doc_id, repeated rows, empty
     tables and clashing names are treated as ``line_dedup`` does; texts of any length are split whole.
     """
+    docs = docs.select(*COLUMNS)
     out = line_dedup(docs).where("n_dropped < n_lines")
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without doc_id come after all others. Of rows with equal doc_id and text one stays.
     Texts without words (null, empty) are in no group, so only such repeats of them go.
     """
+    docs = docs.select(*COLUMNS)
     found = cut(similar_documents(docs), "similar")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = found.where("n_shingles > 0").groupBy("class_h", "class_g").agg(F.min(row).alias("first"), F.max(row).alias("last"))
@@ -74,6 +77,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null source is a source of its own. Texts without words are never drawn. Rows with one doc_id, or
     none, and repeated rows are drawn each; very long texts are drawn by blocks. Without any words the mix is empty.
     """
+    docs = docs.select(*COLUMNS)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(docs.withColumns({"size": size, "rid": F.monotonically_increasing_id()}), "sized")
     _, drawn = mix(sized.select("rid", "doc_id", "source", "size"))
@@ -98,6 +102,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty text has no ids; rows without doc_id and repeated rows are encoded each, texts of any length whole.
     """
+    docs = docs.select(*COLUMNS)
     return encode(docs, block_chars=PIECES_BLOCK)
 
 

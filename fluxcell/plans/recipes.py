@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxcell.functions.lineage import cut
 from fluxcell.functions.scalars import ratio
 from fluxcell.operators import decompose, matrix, normalize, qc, select, stats
 
@@ -26,11 +27,11 @@ def _n(cells: DataFrame) -> DataFrame:
 
 def filtered(expr: DataFrame, cells: DataFrame, min_genes: float, min_cells: float) -> tuple[DataFrame, DataFrame]:
     """Cells with at least min_genes genes and genes found in at least min_cells cells, and their entries."""
-    x = matrix.with_total(expr)
-    kept_cells = qc.filter_cells_by_outliers(x, {"X": (min_genes, float("inf"))}).where("kept").select("cell_id")
+    x = cut(matrix.with_total(expr))
+    kept_cells = cut(qc.filter_cells_by_outliers(x, {"X": (min_genes, float("inf"))}).where("kept").select("cell_id"))
     x = matrix.restrict(x, kept_cells)
     kept_genes = qc.filter_genes_by_outliers(x, _n(kept_cells), {"X": {"min_cell": min_cells}}).where("kept").select("gene_id")
-    return cells.join(kept_cells, "cell_id", "left_semi"), matrix.restrict(x, None, kept_genes)
+    return cut(cells.join(kept_cells, "cell_id", "left_semi")), cut(matrix.restrict(x, None, kept_genes))
 
 
 def choose(genes: DataFrame, append: list | None = None, exclude: list | None = None, force: list | None = None) -> DataFrame:
@@ -76,9 +77,9 @@ def monocle(
     size = expr.agg(F.count_distinct("gene_id").alias("g"), F.count_distinct("cell_id").alias("c")).first()
     cells, x = filtered(expr, cells, min(50, 0.01 * size["g"]), max(5, 0.01 * size["c"]))
     factors = normalize.size_factors(matrix.layer(x, "X"), cells)
-    x = normalize.normalize(x, factors)
+    x = cut(normalize.normalize(x, factors))
     spread = select.mean_variance(matrix.layer(x, "X"), _n(cells))
-    genes = choose(select.seurat_dispersion(spread, n_top=n_top), append, exclude, force)
+    genes = cut(choose(select.seurat_dispersion(spread, n_top=n_top), append, exclude, force))
     p = Prepared(cells.join(factors, "cell_id"), genes, x.withColumn("value", F.log1p("value")))
     return finish(p, n_pcs, **more) if n_pcs else p
 
@@ -100,7 +101,7 @@ def seurat(expr: DataFrame, cells: DataFrame, n_top: int = 2000, scale_to: float
     """Filter, scale every cell to one total, log1p, select by dispersion of normalised counts, and (``n_pcs``) ``finish``."""
     cells, x = filtered(expr, cells, 1, 5)
     factors = normalize.size_factors(matrix.layer(x, "X"), cells, scale_to=scale_to)
-    x = normalize.normalize(x, factors)
+    x = cut(normalize.normalize(x, factors))
     genes = select.seurat_dispersion(select.mean_variance(matrix.layer(x, "X"), _n(cells)), n_top=n_top)
     p = Prepared(cells, genes, x.withColumn("value", F.log1p("value")))
     return finish(p, n_pcs, **more) if n_pcs else p

@@ -114,7 +114,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     it, so each task sees every document of its ranges next to its successor and the text is
     shuffled once.
 
-    Null text is empty; equal texts have equal fingerprints; an empty text's is the empty string.
+    Very long texts are cut into chunks whole. Null text is empty; equal texts have equal fingerprints; an empty text's is the empty string.
     Rows are ordered by doc_id (null first), then text, so repeated ids follow each other; a
     single row is its own next. An empty table gives an empty result. Other columns are left behind.
     """

@@ -217,7 +217,7 @@ def held_out():
 def identify_language(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Learn from the labelled documents that aren't held out, then predict every document.
 
-    Rows with null doc_id are never held out. An empty table gives an empty result. Repeated rows
+    Null text and text without letters is ``und``; very long texts are scored whole. Rows with null doc_id are never held out. An empty table gives an empty result. Repeated rows
     each get their prediction. Other columns are left behind.
     """
     pieces = read_pieces(vocabulary)

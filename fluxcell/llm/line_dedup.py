@@ -24,7 +24,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     between them. The grouped hashes are written before they are joined. Only hashes and positions are shuffled by key, and partial aggregates carry a
     hot line, so no task gathers its occurrences.
 
-    Null or empty text: one empty line, kept. Rows with null doc_id keep all lines and count for
+    Null or empty text: one empty line, kept. Very long texts are split whole, and only hashes of their lines travel. Rows with null doc_id keep all lines and count for
     no other. Repeated rows of one doc_id are one document when documents are counted; each
     row keeps its own text. Other columns pass through; those named like the new ones are
     replaced. An empty table gives an empty table.

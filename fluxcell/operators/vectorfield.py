@@ -34,6 +34,12 @@ class Field:
         diff = x[:, None, :] - self.control[None]
         return -2 * self.beta * np.einsum("nm,mi,nmj->nij", k, self.coef, diff)
 
+    def hessian(self, x: np.ndarray) -> np.ndarray:
+        """H[n, i, j, l] = d2 f_i / d x_j d x_l at each row."""
+        k, diff = self.kernel(x), x[:, None, :] - self.control[None]
+        outer = 4 * self.beta**2 * np.einsum("nm,mi,nmj,nml->nijl", k, self.coef, diff, diff, optimize=True)
+        return outer - 2 * self.beta * np.einsum("ni,jl->nijl", k @ self.coef, np.eye(x.shape[1]))
+
     def laplacian(self, x: np.ndarray) -> np.ndarray:
         k, diff = self.kernel(x), x[:, None, :] - self.control[None]
         w = k * (4 * self.beta**2 * (diff * diff).sum(2) - 2 * self.beta * x.shape[1])
@@ -148,6 +154,18 @@ def curvature(f: Field, x, v):
     return np.sqrt((((a * vv - w * va) / np.maximum(vv**2, 1e-300)) ** 2).sum(1))
 
 
+def turning(f: Field, x, v):
+    """The other curvature: |v x a| / |v|^3, from lengths and the angle between them."""
+    w, a = f(x), acceleration(f, x, v)
+    vv, aa, va = (w * w).sum(1), (a * a).sum(1), (w * a).sum(1)
+    return np.sqrt(np.maximum(vv * aa - va * va, 0)) / np.maximum(vv**1.5, 1e-300)
+
+
+def hessian(f: Field, x, v):
+    """All second derivatives of a cell, flattened in order of component, then the two variables."""
+    return f.hessian(x).reshape(len(x), -1)
+
+
 def torsion(f: Field, x, v):
     """Of 3-d fields: (v x a) . (J a) / |v x a|^2; zero otherwise."""
     if x.shape[1] != 3:

@@ -111,10 +111,27 @@ def vector_field_sensitivity(spark, d):
     return out.select("cell_id", F.posexplode("s").alias("k", "s")).select("cell_id", "k", r("s", digits=3))
 
 
+@query()
+def vector_field_hessian(spark, d):
+    cells, f = field(spark, d)
+    out = V.per_cell(cells, f, {"h": V.hessian, "turning": V.turning})
+    out = out.select("cell_id", r("turning", digits=3), F.posexplode("h").alias("k", "h"))
+    return out.select("cell_id", "k", r("h", digits=4), "turning")
+
+
+def wells(spark, d):
+    """A field with two basins, fitted to velocities x - x^3 along the first axis and -y along the second, at the cells' places."""
+    x = F.transform(F.slice("x", 1, 2), lambda z: 10 * z)
+    cells = B.vectors(spark, d).select("cell_id", x.alias("x"))
+    a, b = F.get("x", 0), F.get("x", 1)
+    cells = cut(cells.where(F.greatest(F.abs(a), F.abs(b)) < 2).select("cell_id", "x", F.array(a - a * a * a, -b).alias("v")))
+    return cells, V.fit_field(cells, 60, beta=0.5, ridge=0.01, rounds=8)
+
+
 @query()
 def fixed_points(spark, d):
-    cells, f = field(spark, d, 2)
-    return V.fixed_points(cells, f).select(F.round(F.get("x", 0), 2).alias("x0"), F.round(F.get("x", 1), 2).alias("x1"), "n", "stable")
+    cells, f = wells(spark, d)
+    return V.fixed_points(cells, f, digits=2).select(F.round(F.get("x", 0), 2).alias("x0"), F.round(F.get("x", 1), 2).alias("x1"), "n", "stable")
 
 
 @query()
@@ -126,10 +143,9 @@ def nullclines(spark, d):
 
 @query()
 def separatrices(spark, d):
-    cells, f = field(spark, d, 2)
-    points = V.fixed_points(cells, f).where("not stable").select(F.xxhash64("x").alias("h"), "x")
-    points = points.select((F.pmod("h", F.lit(1_000_000))).alias("cell_id"), "x")
-    return V.separatrices(points, f, 2.0, 40, 5).select("cell_id", "step", F.round(F.get("x", 0), 2).alias("x0"))
+    cells, f = wells(spark, d)
+    points = V.fixed_points(cells, f, digits=2).where("not stable").select(F.pmod(F.xxhash64("x"), F.lit(1_000_000)).alias("cell_id"), "x")
+    return V.separatrices(points, f, 2.0, 40, 5).select("cell_id", "step", F.round(F.get("x", 0), 2).alias("x0"), F.round(F.get("x", 1), 2).alias("x1"))
 
 
 @query()

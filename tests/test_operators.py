@@ -447,3 +447,32 @@ def test_approximate_neighbours_recall(spark):
 def test_simulation_stops_at_too_many_events(spark):
     with pytest.raises(Exception, match="more than 20 events"):
         simulate.gillespie(spark, 1, [0, 0], simulate.EXPRESSION, simulate.expression_rates(50.0, 1.0, 0.5), 10.0, 5, max_events=20).count()
+
+
+def test_hessian_and_turning_match_differences():
+    rng = np.random.default_rng(15)
+    f = V.Field(rng.normal(size=(6, 3)), 0.4, rng.normal(size=(6, 3)))
+    x, h = rng.normal(size=(4, 3)), 1e-5
+    got = f.hessian(x)
+    for k in range(3):
+        step = np.eye(3)[k] * h
+        assert got[..., k] == pytest.approx((f.jacobian(x + step) - f.jacobian(x - step)) / (2 * h), abs=1e-6)
+    assert np.einsum("nijj->ni", got) == pytest.approx(f.laplacian(x))
+    w, a = f(x), V.acceleration(f, x, None)
+    want = np.linalg.norm(np.cross(w, a), axis=1) / np.linalg.norm(w, axis=1) ** 3
+    assert V.turning(f, x, None) == pytest.approx(want)
+
+
+def test_separatrices_leave_from_saddles(spark):
+    rng = np.random.default_rng(16)
+    x = rng.uniform(-1.8, 1.8, (400, 2))
+    v = np.stack([x[:, 0] - x[:, 0] ** 3, -x[:, 1]], 1)
+    cells = spark.createDataFrame([(i, x[i].tolist(), v[i].tolist()) for i in range(400)], "cell_id long, x array<double>, v array<double>")
+    f = V.fit_field(cells, 80, beta=0.5, ridge=0.01, rounds=8)
+    found = [r for r in V.fixed_points(cells, f, digits=1).collect() if r["n"] > 20]
+    at = {(round(r["x"][0]), round(r["x"][1])): r["stable"] for r in found}
+    assert at == {(-1, 0): True, (1, 0): True, (0, 0): False}
+    saddle = spark.createDataFrame([(1, [0.0, 0.0])], "cell_id long, x array<double>")
+    path = V.separatrices(saddle, f, 3.0, 60, 4).collect()
+    ends = [r["x"] for r in path if r["step"] == max(q["step"] for q in path)]
+    assert len(ends) == 2 and all(abs(e[0]) < 0.3 and abs(e[1]) > 0.1 for e in ends)  # along x = 0, one on each side

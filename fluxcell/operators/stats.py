@@ -182,8 +182,8 @@ def order_in_phase(cc: DataFrame) -> DataFrame:
     order = [F.col("phase"), F.desc("progress"), F.col("cell_id")]
     at = cut(cc.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     n = at.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
-    before = n.select(F.col("_part").alias("_p"), F.col("_n").alias("_b"))
-    carry = n.join(before, F.col("_p") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("_before"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = n.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     total = n.agg(F.sum("_n").alias("_all"))
     row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     out = at.join(F.broadcast(carry), "_part").crossJoin(F.broadcast(total))

@@ -17,7 +17,7 @@ NEIGHBOURS = 12  # of a node in upper layers; twice as many in the lowest
 BUILD_BEAM = 48
 FIRST_BEAM = 32
 AUDITED = 64  # queries of each search that are held against an exact scan
-NEAREST = 10  # of an audited query, which an audit looks for whatever their cosine
+PROBES = 256  # made-up queries of an audit, each just linked to a node of the shard
 RECALL = 0.995
 TOGETHER = 256  # queries that walk a graph together
 STEP = 4  # nodes that a query expands at once
@@ -188,22 +188,28 @@ def linked(x, vec, graph, y, beam: int, least: float):
         todo, beam = np.concatenate(again), beam * 2
 
 
+def probes(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Evenly spaced nodes of a shard, and for each a vector at cosine ``least`` from it, in a random direction."""
+    node = np.arange(0, len(x), max(1, len(x) // PROBES))
+    u = np.random.default_rng(len(x)).normal(size=(len(node), x.shape[1]))
+    u -= (u * x[node]).sum(1, keepdims=True) * x[node]
+    u /= np.maximum(np.sqrt((u * u).sum(1, keepdims=True)), 1e-12)
+    return node, least * x[node] + np.sqrt(1 - least * least) * u
+
+
 def passing_beam(x, vec, graph, y, least: float) -> int:
-    """The first beam at which an audit of evenly spaced queries finds ``RECALL`` of their ``NEAREST`` by exact scan and
-    of their true links. Links may be too rare for evidence; every query has nearest nodes, which are harder to find."""
+    """The first beam that passes two audits: from queries at the least cosine of a link from a node of the shard
+    (``probes``, which every shard has, however rare its links are) it finds ``RECALL`` of those nodes, and of
+    evenly spaced real queries ``RECALL`` of the links that an exact scan finds."""
+    node, probe = probes(x, least)
+    probe = probe.astype(np.float32)
     audit = y[:: max(1, len(y) // AUDITED)]
-    single = audit.astype(np.float32)
-    exact = audit @ x.T
-    true = int((exact >= least).sum())
-    k = min(NEAREST, len(x))
-    kth = np.partition(exact, len(x) - k, 1)[:, len(x) - k, None]
+    true = int((audit @ x.T >= least).sum())
     beam = FIRST_BEAM
     while beam < len(x):
-        _, sim = search(vec, graph, single, beam)
-        near = int(np.minimum((sim >= kth - 1e-6).sum(1), k).sum())
-        if near >= RECALL * k * len(audit):
-            got = sum(len(q) for q, _ in linked(x, vec, graph, audit, beam, least))
-            if got >= RECALL * true:
+        ids, _ = search(vec, graph, probe, beam)
+        if (ids == node[:, None]).any(1).mean() >= RECALL:
+            if sum(len(q) for q, _ in linked(x, vec, graph, audit, beam, least)) >= RECALL * true:
                 break
         beam *= 2
     return beam
@@ -229,8 +235,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     Equal vectors of a label are one node with a count. The nodes of a label (and length) are
     dealt by hash to shards of about ``shard_size``; each shard's graph is built once, and every
     shard of the label is queried with all the label's nodes, a shard at a time. Beams widen until
-    an audit of nearest nodes and of links against an exact scan passes, and further for queries
-    whose beam is full of links.
+    audits pass, of made-up queries just linked to known nodes and of real ones against an exact scan, and further for
+    queries whose beam is full of links.
     Every link is verified. A search returns counts by query and a spanning forest of its links,
     never all pairs; components come from the forests.
 

@@ -103,7 +103,7 @@ def nearest_approximate(
                 x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                 near = (pivot * pivot).sum(1)[None] - 2 * (x @ pivot.T)
                 best = np.argpartition(near, probes - 1, 1)[:, :probes]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.astype(np.int32).tolist())], names=["cell_id", "x", "lists"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int32()))], names=["cell_id", "x", "lists"])
 
         return df.select("cell_id", "x").mapInArrow(run, "cell_id long, x array<double>, lists array<int>")
 

@@ -2,6 +2,7 @@
 
 from fluxcell.llm.chat import OP9_SQL, op9_chat_formatting
 from fluxcell.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
+from fluxcell.llm.filter_audit import OP12_SQL, op12_filter_audit
 from fluxcell.llm.fingerprints import op4_fingerprints
 from fluxcell.llm.language_id import op1_language_id
 from fluxcell.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -10,6 +11,8 @@ from fluxcell.llm.ngram_join import op10_ngram_join
 from fluxcell.llm.pieces import op5_sentencepiece
 from fluxcell.llm.quality import op3_quality_classifier
 from fluxcell.llm.secret_scan import OP8_SQL, op8_secret_scan
+from fluxcell.llm.spelling_variants import OP13_SQL, op13_spelling_variants
+from fluxcell.llm.toxicity import op11_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +27,9 @@ QUERIES = {
         op8_secret_scan,
         op9_chat_formatting,
         op10_ngram_join,
+        op11_toxicity,
+        op12_filter_audit,
+        op13_spelling_variants,
     )
 }
 
@@ -32,4 +38,6 @@ SQL = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_secret_scan": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }

@@ -2,122 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxcell.functions.lineage import cut
 from fluxcell.functions.scalars import ratio
+from fluxcell.operators.neighbours import nearest, nearest_approximate
 
-BLOCK = 4096
-
-
-def _best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, skip_self: bool):
-    """The k nearest of ``c`` for each row of ``q``, by squared distance from one matrix product, then exactly."""
-    wide = min(len(c), k + 8 + int(skip_self))
-    near = (c * c).sum(1)[None] - 2 * (q @ c.T)
-    if skip_self:
-        near[q_id[:, None] == c_id[None]] = np.inf
-    pick = np.argpartition(near, wide - 1, 1)[:, :wide]
-    d = np.sqrt(((q[:, None, :] - c[pick]) ** 2).sum(2))
-    d[np.isinf(np.take_along_axis(near, pick, 1))] = np.inf
-    ids = c_id[pick]
-    order = np.lexsort((ids, d), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
-
-
-def _finder(k: int, skip_self: bool):
-    """The k best (i, j, d) of a group's queries (side 0) among its points (side 1)."""
-
-    def find(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids = t.column("cell_id").to_numpy()
-        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        q, c = side == 0, side == 1
-        out = []
-        if q.any() and c.any():
-            for i in range(0, int(q.sum()), 512):
-                some = np.flatnonzero(q)[i : i + 512]
-                j, d = _best(ids[some], x[some], ids[c], x[c], k, skip_self)
-                out.append((np.repeat(ids[some], j.shape[1]), j.ravel(), d.ravel()))
-        cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in range(3)]
-        ok = np.isfinite(cols[2].astype(float))
-        return pa.table(
-            {"i": pa.array(cols[0][ok], pa.int64()), "j": pa.array(cols[1][ok], pa.int64()), "d": pa.array(cols[2][ok], pa.float64())}
-        )
-
-    return find
-
-
-def nearest(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """``(i, j, d, rank)``: the exact k nearest of ``points(cell_id, x)`` for each of ``queries(cell_id, x)``.
-
-    Both sides are cut into blocks by a hash of the id; each pair of blocks is a task that returns
-    its own k best, and the best of those are kept, so no task holds more than two blocks. Ties go
-    to the smaller id. Rows without a vector are left out.
-    """
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        df = df.where("x is not null")
-        n = df.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("n"))
-        df = df.crossJoin(F.broadcast(n)).select(F.pmod(F.xxhash64("cell_id"), "n").alias(name), "cell_id", "x")
-        return df
-
-    left, right = blocks(queries, "a"), blocks(points, "b")
-    pairs = left.select("a").distinct().crossJoin(right.select("b").distinct())  # block numbers, not rows
-    tasks = (
-        left.join(pairs, "a").select("a", "b", F.lit(0).alias("side"), "cell_id", "x")
-    ).unionByName(right.join(pairs, "b").select("a", "b", F.lit(1).alias("side"), "cell_id", "x"))
-
-    found = tasks.groupBy("a", "b").applyInArrow(_finder(k, skip_self), "i long, j long, d double")
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-PIVOTS = 4096  # lists of an approximate search, at most
-
-
-def nearest_approximate(
-    queries: DataFrame, points: DataFrame, k: int, probes: int = 8, skip_self: bool = True, block: int = BLOCK, seed: int = 0
-) -> DataFrame:
-    """``(i, j, d, rank)`` as ``nearest``, searched only in the lists of each query's ``probes`` nearest pivots.
-
-    About sqrt(n) points (``PIVOTS`` at most), picked by hash, are the pivots; a point is in the
-    list of its nearest pivot. Lists of over ``block`` points are split by hash, so a crowded
-    region is no single task. Every query and point takes part, and found distances are exact; neighbours in lists
-    that aren't probed are missed. Work grows as n * probes rather than n * n.
-    """
-    points = points.where("x is not null")
-    n = points.count()
-    m = max(1, min(PIVOTS, round(n**0.5)))
-    pivot = np.array([r["x"] for r in points.orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id").limit(m).select("x").collect()], float)
-
-    def lists(df: DataFrame, probes: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                near = (pivot * pivot).sum(1)[None] - 2 * (x @ pivot.T)
-                best = np.argpartition(near, probes - 1, 1)[:, :probes]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int32()))], names=["cell_id", "x", "lists"])
-
-        return df.select("cell_id", "x").mapInArrow(run, "cell_id long, x array<double>, lists array<int>")
-
-    at = cut(lists(points, 1).select("cell_id", "x", F.get("lists", 0).alias("a")))
-    ask = cut(lists(queries.where("x is not null"), min(probes, m)).select("cell_id", "x", F.explode("lists").alias("a")))
-    count = lambda df, name: df.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    parts = cut(count(at, "np").join(count(ask, "nq"), "a"))  # PIVOTS rows at most
-    spread = lambda c: F.explode(F.expr(f"sequence(0, {c} - 1)"))
-    at = at.join(F.broadcast(parts), "a").select("a", F.pmod(F.xxhash64("cell_id"), "np").cast("int").alias("b"), spread("nq").alias("c"), F.lit(1).alias("side"), "cell_id", "x")
-    ask = ask.join(F.broadcast(parts), "a").select("a", spread("np").alias("b"), F.pmod(F.xxhash64("cell_id"), "nq").cast("int").alias("c"), F.lit(0).alias("side"), "cell_id", "x")
-    found = ask.unionByName(at).groupBy("a", "b", "c").applyInArrow(_finder(k, skip_self), "i long, j long, d double")
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
+__all__ = ["nearest", "nearest_approximate"]  # the graphs that most of this module starts from
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Union of (i, j) and (j, i) with the least distance."""

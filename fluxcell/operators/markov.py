@@ -125,11 +125,19 @@ def embedded_chain(rates: DataFrame) -> DataFrame:
     return e.join(s, "i").select("i", "j", ratio(F.col("q"), F.col("s")).alias("p"))
 
 
-def fokker_planck(edges: DataFrame, weights: DataFrame, diffusion: float) -> DataFrame:
-    """Rate ``(i, j, q)`` of drift and diffusion on a graph: -v_ij / 2 + D w_ij for i <> j, and -sum on the diagonal."""
-    e = edges.select("i", "j", "v").join(weights.select("i", "j", "w"), ["i", "j"], "full")
-    q = -F.coalesce("v", F.lit(0.0)) / 2 + diffusion * F.coalesce("w", F.lit(0.0))
-    off = e.where("i <> j").select("i", "j", q.alias("q"))
+def fokker_planck(flow: DataFrame, weights: DataFrame, diffusion: float) -> DataFrame:
+    """Rates ``(i, j, q)`` from i to j of drift and diffusion on a graph: max(F_ij, 0) / 2 + D w_ij for i <> j.
+
+    F is the antisymmetric part of ``flow(i, j, v)``: of an edge's two directions only the one that the flow goes along
+    has drift, so no rate is negative. ``weights(i, j, w)`` should be symmetric. The diagonal is less what leaves, so a
+    state's rates sum to 0; as a matrix with columns for the states that are left, q stands in row j and column i.
+    """
+    both = flow.where("i <> j").select("i", "j", "v").unionByName(
+        flow.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("v")).alias("v"))
+    )
+    drift = both.groupBy("i", "j").agg((F.greatest(F.sum("v") / 2, F.lit(0.0)) / 2).alias("q"))
+    spread = weights.where("i <> j").select("i", "j", (diffusion * F.col("w")).alias("q"))
+    off = drift.unionByName(spread).groupBy("i", "j").agg(F.sum("q").alias("q"))
     return off.unionByName(off.groupBy("i").agg((-F.sum("q")).alias("q")).select("i", F.col("i").alias("j"), "q"))
 
 

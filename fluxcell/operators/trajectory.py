@@ -28,7 +28,18 @@ def tangents(traj: DataFrame) -> DataFrame:
     return t.withColumn("turn", F.when(moved, angle(F.col("tangent"), before)))
 
 
-def mean_squared_displacement(traj: DataFrame, lags: list[int]) -> DataFrame:
+def mean_squared_displacement(traj: DataFrame, ref: int = 0) -> DataFrame:
+    """``(traj_id, k, msd)``: the mean of (x_k - x_k of the ref-th point) squared over all points, by dimension k from 0.
+
+    Their sum is the total. A trajectory without such a point has none.
+    """
+    at = traj.select("traj_id", "step", "x").withColumn("n", F.row_number().over(_order()) - 1) if ref else None
+    first = traj.groupBy("traj_id").agg(F.min_by("x", "step").alias("x0")) if ref == 0 else at.where(F.col("n") == ref).select("traj_id", F.col("x").alias("x0"))
+    d = traj.join(first, "traj_id").select("traj_id", F.posexplode(F.zip_with("x", "x0", lambda a, b: (a - b) * (a - b))).alias("k", "d"))
+    return d.groupBy("traj_id", "k").agg(F.avg("d").alias("msd"))
+
+
+def lagged_displacement(traj: DataFrame, lags: list[int]) -> DataFrame:
     """``(traj_id, lag, msd)`` over steps a fixed number apart."""
     w = _order()
     ahead = traj.select("traj_id", "x", *[F.lead("x", k).over(w).alias(f"x{k}") for k in lags])

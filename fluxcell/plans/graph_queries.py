@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxcell.functions import scalars as S
-from fluxcell.operators import graph, kinetics, matrix, moments, sampling
+from fluxcell.operators import graph, kinetics, matrix, moments, neighbours, sampling, trees
 from fluxcell.plans import bindings as B
 
 QUERIES, SQL = {}, {}
@@ -50,6 +50,18 @@ def nearest_neighbours_approximate(spark, d):
     return graph.nearest_approximate(v, v, K).select("i", "j", r("d"), "rank")
 
 
+@query()
+def approximate_recall(spark, d):
+    v = B.vectors(spark, d)
+    return neighbours.recall(graph.nearest_approximate(v, v, K, block=64), knn(spark, d)).select(r("recall"), "n")
+
+
+@query()
+def visited_lists(spark, d):
+    v = B.vectors(spark, d)
+    return neighbours.visited_lists(v, v, K, block=64).select("cell_id", r("bound"), "visited", "lists")
+
+
 @query("SELECT i, j, round(w, 9) AS w FROM wt", KNN)
 def smoothing_weights(spark, d):
     return graph.smoothing_weights(knn(spark, d), B.vectors(spark, d)).select("i", "j", r("w", digits=9))
@@ -193,14 +205,70 @@ def graph_curl(spark, d):
 
 @query(
     """, s AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn), e AS (SELECT i, j, min(d) AS d FROM s GROUP BY i, j),
-    t AS (SELECT 0 AS n, 0::BIGINT AS cell_id, 0.0::DOUBLE AS t UNION ALL
-      SELECT n, cell_id, min(t) FROM (SELECT n + 1 AS n, cell_id, t FROM t WHERE n < 40
-        UNION ALL SELECT n + 1, j, t + d FROM t JOIN e ON i = cell_id WHERE n < 40) GROUP BY ALL)
-    SELECT cell_id, round(t, 6) AS pseudotime FROM t WHERE n = 40""",
+    t(cell_id, t) USING KEY (cell_id) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION
+      SELECT j, min(t.t + d) FROM t JOIN e ON i = t.cell_id LEFT JOIN recurring.t o ON o.cell_id = j WHERE o.t IS NULL OR t.t + d < o.t GROUP BY j)
+    SELECT cell_id, round(t, 6) AS t FROM t""",
     "RECURSIVE " + KNN,
 )
-def pseudotime(spark, d):
-    return sampling.shortest_times(knn(spark, d), [0]).select("cell_id", r("pseudotime"))
+def shortest_times(spark, d):
+    return sampling.shortest_times(knn(spark, d), [0]).select("cell_id", r("pseudotime", "t"))
+
+
+@query(
+    """, s AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn),
+    e AS (SELECT row_number() OVER (ORDER BY d, i, j) AS n, i, j, d FROM (SELECT i, j, round(min(d), 9) AS d FROM s WHERE i < j GROUP BY i, j)),
+    k AS (SELECT 0::BIGINT AS n, list(cell_id ORDER BY cell_id) AS node, list(cell_id ORDER BY cell_id) AS tree, false AS taken FROM v
+      UNION ALL
+      SELECT e.n, node, CASE WHEN a = b THEN tree ELSE list_transform(tree, lambda t: CASE WHEN t = a THEN b ELSE t END) END, a <> b
+      FROM (SELECT n, node, tree, tree[list_position(node, e.i)] AS a, tree[list_position(node, e.j)] AS b
+            FROM (SELECT k.*, e.i, e.j FROM k JOIN e ON e.n = k.n + 1) e) k JOIN e ON e.n = k.n + 1)
+    SELECT i, j, round(d, 6) AS d FROM e JOIN k USING (n) WHERE taken""",
+    "RECURSIVE " + KNN,
+)
+def spanning_tree(spark, d):
+    e = knn(spark, d).select("i", "j", F.round("d", 9).alias("d"))
+    return trees.spanning_forest(e).select("i", "j", r("d"))
+
+
+def _centres(spark, d):
+    """A principal graph's nodes: the means of the labels' vectors."""
+    parts = B.vectors(spark, d).select(F.col("label").cast("long").alias("node"), F.posexplode("x").alias("k", "x"))
+    parts = parts.groupBy("node", "k").agg(F.avg("x").alias("x"))
+    return parts.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("x"))
+
+
+# a lightest path's longest edge is found by doubling; an edge of the graph stands in the tree if it is no longer than that
+CENTRES = KNN + """, cm AS (SELECT label AS node, k, avg(x) AS x FROM (SELECT label, generate_subscripts(x, 1) AS k, unnest(x) AS x FROM v) GROUP BY ALL),
+cen AS (SELECT node, list(x ORDER BY k) AS x FROM cm GROUP BY node),
+ck AS (SELECT a.node AS i, b.node AS j, list_distance(a.x, b.x) AS d FROM cen a JOIN cen b ON a.node <> b.node
+  QUALIFY row_number() OVER (PARTITION BY a.node ORDER BY list_distance(a.x, b.x), b.node) <= 5),
+ce AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM ck UNION ALL SELECT j, i, d FROM ck) GROUP BY i, j),
+mm AS (SELECT 0 AS n, i, j, d FROM ce UNION ALL SELECT n, i, j, min(d) FROM (
+  SELECT n + 1 AS n, i, j, d FROM mm WHERE n < 4
+  UNION ALL SELECT a.n + 1, a.i, b.j, greatest(a.d, b.d) FROM mm a JOIN mm b ON a.j = b.i AND a.n = b.n AND a.i <> b.j WHERE a.n < 4) GROUP BY ALL),
+st AS (SELECT ce.i, ce.j, ce.d FROM ce JOIN mm USING (i, j) WHERE n = 4 AND ce.d <= mm.d + 1e-12),
+rt AS (SELECT min(i) AS root FROM (SELECT i FROM st GROUP BY i HAVING count(*) = 1)),
+dn AS (SELECT root AS node, NULL::INTEGER AS parent, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t FROM rt
+  UNION ALL SELECT st.j, st.i, st.d, t + st.d FROM dn JOIN st ON st.i = dn.node WHERE st.j IS DISTINCT FROM dn.parent)"""
+
+
+@query(
+    """, nc AS (SELECT cell_id, v.x, node AS spot FROM v CROSS JOIN cen
+      QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY list_distance(v.x, cen.x), node) = 1),
+    sg AS (SELECT nc.cell_id, nc.x, dn.*, a.x AS xn, b.x AS xp, up.t AS tp FROM nc JOIN dn ON spot IN (dn.node, dn.parent)
+      JOIN cen a ON a.node = dn.node JOIN cen b ON b.node = dn.parent JOIN dn up ON up.node = dn.parent),
+    pj AS (SELECT *, greatest(0, least(1, list_sum([(x[k] - xp[k]) * (xn[k] - xp[k]) FOR k IN range(1, 65)]) / list_distance(xn, xp) ** 2)) AS f FROM sg),
+    fo AS (SELECT cell_id, node, parent, tp + f * d AS t, sqrt(list_sum([(x[k] - xp[k] - f * (xn[k] - xp[k])) ** 2 FOR k IN range(1, 65)])) AS away FROM pj)
+    SELECT cell_id, node::BIGINT AS node, parent::BIGINT AS parent, round(t, 5) AS pseudotime, round(away, 5) AS away FROM fo
+    QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(away, 12), node) = 1""",
+    "RECURSIVE " + CENTRES,
+)
+def tree_pseudotime(spark, d):
+    cells, nodes = B.vectors(spark, d), _centres(spark, d)
+    points = nodes.select(F.col("node").alias("cell_id"), "x")
+    near = graph.nearest(cells, points, 1, skip_self=False).select(F.col("i").alias("cell_id"), F.col("j").alias("node"))
+    out = trees.tree_pseudotime(cells, nodes, near, graph.nearest(points, points, 5))
+    return out.select("cell_id", "node", "parent", r("pseudotime", digits=5), r("away", digits=5))
 
 
 @query()

@@ -540,13 +540,20 @@ def ito_kernel(spark, d):
 
 
 @query(
-    """, off AS (SELECT i, j, -d / 2 + 0.5 AS q FROM knn)
-    SELECT i, j, round(q, 6) + 0.0 AS q FROM off UNION ALL SELECT i, i, round(-sum(q), 6) + 0.0 FROM off GROUP BY i""", KNN
+    """, fl AS (SELECT i, j, d * (b.x[1] - a.x[1]) AS v FROM knn JOIN v a ON a.cell_id = i JOIN v b ON b.cell_id = j),
+    ft AS (SELECT j AS r, i AS c, (coalesce(x.v, 0) - coalesce(y.v, 0)) / 2 AS f FROM
+      (SELECT i, j FROM fl UNION SELECT j, i FROM fl) LEFT JOIN fl x USING (i, j) LEFT JOIN (SELECT j AS i, i AS j, v FROM fl) y USING (i, j)),
+    mu AS (SELECT r, c, greatest(f, 0) AS mu FROM ft),
+    mq AS (SELECT r, c, -0.5 * -mu + 0.5 * 1.0 AS q FROM mu
+      UNION ALL SELECT c, c, -0.5 * sum(mu) + 0.5 * -count(*)::DOUBLE FROM mu GROUP BY c)
+    SELECT c AS i, r AS j, round(q, 6) + 0.0 AS q FROM mq""", KNN
 )
 def fokker_planck_rates(spark, d):
     e = knn(spark, d)
-    w = e.select("i", "j", F.lit(1.0).alias("w"))
-    return markov.fokker_planck(e.withColumnRenamed("d", "v"), w, 0.5).select("i", "j", r("q"))
+    f = B.vectors(spark, d).select(F.col("cell_id").alias("node"), F.get("x", 0).alias("f"))
+    flow = graph.gradient(e.withColumnRenamed("d", "w"), f)
+    w = graph.symmetric(e).select("i", "j", F.lit(1.0).alias("w"))
+    return markov.fokker_planck(flow, w, 0.5).select("i", "j", r("q"))
 
 
 # trajectories: a user's events as points (day, value)
@@ -588,8 +595,17 @@ def tangents(spark, d):
       WINDOW o AS (PARTITION BY traj_id ORDER BY step))
     SELECT traj_id, lag, round(avg(list_distance(x, y) ** 2), 3) AS msd FROM l WHERE y IS NOT NULL GROUP BY ALL""", T
 )
+def lagged_displacement(spark, d):
+    return trajectory.lagged_displacement(traj(spark, d), [1, 5]).select("traj_id", "lag", r("msd", digits=3))
+
+
+@query(
+    """, rf AS (SELECT traj_id, x AS x0 FROM tr WHERE step = 3), sq AS (
+      SELECT traj_id, unnest([0, 1]) AS k, unnest([(x[1] - x0[1]) ** 2, (x[2] - x0[2]) ** 2]) AS d FROM tr JOIN rf USING (traj_id))
+    SELECT traj_id, k, round(sum(d) / count(*), 3) AS msd FROM sq GROUP BY ALL""", T
+)
 def mean_squared_displacement(spark, d):
-    return trajectory.mean_squared_displacement(traj(spark, d), [1, 5]).select("traj_id", "lag", r("msd", digits=3))
+    return trajectory.mean_squared_displacement(traj(spark, d), 2).select("traj_id", "k", r("msd", digits=3))
 
 
 @query()

@@ -164,7 +164,7 @@ def test_trajectory_geometry(spark):
     tr = spark.createDataFrame([(0, i, [float(i), 0.0]) for i in range(5)], "traj_id long, step int, x array<double>")
     arc = [r["arc"] for r in trajectory.arc_length(tr).orderBy("step").collect()]
     assert arc == [0, 1, 2, 3, 4]
-    msd = {r["lag"]: r["msd"] for r in trajectory.mean_squared_displacement(tr, [1, 2]).collect()}
+    msd = {r["lag"]: r["msd"] for r in trajectory.lagged_displacement(tr, [1, 2]).collect()}
     assert msd == {1: 1.0, 2: 4.0}
     x = [r["x"][0] for r in trajectory.resample(tr, 9).orderBy("k").collect()]
     assert x == pytest.approx([i / 2 for i in range(9)])

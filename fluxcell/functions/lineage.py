@@ -33,6 +33,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str, name: str = "index") -> DataFrame:
+    """``df`` plus its rows' numbers from 0 in the order of the distinct values of ``key``: counted by range partitions."""
+    at = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
+    at = cut(at)
+    part = F.shiftright("__at", 33).alias("__part")
+    n = sorted(at.groupBy(part).count().collect())  # a row for each partition
+    if not n:
+        return at.select(*df.columns, F.col("__at").alias(name))
+    before, rows = 0, []
+    for p, count in n:
+        rows.append((p, before))
+        before += count
+    start = df.sparkSession.createDataFrame(rows, "__part long, __start long")
+    at = at.withColumn("__part", part).join(F.broadcast(start), "__part")
+    return at.select(*df.columns, (F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__start")).alias(name))
+
+
 def order_statistic(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
     """The k-th smallest value (from 0) of a column of doubles without nulls, by counting in ever narrower bins;
     at most ``most`` values reach the driver."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxcell.functions.lineage import column_quantile, cut
 from fluxcell.functions.scalars import ratio
+from fluxcell.operators.trees import paths_to, shortest_tree
 
 
 def transitions(steps: DataFrame) -> DataFrame:
@@ -249,3 +250,20 @@ def group_paths(chain: DataFrame) -> DataFrame:
         via = d.join(right, d["b"] == right["m"]).where("a <> c").select("a", F.col("c").alias("b"), (F.col("length") + F.col("l2")).alias("length"))
         d = cut(d.unionByName(via).groupBy("a", "b").agg(F.min("length").alias("length")))
     return d
+
+
+def tree_model(chain: DataFrame, progenitor: str, terminators: list[str], allowed: DataFrame | None = None) -> DataFrame:
+    """``(end, step, i, j)``: the steps of the shortest path from the progenitor to each terminal group; together they are the lineage tree.
+
+    ``chain(i, j, p)`` are transitions between groups; those without an edge in ``allowed(i, j)`` are pruned and negative ones left out, rows are divided
+    by their sums, and a transition, in either direction, is 1 - p long.
+    """
+    e = chain.where("i <> j and p > 0").select("i", "j", "p")
+    if allowed is not None:
+        e = e.join(allowed.select("i", "j").distinct(), ["i", "j"], "left_semi")
+    s = e.groupBy("i").agg(F.sum("p").alias("s"))
+    e = e.join(s, "i").select("i", "j", (1 - ratio(F.col("p"), F.col("s"))).alias("d"))
+    tree = cut(shortest_tree(e, progenitor))
+    ends = tree.where(F.col("node").isin(terminators)).select(F.col("node").alias("end"))
+    way = paths_to(tree, ends).where("step > 0")
+    return way.join(tree.select("node", "parent"), "node").select("end", "step", F.col("parent").alias("i"), F.col("node").alias("j"))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxcell.functions.lineage import cut
+from fluxcell.functions.lineage import cut, numbered
 from fluxcell.functions.scalars import cosine, norm, pearson, ratio
 
 
@@ -22,27 +23,123 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+def _moran_numerators(x: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``(gene_id, *keys, cross, linear)``: sums of w x_i x_j, and of w (x_i + x_j), over ``edges(i, j, w, *keys)`` from stored values."""
+    a = x.select(F.col("cell_id").alias("i"), "gene_id", F.col("value").alias("xi"))
+    b = x.select(F.col("cell_id").alias("j"), "gene_id", F.col("value").alias("xj"))
+    e = edges.groupBy("i", "j", *keys).agg(F.sum("w").alias("w"))
+    ends = e.select("i", "w", *keys).unionByName(e.select(F.col("j").alias("i"), "w", *keys)).groupBy("i", *keys).agg(F.sum("w").alias("w"))
+    cross = e.join(a, "i").join(b, ["j", "gene_id"]).groupBy("gene_id", *keys).agg(F.sum(F.col("w") * F.col("xi") * F.col("xj")).alias("cross"))
+    linear = ends.join(a, "i").groupBy("gene_id", *keys).agg(F.sum(F.col("w") * F.col("xi")).alias("linear"))
+    return linear.join(cross, ["gene_id", *keys], "left").fillna(0.0, ["cross"])
+
+
+def _moran_moments(x: DataFrame, n_cells: DataFrame) -> DataFrame:
+    """``(gene_id, n_cells, mu, var, kurtosis)`` with all cells without a stored value at 0."""
+    power = [F.sum(F.pow("value", F.lit(k))).alias(f"p{k}") for k in (1, 2, 3, 4)]
+    m = x.groupBy("gene_id").agg(*power).crossJoin(F.broadcast(n_cells)).withColumn("mu", F.col("p1") / F.col("n_cells"))
+    n, mu = F.col("n_cells"), F.col("mu")
+    m = m.withColumn("var", F.col("p2") / n - mu * mu)
+    fourth = F.col("p4") / n - 4 * mu * F.col("p3") / n + 6 * mu * mu * F.col("p2") / n - 3 * mu * mu * mu * mu
+    return m.select("gene_id", "n_cells", "mu", "var", ratio(fourth, F.col("var") * F.col("var")).alias("kurtosis"))
+
+
+def _moran(numerators: DataFrame, moments: DataFrame, weights: DataFrame) -> DataFrame:
+    """``numerators`` with all of ``moments``, s0 and ``moran_i``: the centred products, multiplied out."""
+    s0 = weights.agg(F.sum("w").alias("s0"))
+    one = numerators.join(moments, "gene_id").crossJoin(F.broadcast(s0))
+    num = F.col("cross") - F.col("mu") * F.col("linear") + F.col("mu") * F.col("mu") * F.col("s0")
+    return one.withColumn("moran_i", ratio(num, F.col("s0") * F.col("var")))
+
+
 def morans_i(x: DataFrame, weights: DataFrame, n_cells: DataFrame) -> DataFrame:
-    """``(gene_id, moran_i, z, p)`` of dense ``x(cell_id, gene_id, value)`` on edges (i, j, w); normality variance."""
-    mean = x.groupBy("gene_id").agg(F.avg("value").alias("mu"), F.var_pop("value").alias("var"))
-    c = x.join(mean, "gene_id").select("cell_id", "gene_id", (F.col("value") - F.col("mu")).alias("c"), "var")
-    a = c.withColumnsRenamed({"cell_id": "i", "c": "ci"})
-    b = c.select(F.col("cell_id").alias("j"), "gene_id", F.col("c").alias("cj"))
-    num = weights.join(a, "i").join(b, ["j", "gene_id"]).groupBy("gene_id", "var").agg(
-        F.sum(F.col("w") * F.col("ci") * F.col("cj")).alias("num")
-    )
-    both = weights.unionByName(weights.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    """``(gene_id, moran_i, z, p, z_rand, p_rand)`` of stored ``x(cell_id, gene_id, value)`` on edges (i, j, w).
+
+    z under the assumption of normal values, z_rand under randomisation (every value equally likely at any cell). Cells
+    without a stored value are 0 and take part by their number; only pairs of stored values are joined.
+    """
+    out = _moran(_moran_numerators(x, weights, []), _moran_moments(x, n_cells), weights)
+    both = weights.select("i", "j", "w").unionByName(weights.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     sym = both.groupBy("i", "j").agg(F.sum("w").alias("w"))
     s1 = sym.agg((F.sum(F.col("w") * F.col("w")) / 2).alias("s1"))
     ends = both.groupBy("i").agg(F.sum("w").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    s0 = weights.agg(F.sum("w").alias("s0"))
-    one = s0.crossJoin(s1).crossJoin(ends).crossJoin(n_cells)
-    n, expect = F.col("n_cells"), -ratio(F.lit(1.0), F.col("n_cells") - 1)
-    i = ratio(F.col("num"), F.col("s0") * F.col("var"))
-    var = ratio(n * n * F.col("s1") - n * F.col("s2") + 3 * F.col("s0") * F.col("s0"), (n * n - 1) * F.col("s0") * F.col("s0"))
-    z = (F.col("moran_i") - expect) / F.sqrt(var - expect * expect)
-    out = num.crossJoin(F.broadcast(one)).withColumn("moran_i", i).withColumn("z", z)
-    return out.select("gene_id", "moran_i", "z", normal_tail(F.col("z")).alias("p"))
+    out = out.crossJoin(F.broadcast(s1)).crossJoin(F.broadcast(ends))
+    n, s0, s1, s2 = F.col("n_cells").cast("double"), F.col("s0"), F.col("s1"), F.col("s2")
+    expect = -ratio(F.lit(1.0), n - 1)
+    normal = ratio(n * n * s1 - n * s2 + 3 * s0 * s0, (n * n - 1) * s0 * s0) - expect * expect
+    free = n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - F.col("kurtosis") * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)
+    random = ratio(free, (n - 1) * (n - 2) * (n - 3) * s0 * s0) - expect * expect
+    for name, var in (("z", normal), ("z_rand", random)):
+        out = out.withColumn(name, ratio(F.col("moran_i") - expect, F.sqrt(var)))
+    p = lambda c: normal_tail(F.col(c))
+    return out.select("gene_id", "moran_i", "z", p("z").alias("p"), "z_rand", p("z_rand").alias("p_rand"))
+
+
+def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where a pseudorandom permutation of 0 ... n - 1 takes each index: four Feistel rounds on a grid of about sqrt(n) x sqrt(n), walked
+    until inside. Each row is computed by itself; different keys give different permutations."""
+    side = int(np.ceil(np.sqrt(n)))
+    high = -(-n // side)
+
+    def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+        x = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+    out, open_ = np.array(index, np.int64), np.ones(len(index), bool)
+    while open_.any():
+        a, b = out[open_] // side, out[open_] % side
+        for r in range(4):
+            if r % 2:
+                a = (a + mixed(b, key * 8 + r)) % high
+            else:
+                b = (b + mixed(a, key * 8 + r)) % side
+        out[open_] = a * side + b
+        open_ = out >= n
+    return out
+
+
+def morans_i_permutation(x: DataFrame, weights: DataFrame, cells: DataFrame, permutations: int = 999, seed: int = 0) -> DataFrame:
+    """``(gene_id, moran_i, mean_sim, z_sim, p_sim)``: Moran's I against ``permutations`` random placements of the values.
+
+    Cells of ``cells(cell_id)`` are numbered; a placement moves the ends of every edge by a keyed bijection of the numbers, computed
+    row by row, so all placements are scored by one join of the moved edges with the stored values. p_sim = (m + 1) / (permutations + 1), m being
+    how many placements reach the statistic, or stay below it if those are fewer.
+    """
+    spark = x.sparkSession
+    number = cut(numbered(cells.select("cell_id"), "cell_id", "at"))
+    n = number.count()
+    x = cut(x.join(number, "cell_id").select(F.col("at").alias("cell_id"), "gene_id", "value"))
+    at = lambda side: number.select(F.col("cell_id").alias(side), F.col("at").alias(f"{side}2"))
+    e = weights.join(at("i"), "i").join(at("j"), "j").select(F.col("i2").alias("i"), F.col("j2").alias("j"), F.col("w").cast("double").alias("w"))
+    e = cut(e)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j = (b.column(c).to_numpy() for c in "ij")
+            for p in range(1, permutations + 1):
+                ends = [pa.array(permuted(c, n, seed * 1_000_003 + p)) for c in (i, j)]
+                yield pa.RecordBatch.from_arrays([*ends, b.column("w"), pa.array(np.full(len(i), p, np.int32))], names=["i", "j", "w", "p"])
+
+    moved = e.mapInArrow(place, "i long, j long, w double, p int")
+    count = spark.createDataFrame([(n,)], "n_cells long")
+    m = cut(_moran_moments(x, count))
+    own = _moran(_moran_numerators(x, e, []), m, e).select("gene_id", "moran_i")
+    sim = _moran(_moran_numerators(x, moved, ["p"]), m, e).select("gene_id", F.col("moran_i").alias("s"))
+    got = sim.join(own, "gene_id").groupBy("gene_id", "moran_i").agg(
+        F.count_if(F.col("s") >= F.col("moran_i")).alias("larger"), F.avg("s").alias("mean_sim"), F.stddev_pop("s").alias("sd"), F.count("s").alias("found")
+    )
+    # a placement in which no edge ends at a stored value has no row: its products are those of the mean alone
+    s0 = e.agg(F.sum("w").alias("s0"))
+    m = m.crossJoin(F.broadcast(s0)).select("gene_id", ratio(F.col("mu") * F.col("mu"), F.col("var")).alias("bare"))
+    got = got.join(m, "gene_id").withColumn("lost", F.lit(permutations) - F.col("found"))
+    mean = (F.col("mean_sim") * F.col("found") + F.col("bare") * F.col("lost")) / permutations
+    square = (F.col("found") * (F.col("sd") * F.col("sd") + F.col("mean_sim") * F.col("mean_sim")) + F.col("lost") * F.col("bare") * F.col("bare")) / permutations
+    larger = F.col("larger") + F.when(F.col("bare") >= F.col("moran_i"), F.col("lost")).otherwise(0)
+    got = got.withColumns({"mean_sim": mean, "sd": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), "larger": larger})
+    tail = F.least(F.col("larger"), F.lit(permutations) - F.col("larger"))
+    return got.select("gene_id", "moran_i", "mean_sim", ratio(F.col("moran_i") - F.col("mean_sim"), F.col("sd")).alias("z_sim"), ((tail + 1) / (permutations + 1)).alias("p_sim"))
 
 
 def two_group_de(x: DataFrame, totals: DataFrame | None = None, least_fraction: float = 0.1) -> DataFrame:

@@ -184,3 +184,42 @@ def tree_pseudotime(cells: DataFrame, nodes: DataFrame, nearest_node: DataFrame,
     got = got.join(segments(forest), "node", "left")
     out = cells.select("cell_id").join(got, "cell_id", "left")
     return out.select("cell_id", F.col("t").alias("pseudotime"), "node", "parent", "f", F.coalesce("segment", "node").alias("segment"), "away")
+
+
+def shortest_tree(edges: DataFrame, root: int | str) -> DataFrame:
+    """``(node, parent, t, hops)``: least path lengths t from ``root`` over the undirected graph (i, j, d >= 0), and the step before each node.
+
+    Of equal lengths the path with fewer steps counts, then the one over the smaller node. A round relaxes the edges of the nodes that the round
+    before improved, until none is; nodes out of reach are absent.
+    """
+    both = edges.select("i", "j", "d").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    both = cut(both.where("i <> j").groupBy("i", "j").agg(F.min("d").alias("d")))
+    kind = dict(both.dtypes)["i"]
+    none = F.lit(None).cast(kind)
+    start = both.where(F.col("i") == root).select(F.col("i").alias("node")).distinct()
+    here = cut(start.select("node", F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("hops"), none.alias("parent")).alias("p"), F.lit(True).alias("new")))
+    while not here.where("new").isEmpty():
+        from_ = here.where("new").select(F.col("node").alias("i"), F.col("p.t").alias("t"), F.col("p.hops").alias("hops"))
+        step = both.join(from_, "i").select(
+            F.col("j").alias("node"), F.struct((F.col("t") + F.col("d")).alias("t"), (F.col("hops") + 1).alias("hops"), F.col("i").alias("parent")).alias("p")
+        )
+        known = here.select("node", "p", F.col("p").alias("old"))
+        best = known.unionByName(step.withColumn("old", F.lit(None).cast(dict(known.dtypes)["old"])))
+        best = best.groupBy("node").agg(F.min("p").alias("p"), F.min("old").alias("old"))
+        here = cut(best.select("node", "p", F.coalesce(F.col("p") < F.col("old"), F.lit(True)).alias("new")))
+    return here.select("node", "p.parent", "p.t", "p.hops")
+
+
+def paths_to(tree: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(end, step, node)``: the way from the root to each of ``ends(end)`` in ``tree(node, parent, hops)``; step 0 is the root.
+
+    Pointer doubling: with jumps of 1, 2, 4, ... parents each path's known part doubles.
+    """
+    jump = cut(tree.select("node", F.col("parent").alias("up")))
+    path = ends.join(tree.select(F.col("node").alias("end")), "end", "left_semi").distinct().select("end", F.col("end").alias("node"))
+    while not jump.where("up is not null").isEmpty():
+        more = path.join(jump.where("up is not null"), "node").select("end", F.col("up").alias("node"))
+        path = cut(path.unionByName(more).distinct())
+        further = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        jump = cut(jump.join(further, "up", "left").select("node", F.col("up2").alias("up")))
+    return path.join(tree.select("node", F.col("hops").alias("step")), "node").select("end", "step", "node")

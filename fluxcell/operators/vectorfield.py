@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxcell.functions.lineage import column_quantile, cut
+from fluxcell.functions.scalars import ratio
+from fluxcell.operators.neighbours import nearest
+
 
 @dataclass
 class Field:
@@ -368,8 +372,6 @@ def fate_shares(traj: DataFrame, cells: DataFrame, k: int = 30, tail: int = 10)
     """``(cell_id, grp, share)``: groups of the k nearest cells of each trajectory's last ``tail`` points."""
     from pyspark.sql import Window
 
-    from fluxcell.operators.graph import nearest
-
     last = Window.partitionBy("cell_id").orderBy(F.desc("step"))
     end = traj.withColumn("r", F.row_number().over(last)).where(F.col("r") <= tail)
     end = end.withColumn("point", F.xxhash64("cell_id", "step"))
@@ -381,10 +383,76 @@ def fate_shares(traj: DataFrame, cells: DataFrame, k: int = 30, tail: int = 10)
     return n.join(s, "owner").select(F.col("owner").alias("cell_id"), "grp", (F.col("n") / F.col("s")).alias("share"))
 
 
+def slow_tail(traj: DataFrame, share: float = 0.05, least: int = 10) -> DataFrame:
+    """``traj(cell_id, step, x[, t])`` plus its points' numbers ``k`` from 0, their count ``n``, and the size ``m`` of the tail where it moves slowly.
+
+    The tail begins after the last step that is faster than the quantile ``share`` of the trajectory's speeds; it has ``least`` points at least.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("cell_id").orderBy("step")
+    span = (F.lead("t").over(w) - F.col("t")) if "t" in traj.columns else F.lit(1.0)
+    speed = ratio(F.sqrt(F.aggregate(F.zip_with(F.lead("x").over(w), "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)), span)
+    p = traj.select("cell_id", "step", "x", (F.row_number().over(w) - 1).alias("k"), speed.alias("speed"))
+    per = p.groupBy("cell_id").agg(F.count("*").cast("int").alias("n"), F.percentile("speed", F.lit(share)).alias("limit"))
+    p = p.join(per, "cell_id")
+    fast = p.where(F.col("speed") > F.col("limit")).groupBy("cell_id").agg(F.max("k").alias("last"))
+    slow = F.coalesce(F.col("n") - 2 - F.col("last"), F.col("n") - 1)
+    return p.join(fast, "cell_id", "left").select("cell_id", "step", "k", "x", "n", F.least("n", F.greatest(slow, F.lit(least))).alias("m"))
+
+
+def fate_bias(
+    traj: DataFrame, cells: DataFrame, k: int = 30, threshold: float = 1.0, share: float = 0.05, least: int = 10, sources: list[str] | None = None
+) -> DataFrame:
+    """``(cell_id, grp, share, confidence, walked)``: the groups of the observed cells where each trajectory of ``traj(cell_id, step, x)`` ends.
+
+    A point is near the data if its nearest of ``cells(cell_id, x, grp)`` is closer than ``threshold`` times the median distance from a cell to its nearest
+    other. If no point of the slow tail is near, the tail is walked back, step by step, to the first place where one is (the
+    last near point then is its first); a trajectory that is never near has null group and share. The ``k`` nearest cells of the
+    tail's points (after walking back the nearest only), and from there the cells' own neighbours, are counted by group; shares of ``sources`` go to the
+    likeliest other group, if there is one. Confidence is 1 - (far points + steps walked) / (points + steps walked).
+
+    Points before the tail are looked up for trajectories only whose tail is far.
+    """
+    from pyspark.sql import Window
+
+    points = cells.select("cell_id", "x")
+    own = cut(nearest(points, points, k - 1).select("i", "j", "d", "rank"))
+    limit = threshold * (column_quantile(own.where("rank = 1"), "d", 0.5) or 0.0)
+    p = cut(slow_tail(traj, share, least).withColumn("point", F.xxhash64("cell_id", "k")))
+
+    def found(some: DataFrame, k: int) -> DataFrame:
+        near = nearest(some.select(F.col("point").alias("cell_id"), "x"), points, k, skip_self=False)
+        return some.select("cell_id", "k", "n", "m", "point").join(near.select(F.col("i").alias("point"), "j", "d", "rank"), "point")
+
+    tail = cut(found(p.where("k >= n - m"), k))
+    near = tail.where("rank = 1").groupBy("cell_id", "n", "m").agg(F.count_if(F.col("d") < limit).alias("close"))
+    lost = near.where("close = 0").select("cell_id")
+    before = cut(found(p.where("k < n - m").join(lost, "cell_id", "left_semi"), 1))
+    back = before.where(F.col("d") < limit).groupBy("cell_id").agg(F.max("k").alias("first"))
+    where = near.join(back, "cell_id", "left").withColumn("walked", F.when(F.col("close") > 0, 0).otherwise(F.col("n") - F.col("m") - F.col("first")))
+    close = F.when(F.col("close") > 0, F.col("close")).otherwise(F.lit(1))
+    sure = 1 - (F.col("m") - close + F.col("walked")) / (F.col("m") + F.col("walked"))
+    where = cut(where.select("cell_id", "n", "m", "walked", F.when(F.col("walked").isNull(), 0.0).otherwise(sure).alias("confidence")))
+    inside = tail.unionByName(before).join(where.select("cell_id", "walked"), "cell_id").where("k >= n - m - walked and k < n - walked and (walked = 0 or rank = 1)")
+    spread = own.select(F.col("i").alias("j"), F.col("j").alias("at")).unionByName(points.select(F.col("cell_id").alias("j"), F.col("cell_id").alias("at")))
+    # a cell that many points are near to is counted before its neighbours are looked up
+    some = inside.groupBy("cell_id", "j").agg(F.count("*").alias("n")).join(spread, "j").groupBy("cell_id", "at").agg(F.sum("n").alias("n"))
+    g = some.join(cells.select(F.col("cell_id").alias("at"), "grp"), "at").groupBy("cell_id", "grp").agg(F.sum("n").alias("n"))
+    g = g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cell_id")))
+    if sources:
+        each = Window.partitionBy("cell_id")
+        is_source = F.col("grp").isin(sources)
+        given = F.sum(F.when(is_source, F.col("share")).otherwise(0.0)).over(each)
+        best = F.max(F.when(~is_source, F.col("share"))).over(each)
+        first = F.min(F.when(~is_source & (F.col("share") == best), F.col("grp"))).over(each)
+        moved = F.when(first.isNull(), F.col("share")).when(is_source, 0.0).otherwise(F.col("share") + F.when(F.col("grp") == first, given).otherwise(0.0))
+        g = g.withColumn("share", moved)
+    return where.join(g.select("cell_id", "grp", "share"), "cell_id", "left").select("cell_id", "grp", "share", "confidence", "walked")
+
+
 def lineage(traj: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
     """``(origin, cell_id)``: cells within the k nearest of any point of a cell's trajectory, but for itself."""
-    from fluxcell.operators.graph import nearest
-
     p = traj.withColumn("point", F.xxhash64("cell_id", "step"))
     near = nearest(p.select(F.col("point").alias("cell_id"), "x"), cells.select("cell_id", "x"), k, skip_self=False)
     owner = p.select(F.col("point").alias("i"), F.col("cell_id").alias("origin"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxcell.functions import scalars as S
-from fluxcell.operators import graph, kinetics, matrix, moments, neighbours, sampling, trees
+from fluxcell.operators import clustering, flows, graph, kinetics, matrix, moments, neighbours, sampling, trees
 from fluxcell.plans import bindings as B
 
 QUERIES, SQL = {}, {}
@@ -203,6 +203,34 @@ def graph_curl(spark, d):
     return graph.curl(knn(spark, d).withColumnRenamed("d", "v")).select("a", "b", "c", r("curl"))
 
 
+FLOW = KNN + """, fs AS (SELECT i, j, d / 2 AS v FROM knn UNION ALL SELECT j, i, -d / 2 FROM knn),
+fw AS (SELECT i AS a, j AS b, sum(v) AS v FROM fs WHERE i < j GROUP BY ALL)"""
+
+
+@query(
+    """, nd AS (SELECT node, sum(v) AS v FROM (SELECT b AS node, v FROM fw UNION ALL SELECT a, -v FROM fw) GROUP BY node),
+    tr AS (SELECT x.a, x.b, y.b AS c, x.v + y.v - z.v AS s FROM fw x JOIN fw y ON x.b = y.a JOIN fw z ON z.a = x.a AND z.b = y.b),
+    ar AS (SELECT a, b, s AS v FROM tr UNION ALL SELECT b, c, s FROM tr UNION ALL SELECT a, c, -s FROM tr
+      UNION ALL SELECT fw.a, fw.b, q.v - p.v FROM fw JOIN nd p ON p.node = fw.a JOIN nd q ON q.node = fw.b)
+    SELECT a, b, round(sum(v), 6) + 0.0 AS v FROM ar GROUP BY a, b""",
+    FLOW,
+)
+def flow_laplacian(spark, d):
+    flow = flows.undirected_flow(knn(spark, d).select("i", "j", F.col("d").alias("v")))
+    return flows.flow_laplacian(flow).select("a", "b", r("v"))
+
+
+@query()
+def hodge_parts(spark, d):
+    parts = flows.hodge_parts(knn(spark, d).select("i", "j", F.col("d").alias("v")))
+    return parts.select("a", "b", *[r(c, digits=5) for c in ("flow", "gradient", "curl", "harmonic")])
+
+
+@query()
+def density_clusters(spark, d):
+    return clustering.hdbscan(knn(spark, d), 5, 5).select("node", "label", r("probability"))
+
+
 @query(
     """, s AS (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn), e AS (SELECT i, j, min(d) AS d FROM s GROUP BY i, j),
     t(cell_id, t) USING KEY (cell_id) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION

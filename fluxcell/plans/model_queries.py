@@ -171,12 +171,19 @@ def fate_trajectories(spark, d):
 
 
 @query()
-def fate_bias(spark, d):
+def fate_shares(spark, d):
     cells, f = field(spark, d)
     t = cut(V.integrate(cells, f, 5.0, 50, 11))
     return V.fate_shares(t, cells, 10, 5).select("cell_id", "grp", r("share"))
 
 
+@query()
+def fate_bias(spark, d):
+    cells, f = field(spark, d)
+    t = cut(V.integrate(cells, f, 5.0, 50, 31))
+    return V.fate_bias(t, cells).select("cell_id", "grp", r("share"), r("confidence"), "walked")
+
+
 @query()
 def lineage_cells(spark, d):
     cells, f = field(spark, d)

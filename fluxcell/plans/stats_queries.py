@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxcell.operators import graph, markov, matrix, rank, stats, trajectory
+from fluxcell.functions.lineage import cut
+from fluxcell.operators import graph, markov, matrix, rank, stats, trajectory, trees
+from fluxcell.operators import vectorfield as V
 from fluxcell.plans import bindings as B
 from fluxcell.plans.graph_queries import KNN, RING, knn, r, ring, us
 
@@ -213,12 +215,26 @@ def tf_priority(spark, d):
 @query(
     """, mu AS (SELECT gene_id, avg(total) AS mu, var_pop(total) AS var FROM dx GROUP BY gene_id),
     q AS (SELECT a.gene_id, sum(w * (a.total - mu) * (b.total - mu)) AS num FROM ring JOIN dx a ON a.cell_id = i
-      JOIN dx b ON b.cell_id = j AND b.gene_id = a.gene_id JOIN mu ON mu.gene_id = a.gene_id GROUP BY a.gene_id)
-    SELECT gene_id, round(num / ((SELECT sum(w) FROM ring) * var), 6) AS moran_i FROM q JOIN mu USING (gene_id)""",
+      JOIN dx b ON b.cell_id = j AND b.gene_id = a.gene_id JOIN mu ON mu.gene_id = a.gene_id GROUP BY a.gene_id),
+    k4 AS (SELECT dx.gene_id, avg((total - mu) ** 4) / any_value(var) ** 2 AS k FROM dx JOIN mu USING (gene_id) GROUP BY dx.gene_id),
+    bo AS (SELECT i, j, w FROM ring UNION ALL SELECT j, i, w FROM ring),
+    ws AS (SELECT (SELECT count(*)::DOUBLE FROM supplier) AS n, (SELECT sum(w) FROM ring) AS s0,
+      (SELECT sum(w * w) / 2 FROM (SELECT sum(w) AS w FROM bo GROUP BY i, j)) AS s1, (SELECT sum(s * s) FROM (SELECT sum(w) AS s FROM bo GROUP BY i)) AS s2),
+    mi AS (SELECT gene_id, k, num / (s0 * var) AS i, -1 / (n - 1) AS ei, n, s0, s1, s2 FROM q JOIN mu USING (gene_id) JOIN k4 USING (gene_id) CROSS JOIN ws)
+    SELECT gene_id, round(i, 6) AS moran_i, round((i - ei) / sqrt((n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - ei * ei), 4) AS z,
+    round((i - ei) / sqrt((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - k * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0))
+      / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - ei * ei), 4) AS z_rand FROM mi""",
     DENSE + RING.replace(B.COUNTS_SQL, ""),
 )
 def morans_i(spark, d):
-    return stats.morans_i(dense(spark, d, "s + u"), ring(spark, d), B.n_cells(spark, d)).select("gene_id", r("moran_i"))
+    got = stats.morans_i(B.total_layer(B.counts(spark, d)), ring(spark, d), B.n_cells(spark, d))
+    return got.select("gene_id", r("moran_i"), r("z", digits=4), r("z_rand", digits=4))
+
+
+@query()
+def morans_i_permutation(spark, d):
+    got = stats.morans_i_permutation(B.total_layer(B.counts(spark, d)), ring(spark, d), B.cells(spark, d), 199)
+    return got.select("gene_id", r("moran_i"), r("mean_sim"), r("z_sim", digits=4), r("p_sim"))
 
 
 def _two_groups(spark, d):
@@ -473,6 +489,20 @@ def embedded_chain(spark, d):
     return markov.embedded_chain(q).select("i", "j", r("p", digits=9))
 
 
+@query(
+    """, e0 AS (SELECT i, j, n, sum(n) OVER (PARTITION BY i) AS s FROM mn WHERE i <> j), el AS (SELECT i, j, 1 - n / s AS d FROM e0),
+    eu AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM el UNION ALL SELECT j, i, d FROM el) GROUP BY i, j),
+    wk AS (SELECT 'signup' AS spot, ['signup'] AS way, 0.0::DOUBLE AS t UNION ALL
+      SELECT j, list_append(way, j), t + d FROM wk JOIN eu ON i = wk.spot WHERE NOT list_contains(way, j)),
+    bw AS (SELECT spot AS "end", way FROM wk WHERE spot IN ('purchase', 'error')
+      QUALIFY row_number() OVER (PARTITION BY spot ORDER BY t, len(way), way[len(way) - 1]) = 1)
+    SELECT "end", step::INTEGER AS step, way[step] AS i, way[step + 1] AS j FROM bw, LATERAL (SELECT unnest(range(1, len(way))) AS step)""",
+    "RECURSIVE " + M.strip(),
+)
+def tree_model(spark, d):
+    return markov.tree_model(markov.transitions(B.steps(spark, d)), "signup", ["purchase", "error"])
+
+
 @query()
 def group_paths(spark, d):
     return markov.group_paths(markov.transitions(B.steps(spark, d))).select("a", "b", r("length"))
@@ -534,6 +564,41 @@ def project_velocity(spark, d):
     return p.select("cell_id", F.posexplode("v").alias("k", "v")).select("cell_id", "k", r("v", digits=5))
 
 
+@query(
+    """, e AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM knn UNION ALL SELECT j, i, d FROM knn) GROUP BY i, j),
+    st(node, t) USING KEY (node) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION
+      SELECT j, min(st.t + d) FROM st JOIN e ON i = st.node LEFT JOIN recurring.st o ON o.node = j WHERE o.t IS NULL OR st.t + d < o.t GROUP BY j),
+    pa AS (SELECT b.node, a.node AS parent FROM st a JOIN e ON i = a.node JOIN st b ON b.node = j WHERE abs(a.t + d - b.t) < 1e-9 AND d > 0),
+    wy AS (SELECT node AS "end", node, 0 AS back FROM st UNION ALL SELECT "end", parent, back + 1 FROM wy JOIN pa USING (node))
+    SELECT "end", (max(back) OVER (PARTITION BY "end") - back)::INTEGER AS step, node FROM wy""",
+    "RECURSIVE " + KNN,
+)
+def shortest_paths(spark, d):
+    tree = cut(trees.shortest_tree(knn(spark, d), 0))
+    return trees.paths_to(tree, tree.select(F.col("node").alias("end")))
+
+
+@query(
+    """, pt AS (SELECT cell_id AS c, s AS k, [x[q] + v[q] * sqrt(s) FOR q IN range(1, 65)] AS x FROM vv CROSS JOIN (SELECT unnest(range(0, 20)) AS s)),
+    nd AS MATERIALIZED (SELECT c, k, v.cell_id AS j, list_distance(pt.x, v.x) AS d,
+      row_number() OVER (PARTITION BY c, k ORDER BY list_distance(pt.x, v.x), v.cell_id) AS r FROM pt CROSS JOIN v QUALIFY r <= 10),
+    lim AS (SELECT quantile_cont(d, 0.5) AS l FROM knn WHERE rank = 1),
+    nr AS (SELECT c, count(*) FILTER (WHERE d < l AND k >= 10) AS close, max(k) FILTER (WHERE d < l AND k < 10) AS first FROM nd CROSS JOIN lim WHERE r = 1 GROUP BY c),
+    wh AS (SELECT c, close, CASE WHEN close > 0 THEN 0 ELSE 10 - first END AS walked FROM nr),
+    ins AS (SELECT c, j FROM nd JOIN wh USING (c) WHERE k >= 10 - walked AND k < 20 - walked AND (walked = 0 OR r = 1)),
+    hop AS (SELECT i, j FROM knn WHERE rank <= 9 UNION ALL SELECT cell_id, cell_id FROM v),
+    gr AS (SELECT c, label, count(*) AS n FROM ins JOIN hop ON hop.i = ins.j JOIN v ON v.cell_id = hop.j GROUP BY ALL)
+    SELECT c AS cell_id, label AS grp, round(n / sum(n) OVER (PARTITION BY c), 6) AS share,
+    round(1 - (10 - greatest(close, 1) + walked) / (10.0 + walked), 6) AS confidence, walked FROM gr JOIN wh USING (c)""", VEL
+)
+def fate_bias_of_paths(spark, d):
+    p = vel(spark, d).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    path = cut(p.select("cell_id", F.col("s").alias("step"), F.zip_with("x", "v", lambda a, b: a + b * F.sqrt("s")).alias("x")))
+    cells = B.vectors(spark, d).withColumnRenamed("label", "grp")
+    got = V.fate_bias(path, cells, k=10)
+    return got.select("cell_id", "grp", r("share"), r("confidence"), "walked")
+
+
 @query()
 def ito_kernel(spark, d):
     return markov.ito_kernel(graph.two_hop(knn(spark, d)), vel(spark, d)).select("i", "j", r("p"))

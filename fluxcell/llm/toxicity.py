@@ -95,7 +95,8 @@ def tf_idf(terms: Counter, ids: dict[str, int], idf: np.ndarray) -> tuple[np.nda
     at = np.array(sorted(got), np.int32)
     weight = (1 + np.log([got[i] for i in at.tolist()])) * idf[at]
     norm = np.sqrt((weight * weight).sum())
-    return (at, weight / norm) if norm > 0 else (at[:0], weight[:0])
+    # rounded, so that counts in proportion make one vector
+    return (at, np.round(weight / norm, 12)) if norm > 0 else (at[:0], weight[:0])
 
 
 class BlockMaxIndex:

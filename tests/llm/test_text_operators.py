@@ -261,10 +261,14 @@ def brute_weights(texts, good):
         x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
         return x ^ x >> 31
 
+    marks = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
+
     def grams(text):
         core, shape = [], []
-        for w in text.split():
-            head, body, tail = re.fullmatch(r"([^\w]*+)(.*?)([^\w]*+)", w, re.A).groups()
+        for w in (x.decode() for x in text.encode().split()):
+            left = w.lstrip(marks)
+            body = left.rstrip(marks)
+            head, tail = w[: len(w) - len(left)], left[len(body) :]
             case = "l" if body.islower() else "u" if body.isupper() and len(body) > 1 else "c"
             case = case if body.isalpha() else "d" if body.isdigit() else "m" if body else "p"
             core.append(xxhash.xxh3_64_intdigest(body.lower().encode()))

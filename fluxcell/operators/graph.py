@@ -54,32 +54,6 @@ def mutual(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def weighted_neighbours(a: DataFrame, b: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame:
-    """Two-modality weight of each cell from edges a(i, j), b(i, j) and vectors va, vb(cell_id, x).
-
-    Within and cross predictions are neighbour means in a modality along its own and the other's
-    graph; affinity exp(-max(0, d - d1) / (s - d1)) with d1 the nearest and s the mean neighbour
-    distance; ratio within / (cross + 1e-4); weight = sigmoid of the ratios' difference.
-    """
-
-    def predicted(edges: DataFrame, v: DataFrame, name: str) -> DataFrame:
-        e = edges.select("i", "j").join(v.select(F.col("cell_id").alias("j"), "x"), "j")
-        e = e.select("i", F.posexplode("x").alias("k", "v")).groupBy("i", "k").agg(F.avg("v").alias("m"))
-        own = v.select(F.col("cell_id").alias("i"), F.posexplode("x").alias("k", "v"))
-        d = own.join(e, ["i", "k"]).groupBy("i").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("m"), 2))).alias(name))
-        return d
-
-    def theta(own: DataFrame, other: DataFrame, v: DataFrame, name: str) -> DataFrame:
-        width = own.groupBy("i").agg(F.min("d").alias("d1"), F.avg("d").alias("s"))
-        both = predicted(own, v, "dw").join(predicted(other, v, "dc"), "i").join(width, "i")
-        span = F.col("s") - F.col("d1")
-        aff = lambda c: F.exp(-F.coalesce(ratio(F.greatest(F.lit(0.0), F.col(c) - F.col("d1")), span), F.lit(0.0)))
-        return both.select("i", (aff("dw") / (aff("dc") + 1e-4)).alias(name))
-
-    t = theta(a, b, va, "ta").join(theta(b, a, vb, "tb"), "i")
-    return t.select("i", (1 / (1 + F.exp(F.col("tb") - F.col("ta")))).alias("weight_a"))
-
-
 # calculus on graphs with edge values (i, j, v), i -> j
 
 
@@ -187,68 +161,6 @@ def purity(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return both.groupBy("i").agg(ratio(F.count_if(F.col("a") == F.col("b")), F.count("*")).alias("purity"))
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> float:
-    """Modularity of ``labels(node, label)`` on the undirected graph (i, j[, w]): edges within less what degrees let expect."""
-    w = F.col("w") if "w" in edges.columns else F.lit(1.0)
-    e = edges.where("i <> j").select("i", "j", w.alias("w"))
-    at = lambda side, name: labels.select(F.col("node").alias(side), F.col("label").alias(name))
-    e = e.join(at("i", "a"), "i").join(at("j", "b"), "j")
-    m, inside = e.agg(F.sum("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")))).first()
-    half = e.select("a", "w").unionByName(e.select(F.col("b").alias("a"), "w")).groupBy("a").agg(F.sum("w").alias("k"))
-    return (inside or 0.0) / m - half.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * m * m)
-
-
-def communities(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """``(node, label)``: communities of high modularity on the undirected graph (i, j[, w]), by local moves and contraction.
-
-    A level moves nodes to the neighbouring community of largest modularity gain, if that beats
-    staying. In a round only half of the nodes (by a hash of node and round) may move, so that
-    neighbours don't swap for ever; the level ends when two rounds have moved none, or after
-    ``rounds``. Its communities are then the nodes of the next level's weighted graph, until a
-    level changes nothing. A label is the community's smallest node. Ties go to the smaller label.
-    """
-    w = F.col("w") if "w" in edges.columns else F.lit(1.0)
-    e = edges.where("i <> j").select("i", "j", w.alias("w"))
-    e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    e = cut(e.groupBy("i", "j").agg(F.max("w").alias("w")))
-    of = cut(e.select(F.col("i").alias("node")).distinct().withColumn("label", F.col("node")))
-    total = e.agg(F.sum("w")).first()[0]
-    for level in range(levels):
-        degree = cut(e.groupBy("i").agg(F.sum("w").alias("k")))
-        here = cut(degree.select(F.col("i").alias("node"), "k", F.col("i").alias("label")))
-        quiet = 0
-        for n in range(rounds):
-            weight = here.groupBy("label").agg(F.sum("k").alias("all"))
-            may = here.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(n), "node"), F.lit(2)) == 0)
-            near = e.where("i <> j").join(may.select(F.col("node").alias("i"), "k", F.col("label").alias("own")), "i")
-            near = near.join(here.select(F.col("node").alias("j"), "label"), "j").groupBy("i", "label").agg(
-                F.sum("w").alias("w"), F.first("k").alias("k"), F.first("own").alias("own")
-            )
-            stay = may.select(F.col("node").alias("i"), "label", F.lit(0.0).alias("w"), "k", F.col("label").alias("own"))
-            near = near.unionByName(stay).groupBy("i", "label").agg(F.sum("w").alias("w"), F.first("k").alias("k"), F.first("own").alias("own"))
-            others = F.col("all") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-            gain = F.round(F.col("w") - F.col("k") * others / total, 9)
-            best = near.join(weight, "label").groupBy("i").agg(
-                F.max(F.struct(gain.alias("g"), (F.col("label") == F.col("own")).alias("stays"), (-F.col("label")).alias("l"))).alias("best")
-            )
-            moved = best.select(F.col("i").alias("node"), (-F.col("best.l")).alias("to"))
-            new = cut(here.join(moved, "node", "left").select("node", "k", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved")))
-            quiet = 0 if not new.where("moved").isEmpty() else quiet + 1
-            here = new.drop("moved")
-            if quiet == 2:
-                break
-        if here.where("node <> label").isEmpty():
-            break
-        name = here.groupBy("label").agg(F.min("node").alias("low"))
-        here = cut(here.join(name, "label").select("node", F.col("low").alias("label")))
-        of = cut(of.join(here.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")))
-        ends = lambda side: here.select(F.col("node").alias(side), F.col("label").alias(f"{side}2"))  # noqa: B023,E731
-        e = e.join(ends("i"), "i").join(ends("j"), "j").groupBy(F.col("i2").alias("i"), F.col("j2").alias("j")).agg(F.sum("w").alias("w"))
-        e = cut(e)
-    low = of.groupBy("label").agg(F.min("node").alias("low"))
-    return of.join(low, "label").select("node", F.col("low").alias("label"))
-
-
 def curl(edges: DataFrame) -> DataFrame:
     """``(a, b, c, curl)``: circulation v_ab + v_bc + v_ca of the antisymmetric flow (i, j, v) around every triangle a < b < c."""
     flow, _ = split_field(edges)

@@ -122,22 +122,33 @@ def branches(forest: DataFrame) -> DataFrame:
     return n.withColumn("kind", kind)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of the undirected graph (i, j), component being its smallest node; nodes without an edge are absent.
+
+    In a round each node points to its smallest neighbour or itself, and what points to one end becomes one node; no edge is left at the end.
+    """
+    both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    both = cut(both)
+    low = cut(both.select(F.col("i").alias("node")).distinct().withColumn("component", F.col("node")))
+    both = both.where("i <> j")
+    while not both.isEmpty():
+        up = both.groupBy(F.col("i").alias("node")).agg(F.min("j").alias("m")).select("node", F.least("node", "m").alias("to"))
+        top = cut(last_of(up))
+        low = low.join(top.select(F.col("node").alias("component"), "last"), "component", "left")
+        low = cut(low.select("node", F.coalesce("last", "component").alias("component")))
+        move = lambda side: top.select(F.col("node").alias(side), F.col("last").alias(f"{side}2"))  # noqa: B023,E731
+        both = both.join(move("i"), "i").join(move("j"), "j").where("i2 <> j2")
+        both = cut(both.select(F.col("i2").alias("i"), F.col("j2").alias("j")).distinct())
+    return low
+
+
 def segments(forest: DataFrame) -> DataFrame:
     """``(node, segment)``: nodes of one unbranched stretch share a segment, the smallest of them; branch nodes are their own."""
     kinds = cut(branches(forest))
     at = lambda side: kinds.select(F.col("node").alias(side), F.col("kind").alias(f"k{side}"))
     inner = forest.select("i", "j").join(at("i"), "i").join(at("j"), "j").where("ki <> 'branch' and kj <> 'branch'")
-    # a stretch is a path: hooking each node to its smallest neighbour and doubling halves what is left
-    low = kinds.select("node", F.col("node").alias("segment"))
-    both = cut(inner.select("i", "j").unionByName(inner.select(F.col("j").alias("i"), F.col("i").alias("j"))))
-    while not both.isEmpty():
-        up = both.groupBy(F.col("i").alias("node")).agg(F.min("j").alias("m")).select("node", F.least("node", "m").alias("to"))
-        top = last_of(up)
-        low = cut(low.join(top.select(F.col("node").alias("segment"), "last"), "segment", "left").select("node", F.coalesce("last", "segment").alias("segment")))
-        move = lambda side: top.select(F.col("node").alias(side), F.col("last").alias(f"{side}2"))  # noqa: B023,E731
-        both = both.join(move("i"), "i").join(move("j"), "j").where("i2 <> j2").select(F.col("i2").alias("i"), F.col("j2").alias("j")).distinct()
-        both = cut(both)
-    return low
+    alone = kinds.select(F.col("node").alias("i"), F.col("node").alias("j"))
+    return components(inner.select("i", "j").unionByName(alone)).withColumnRenamed("component", "segment")
 
 
 def project_to_tree(cells: DataFrame, nearest_node: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:

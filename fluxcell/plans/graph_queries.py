@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxcell.functions import scalars as S
-from fluxcell.operators import clustering, flows, graph, kinetics, matrix, moments, neighbours, sampling, trees
+from fluxcell.operators import clustering, community, flows, graph, joint, kinetics, matrix, moments, neighbours, sampling, trees
 from fluxcell.plans import bindings as B
 
 QUERIES, SQL = {}, {}
@@ -190,7 +190,7 @@ def graph_potential(spark, d):
 
 @query()
 def label_communities(spark, d):
-    return graph.communities(knn(spark, d).select("i", "j"))
+    return community.communities(knn(spark, d).select("i", "j"))
 
 
 @query(
@@ -310,11 +310,52 @@ def _modalities(spark, d):
     return v.select("cell_id", F.slice("x", 1, 32).alias("x")), v.select("cell_id", F.slice("x", 33, 32).alias("x"))
 
 
-@query()
+def _modality_sql(n: str, low: int, high: int) -> str:
+    """Unit vectors u, the nearest nb, neighbourhoods ad and bandwidths bw of one modality, each with the suffix n."""
+    return f"""u{n} AS (SELECT cell_id, [z / sqrt(list_sum([q * q FOR q IN x[{low}:{high}]])) FOR z IN x[{low}:{high}]] AS x FROM v),
+nb{n} AS MATERIALIZED (SELECT a.cell_id AS i, b.cell_id AS j, list_distance(a.x, b.x) AS d,
+  row_number() OVER (PARTITION BY a.cell_id ORDER BY list_distance(a.x, b.x), b.cell_id) AS r FROM u{n} a JOIN u{n} b ON a.cell_id <> b.cell_id QUALIFY r <= 50),
+ad{n} AS (SELECT i, j FROM nb{n} WHERE r <= {K} UNION ALL SELECT cell_id, cell_id FROM v),
+sh{n} AS MATERIALIZED (SELECT p.i, q.i AS j, count(*) AS n FROM ad{n} p JOIN ad{n} q ON p.j = q.j GROUP BY ALL),
+lm{n} AS (SELECT i, coalesce(list(n ORDER BY n)[{K + 1}], max(n)) AS most FROM sh{n} GROUP BY i),
+bw{n} AS (SELECT i, list_avg(list(d ORDER BY d DESC)[1:{K}]) AS bw FROM (SELECT s.i, list_distance(a.x, b.x) AS d FROM sh{n} s JOIN lm{n} USING (i)
+  JOIN u{n} a ON a.cell_id = s.i JOIN u{n} b ON b.cell_id = s.j WHERE n <= most) GROUP BY i),
+nn{n} AS (SELECT i, d AS near FROM nb{n} WHERE r = 1),"""
+
+
+def _affinity_sql(n: str, other: str) -> str:
+    """How much better a modality's own neighbours predict than the other's, as rt."""
+    mean = lambda e: f"(SELECT i, list(m ORDER BY k) AS m FROM (SELECT i, k, avg(x) AS m FROM (SELECT e.i, generate_subscripts(x, 1) AS k, unnest(x) AS x FROM nb{e} e JOIN u{n} ON cell_id = j WHERE r <= {K}) GROUP BY i, k) GROUP BY i)"
+    aff = lambda d: f"exp(-greatest(0, {d} - near) / (bw - near))"
+    return f"""rt{n} AS (SELECT i, {aff(f"list_distance(o.m, u{n}.x)")} / ({aff(f"list_distance(c.m, u{n}.x)")} + 1e-4) AS rt
+  FROM {mean(n)} o JOIN {mean(other)} c USING (i) JOIN u{n} ON cell_id = i JOIN nn{n} USING (i) JOIN bw{n} USING (i)),"""
+
+
+JOINT = KNN.replace("\none AS", "\n" + _modality_sql("a", 1, 32) + _modality_sql("b", 33, 64) + _affinity_sql("a", "b") + _affinity_sql("b", "a") + """
+mw AS (SELECT i, 1 / (1 + exp(b.rt - a.rt)) AS weight FROM rta a JOIN rtb b USING (i)),
+one AS""")
+
+
+@query("SELECT i, round(weight, 6) AS weight_a, round(a.bw, 6) AS bw_a, round(b.bw, 6) AS bw_b FROM mw JOIN bwa a USING (i) JOIN bwb b USING (i)", JOINT)
 def weighted_neighbours(spark, d):
-    a, b = _modalities(spark, d)
-    w = graph.weighted_neighbours(graph.nearest(a, a, K), graph.nearest(b, b, K), a, b)
-    return w.select("i", r("weight_a"))
+    a, b = (joint.unit_vectors(v) for v in _modalities(spark, d))
+    w = joint.modality_weights(graph.nearest(a, a, K), graph.nearest(b, b, K), a, b, K)
+    return w.select("i", r("weight", "weight_a"), r("bw_a"), r("bw_b"))
+
+
+@query(
+    f""", un AS (SELECT i, j FROM nba UNION SELECT i, j FROM nbb),
+    sm AS (SELECT un.i, un.j, weight * exp(-greatest(0, list_distance(p.x, q.x) - na.near) / (a.bw - na.near))
+      + (1 - weight) * exp(-greatest(0, list_distance(s.x, t.x) - nb.near) / (b.bw - nb.near)) AS similarity
+      FROM un JOIN mw USING (i) JOIN bwa a USING (i) JOIN bwb b USING (i) JOIN nna na USING (i) JOIN nnb nb USING (i)
+      JOIN ua p ON p.cell_id = un.i JOIN ua q ON q.cell_id = un.j JOIN ub s ON s.cell_id = un.i JOIN ub t ON t.cell_id = un.j)
+    SELECT i, j, round(similarity, 6) AS similarity, round(sqrt(greatest(0, (1 - similarity) / 2)), 5) AS distance,
+    row_number() OVER (PARTITION BY i ORDER BY round(similarity, 12) DESC, j)::INTEGER AS rank FROM sm QUALIFY rank <= {K}""",
+    JOINT,
+)
+def joint_neighbours(spark, d):
+    got = joint.joint_neighbours(*_modalities(spark, d), K, 50)
+    return got.select("i", "j", r("similarity"), r("distance", digits=5), "rank")
 
 
 @query()

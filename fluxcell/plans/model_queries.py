@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fluxcell.functions.lineage import cut
-from fluxcell.operators import decompose, matrix, multiomic, rank, select, simulate
+from fluxcell.operators import decompose, intervals, matrix, multiomic, rank, select, simulate
 from fluxcell.operators import vectorfield as V
 from fluxcell.plans import bindings as B
 from fluxcell.plans import recipes
@@ -289,17 +289,20 @@ links AS (SELECT gene_id, peak_id, greatest(s0 - tss, tss - e0, 0) AS distance F
   WHERE s0 <= tss + 10 AND e0 >= tss - 10)"""
 
 
-def _links(spark, d):
+def _peaks(spark, d):
     li = B.table(spark, d, "lineitem")
-    peaks = li.select(
+    return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("peak_id"),
         (F.col("l_suppkey") % 5).alias("chrom"),
         (F.col("l_partkey") * 3).alias("start"),
         (F.col("l_partkey") * 3 + F.col("l_linenumber")).alias("end"),
     )
+
+
+def _links(spark, d):
     p = B.table(spark, d, "part")
     genes = p.select(F.col("p_partkey").alias("gene_id"), (F.col("p_size") % 5).cast("long").alias("chrom"), (F.col("p_partkey") * 3 + 1).alias("tss"))
-    return multiomic.link_peaks(peaks, genes, 10)
+    return multiomic.link_peaks(_peaks(spark, d), genes, 10)
 
 
 @query("SELECT * FROM links", _PEAKS)
@@ -382,3 +385,54 @@ def split_labeled_counts(spark, d):
 def windowed_totals(spark, d):
     w = incremental.windowed_totals(B.steps(spark, d))
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "state", "n", r("total", digits=4))
+
+
+@query(
+    """, o AS (SELECT chrom, s0, e0, max(e0) OVER (PARTITION BY chrom ORDER BY s0, e0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM peaks),
+    g AS (SELECT *, sum((reach IS NULL OR s0 > reach)::INTEGER) OVER (PARTITION BY chrom ORDER BY s0, e0 ROWS UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT chrom, min(s0) AS start, max(e0) AS "end", count(*) AS n FROM g GROUP BY chrom, island""", _PEAKS
+)
+def merged_peaks(spark, d):
+    return intervals.merge_intervals(_peaks(spark, d))
+
+
+@query(
+    """SELECT p_partkey AS gene_id, greatest(p_partkey * 30 - CASE WHEN p_size % 2 = 0 THEN 2000 ELSE 100 END, 0) AS start,
+    p_partkey * 30 + p_size + CASE WHEN p_size % 2 = 0 THEN 100 ELSE 2000 END AS "end" FROM part"""
+)
+def gene_regions(spark, d):
+    p = B.table(spark, d, "part").select(
+        F.col("p_partkey").alias("gene_id"),
+        F.lit("1").alias("chrom"),
+        (F.col("p_partkey") * 30).alias("start"),
+        (F.col("p_partkey") * 30 + F.col("p_size")).alias("end"),
+        F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand"),
+    )
+    return intervals.gene_regions(p, 2000, 100).select("gene_id", "start", "end")
+
+
+# peaks one to three places from a gene's start are its promoters; each is linked with the next gene as well
+@query(
+    """, an AS (SELECT gene_id, peak_id, distance, distance BETWEEN 1 AND 3 AS promoter FROM links),
+    lk AS (SELECT peak_id, gene_id + 1 AS gene_id, gene_id AS peak_gene, promoter, distance AS own, l_discount * 10 AS correlation, l_quantity * 400 AS distance
+      FROM an JOIN lineitem ON peak_id = l_orderkey * 10 + l_linenumber),
+    en AS (SELECT gene_id, peak_id FROM lk WHERE (peak_gene = gene_id OR distance < 10000) AND NOT promoter AND own > 0 GROUP BY ALL HAVING max(correlation) > 0.5),
+    pr AS (SELECT gene_id, peak_id FROM an WHERE promoter),
+    rl AS (FROM pr UNION (SELECT * FROM en SEMI JOIN pr USING (gene_id)))
+    SELECT l_suppkey AS cell_id, gene_id, sum(l_quantity) AS value FROM rl JOIN lineitem ON peak_id = l_orderkey * 10 + l_linenumber GROUP BY ALL""", _PEAKS
+)
+def aggregate_peaks(spark, d):
+    li = B.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("peak_id"), "l_suppkey", "l_quantity", "l_discount")
+    kind = F.when(F.col("distance").between(1, 3), "promoter").otherwise("distal")
+    annotation = cut(_links(spark, d).select("peak_id", "gene_id", kind.alias("kind"), "distance"))
+    links = annotation.join(li, "peak_id").select(
+        "peak_id",
+        (F.col("gene_id") + 1).alias("gene_id"),
+        F.col("gene_id").alias("peak_gene"),
+        F.col("kind").alias("peak_kind"),
+        (F.col("l_discount") * 10).alias("correlation"),
+        (F.col("l_quantity") * 400).alias("distance"),
+    )
+    roles = intervals.promoter_enhancer_peaks(annotation, links)
+    counts = li.select("peak_id", F.col("l_suppkey").alias("cell_id"), F.col("l_quantity").alias("value"))
+    return multiomic.gene_activity(roles, counts)

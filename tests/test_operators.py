@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxcell.functions import lineage
 from fluxcell.functions import scalars as S
-from fluxcell.operators import decompose, graph, kinetics, markov, matrix, moments, multiomic, normalize, qc, rank, sampling, select, simulate, stats, trajectory
+from fluxcell.operators import community, decompose, graph, kinetics, markov, matrix, moments, multiomic, normalize, qc, rank, sampling, select, simulate, stats, trajectory
 from fluxcell.operators import vectorfield as V
 from fluxcell.plans import recipes
 from fluxcell.sources import tables
@@ -360,10 +360,10 @@ def test_communities_find_planted_groups(spark):
     rng = np.random.default_rng(9)
     e = [(i, j) for i in range(90) for j in range(i) if rng.random() < (0.5 if i // 30 == j // 30 else 0.02)]
     df = spark.createDataFrame(e, "i long, j long")
-    got = graph.communities(df)
+    got = community.communities(df)
     label = {r["node"]: r["label"] for r in got.collect()}
     assert label == {i: i // 30 * 30 for i in range(90)}
-    assert graph.modularity(df, got) > 0.5
+    assert community.modularity(df, got) > 0.5
 
 
 def test_shortest_times_and_triangles(spark):

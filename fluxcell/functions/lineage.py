@@ -50,23 +50,33 @@ def numbered(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     return at.select(*df.columns, (F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__start")).alias(name))
 
 
-def order_statistic(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
-    """The k-th smallest value (from 0) of a column of doubles without nulls, by counting in ever narrower bins;
-    at most ``most`` values reach the driver."""
+def order_statistics(df: DataFrame, column: str, k: int, most: int = 10_000) -> tuple[float, float]:
+    """The k-th and the next smallest value (from 0; of the largest, itself) of a column of doubles without nulls, by counting in ever
+    narrower bins; at most ``most`` values reach the driver."""
+    few = df.select(column).limit(most + 1).collect()
+    if len(few) <= most:
+        values = sorted(r[0] for r in few)
+        return values[k], values[min(k + 1, len(values) - 1)]
     low, high = df.agg(F.min(column), F.max(column)).first()
-    below = 0  # values under ``low``
+    below, after = 0, None  # values under ``low``; the least over ``high``
     while low < high:
         inside = df.where(F.col(column).between(low, high))
-        if inside.count() <= most:
-            return sorted(r[0] for r in inside.select(column).take(most))[k - below]
+        values = inside.select(column).limit(most + 1).collect()
+        if len(values) <= most:
+            values = sorted(r[0] for r in values)
+            at = k - below
+            return values[at], values[at + 1] if at + 1 < len(values) else values[at] if after is None else after
         bins = inside.groupBy(F.least(F.floor((F.col(column) - low) / ((high - low) / 1024)), F.lit(1023)).alias("b"))
         bins = bins.agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-        for b in sorted(bins.collect(), key=lambda b: b["b"]):  # 1024 rows at most
+        rows = sorted(bins.collect(), key=lambda b: b["b"])  # 1024 rows at most
+        for b, more in zip(rows, [*rows[1:], None], strict=True):
             if below + b["n"] > k:
                 low, high = b["lo"], b["hi"]
+                after = after if more is None else more["lo"]
                 break
             below += b["n"]
-    return low
+    n = df.where(F.col(column) == low).count()
+    return low, low if below + n > k + 1 or after is None else after
 
 
 def column_quantile(df: DataFrame, column: str, q: float) -> float | None:
@@ -76,6 +86,5 @@ def column_quantile(df: DataFrame, column: str, q: float) -> float | None:
     if not n:
         return None
     at = q * (n - 1)
-    first = order_statistic(x, "x", math.floor(at))
-    second = order_statistic(x, "x", min(n - 1, math.floor(at) + 1)) if at % 1 else first
+    first, second = order_statistics(x, "x", math.floor(at))
     return first + at % 1 * (second - first)

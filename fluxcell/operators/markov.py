@@ -204,13 +204,31 @@ def project_velocity(chain: DataFrame, positions: DataFrame) -> DataFrame:
     """``(cell_id, v)``: sum of p_ij u_ij less mean p_i times the sum of u_ij, u unit steps in ``positions(cell_id, x)``."""
     a = positions.select(F.col("cell_id").alias("i"), F.col("x").alias("xi"))
     b = positions.select(F.col("cell_id").alias("j"), F.col("x").alias("xj"))
-    e = chain.join(a, "i").join(b, "j").withColumn("d", F.zip_with("xj", "xi", lambda x, y: x - y))
-    length = F.sqrt(F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x))
-    e = e.withColumn("len", length).select(
-        "i", "p", F.posexplode(F.transform("d", lambda x: F.coalesce(F.try_divide(x, F.col("len")), F.lit(0.0)))).alias("k", "u")
-    )
-    g = e.groupBy("i", "k").agg((F.sum(F.col("p") * F.col("u")) - F.avg("p") * F.sum("u")).alias("v"))
-    return g.groupBy(F.col("i").alias("cell_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("v"))
+    e = chain.select("i", "j", "p").join(b, "j").join(a, "i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n = t.num_rows
+            if not n:
+                continue
+            x, y = (t.column(c).flatten().to_numpy().reshape(n, -1) for c in ("xi", "xj"))
+            p, cell = t.column("p").to_numpy(), t.column("i").to_numpy()
+            d = y - x
+            length = np.sqrt((d * d).sum(1, keepdims=True))
+            u = np.divide(d, length, out=np.zeros_like(d), where=length > 0)
+            ids, at = np.unique(cell, return_inverse=True)
+            sums = np.zeros((len(ids), 2 * u.shape[1] + 2))
+            np.add.at(sums, at, np.concatenate([p[:, None] * u, u, p[:, None], np.ones((n, 1))], 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["i", "s"])
+
+    # the join has brought a cell's edges together, so a batch holds most cells whole and few rows are left
+    some = e.select("i", "p", "xi", "xj").mapInArrow(run, "i long, s array<double>")
+    total = some.select("i", F.posexplode("s").alias("k", "s")).groupBy("i", "k").agg(F.sum("s").alias("s"))
+    total = total.groupBy(F.col("i").alias("cell_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("s"))
+    d = ((F.size("s") - 2) / 2).cast("int")
+    weighted, plain = F.slice("s", F.lit(1), d), F.slice("s", d + 1, d)
+    mean = F.get("s", 2 * d) / F.get("s", 2 * d + 1)
+    return total.select("cell_id", F.zip_with(weighted, plain, lambda w, u: w - mean * u).alias("v"))
 
 
 def ito_kernel(edges: DataFrame, vectors: DataFrame, n_best: int = 30, least: float = 1e-7) -> DataFrame:

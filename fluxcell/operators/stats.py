@@ -257,9 +257,10 @@ def cell_cycle(x: DataFrame, phases: DataFrame) -> DataFrame:
     is the score of the phase before less that of the phase after, around the circle.
     """
     s = x.join(phases, "gene_id").groupBy("cell_id", "phase").agg(F.sum("value").alias("s"))
-    over_cells, over_phases = Window.partitionBy("phase"), Window.partitionBy("cell_id")
-    z = ratio(F.col("s") - F.avg("s").over(over_cells), F.stddev_samp("s").over(over_cells))
-    s = s.withColumn("z", z)
+    # a row for each phase: a window by phase would hold all cells in one task
+    of_phase = s.groupBy("phase").agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"))
+    over_phases = Window.partitionBy("cell_id")
+    s = s.join(F.broadcast(of_phase), "phase").withColumn("z", ratio(F.col("s") - F.col("mean"), F.col("sd")))
     s = s.withColumn("z", ratio(F.col("z") - F.avg("z").over(over_phases), F.stddev_samp("z").over(over_phases)))
     k = s.select("phase").distinct().agg(F.count("*").alias("k"))
     per = s.groupBy("cell_id").agg(

@@ -40,7 +40,7 @@ def low(spark, d, k: int = 3):
 
 def field(spark, d, k: int = 3):
     cells = cut(low(spark, d, k))
-    return cells, V.fit_field(cells, 40, beta=0.5, rounds=8)
+    return cells, V.fit_field(cells, beta=0.5)
 
 
 @query()
@@ -120,12 +120,20 @@ def vector_field_hessian(spark, d):
 
 
 def wells(spark, d):
-    """A field with two basins, fitted to velocities x - x^3 along the first axis and -y along the second, at the cells' places."""
-    x = F.transform(F.slice("x", 1, 2), lambda z: 10 * z)
-    cells = B.vectors(spark, d).select("cell_id", x.alias("x"))
+    """A field with two basins, fitted to velocities x - x^3 along the first axis and -y along the second, at all cells' places scaled into it."""
+    x = F.slice("x", 1, 2)
+    size = B.vectors(spark, d).agg(F.max(F.greatest(F.abs(F.get("x", 0)), F.abs(F.get("x", 1)))).alias("size"))
+    cells = B.vectors(spark, d).crossJoin(F.broadcast(size)).select("cell_id", F.transform(x, lambda z: 1.8 * z / F.col("size")).alias("x"))
     a, b = F.get("x", 0), F.get("x", 1)
-    cells = cut(cells.where(F.greatest(F.abs(a), F.abs(b)) < 2).select("cell_id", "x", F.array(a - a * a * a, -b).alias("v")))
-    return cells, V.fit_field(cells, 60, beta=0.5, ridge=0.01, rounds=8)
+    cells = cut(cells.select("cell_id", "x", F.array(a - a * a * a, -b).alias("v")))
+    return cells, V.fit_field(cells, beta=0.5, ridge=0.01)
+
+
+@query()
+def field_restarts(spark, d):
+    cells = cut(low(spark, d))
+    _, got = V.fit_field_with_restarts(cells, 0.6, beta=0.5)
+    return cells.agg(F.count("*").alias("n")).select("n", F.lit(round(got, 3)).alias("agreement"))
 
 
 @query()
@@ -208,19 +216,6 @@ def least_action_paths(spark, d):
     return out.select("pair_id", r("action", digits=2), r("t", digits=2))
 
 
-@query()
-def gillespie_expression(spark, d):
-    rates = simulate.expression_rates(5.0, 1.0, 0.5)
-    s = simulate.gillespie(spark, 200, [0, 0], simulate.EXPRESSION, rates, 10.0, 11)
-    return s.select("traj_id", r("t"), F.get("counts", 0).alias("u"), F.get("counts", 1).alias("s"))
-
-
-@query()
-def gillespie_toggle(spark, d):
-    s = simulate.gillespie(spark, 100, [5, 5], simulate.TOGGLE, simulate.toggle_rates(10.0, 5.0, 2.0, 1.0), 10.0, 6)
-    return s.select("traj_id", r("t"), F.get("counts", 0).alias("a"), F.get("counts", 1).alias("b"))
-
-
 @query()
 def simulate_ode(spark, d):
     cells = B.vectors(spark, d).select("cell_id", F.transform(F.slice("x", 1, 2), lambda z: F.abs(z)).alias("x"))

@@ -326,10 +326,10 @@ ma AS (SELECT cell_id, k, avg(x) AS m FROM mx GROUP BY ALL),
 vv AS (SELECT v.cell_id, v.x, list(ma.m - v.x[ma.k] ORDER BY ma.k) AS v FROM v JOIN ma USING (cell_id) GROUP BY v.cell_id, v.x)"""
 
 
-def vel(spark, d):
+def vel(spark, d, near=None):
     """Vectors with v = mean of the neighbours less x."""
     p = B.vectors(spark, d)
-    e = knn(spark, d).select(F.col("i").alias("cell_id"), "j").join(p.select(F.col("cell_id").alias("j"), "x"), "j")
+    e = (knn(spark, d) if near is None else near).select(F.col("i").alias("cell_id"), "j").join(p.select(F.col("cell_id").alias("j"), "x"), "j")
     m = e.select("cell_id", F.posexplode("x").alias("k", "x")).groupBy("cell_id", "k").agg(F.avg("x").alias("m"))
     m = m.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m"))
     return p.join(m, "cell_id").select("cell_id", "x", F.zip_with("m", "x", lambda a, b: a - b).alias("v"), "label")
@@ -532,7 +532,8 @@ tp AS (SELECT i, j, g / (sum(abs(g)) OVER (PARTITION BY i) + stay) AS p FROM g2
 
 
 def kernel(spark, d, transform: str = "sqrt", method: str = "cosine"):
-    return markov.correlation_kernel(graph.two_hop(knn(spark, d)), vel(spark, d), method, transform=transform)
+    near = cut(knn(spark, d))
+    return markov.correlation_kernel(graph.two_hop(near), cut(vel(spark, d, near)), method, transform=transform)
 
 
 def _transitions(transform: str, method: str):
@@ -601,7 +602,8 @@ def fate_bias_of_paths(spark, d):
 
 @query()
 def ito_kernel(spark, d):
-    return markov.ito_kernel(graph.two_hop(knn(spark, d)), vel(spark, d)).select("i", "j", r("p"))
+    near = cut(knn(spark, d))
+    return markov.ito_kernel(graph.two_hop(near), cut(vel(spark, d, near))).select("i", "j", r("p"))
 
 
 @query(

@@ -189,7 +189,7 @@ def test_field_fit_recovers_linear_flow(spark):
     x = rng.uniform(-1, 1, size=(400, 2))
     v = x @ np.array([[-1.0, 0.5], [-0.5, -1.0]]).T
     df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, v, strict=True))], "cell_id long, x array<double>, v array<double>")
-    f = V.fit_field(df, 60, beta=0.5, ridge=0.01, rounds=20)
+    f = V.fit_field(df, 60, beta=0.5, ridge=0.01)
     assert np.abs(f(x) - v).mean() < 0.1
     fp = [r for r in V.fixed_points(df, f, digits=1).collect() if abs(r["x"][0]) < 0.2 and abs(r["x"][1]) < 0.2]
     assert fp and all(r["stable"] for r in fp)
@@ -297,7 +297,9 @@ def test_column_quantile(spark):
         df = spark.createDataFrame([(float(v),) for v in x], "v double")
         for q in (0.0, 0.31, 0.98, 1.0):
             assert lineage.column_quantile(df, "v", q) == pytest.approx(np.quantile(x, q))
-        assert lineage.order_statistic(df, "v", len(x) // 2, most=5) == np.sort(x)[len(x) // 2]
+        for k in (0, len(x) // 2, len(x) - 1):
+            want = np.sort(x)[[k, min(k + 1, len(x) - 1)]]
+            assert lineage.order_statistics(df, "v", k, most=5) == tuple(want)
     assert lineage.column_quantile(df.limit(0), "v", 0.5) is None
 
 
@@ -468,7 +470,7 @@ def test_separatrices_leave_from_saddles(spark):
     x = rng.uniform(-1.8, 1.8, (400, 2))
     v = np.stack([x[:, 0] - x[:, 0] ** 3, -x[:, 1]], 1)
     cells = spark.createDataFrame([(i, x[i].tolist(), v[i].tolist()) for i in range(400)], "cell_id long, x array<double>, v array<double>")
-    f = V.fit_field(cells, 80, beta=0.5, ridge=0.01, rounds=8)
+    f = V.fit_field(cells, 80, beta=0.5, ridge=0.01)
     found = [r for r in V.fixed_points(cells, f, digits=1).collect() if r["n"] > 20]
     at = {(round(r["x"][0]), round(r["x"][1])): r["stable"] for r in found}
     assert at == {(-1, 0): True, (1, 0): True, (0, 0): False}

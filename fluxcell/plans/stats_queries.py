@@ -8,6 +8,7 @@ from fluxcell.functions.lineage import cut
 from fluxcell.operators import graph, markov, matrix, rank, stats, trajectory, trees
 from fluxcell.operators import vectorfield as V
 from fluxcell.plans import bindings as B
+from fluxcell.plans import labelling
 from fluxcell.plans.graph_queries import KNN, RING, knn, r, ring, us
 
 QUERIES, SQL = {}, {}
@@ -713,3 +714,65 @@ def expression_entropy(spark, d):
     g = g.groupBy("gene_id").agg(F.collect_list("v").alias("v"))
     p = F.transform("v", lambda x: F.try_divide(x, F.aggregate("v", F.lit(0.0), lambda s, y: s + y)))
     return g.select("gene_id", F.round(S.entropy_bits(p), 6).alias("entropy"))
+
+
+# labelling recipes: all at one time with return flag N as new, shares of the quantities (by discount) that rise or fall by year, and a pulse that is largest in the fourth year
+
+_NEW = {
+    "one-shot": ("CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0.0 END", "1.0"),
+    "kin": ("l_quantity * (1 - l_discount) * (1 - exp(-0.3 * (year(l_shipdate) - 1994)))", None),
+    "deg": ("l_quantity * (1 - l_discount) * exp(-0.3 * (year(l_shipdate) - 1994))", None),
+    "mix": ("l_quantity * (1 - abs(year(l_shipdate) - 1998) / 5.0) * (1 - l_discount)", None),
+}
+
+
+def _labelled(spark, d, kind):
+    new, t = _NEW[kind]
+    lines = B.table(spark, d, "lineitem").join(B.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    t = F.lit(1.0) if t else (F.year("l_shipdate") - 1994).cast("double")
+    return lines.groupBy(F.col("l_suppkey").alias("cell_id"), F.col("p_brand").alias("gene_id"), t.alias("t")).agg(
+        F.sum(F.expr(new)).alias("new"), F.sum("l_quantity").alias("total")
+    )
+
+
+def _labelled_sql(kind):
+    new, t = _NEW[kind]
+    rise = f"""SELECT gene_id, sum(w * t * y) / sum(w * t * t) AS gamma, sum(w * t * t) AS precision,
+      CASE WHEN count(*) > 1 THEN 1 - (sum(w * y * y) - sum(w * t * y) ** 2 / sum(w * t * t)) / nullif(sum(w * y * y) - sum(w * y) ** 2 / sum(w), 0) END AS r2, count(*) AS n_times
+      FROM (SELECT gene_id, t, -ln(1 - k) AS y, (1 - k) ** 2 / greatest(var_k, 1e-12) AS w FROM st WHERE t > 0 AND k < 1 {"AND t <= (SELECT peak FROM pk)" if kind == "mix" else ""}) GROUP BY gene_id"""
+    cov, vt, vy = "(sum(w * t * y) - sum(w * t) * sum(w * y) / sum(w))", "(sum(w * t * t) - sum(w * t) ** 2 / sum(w))", "(sum(w * y * y) - sum(w * y) ** 2 / sum(w))"
+    fall = f"""SELECT gene_id, CASE WHEN count(*) > 1 THEN -{cov} / {vt} END AS gamma, CASE WHEN count(*) > 1 THEN {vt} END AS precision,
+      CASE WHEN count(*) > 1 THEN {cov} ** 2 / ({vt} * {vy}) END AS r2, count(*) AS n_times
+      FROM (SELECT gene_id, t, ln(k) AS y, k * k / greatest(var_k, 1e-12) AS w FROM st WHERE k > 0 {"AND t >= (SELECT peak FROM pk)" if kind == "mix" else ""}) GROUP BY gene_id"""
+    gamma = {
+        "one-shot": "SELECT gene_id, -ln(1 - k) / t AS gamma, r2, 1 AS n_times FROM st WHERE k < 1 AND t > 0",
+        "kin": rise,
+        "deg": fall,
+        "mix": f"""SELECT gene_id, sum(gamma * precision) / sum(precision) AS gamma, min(r2) AS r2, sum(n_times) - count(*) + 1 AS n_times
+          FROM (FROM ({rise}) UNION ALL FROM ({fall})) WHERE gamma IS NOT NULL AND precision > 0 GROUP BY gene_id""",
+    }[kind]
+    alpha = "any_value(gamma) * sum(new) / sum(1 - exp(-gamma * t))" if kind in ("one-shot", "kin") else "any_value(gamma) * avg(total)"
+    return f"""WITH raw AS (SELECT l_suppkey AS cell_id, p_brand AS gene_id, {t or "(year(l_shipdate) - 1994)::DOUBLE"} AS t, sum({new}) AS new, sum(l_quantity) AS total
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+    pk AS (SELECT t AS peak FROM raw GROUP BY t ORDER BY sum(new) / sum(total) DESC, t DESC LIMIT 1),
+    ct AS (SELECT cell_id, sum(total) AS s FROM raw GROUP BY cell_id),
+    lab AS (SELECT cell_id, gene_id, t, new / f AS new, total / f AS total FROM raw JOIN (SELECT cell_id, s / avg(s) OVER () AS f FROM ct) USING (cell_id)),
+    st AS (SELECT gene_id, t, k, greatest(y2 - k * xy, 0) / (n * x2) AS var_k, 1 - greatest(y2 - k * xy, 0) / nullif(y2 - y * y / n, 0) AS r2
+      FROM (SELECT gene_id, t, count(*) AS n, sum(new) AS y, sum(new * new) AS y2, sum(new * total) AS xy, sum(total * total) AS x2, sum(new * total) / sum(total * total) AS k FROM lab GROUP BY gene_id, t)),
+    ga AS ({gamma}), al AS (SELECT gene_id, {alpha} AS alpha FROM lab JOIN ga USING (gene_id) WHERE gamma IS NOT NULL GROUP BY gene_id)
+    SELECT gene_id, round(gamma, 6) AS gamma, round(r2, 5) AS r2, round(alpha, 4) AS alpha, n_times::BIGINT AS n_times FROM ga JOIN al USING (gene_id)"""
+
+
+def _labelling(kind):
+    def run(spark, d):
+        made = labelling.labelling_recipe(_labelled(spark, d, kind))
+        if made.kind != kind:
+            raise ValueError(f"{kind} data were taken for {made.kind}")
+        return made.params.select("gene_id", r("gamma"), r("r2", digits=5), r("alpha", digits=4), "n_times")
+
+    return run
+
+
+for _kind in labelling.KINDS:
+    QUERIES[f"recipe_{_kind.replace('-', '_')}"] = _labelling(_kind)
+    SQL[f"recipe_{_kind.replace('-', '_')}"] = _labelled_sql(_kind)

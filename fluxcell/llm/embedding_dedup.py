@@ -245,14 +245,16 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     gives an empty result. Other columns are left behind.
     """
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"), "label")
-    size = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    # by a power of two, which is exact, so that no square of a finite component overflows or vanishes
+    largest = F.array_max(F.transform("x", F.abs))
+    power = F.pow(F.lit(2.0), -F.greatest(F.least(F.floor(F.log2(largest)), F.lit(1023)), F.lit(-1022)))
     sound = (
         F.col("label").isNotNull()
         & F.col("x").isNotNull()
         & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        & (size > 0)
-        & (size < float("inf"))
+        & (largest > 0)
     )
+    vectors = vectors.withColumn("x", F.when(sound, F.transform("x", lambda v: v * power)).otherwise(F.col("x")))
     listed = cut(
         vectors.withColumns(
             {

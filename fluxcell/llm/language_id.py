@@ -16,12 +16,13 @@ from fluxcell.llm.common import cut, lean, rows, sliced, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
-LETTERS = re.compile(r"[^\W\d_]{1,32}")  # a longer run is cut every 32 letters
+LETTERS = re.compile(r"[^\W\d_]+")
+PLAIN = 32  # letters of a word whose probabilities are multiplied as they are; of longer ones logarithms are added
 UNKNOWN = 1e-9  # probability of a letter that no piece covers
 SMOOTH = 0.05
 ROUNDS = 3
 SAMPLE_DOCS = 2000  # documents of each language that are learned from, about
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 20  # words whose scores are remembered, and 32 times as many letters
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
@@ -45,7 +46,10 @@ class Scorer:
         self.ids = {x: i for i, x in enumerate(pieces)}
         self.longest = max(map(len, pieces))
         self.p = np.vstack([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])  # unknown, impossible
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(self.p)
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.score = np.zeros((0, p.shape[1]))
 
     def edges(self, words: list[str], n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -70,11 +74,33 @@ class Scorer:
             a[end] += a[start] * self.p[ids]
         return a
 
+    def steps(self, word: str) -> list[np.ndarray]:
+        """For each end of a prefix of the word, from 1, the pieces from each of the last ``longest`` starts to there."""
+        get, bad, out = self.ids.get, len(self.p) - 1, []
+        for end in range(1, len(word) + 1):
+            ids = [get(word[start:end] if start else START + word[:end], bad) for start in range(max(0, end - self.longest), end)]
+            out.append(np.array(ids if ids[-1] != bad else [*ids[:-1], bad - 1]))
+        return out
+
+    def log_forward(self, steps: list[np.ndarray]) -> np.ndarray:
+        """Logarithms of what ``forward`` sums, of one word of any length: each letter counts up to ``longest`` terms."""
+        a = np.zeros((len(steps) + 1, self.p.shape[1]))
+        for end, ids in enumerate(steps, 1):
+            x = a[end - len(ids) : end] + self.log_p[ids]
+            top = x.max(0)
+            a[end] = top + np.log(np.exp(x - top).sum(0))
+        return a
+
     def learn(self, words: list[str]) -> None:
         by_length = defaultdict(list)
-        for w in words:
-            by_length[len(w)].append(w)
         parts = [self.score]
+        for w in words:
+            self.letters += len(w)
+            if len(w) > PLAIN:
+                parts.append(self.log_forward(self.steps(w))[-1:])
+                self.known[w] = len(self.known)
+            else:
+                by_length[len(w)].append(w)
         for n, same in by_length.items():
             for i in range(0, len(same), 4096):
                 some = same[i : i + 4096]
@@ -86,8 +112,8 @@ class Scorer:
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """Sum of log p of each text's words, for each language."""
         new = {w for t in texts for w in t if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.score = {}, self.score[:0]
+        if len(self.known) + len(new) > REMEMBERED or self.letters > 32 * REMEMBERED:
+            self.known, self.score, self.letters = {}, self.score[:0], 0
             new = {w for t in texts for w in t}
         if new:
             self.learn(list(new))
@@ -114,6 +140,20 @@ def expected_counts(scorer: Scorer, words: list[str], lang: int, times: np.ndarr
     return out
 
 
+def long_expected_counts(scorer: Scorer, word: str, lang: int, times: float) -> np.ndarray:
+    """``expected_counts`` of one word of any length, by sums of logarithms."""
+    steps = scorer.steps(word)
+    p, a = scorer.log_p[:, lang], scorer.log_forward(steps)[:, lang]
+    b, out = np.full(len(steps) + 1, -np.inf), np.zeros(len(p))
+    b[-1] = 0.0
+    for end in range(len(steps), 0, -1):
+        ids = steps[end - 1]
+        from_ = slice(end - len(ids), end)
+        b[from_] = np.logaddexp(b[from_], p[ids] + b[end])
+        np.add.at(out, ids, times * np.exp(a[from_] + p[ids] + b[end] - a[-1]))
+    return out
+
+
 def fit_pieces(
     docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS
 ) -> tuple[list[str], np.ndarray]:
@@ -154,7 +194,10 @@ def fit_pieces(
             for batch in batches:
                 by = defaultdict(list)
                 for lang, word, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    by[lang, len(word)].append((word, k))
+                    if len(word) > PLAIN:
+                        total[lang] += long_expected_counts(scorer, word, lang, k)
+                    else:
+                        by[lang, len(word)].append((word, k))
                 for (lang, _), got in by.items():
                     times = np.array([k for _, k in got], float)
                     total[lang] += expected_counts(scorer, [w for w, _ in got], lang, times)
@@ -180,7 +223,7 @@ def predict_language(docs: DataFrame, langs: list[str], pieces: list[str], p: np
 
     score is the posterior of the predicted language under equal priors; ties go to the first
     language. Text that is null or without a letter, and any text when no language was learned,
-    is ``und`` with score 0. Whole texts are read; a run of letters is cut every 32 letters.
+    is ``und`` with score 0. Texts and runs of letters of any length are read whole.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((pieces, p))  # the vocabulary's size times the languages

@@ -14,7 +14,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-MOST_SHARDS = 4096
+MOST_SHARDS = 4096  # output shards; with more words shards grow instead, so this is a parameter of the mix, not of its size
 SLOTS_A_TASK = 1 << 18
 
 

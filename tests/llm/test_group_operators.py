@@ -282,6 +282,13 @@ def test_mix_of_nothing(spark):
     assert sources.first()["target"] == 0 and drawn.count() == 0
 
 
+def test_very_large_and_very_small_vectors_link(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1e200, 2e200], 0), (3, [1e-200, 2e-200], 0), (4, [3e-310, 6e-310], 0), (5, [1.7e308, -1.7e308], 0), (6, [0.0, 0.0], 0), (7, [-1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
 # dialogues
 
 

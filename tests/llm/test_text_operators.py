@@ -230,6 +230,59 @@ def test_forward_sums_all_segmentations():
     got = s.forward(["abab"], 4)[4][0, 0]
     want = brute("▁abab") - prob[1, 0] * brute("abab")
     assert got == pytest.approx(want)
+    assert s.log_forward(s.steps("abab"))[4, 0] == pytest.approx(np.log(want))
+
+
+def log_sums(word, p, longest, unknown):
+    """log of the sum over all segmentations of prefixes, term by term, without arrays."""
+    from math import exp, log
+
+    a = [0.0]
+    for end in range(1, len(word) + 1):
+        terms = []
+        for start in range(max(0, end - longest), end):
+            piece = word[start:end] if start else "▁" + word[:end]
+            got = p.get(piece, unknown if end - start == 1 else 0)
+            if got:
+                terms.append(a[start] + log(got))
+        a.append(max(terms) + log(sum(exp(t - max(terms)) for t in terms)))
+    return a
+
+
+def test_runs_of_any_length_are_summed_whole():
+    rng = np.random.default_rng(5)
+    pieces = ["▁a", "▁", "a", "b", "ab", "ba", "▁ab", "aab", "bbb"]
+    prob = rng.dirichlet(np.ones(9), 2).T
+    s = language_id.Scorer(pieces, prob)
+    for n in (31, 32, 33, 70, 5000):
+        word = "".join(rng.choice(list("abc"), n, p=[0.5, 0.45, 0.05]))  # c is in no piece
+        want = [log_sums(word, dict(zip(pieces, prob[:, k], strict=True)), s.longest, language_id.UNKNOWN)[-1] for k in range(2)]
+        assert s.of([[word]])[0] == pytest.approx(want)
+    assert language_id.words_of("x" * 100 + " y1Z") == ["x" * 100, "y", "z"]
+
+
+def test_expected_counts_match_enumeration():
+    pieces = ["▁a", "▁", "a", "b", "ab", "▁ab", "ba"]
+    prob = np.array([[0.1], [0.2], [0.05], [0.15], [0.2], [0.1], [0.2]])
+    s = language_id.Scorer(pieces, prob)
+    p = dict(zip(pieces, prob[:, 0], strict=True))
+
+    def ways(word, first):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            piece = ("▁" if first else "") + word[:k]
+            if piece in p:
+                yield from ([piece, *rest] for rest in ways(word[k:], False))
+
+    want, total = dict.fromkeys(pieces, 0.0), 0.0
+    for way in ways("abaab", True):
+        w = np.prod([p[x] for x in way])
+        total += w
+        for x in way:
+            want[x] += w
+    for got in (language_id.expected_counts(s, ["abaab"], 0, np.array([3.0])), language_id.long_expected_counts(s, "abaab", 0, 3.0)):
+        assert got[:7] == pytest.approx([3 * want[x] / total for x in pieces])
 
 
 # quality

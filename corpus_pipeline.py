@@ -21,7 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the rows that the importance resampling draws, by doc_id (which may be null) and text."""
+    """Keep the rows that the importance resampling draws, by doc_id (which may be null) and text.
+
+    Null or blank text has no n-grams, so no evidence speaks against it; very long texts are counted whole. Rows with equal
+    doc_id and text are drawn or not together; columns of other names are left behind. An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     rated = resample_quality(docs, table(spark, sf_dir, "labels")).where("not kept")
     gone = rated.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
@@ -47,7 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates stays: that with the smallest doc_id, then the smallest hash of its text.
 
     Rows without doc_id come after all others. Of rows with equal doc_id and text one stays.
-    Texts without words (null, empty) are in no group, so only such repeats of them go.
+    Texts without words (null, empty) are in no group, so only such repeats of them go. Very long texts are compared whole;
+    columns of other names are left behind. An empty table stays empty.
     """
     docs = docs.select(*COLUMNS)
     found = cut(similar_documents(docs), "similar")
@@ -75,7 +80,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     something between them isn't drawn, else by the white space of the text.
 
     Null source is a source of its own. Texts without words are never drawn. Rows with one doc_id, or
-    none, and repeated rows are drawn each; very long texts are drawn by blocks. Without any words the mix is empty.
+    none, and repeated rows are drawn each; very long texts are drawn by blocks. Without any words the mix is empty. Columns
+    of other names are left behind.
     """
     docs = docs.select(*COLUMNS)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -101,6 +107,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as piece ids: one row for each of its rows, with the ids that decode to its text.
 
     Null and empty text has no ids; rows without doc_id and repeated rows are encoded each, texts of any length whole.
+    Columns of other names are left behind. An empty table gives an empty result.
     """
     docs = docs.select(*COLUMNS)
     return encode(docs, block_chars=PIECES_BLOCK)

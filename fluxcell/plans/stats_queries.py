@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxcell.functions.lineage import cut
-from fluxcell.operators import graph, markov, matrix, rank, stats, trajectory, trees
+from fluxcell.operators import graph, markers, markov, matrix, rank, stats, trajectory, trees
 from fluxcell.operators import vectorfield as V
 from fluxcell.plans import bindings as B
 from fluxcell.plans import labelling
@@ -716,6 +716,43 @@ def expression_entropy(spark, d):
     return g.select("gene_id", F.round(S.entropy_bits(p), 6).alias("entropy"))
 
 
+# markers: groups are the regions of the suppliers' nations
+
+
+def _regions(spark, d):
+    n = B.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("grp"))
+    return B.table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell_id"), "grp")
+
+
+@query(
+    """, rg AS (SELECT s_suppkey AS cell_id, n_regionkey::VARCHAR AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    sz AS (SELECT grp, count(*) AS n FROM rg GROUP BY grp),
+    vx AS (SELECT rg.grp, gene_id, cell_id, total AS value FROM dx JOIN rg USING (cell_id)),
+    nz AS (SELECT gene_id, vx.grp, count(*) FILTER (WHERE value > 0) AS held, count(*) AS n FROM vx GROUP BY ALL),
+    sh AS (SELECT gene_id, grp, held / sum(held) OVER (PARTITION BY gene_id) AS c, held / n AS frac FROM nz),
+    pr AS (SELECT a.grp AS t, b.grp AS v, least(a.n, b.n) AS n2 FROM sz a JOIN sz b ON a.grp <> b.grp),
+    ds AS (SELECT *, row_number() OVER (PARTITION BY gene_id, grp ORDER BY value DESC) AS place FROM vx),
+    al AS (SELECT t, v, gene_id, value, true AS test FROM pr JOIN ds ON grp = t UNION ALL SELECT t, v, gene_id, value, false FROM pr JOIN ds ON grp = v WHERE place <= n2),
+    rk AS (SELECT *, rank() OVER (PARTITION BY t, v, gene_id ORDER BY value) + (count(*) OVER (PARTITION BY t, v, gene_id, value) - 1) / 2.0 AS r FROM al),
+    g2 AS (SELECT t, v, gene_id, count(*) FILTER (WHERE test) AS n1, count(*) FILTER (WHERE NOT test) AS n2, sum(r) FILTER (WHERE test) AS r1,
+      avg(value) FILTER (WHERE test) AS m1, avg(value) FILTER (WHERE NOT test) AS m2,
+      avg((value > 0)::INTEGER) FILTER (WHERE test) - avg((value > 0)::INTEGER) FILTER (WHERE NOT test) AS dp FROM rk GROUP BY ALL)
+    SELECT g2.gene_id, t AS test_group, v AS versus_group, round(frac, 6) AS exp_frac, round(dp, 6) + 0.0 AS diff_ratio_pos,
+    round(1 - sqrt(greatest(0, CASE WHEN c > 0 THEN c * log2(c) / 2 ELSE 0 END + (1 - c) / 2 - (1 + c) / 2 * log2((1 + c) / 2))), 6) AS specificity,
+    round(1 - 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2), 6) + 0.0 AS rbc, CASE WHEN m1 > 0 AND m2 > 0 THEN round(log2(m1 / m2), 6) + 0.0 END AS log2_fc
+    FROM g2 JOIN (SELECT gene_id, grp AS t, frac FROM sh WHERE frac >= 0.1) USING (gene_id, t) JOIN (SELECT gene_id, grp AS v, c FROM sh) USING (gene_id, v)"""
+)
+def group_marker_effects(spark, d):
+    got = markers.group_markers(B.total_layer(B.counts(spark, d)), _regions(spark, d), most_q=None)
+    return got.select("gene_id", "test_group", "versus_group", *[r(c) for c in ("exp_frac", "diff_ratio_pos", "specificity", "rbc", "log2_fc")])
+
+
+@query()
+def group_markers(spark, d):
+    got = markers.group_markers(B.total_layer(B.counts(spark, d)), _regions(spark, d))
+    return got.select("gene_id", "test_group", "versus_group", r("specificity"), r("rbc"), r("log2_fc"), r("p", digits=4), r("q", digits=4))
+
+
 # labelling recipes: all at one time with return flag N as new, shares of the quantities (by discount) that rise or fall by year, and a pulse that is largest in the fourth year
 
 _NEW = {

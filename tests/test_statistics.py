@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxcell.functions import lineage
-from fluxcell.operators import flows, stats
+from fluxcell.operators import flows, markers, stats
 
 
 def test_permuted_is_a_bijection():
@@ -141,3 +141,57 @@ def test_flow_without_triangles(spark):
     rows = flows.hodge_parts(df).collect()
     assert all(r["gradient"] == pytest.approx(0, abs=1e-8) and r["curl"] == 0 for r in rows)
     assert all(abs(r["harmonic"]) == pytest.approx(1) for r in rows)
+
+
+def brute_markers(x, groups, least):
+    """Every pair of groups on the dense matrix, cell by cell."""
+    import math
+    from collections import Counter
+
+    out = {}
+    for g in range(x.shape[1]):
+        held = {a: (x[groups == a, g] != 0).sum() for a in set(groups)}
+        for t in set(groups):
+            test = x[groups == t, g]
+            if (test != 0).mean() < least:
+                continue
+            for v in set(groups) - {t}:
+                control = np.sort(x[groups == v, g])[-min(len(test), (groups == v).sum()) :]
+                u = sum((a > b) + 0.5 * (a == b) for a in test for b in control)
+                n1, n2 = len(test), len(control)
+                n, tie = n1 + n2, sum(k**3 - k for k in Counter([*test, *control]).values())
+                sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1))))
+                p = math.erfc(max(abs(u - n1 * n2 / 2) - 0.5, 0) / sd / math.sqrt(2)) if sd else 1.0
+                q = np.array([held[a] for a in sorted(held)], float)
+                q /= q.sum()
+                one = np.array([float(a == v) for a in sorted(held)])
+                bits = lambda d: -sum(z * math.log2(z) for z in d if z > 0)
+                special = 1 - math.sqrt(max(0.0, bits((q + one) / 2) - bits(q) / 2))
+                out[f"g{g}", t, v] = (special, (test != 0).mean(), (test > 0).mean() - (control > 0).mean(), 1 - 2 * u / (n1 * n2), u, p)
+    return out
+
+
+def test_group_markers_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    groups = np.repeat(["a", "b", "c"], [30, 18, 25])
+    x = rng.poisson(0.7, (73, 6)).astype(float)
+    x[:30, 0] += rng.poisson(3, 30)
+    x[30:, 1] = 0
+    x[:, 5] = 0
+    x[3, 5] = 1
+    stored = [(i, f"g{g}", float(x[i, g])) for i in range(73) for g in range(6) if x[i, g]]
+    df = spark.createDataFrame(stored, "cell_id long, gene_id string, value double")
+    cells = spark.createDataFrame([(i, str(g)) for i, g in enumerate(groups)], "cell_id long, grp string")
+    got = {(r["gene_id"], r["test_group"], r["versus_group"]): r for r in markers.group_markers(df, cells, most_q=None).collect()}
+    want = brute_markers(x, groups, 0.1)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        r = got[key]
+        assert [r[c] for c in ("specificity", "exp_frac", "diff_ratio_pos", "rbc", "u")] == pytest.approx(list(values[:5]))
+        assert r["p"] == pytest.approx(values[5], abs=1e-6)
+    for t in "abc":  # Benjamini-Hochberg within a test group
+        rows = sorted((r["p"], r["q"]) for k, r in got.items() if k[1] == t)
+        raw = [p * len(rows) / (i + 1) for i, (p, _) in enumerate(rows)]
+        assert [q for _, q in rows] == pytest.approx([min(1.0, *raw[i:]) for i in range(len(rows))])
+    few = markers.group_markers(df, cells).collect()
+    assert few and all(r["q"] < 0.05 for r in few) and any(r["gene_id"] == "g0" and r["test_group"] == "a" for r in few)

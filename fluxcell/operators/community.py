@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxcell.functions.lineage import cut
 from fluxcell.operators.trees import components
 
-GAIN = 1e-7  # of modularity: less is no gain
+GAIN = 1e-4  # of modularity: less is no gain
 STRIDE = 4  # rounds between two looks at what they have brought
 
 

@@ -4,13 +4,14 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
     cols = sorted(df.columns)
-    plain = lambda x: None if x is None or x != x else x.item() if hasattr(x, "item") else x
+    plain = lambda x: None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x
     return cols, sorted((tuple(plain(x) for x in r) for r in df[cols].itertuples(index=False)), key=repr)
 
 

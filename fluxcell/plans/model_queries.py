@@ -425,6 +425,7 @@ def aggregate_peaks(spark, d):
         (F.col("gene_id") + 1).alias("gene_id"),
         F.col("gene_id").alias("peak_gene"),
         F.col("kind").alias("peak_kind"),
+        annotation["distance"].alias("peak_distance"),  # a peak_id may stand at several places
         (F.col("l_discount") * 10).alias("correlation"),
         (F.col("l_quantity") * 400).alias("distance"),
     )

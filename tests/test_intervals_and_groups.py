@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from against_sql import same
 from pyspark.sql import functions as F
 
 from fluxcell.operators import community, intervals, trees
+from fluxcell.plans import model_queries
 from fluxcell.sources import tables
 
 PLACE = "chrom string, start long, end long"
@@ -51,6 +53,25 @@ def test_gene_regions_and_gtf(spark, tmp_path):
     assert place(intervals.gene_regions(genes, 200, 10, stranded=False)) == {"G1": (800, 2010), "G2": (0, 100)}
 
 
+def test_links_of_a_repeated_peak_count_by_their_own_place(spark):
+    """Peak 1 is annotated to gene A in its body and at distance 2, peak 2 in its body only."""
+    annotation = spark.createDataFrame(
+        [(9, "A", "promoter", 1), (1, "A", "distal", 0), (1, "A", "distal", 2), (2, "A", "distal", 0)],
+        "peak_id long, gene_id string, kind string, distance long",
+    )
+    links = spark.createDataFrame(
+        [(1, "A", "A", "distal", 0.9, 500, 0), (1, "A", "A", "distal", 0.8, 500, 2), (2, "A", "A", "distal", 0.9, 500, 0)],
+        "peak_id long, gene_id string, peak_gene string, peak_kind string, correlation double, distance long, peak_distance long",
+    )
+    roles = lambda df: {(r["peak_id"], r["role"]) for r in df.collect()}
+    assert roles(intervals.promoter_enhancer_peaks(annotation, links)) == {(9, "promoter"), (1, "enhancer")}
+    assert roles(intervals.promoter_enhancer_peaks(annotation, links.drop("peak_distance"))) == {(9, "promoter")}
+
+
+def test_aggregate_peaks_with_repeated_peaks_matches_sql(spark):
+    same(model_queries.aggregate_peaks(spark, "/root/testdata/sf0.01"), model_queries.SQL["aggregate_peaks"], "/root/testdata/sf0.01")
+
+
 def test_peak_tables_and_roles(spark, tmp_path):
     six = "chrom\tstart\tend\tgene\tdistance\tpeak_type\n" + "\n".join(
         ["1\t10\t20\tA\t-5\tpromoter", "1\t40\t50\tA\t0\tdistal", "1\t90\t99\tB\t500\tdistal", "2\t5\t9\tB\t1\tpromoter", "2\t70\t75\tC\t9000\tdistal", "2\t80\t85\t\t\tintergenic"]

@@ -90,18 +90,36 @@ def diverse(vec, ids, sim, most: int) -> np.ndarray:
     return np.pad(out, ((0, 0), (0, max(0, most - out.shape[1]))), constant_values=-1)
 
 
-def build(vec: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
+def led(inside: np.ndarray, best: np.ndarray, bar: float) -> np.ndarray:
+    """For each vector of a batch, the first earlier one without a leader that is as near as ``bar``, or -1;
+    ``best`` is how near each is to its nearest of the graph: those over ``bar`` have their leader there."""
+    leader = np.full(len(best), -1)
+    free = best < bar
+    for i in np.flatnonzero(free & (inside >= bar).any(1)):
+        of = np.flatnonzero(free[:i] & (inside[i, :i] >= bar))
+        if len(of):
+            leader[i], free[i] = of[0], False
+    return leader
+
+
+def build(vec: np.ndarray, nodes: np.ndarray, least: float | None = None) -> dict[str, np.ndarray]:
     """A hierarchical navigable small-world graph; ``nodes`` (ids) seed the levels, so reruns agree.
 
     Vectors are inserted in growing batches. A batch is searched from the top layer down in the
     graph so far and compared within itself; links go both ways and a full node keeps a diverse
     choice of its neighbours.
+
+    With ``least``, a vector that is found linked to one of the graph is not inserted but follows it: ``leader`` names
+    each vector's (itself where it stands in the graph). So a large group of near copies is a few nodes, and neither
+    fills the beams of its queries nor closes its nodes off from the rest.
     """
     n = len(vec)
     u = (mix64(nodes.astype(np.int64).view(np.uint64)) >> np.uint64(11)) / float(1 << 53)
     level = np.floor(-np.log(np.maximum(u, 1e-18)) / np.log(NEIGHBOURS)).astype(int)
     order = np.argsort(-level, kind="stable")  # upper layers first, so that every search has an entry
     vec, level = vec[order], level[order]
+    bar = np.inf if least is None else least + 1e-5  # above what single precision may take for a link
+    leader = np.arange(n)
     layers = [np.full((n, NEIGHBOURS * (2 if h == 0 else 1)), -1, np.int32) for h in range(level.max(initial=0) + 1)]
     size = 0
     while size < n:
@@ -109,15 +127,20 @@ def build(vec: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
         q = vec[batch]
         inside = q @ q.T
         np.fill_diagonal(inside, NONE)
-        start = np.zeros(len(batch), np.int64)
+        start, best = np.zeros(len(batch), np.int64), np.full(len(batch), NONE)
+        met = {}
         for h in range(len(layers) - 1, -1, -1):
-            near = layers[h]
             if size:
-                ids, sim = walk(vec[:size], near[:size], q, start, BUILD_BEAM if (level[batch] >= h).any() else 1)
-                start = ids[np.arange(len(batch)), sim.argmax(1)]
+                met[h] = walk(vec[:size], layers[h][:size], q, start, BUILD_BEAM if (level[batch] >= h).any() else 1)
+                start, best = met[h][0][np.arange(len(batch)), met[h][1].argmax(1)], met[h][1].max(1)
             else:
-                ids, sim = np.zeros((len(batch), 0), np.int32), np.zeros((len(batch), 0), np.float32)
-            here = level[batch] >= h
+                met[h] = np.zeros((len(batch), 0), np.int32), np.zeros((len(batch), 0), np.float32)
+        mate = led(inside, best, bar)
+        leader[batch] = np.where(best >= bar, start, np.where(mate >= 0, batch[mate], batch))
+        stands = leader[batch] == batch
+        for h in range(len(layers) - 1, -1, -1):
+            near, (ids, sim) = layers[h], met[h]
+            here = (level[batch] >= h) & stands
             if not here.any():
                 continue
             mates = np.where(here[None, :], inside, NONE)
@@ -148,12 +171,12 @@ def build(vec: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
         size = batch[-1] + 1
     back = np.argsort(order)
     names = {f"layer{h}": np.where(x >= 0, order[np.maximum(x, 0)], -1)[back].astype(np.int32) for h, x in enumerate(layers)}
-    return names | {"entry": np.array([order[0] if n else 0])}
+    return names | {"entry": np.array([order[0] if n else 0])} | ({} if least is None else {"leader": order[leader][back]})
 
 
 def search(vec, graph, queries, beam: int) -> tuple[np.ndarray, np.ndarray]:
     start = np.full(len(queries), graph["entry"][0])
-    for h in range(len(graph) - 2, 0, -1):
+    for h in range(sum(k.startswith("layer") for k in graph) - 1, 0, -1):
         ids, sim = walk(vec, graph[f"layer{h}"], queries, start, 1)
         start = ids[np.arange(len(queries)), sim.argmax(1)]
     return walk(vec, graph["layer0"], queries, start, beam)
@@ -163,13 +186,32 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+class Groups:
+    """The vectors that follow each node of a graph, and how near a query must come to a node to reach a link among them."""
+
+    def __init__(self, graph: dict[str, np.ndarray], n: int, least: float):
+        self.leader = graph.get("leader", np.arange(n))
+        self.order = np.argsort(self.leader, kind="stable")
+        self.first = np.searchsorted(self.leader[self.order], np.arange(n + 1))
+        self.size = np.diff(self.first)
+        self.standing = int((self.size > 0).sum())  # nodes of the graph
+        # a follower's angle to its node is at most that of a link, so the two angles add up
+        self.bar = (2 * least * least - 1 if least > 0 else -1.0) if self.standing < n else least
+
+    def of(self, node: int) -> np.ndarray:
+        return self.order[self.first[node] : self.first[node + 1]]
+
+
 def linked(x, vec, graph, y, beam: int, least: float):
     """(query, node) pairs with cosine >= least: found by beams that widen for a query until its
-    beam holds something below the bound; for a beam as wide as the shard, all of it is compared."""
+    beam holds something too far for a link; for a beam as wide as the graph, all of it is compared.
+    Vectors that follow a node are compared where a beam meets the node."""
     todo = np.arange(len(y))
     single = y.astype(np.float32)
+    groups = Groups(graph, len(x), least)
+    bar = groups.bar - 1e-4
     while len(todo):
-        if beam >= len(x):
+        if beam >= groups.standing:
             for i in range(0, len(todo), TOGETHER):
                 some = todo[i : i + TOGETHER]
                 q, node = np.nonzero(y[some] @ x.T >= least)
@@ -179,12 +221,20 @@ def linked(x, vec, graph, y, beam: int, least: float):
         for i in range(0, len(todo), TOGETHER):
             some = todo[i : i + TOGETHER]
             ids, sim = search(vec, graph, single[some], beam)
-            full = sim.min(1) >= least - 1e-4
+            full = sim.min(1) >= bar
             again.append(some[full])
-            q, at = np.nonzero((sim >= least - 1e-4) & ~full[:, None])
-            node = ids[q, at]
-            true = np.einsum("ij,ij->i", y[some[q]], x[node]) >= least
-            yield some[q[true]], node[true]
+            q, at = np.nonzero((sim >= bar) & ~full[:, None])
+            q, node = some[q], ids[q, at]
+            alone = groups.size[node] == 1
+            q1, node1 = q[alone], node[alone]
+            true = np.einsum("ij,ij->i", y[q1], x[node1]) >= least
+            yield q1[true], node1[true]
+            q, node = q[~alone], node[~alone]
+            by = np.argsort(node, kind="stable")
+            for same in np.split(by, np.flatnonzero(np.diff(node[by])) + 1) if len(by) else ():
+                members = groups.of(node[same[0]])
+                a, b = np.nonzero(y[q[same]] @ x[members].T >= least)
+                yield q[same][a], members[b]
         todo, beam = np.concatenate(again), beam * 2
 
 
@@ -200,19 +250,21 @@ def probes(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 def passing_beam(x, vec, graph, y, least: float) -> int:
     """The first beam that passes two audits: from queries at the least cosine of a link from a node of the shard
     (``probes``, which every shard has, however rare its links are) it finds ``RECALL`` of those nodes, and of
-    evenly spaced real queries ``RECALL`` of the links that an exact scan finds."""
+    evenly spaced real queries ``RECALL`` of the links that an exact scan finds. A node that follows another is found with it."""
     node, probe = probes(x, least)
+    groups = Groups(graph, len(x), least)
+    node = groups.leader[node]
     probe = probe.astype(np.float32)
     audit = y[:: max(1, len(y) // AUDITED)]
     true = int((audit @ x.T >= least).sum())
     beam = FIRST_BEAM
-    while beam < len(x):
+    while beam < groups.standing:
         ids, _ = search(vec, graph, probe, beam)
         if (ids == node[:, None]).any(1).mean() >= RECALL:
             if sum(len(q) for q, _ in linked(x, vec, graph, audit, beam, least)) >= RECALL * true:
-                break
+                return beam
         beam *= 2
-    return beam
+    return max(beam, len(x))
 
 
 def packed(**arrays: np.ndarray) -> bytes:
@@ -236,7 +288,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
     dealt by hash to shards of about ``shard_size``; each shard's graph is built once, and every
     shard of the label is queried with all the label's nodes, a shard at a time. Beams widen until
     audits pass, of made-up queries just linked to known nodes and of real ones against an exact scan, and further for
-    queries whose beam is full of links.
+    queries whose beam is full of links. A vector linked to one that stands in the graph already follows it instead of standing
+    there too; walks then go for all nodes within twice a link's angle, and their followers are compared.
     Every link is verified. A search returns counts by query and a spanning forest of its links,
     never all pairs; components come from the forests.
 
@@ -284,7 +337,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
             "space": [t.column("space")[0].as_py()],
             "shard": [t.column("shard")[0].as_py()],
             "vectors": [packed(node=node, times=times, x=y)],
-            "graph": [packed(**build(y.astype(np.float32), node))],
+            "graph": [packed(**build(y.astype(np.float32), node, least))],
         }
         return pa.Table.from_batches([rows(data, INDEX)])
 
@@ -313,12 +366,18 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST, shard_size:
         count = np.zeros(len(y), np.int64)
         forest = Forest(len(x) + (0 if same else len(y)))
         shift = 0 if same else len(x)
+        if same:
+            for i, j in enumerate(graph["leader"].tolist()):
+                forest.join(j, i)
         for q, node in linked(x, single, graph, y, beam, least):
             if same:
                 other_one = q != node
                 q, node = q[other_one], node[other_one]
             np.add.at(count, q, a["times"][node])
-            for i, j in zip(q.tolist(), node.tolist(), strict=True):
+            # one link with a leader's followers joins them all: they are linked with it
+            new = np.ones(len(q), bool)
+            new[1:] = (np.diff(q) != 0) | (np.diff(graph["leader"][node]) != 0)
+            for i, j in zip(q[new].tolist(), node[new].tolist(), strict=True):
                 forest.join(j, shift + i)
         ids = np.concatenate([a["node"], [] if same else b["node"]]).astype(np.int64)
         link = np.array(forest.links, np.int64).reshape(-1, 2)

@@ -183,6 +183,27 @@ def test_audit_without_links_still_measures_recall():
     assert embedding_dedup.passing_beam(x, single, {"layer0": cut, "entry": np.array([0])}, y, 0.98) >= len(x)
 
 
+def test_a_large_group_of_near_copies_is_few_nodes():
+    rng = np.random.default_rng(12)
+    far = rng.normal(size=(1500, 64))
+    near = rng.normal(size=64) + 0.09 * rng.normal(size=(700, 64))
+    pairs = far[:60] + 0.1 * rng.normal(size=(60, 64))
+    x = embedding_dedup.unit(np.concatenate([far, near, pairs])[rng.permutation(2260)])
+    single = x.astype(np.float32)
+    g = embedding_dedup.build(single, np.arange(2260), 0.98)
+    exact = x @ x.T >= 0.98
+    leader = g["leader"]
+    assert exact[np.arange(2260), leader].all() and (leader[leader] == leader).all()
+    assert len(np.unique(leader)) < 1600
+    beam = embedding_dedup.passing_beam(x, single, g, x, 0.98)
+    assert beam <= 4 * embedding_dedup.FIRST_BEAM
+    got = np.zeros_like(exact)
+    for q, node in embedding_dedup.linked(x, single, g, x, beam, 0.98):
+        assert not got[q, node].any()
+        got[q, node] = True
+    assert (got & ~exact).sum() == 0 and got.sum() >= 0.999 * exact.sum() > 100_000
+
+
 def test_a_graph_that_hides_links_is_scanned():
     rng = np.random.default_rng(8)
     x, y = (embedding_dedup.unit(rng.normal(size=(1200, 16))) for _ in range(2))

@@ -97,6 +97,14 @@ def shared_tokens(found: DataFrame) -> DataFrame:
     return both.where(other & (F.col("last").isNull() | (F.col("last") != F.col("node")))).select("token", "salt", "node")
 
 
+def crossing(told: DataFrame) -> DataFrame:
+    """Rows (token, x, block, label) whose token stands in other classes (labels) and in other blocks too, by one shuffle."""
+    w = Window.partitionBy("token")
+    ends = {f"{f.__name__}_{c}": f(c).over(w) for c in ("label", "block") for f in (F.min, F.max)}
+    both = told.withColumns(ends).where("min_label < max_label and min_block < max_block")
+    return both.select("token", "x", "block", "label")
+
+
 def traverse(sets: list[np.ndarray], sizes: list[int], queries: list[np.ndarray], wanted: list[int], link) -> None:
     """Call ``link(set, query)`` for every pair that reaches the Jaccard bound.
 
@@ -380,26 +388,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         state = dealt.where("block <> 0").join(now.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
         state = state.select(F.col("node").alias("x"), "node_h", "comp", "block", "cls", "n", F.coalesce("component", "node").alias("label"))
         state = cut(state, "state", small=True)
-        # a set must still meet a block where enough of its prefix's tokens stand in sets of other classes
-        told = found.select("token", "node").join(state, F.col("node") == F.col("node_h"))
-        told = cut(told.select("token", "x", "comp", "block", "cls", "n", "label"), "told")
+        # a set must still meet a block where enough of its prefix's tokens stand in sets of other classes;
+        # all sets with a token are in one chain component, so the token alone names the rows that may meet
+        told = found.select("token", "node").join(state, F.col("node") == F.col("node_h")).select("token", "x", "block", "label")
         for _ in range(PEELS):  # sets with too few tokens that other classes in other blocks have
-            ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "block") for f in (F.min, F.max)]
-            cross = told.groupBy("token", "comp").agg(*ends).where("min_label < max_label and min_block < max_block")
-            cross = cut(cross.select(F.col("token").alias("t2"), F.col("comp").alias("c2")), "cross", small=True)
-            told = told.join(cross, (F.col("token") == F.col("t2")) & (F.col("comp") == F.col("c2")), "left_semi")
-            able = told.groupBy("x").agg(F.count("*").alias("has"), F.first("n").alias("n")).where(F.col("has") >= need)
-            told = cut(told.join(cut(able.select("x"), "able", small=True), "x", "left_semi"), "told")
-        held = told.groupBy("token", "comp", "block", "cls").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        held = cut(held, "held").withColumnsRenamed({"token": "t2", "comp": "c2", "block": "b2", "cls": "l2"})
+            told = cut(crossing(told), "told")
+            able = told.groupBy(F.col("x").alias("x2")).agg(F.count("*").alias("has"))
+            able = able.join(state, F.col("x2") == F.col("x")).where(F.col("has") >= need).select("x2", "cls")
+            told = told.join(cut(able, "able", small=True), F.col("x") == F.col("x2"))
+            told = told.select("token", "x", "block", "cls", "label")
+        told = cut(told, "told")
+        held = told.groupBy("token", "block", "cls").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        held = cut(held, "held").withColumnsRenamed({"token": "t2", "block": "b2", "cls": "l2"})
         meets = (
             (F.col("token") == F.col("t2"))
-            & (F.col("comp") == F.col("c2"))
             & (F.col("block") != F.col("b2"))
             & (F.abs(F.col("cls") - F.col("l2")) <= 1)
             & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
         )
-        todo = told.join(held, meets).groupBy("x", "n", "comp", "b2").agg(F.count("*").alias("has")).where(F.col("has") >= need)
+        todo = told.join(held, meets).groupBy("x", "b2").agg(F.count("*").alias("has"))
+        todo = todo.join(state.select(F.col("x").alias("x2"), "n", "comp"), F.col("x") == F.col("x2")).where(F.col("has") >= need)
         todo = cut(todo.select("x", F.col("comp").alias("c2"), "b2"), "todo", small=True)
         # what each set is there for, in small rows; the sets themselves are shuffled once
         asked = cut(todo.select("c2", "b2").distinct(), "asked", small=True)

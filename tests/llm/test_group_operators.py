@@ -97,6 +97,13 @@ def test_ngram_join_with_colliding_hashes(spark, monkeypatch):
     assert got == brute_join(texts)[1]
 
 
+def test_crossing_rows_take_one_shuffle(spark):
+    rows = [(1, 10, 5, 0), (1, 11, 6, 0), (2, 10, 5, 0), (2, 12, 5, 1), (3, 10, 5, 0), (3, 13, 7, 1), (3, 14, 7, 1), (4, 15, 8, 2)]
+    told = ngram_join.crossing(spark.createDataFrame(rows, "token long, x long, block long, label long"))
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(tuple(r) for r in told.collect()) == [r for r in rows if r[0] == 3]
+
+
 def test_ngram_join_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other words in this one"), (9, None)], "doc_id long, text string")
     got = ngram_join.similar_documents(df).collect()

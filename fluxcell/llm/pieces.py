@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxcell.llm.common import lean, rows, sliced, table
@@ -25,6 +26,7 @@ ZIPF = 100.0  # how much flatter than 1 / rank the frequencies of the first rank
 STEP = 1024  # scores are multiples of 1 / STEP, so that their sums are exact, in single precision too
 EDGE_FACTOR = 4
 LONGEST_UNIT = 256  # a longer unit's lattice is not exploded to rows: its block solves it in one pass
+END, START, LOWEST = 44, 32, 1 << 21  # an edge is one number: end, start (12 bits), id + LOWEST
 
 # Runs of letters and digits, or of other characters, each with the spaces before it.
 UNIT = re.compile(r" *(?:[^\W_²]++|(?:[\W_²](?<! ))++)| +")
@@ -121,59 +123,94 @@ class Paths:
         return ids
 
 
-class Numbered(dict):
-    """word -> number, in order of first sight; ``new`` is told each word once."""
+class BlockWords(dict):
+    """A block's words by number, in order of first sight; and its units, numbered likewise.
 
-    def __init__(self, new):
-        self.new = new
+    Both passes over a block number alike. ``found``, ``made`` and ``parts`` gather, until they are cleared, the new
+    units, the units that make the new words, and how many make each.
+    """
+
+    def __init__(self):
+        self.units: dict[str, int] = {}
+        self.found, self.made, self.parts = [], array("i"), array("i")
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
-        self.new(word)
+        units, own = self.units, units_of(word)
+        for unit in own:
+            n = units.get(unit)
+            if n is None:
+                n = units[unit] = len(units)
+                self.found.append(unit)
+            self.made.append(n)
+        self.parts.append(len(own))
         return k
 
+    def clear_new(self) -> None:
+        self.found, self.made, self.parts = [], array("i"), array("i")
 
-def viterbi(edges: Column) -> Column:
-    """Ids of the best path through a lattice: a fold over its edges in order of (end, start).
 
-    ``edges``: array<struct<end, start, score, id>>, sorted, with an edge into every place. The
-    state holds the best path to each place passed and the best edge into the place at hand;
-    equal scores go to the smaller start, which comes first.
-    """
-    path = lambda score, ids: F.struct(score.alias("score"), ids.alias("ids"))
-    edge = lambda score, back, id_: F.struct(score.alias("score"), back.alias("back"), id_.alias("id"))
-    start = F.struct(
-        F.array(path(F.lit(0.0), F.array().cast("array<int>"))).alias("best"),
-        F.lit(1).alias("place"),
-        edge(F.lit(float("-inf")), F.lit(0), F.lit(0)).alias("top"),
-    )
+def take(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs ``flat[begin : begin + length]``, one after the other."""
+    return flat[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+
 
-    def reached(s: Column) -> Column:
-        return path(s["top"]["score"], F.concat(F.get(s["best"], s["top"]["back"])["ids"], F.array(s["top"]["id"])))
+def marked(number: np.ndarray, known: int) -> np.ndarray:
+    """Numbers given in order of first sight, ``known`` of them before: 0 for each first sight, else 1 + number. Packs better."""
+    following = np.maximum.accumulate(np.concatenate([[known - 1], number]))[:-1] + 1
+    return np.where(number == following, 0, number + 1).astype(np.int32)
 
-    def step(s: Column, e: Column) -> Column:
-        here = e["end"] == s["place"]
-        before = F.when(e["start"] == F.size(s["best"]), s["top"]["score"]).otherwise(F.get(s["best"], e["start"])["score"])
-        score = before + e["score"]
-        return F.struct(
-            F.when(here, s["best"]).otherwise(F.concat(s["best"], F.array(reached(s)))).alias("best"),
-            e["end"].alias("place"),
-            F.when(here & (score <= s["top"]["score"]), s["top"]).otherwise(edge(score, e["start"], e["id"])).alias("top"),
-        )
 
-    return F.aggregate(edges, start, step, lambda s: reached(s)["ids"])
+def unmarked(mark: np.ndarray, known: int) -> np.ndarray:
+    """The numbers of ``marked``."""
+    return np.where(mark == 0, known + np.cumsum(mark == 0) - 1, mark.astype(np.int64) - 1)
 
 
-def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(unit, ids, places)`` for each distinct unit of ``listed(unit, place)``.
+def viterbi(edges: np.ndarray, count: np.ndarray, scores: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best paths through the lattices of many units, one after the other, and each path's length.
+
+    ``count`` edges of each unit, with one into every place. The lattices are folded together, place by
+    place: the best edge into a place follows the best paths to its start; equal scores go to the smaller start.
+    """
+    m = len(count)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    unit, end, start = np.repeat(np.arange(m), count), edges >> END, (edges >> START) & 0xFFF
+    id_ = (edges & 0xFFFFFFFF) - LOWEST
+    size = np.maximum.reduceat(end, np.cumsum(count) - count)
+    order = np.argsort(((end * m + unit) << 12) | start)
+    unit, end, start, id_ = unit[order], end[order], start[order], id_[order]
+    score = np.where(id_ >= 0, scores[np.maximum(id_, 0)], unknown)
+    best = np.zeros((m, size.max() + 1))
+    back, by = np.zeros(best.shape, np.int16), np.zeros(best.shape, np.int32)
+    cuts = np.searchsorted(end, np.arange(1, size.max() + 2))
+    for place, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+        u = unit[i:j]
+        here = best[u, start[i:j]] + score[i:j]
+        head = np.flatnonzero(np.diff(u, prepend=-1))
+        top = np.maximum.reduceat(here, head)
+        hit = np.flatnonzero(here == np.repeat(top, np.diff(head, append=len(u))))
+        hit = hit[np.diff(u[hit], prepend=-1) > 0]
+        best[u[hit], place], back[u[hit], place], by[u[hit], place] = here[hit], start[i:j][hit], id_[i:j][hit]
+    at, left, owner, path = size.copy(), np.arange(m), [], []
+    while len(left):  # from the ends to the starts
+        owner.append(left)
+        path.append(by[left, at[left]])
+        at[left] = back[left, at[left]]
+        left = left[at[left] > 0]
+    owner, path = np.concatenate(owner[::-1]), np.concatenate(path[::-1])
+    return path[np.argsort(owner, kind="stable")].astype(np.int64), np.bincount(owner, minlength=m)
+
+
+def lattice(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(edges, places)`` for each distinct unit of ``listed(unit, place)``.
 
     Substrings of bounded length are exploded from one row of each unit, equi-joined to the piece
-    table (a fixed vocabulary, broadcast), and grouped by unit to the lattice's edges, which the
-    Viterbi fold reduces to ids. A character without a piece is an edge with id -1 - code point.
-    The units are dealt out once; places travel beside the edges.
+    table (a fixed vocabulary, broadcast), and grouped by unit to the lattice's edges. A character
+    without a piece is an edge with id -1 - code point. The units are dealt out once; places travel beside the edges.
     """
     spark = listed.sparkSession
-    pieces = spark.createDataFrame(vocabulary.pieces, "piece string, score double, id int")
+    pieces = spark.createDataFrame([(t, i) for t, _, i in vocabulary.pieces], "piece string, id int")
     # a unit's row becomes dozens of edges, so the units take more partitions than a shuffle of rows would
     listed = listed.repartition(EDGE_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
     first = F.row_number().over(Window.partitionBy("unit").orderBy("place")) == 1
@@ -186,67 +223,77 @@ def segment(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     some = some.select("unit", "place", "start", F.explode(lengths).alias("n"))
     some = some.select("unit", "place", "start", "n", F.substring("unit", F.col("start") + 1, F.col("n")).alias("sub"))
     edges = some.join(F.broadcast(pieces), F.col("sub") == F.col("piece"), "left")
-    edges = edges.where("start < 0 or id is not null or n = 1").select("unit", "place", "start", "n", "sub", "id", "score")
-    edge = F.when(
-        F.col("start") >= 0,
-        F.struct(
-            (F.col("start") + F.col("n")).alias("end"),
-            "start",
-            F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-            F.coalesce("id", -1 - F.ascii("sub")).alias("id"),
-        ),
-    )
-    grouped = edges.groupBy("unit").agg(
-        F.collect_list(edge).alias("edges"),
+    edges = edges.where("start < 0 or id is not null or n = 1")
+    start, end = F.col("start").cast("long"), (F.col("start") + F.col("n")).cast("long")
+    id_ = F.coalesce("id", -1 - F.ascii("sub")).cast("long") + LOWEST
+    edge = F.shiftleft(end, END) + F.shiftleft(start, START) + id_
+    return edges.groupBy("unit").agg(
+        F.collect_list(F.when(F.col("start") >= 0, edge)).alias("edges"),
         F.collect_list(F.when(F.col("start") < 0, F.col("place"))).alias("places"),
-    )
-    return grouped.select("unit", viterbi(F.sort_array("edges")).alias("ids"), "places")
+    ).select("edges", "places")
 
 
 PACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 PACK_TYPE = "block long, kind int, data binary"
 
 
-def pack(ids: DataFrame) -> DataFrame:
-    """Rows (block, 0, data) with what each block needs of ``ids(ids, places)``: unit numbers, lengths and ids."""
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, by planes of bytes, compressed."""
+    head = np.array([len(c) for c in columns], np.int32).tobytes()
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
+
+
+def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The columns of ``squeezed``."""
+    data, out = zstandard.ZstdDecompressor().decompress(data), []
+    at = 4 * len(kinds)
+    for n, kind in zip(np.frombuffer(data, np.int32, len(kinds)), map(np.dtype, kinds), strict=True):
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
+def packed(number: np.ndarray, length: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ids of a block's units: the units' ascending numbers, how many ids each has, and these."""
+    return squeezed(np.diff(number, prepend=0).astype(np.int32), length.astype(np.int32), ids.astype(np.int32))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number, length, ids = spread(data, np.int32, np.int32, np.int32)
+    return np.cumsum(number), length, ids
+
+
+def pack(edges: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Rows (block, 0, data) with the ids of what each block needs of the lattices ``edges(edges, places)``."""
+    scores = np.zeros(len(vocabulary.decoded))
+    scores[[i for _, _, i in vocabulary.pieces]] = [s for _, s, _ in vocabulary.pieces]
+    unknown = vocabulary.unknown_score
+    shared = edges.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            place = np.concatenate([h[0] for h in held])
-            length = np.concatenate([h[1] for h in held])
-            flat = np.concatenate([h[2] for h in held])
+            place, length, flat = (np.concatenate(x) for x in zip(*held, strict=True))
             begin = np.cumsum(length) - length
             order = np.argsort(place, kind="stable")
             place, length, begin = place[order], length[order], begin[order]
             block, at = np.unique(place >> 32, return_index=True)
-            squeeze = zstandard.ZstdCompressor(level=3)
-            data = []
-            for i, j in zip(at, [*at[1:], len(place)], strict=True):
-                n = length[i:j]
-                number = (place[i:j] & 0xFFFFFFFF).astype(np.int32)
-                part = flat[np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                head = np.array([j - i], np.int32)
-                body = head.tobytes() + np.diff(number, prepend=0).astype(np.int32).tobytes() + n.astype(np.int32).tobytes()
-                data.append(squeeze.compress(body + part.astype(np.int32).tobytes()))
+            data = [
+                packed(place[i:j] & 0xFFFFFFFF, length[i:j], take(flat, begin[i:j], length[i:j]))
+                for i, j in zip(at, [*at[1:], len(place)], strict=True)
+            ]
             held.clear()
             return rows({"block": block, "kind": [0] * len(block), "data": data}, PACK)
 
         for batch in batches:
-            ids, places = batch.column(0), batch.column(1)
+            edges, places = batch.column(0), batch.column(1)
             times = np.diff(places.offsets.to_numpy())
-            length = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-            flat, begin = ids.flatten().to_numpy(), np.cumsum(length) - length
-            n = np.repeat(length, times)
-            again = np.repeat(begin, times)
-            held.append(
-                (
-                    places.flatten().to_numpy(),
-                    n,
-                    flat[np.repeat(again - (np.cumsum(n) - n), n) + np.arange(n.sum())],
-                )
-            )
+            flat, length = viterbi(edges.flatten().to_numpy(), np.diff(edges.offsets.to_numpy()), shared.value, unknown)
+            begin, n = np.repeat(np.cumsum(length) - length, times), np.repeat(length, times)
+            held.append((places.flatten().to_numpy(), n, take(flat, begin, n).astype(np.int32)))
             size += len(n)
             if size > 2_000_000:
                 yield flush()
@@ -254,7 +301,7 @@ def pack(ids: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return ids.select("ids", "places").mapInArrow(lean(run), PACK_TYPE)
+    return edges.mapInArrow(lean(run), PACK_TYPE)
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
@@ -272,40 +319,51 @@ def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     schema = pa.schema([("unit", pa.string()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}
-        found: list[str] = []
-
-        def new(word: str) -> None:
-            for unit in units_of(word):
-                if len(unit) <= LONGEST_UNIT and unit not in number:
-                    number[unit] = len(number)
-                    found.append(unit.replace(" ", SPACE))
-
-        words = Numbered(new)
         for block, fresh, batch in in_blocks(batches, block_chars):
             if fresh:
-                words.clear()
-                number.clear()
-            before = len(number)
+                words = BlockWords()
+            before = len(words.units)
             for text in batch.column(1).to_pylist():
                 deque(map(words.__getitem__, words_of(text)), maxlen=0)
-            yield rows({"unit": found, "place": (block << 32) + np.arange(before, len(number))}, schema)
-            found.clear()
+            short = [(u.replace(" ", SPACE), k) for k, u in enumerate(words.found, before) if len(u) <= LONGEST_UNIT]
+            words.clear_new()
+            yield rows({"unit": [u for u, _ in short], "place": [(block << 32) + k for _, k in short]}, schema)
 
     return docs.mapInArrow(lean(run), "unit string, place long")
 
 
-def squeezed(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (block, 1 + part, data): each block's documents, compressed."""
+PART = (np.int64, np.bool_, np.uint64, np.int32, np.int32, np.int32, np.int32)
+
+
+def number_words(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows (block, 1 + part, data): each block's documents as numbers of words, with the units of words that are new.
+
+    In a part: doc_id, whether it is null, a hash of the text with the space before it, and the number of words of each
+    document; the words; how many units make each new word, and these (words and units ``marked``). Ids of long units come as ``pack`` gives those of others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Paths(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = 0
         for block, fresh, batch in in_blocks(batches, block_chars):
-            part = 1 if fresh else part + 1
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
-                w.write_batch(batch)
-            yield rows({"block": [block], "kind": [part], "data": [out.getvalue().to_pybytes()]}, PACK)
+            if fresh:
+                words, part = BlockWords(), 0
+            part += 1
+            before, known, at, sizes, hashes = len(words.units), len(words), array("i"), [], []
+            for text in batch.column(1).to_pylist():
+                some = words_of(text)
+                at.extend(map(words.__getitem__, some))
+                sizes.append(len(some))
+                hashes.append(xxhash.xxh3_64_intdigest(b" " + text.encode() if text else b""))
+            doc, word, made = batch.column(0), marked(np.array(at), known), marked(np.array(words.made), before)
+            columns = (doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(False), hashes, sizes, word, words.parts, made)
+            data, kinds = [squeezed(*map(np.asarray, columns, PART))], [part]
+            long = [(k, shared.value.ids(u)) for k, u in enumerate(words.found, before) if len(u) > LONGEST_UNIT]
+            if long:
+                data.append(packed(*map(np.array, ([k for k, _ in long], [len(x) for _, x in long], [i for _, x in long for i in x]))))
+                kinds.append(0)
+            words.clear_new()
+            yield rows({"block": [block] * len(data), "kind": kinds, "data": data}, PACK)
 
     return docs.mapInArrow(lean(run), PACK_TYPE)
 
@@ -328,8 +386,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
 
     Documents are taken in blocks of about ``block_chars`` bytes: larger ones share more words,
     smaller ones need less memory. A block's distinct units go to the lattice, their ids come
-    back packed by block, and the block's compressed text meets them there, so text is shuffled
-    once and neither a word table nor a document's words is ever gathered whole. The blocks are
+    back packed by block, and the block's documents meet them there as numbers of words, so neither text nor a word table
+    is shuffled, and a document's words are never gathered whole. The decoded ids are held against a hash of the text. The blocks are
     read twice and must be the same both times: ``docs`` has to be a table, not the outcome of a
     shuffle. A block that misses a unit stops the job.
 
@@ -338,12 +396,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
     """
     model = Vocabulary(vocabulary)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast((model.bytes, model.decoded, Paths(model)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bytes, model.decoded))
     # blocks are named by task number, which in a union counts on from child to child: this child is first
-    both = squeezed(docs, block_chars).unionByName(pack(segment(list_units(docs, block_chars), model)))
+    both = number_words(docs, model, block_chars).unionByName(pack(lattice(list_units(docs, block_chars), model), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_ids, decoded, paths = shared.value
+        byte_ids, decoded = shared.value
+        table_ = np.frombuffer(b"".join(decoded), np.uint8), np.array([len(d) for d in decoded])
         block, got, words = None, [], None
         for batch in batches:
             for b, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -354,20 +413,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLO
                     got.append(unpack(data))
                     continue
                 if words is None:
-                    words, got = BlockWords(*unit_ids(got, byte_ids), decoded, paths), []
-                for part in pa.ipc.open_stream(data):
-                    yield words.encoded(part)
+                    words, got = WordIds(*unit_ids(got, byte_ids), *table_), []
+                yield words.encoded(data)
 
     dealt = both.repartition("block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(lean(run), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
-    n = int(x[0])
-    return np.cumsum(x[1 : n + 1]), x[n + 1 : 2 * n + 1], x[2 * n + 1 :]
-
-
 def unit_ids(got: list, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The block's ids in order of unit number: flat ids, begin and length of each unit; bytes in place of unknowns."""
     if not got:
@@ -395,46 +447,35 @@ def unit_ids(got: list, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return flat, first, length
 
 
-class BlockWords:
-    """A block's words as runs of ids, filled in the order in which ``list_units`` numbers their units."""
-
-    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, decoded: list[bytes], paths: Paths):
-        self.unit_ids, self.decoded, self.paths = ids, decoded, paths
-        self.begin, self.length = array("q", begin.tobytes()), array("q", length.tobytes())
-        self.units: dict[str, int] = {}
-        self.words = Numbered(self.add)
-        self.flat, self.ends, self.same = array("i"), array("q", [0]), array("b")
-
-    def add(self, word: str) -> None:
-        ids = []
-        for unit in units_of(word):
-            if len(unit) > LONGEST_UNIT:
-                ids += self.paths.ids(unit)
-                continue
-            k = self.units.setdefault(unit, len(self.units))
-            a = self.begin[k]
-            ids += self.unit_ids[a : a + self.length[k]].tolist()
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        # decoding goes id by id, so a text comes back if each of its words does
-        back = b"".join([self.decoded[i] for i in ids])
-        self.same.append(back == (word if word[:1] == " " else " " + word).encode())
-
-    def encoded(self, docs: pa.RecordBatch) -> pa.RecordBatch:
-        at = []
-        for text in docs.column(1).to_pylist():
-            words = words_of(text)
-            at.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-        ends, ids, same = np.array(self.ends), np.array(self.flat, np.int32), np.array(self.same, bool)
-        word = np.concatenate(at) if at else np.zeros(0, np.int64)
-        n = ends[word + 1] - ends[word]
-        flat = ids[np.repeat(ends[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        cover = np.concatenate([[0], np.cumsum(n)])
-        first = np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)
-        stops = cover[first]
-        wrong = np.concatenate([[0], np.cumsum(~same[word])])[first]
+class WordIds:
+    """A block's words as runs of ids, filled in the order in which ``number_words`` numbers them."""
+
+    def __init__(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, decoded: np.ndarray, width: np.ndarray):
+        self.unit_ids, self.begin, self.length = ids, begin, length
+        self.decoded, self.width, self.at = decoded, width, np.cumsum(width) - width
+        self.flat, self.ends, self.known = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def add(self, parts: np.ndarray, made: np.ndarray) -> None:
+        made, self.known = unmarked(made, self.known), self.known + int((made == 0).sum())
+        length = self.length[made]
+        ids = take(self.unit_ids, self.begin[made], length)
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(parts)]
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def encoded(self, data: bytes) -> pa.RecordBatch:
+        doc, none, hashes, sizes, word, parts, made = spread(data, *PART)
+        word = unmarked(word, len(self.ends) - 1)
+        self.add(parts, made)
+        n = self.ends[word + 1] - self.ends[word]
+        flat = take(self.flat, self.ends[word], n)
+        stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+        width = self.width[flat]
+        back = take(self.decoded, self.at[flat], width)
+        cuts = np.concatenate([[0], np.cumsum(width)])[stops].tolist()
+        same = np.array([xxhash.xxh3_64_intdigest(back[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], np.uint64) == hashes
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32()))
-        columns = [docs.column(0), pa.array(np.diff(stops), pa.int64()), lists, pa.array(np.diff(wrong) == 0, pa.bool_())]
+        columns = [pa.array(doc, mask=none), pa.array(np.diff(stops), pa.int64()), lists, pa.array(same, pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, schema=ENCODED)
 
 

@@ -452,3 +452,37 @@ def test_encoding_of_long_runs_matches_a_unigram_processor(spark):
     assert len(out) == len(texts)
     for r in out:
         assert r["round_trip"] and r["ids"] == sp.encode(texts[r["doc_id"]])
+
+
+def test_lattices_folded_together_match_paths_one_by_one():
+    """Ties go to the smaller start; a character without a piece costs the unknown score."""
+    v = pieces.Vocabulary()
+    v.pieces = [(t, s, i) for i, (t, s) in enumerate([("a", -2.0), ("b", -2.0), ("ab", -4.0), ("aba", -5.0), ("ba", -3.0), ("bb", -5.5)])]
+    v.unknown_score = -15.5
+    ids = {t: i for t, _, i in v.pieces}
+    rng = np.random.default_rng(2)
+    units = ["".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 40, 300)]
+    edges, count = [], []
+    for u in units:
+        own = [(b, a, ids.get(u[a:b], -1 - ord(u[a]))) for a in range(len(u)) for b in range(a + 1, len(u) + 1) if u[a:b] in ids or b == a + 1]
+        edges += [(b << pieces.END) + (a << pieces.START) + i + pieces.LOWEST for b, a, i in rng.permutation(own).tolist()]
+        count.append(len(own))
+    flat, length = pieces.viterbi(np.array(edges), np.array(count), np.array([s for _, s, _ in v.pieces]), v.unknown_score)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(length)[:-1])]
+    known = pieces.Paths(v)
+    known.bytes = np.arange(256) + 1000
+    assert [[i if i >= 0 else 1000 - 1 - i for i in x] for x in got] == [known.ids(u) for u in units]
+
+
+def test_blocks_shuffle_numbers_of_words(spark):
+    """Neither words nor texts are in what a block's documents bring to the shuffle, and small blocks give the same ids."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(4, 12, 3000)]
+    texts = [" ".join(rng.choice(words, 200)) + "." for _ in range(300)] + [None, "", "two  spaces", "z" * 600, "\u2581x"]
+    df = docs(spark, texts).coalesce(1).cache()
+    whole = sum(len(t.encode()) for t in texts if t)
+    rows = pieces.number_words(df.select("doc_id", "text"), pieces.Vocabulary()).collect()
+    assert sum(len(r["data"]) for r in rows) < 0.3 * whole
+    one = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in pieces.encode(df).collect()}
+    many = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in pieces.encode(df, block_chars=20_000).collect()}
+    assert one == many and len(one) == len(texts) and [k for k, (_, same) in one.items() if not same] == [len(texts) - 1]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from fluxcell.llm.common import (
     components,
     count_rows,
     cut,
+    drop,
     lean,
     mix64,
     rows,
@@ -36,6 +38,7 @@ PIVOTS = 8
 REMEMBERED = 1 << 19
 PEELS = 1
 EXTRA = 8  # a prefix is longer by an EXTRA-th of its set than it must be, so that more of it has to be shared
+NAME_BITS = 48  # of a token's hash that tell tokens of prefixes apart; two with one name only make more candidates
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,12 +60,12 @@ def linked(both: int, a: int, b: int) -> bool:
 
 
 def set_ids(found: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set: the mixed sum and the mixed exclusive or of its members' hashes."""
+    """Hashes of a set, of 48 and of 64 bits: the mixed sum and the mixed exclusive or of its members' hashes."""
     if not len(found):
         return 0, 0
     both = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(found)], np.uint64)
-    h, g = mix64(both).view(np.int64)
-    return int(h), int(g)
+    h, g = mix64(both)
+    return int(h >> np.uint64(16)), int(g.view(np.int64))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -78,6 +81,23 @@ def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.sort((level[bucket].astype(np.uint64) << np.uint64(57)) | (found & np.uint64((1 << 57) - 1)))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Ascending tokens without loss: differences, by planes of bytes, of which the high ones compress."""
+    planes = np.diff(tokens, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def called(tokens: np.ndarray) -> np.ndarray:
+    """What tokens are called in prefixes: ``NAME_BITS`` of the hash, and a bit above them for hot ones."""
+    hot = (tokens >> np.uint64(57) > 0).astype(np.uint64)
+    return (hot << np.uint64(NAME_BITS)) | (tokens & np.uint64((1 << NAME_BITS) - 1))
+
+
 def prefix_length(n: int) -> int:
     """First tokens of a set of n of which any set it links to must share ``1 + min(n) // EXTRA`` in its own."""
     return min(n, n - -(-3 * n // 4) + 1 + n // EXTRA)
@@ -93,7 +113,7 @@ def shared_tokens(found: DataFrame) -> DataFrame:
             "last": F.lag("node").over(w.orderBy("node")),
         }
     )
-    other = (F.col("low") < F.col("high")) | (F.col("token") >= 1 << 57)
+    other = (F.col("low") < F.col("high")) | (F.col("token") >= 1 << NAME_BITS)
     return both.where(other & (F.col("last").isNull() | (F.col("last") != F.col("node")))).select("token", "salt", "node")
 
 
@@ -198,8 +218,8 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
                     at, right, held = (comp, block, other), [], 0
                 some = right if side else left
                 if not some or some[-1][0] != node:  # sorted, so that repeats are neighbours
-                    some.append((node, np.frombuffer(tokens, np.uint64)))
-                    held += side * len(tokens) // 8
+                    some.append((node, unpacked(tokens)))
+                    held += side * len(some[-1][1])
             if out:
                 yield rows({"a": [x for x, _ in out], "b": [y for _, y in out]}, LINKS)
         if out := finish():
@@ -219,7 +239,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     is xxhash64 of the text.
 
     1. Sets become sorted 64-bit hashes; a fixed-size sketch of shingle frequencies gives the
-       global order, rare first. Equal sets are one node, known by two 64-bit hashes (h, g). Where
+       global order, rare first. Equal sets are one node, known by two hashes (h, g) of 48 and 64 bits. Where
        two sets share h alone, steps 2 to 4 treat their tokens as one set's, which loses nothing.
     2. A set's prefix, its first n - ceil(3n/4) + k tokens with k = 1 + n // 8, must share at
        least 1 + 3n // 32 tokens with that of any set it links to. Nodes whose prefix shares fewer
@@ -291,8 +311,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 toks.append(first)
                 nodes.append(np.full(len(first), h, np.int64))
             if toks:
-                t, node = np.concatenate(toks), np.concatenate(nodes)
-                hot = t >> np.uint64(57) > 0
+                t, node = called(np.concatenate(toks)), np.concatenate(nodes)
+                hot = t >> np.uint64(NAME_BITS) > 0
                 salt = np.where(hot, mix64(node.view(np.uint64)) % np.uint64(SALTS), 0).astype(np.int32)
                 columns = [pa.array(t.view(np.int64)), pa.array(salt), pa.array(node)]
                 yield pa.RecordBatch.from_arrays(columns, schema=rows_of)
@@ -305,11 +325,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     for _ in range(PEELS):
         has = found.groupBy("node").agg(F.count("*").alias("has"))
         able = has.join(sizes, F.col("node") == F.col("h")).where(F.col("has") >= need).select("node")
-        found = cut(shared_tokens(found.join(cut(able, "able", small=True), "node", "left_semi")), "shared")
+        before, found = found, cut(shared_tokens(found.join(cut(able, "able", small=True), "node", "left_semi")), "shared")
+        drop(before)
     spot = Window.partitionBy("token", "salt").orderBy("node")
     chained = found.withColumn("last", F.lag("node").over(spot))
     # a row per link of a chain; the head of each part of a hot token, to chain the parts
-    chained = chained.where("last is not null or token >= 1L << 57").select(
+    chained = chained.where(f"last is not null or token >= 1L << {NAME_BITS}").select(
         "token", F.col("last").alias("a"), F.col("node").alias("b")
     )
     chained = cut(
@@ -362,7 +383,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             at = batch.column(1).to_numpy()
             batch = batch.filter(pa.array((maybe.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             found = list(map(shingles, texts(batch.column(2))))
-            tokens = [ordered(x, level.value).tobytes() for x in found]
+            tokens = [packed(ordered(x, level.value)) for x in found]
             two = list(map(set_ids, found))
             data = {"h": [h for h, _ in two], "g": [g for _, g in two], "tokens": tokens}
             yield rows(data | {"doc_id": batch.column(0).to_pylist()}, set_schema)
@@ -392,12 +413,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         # all sets with a token are in one chain component, so the token alone names the rows that may meet
         told = found.select("token", "node").join(state, F.col("node") == F.col("node_h")).select("token", "x", "block", "label")
         for _ in range(PEELS):  # sets with too few tokens that other classes in other blocks have
-            told = cut(crossing(told), "told")
+            told = crossed = cut(crossing(told), "told")
             able = told.groupBy(F.col("x").alias("x2")).agg(F.count("*").alias("has"))
             able = able.join(state, F.col("x2") == F.col("x")).where(F.col("has") >= need).select("x2", "cls")
             told = told.join(cut(able, "able", small=True), F.col("x") == F.col("x2"))
             told = told.select("token", "x", "block", "cls", "label")
         told = cut(told, "told")
+        drop(crossed)
         held = told.groupBy("token", "block", "cls").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         held = cut(held, "held").withColumnsRenamed({"token": "t2", "block": "b2", "cls": "l2"})
         meets = (

@@ -104,6 +104,21 @@ def test_crossing_rows_take_one_shuffle(spark):
     assert sorted(tuple(r) for r in told.collect()) == [r for r in rows if r[0] == 3]
 
 
+def test_ngram_join_packs_sets_and_drops_tables_it_is_done_with(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 2, 500):
+        tokens = np.unique(np.concatenate([rng.integers(0, 1 << 57, n), rng.integers(0, 1 << 57, n // 9) + (3 << 57)]).astype(np.uint64))
+        assert (ngram_join.unpacked(ngram_join.packed(tokens)) == tokens).all()
+    assert len(ngram_join.packed(tokens)) < 0.9 * tokens.nbytes
+    monkeypatch.setattr(common, "scratch", lambda _: str(tmp_path))
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 200)
+    words = [f"w{i}" for i in range(400)]
+    texts = [t for k in range(8) for t in family(rng, words, 60, 9, k % 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ngram_join.similar_documents(df).count() == len(texts)
+    assert len(list(tmp_path.glob("shared-*"))) == 1 and len(list(tmp_path.glob("told-*"))) <= 1
+
+
 def test_ngram_join_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other words in this one"), (9, None)], "doc_id long, text string")
     got = ngram_join.similar_documents(df).collect()

@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import deque
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ STEP = 1024  # scores are multiples of 1 / STEP, so that their sums are exact, i
 EDGE_FACTOR = 4
 LONGEST_UNIT = 256  # a longer unit's lattice is not exploded to rows: its block solves it in one pass
 END, START, LOWEST = 44, 32, 1 << 21  # an edge is one number: end, start (12 bits), id + LOWEST
+LOT = 1 << 18  # edges that are folded together, about
 
 # Runs of letters and digits, or of other characters, each with the spaces before it.
 UNIT = re.compile(r" *(?:[^\W_²]++|(?:[\W_²](?<! ))++)| +")
@@ -126,28 +127,30 @@ class Paths:
 class BlockWords(dict):
     """A block's words by number, in order of first sight; and its units, numbered likewise.
 
-    Both passes over a block number alike. ``found``, ``made`` and ``parts`` gather, until they are cleared, the new
-    units, the units that make the new words, and how many make each.
+    Both passes over a block number alike. A batch's new words are divided into units together, by one search.
     """
 
     def __init__(self):
         self.units: dict[str, int] = {}
-        self.found, self.made, self.parts = [], array("i"), array("i")
 
-    def __missing__(self, word: str) -> int:
-        k = self[word] = len(self)
-        units, own = self.units, units_of(word)
-        for unit in own:
-            n = units.get(unit)
-            if n is None:
-                n = units[unit] = len(units)
-                self.found.append(unit)
-            self.made.append(n)
-        self.parts.append(len(own))
-        return k
-
-    def clear_new(self) -> None:
-        self.found, self.made, self.parts = [], array("i"), array("i")
+    def add(self, words: list[str]) -> tuple[list[str], list[str], np.ndarray]:
+        """Number a batch's words: the units that are new, the units that make the new words, and how many make each."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self]
+        self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+        made, parts = [], [np.zeros(0, np.int64)]
+        for alone, some in groupby(fresh, lambda w: w[:1] in ("", " ")):
+            if alone:
+                each = list(map(units_of, some))
+                made += chain.from_iterable(each)
+                parts.append(np.array(list(map(len, each))))
+            else:  # words without a space in them, together: each one's first unit, and no other, begins with a space
+                own = UNIT.findall(" " + " ".join(some))
+                made += own
+                parts.append(np.diff(np.flatnonzero([u[0] == " " for u in own]), append=len(own)))
+        units = self.units
+        found = [u for u in dict.fromkeys(made) if u not in units]
+        units.update(zip(found, range(len(units), len(units) + len(found)), strict=True))
+        return found, made, np.concatenate(parts)
 
 
 def take(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -203,11 +206,12 @@ def viterbi(edges: np.ndarray, count: np.ndarray, scores: np.ndarray, unknown: f
 
 
 def lattice(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(edges, places)`` for each distinct unit of ``listed(unit, place)``.
+    """Rows ``(row)`` of the lattices of the distinct units of ``listed(unit, place)``, one unit after the other.
 
-    Substrings of bounded length are exploded from one row of each unit, equi-joined to the piece
-    table (a fixed vocabulary, broadcast), and grouped by unit to the lattice's edges. A character
-    without a piece is an edge with id -1 - code point. The units are dealt out once; places travel beside the edges.
+    Substrings of bounded length are exploded from one row of each unit and equi-joined to the piece
+    table (a fixed vocabulary, broadcast), which gives the lattice's edges. A character
+    without a piece is an edge with id -1 - code point. The units are dealt out once and sorted, and what follows keeps their order:
+    a unit's rows are -1 - its first place, its edges, and -1 - each further place.
     """
     spark = listed.sparkSession
     pieces = spark.createDataFrame([(t, i) for t, _, i in vocabulary.pieces], "piece string, id int")
@@ -227,10 +231,7 @@ def lattice(listed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     start, end = F.col("start").cast("long"), (F.col("start") + F.col("n")).cast("long")
     id_ = F.coalesce("id", -1 - F.ascii("sub")).cast("long") + LOWEST
     edge = F.shiftleft(end, END) + F.shiftleft(start, START) + id_
-    return edges.groupBy("unit").agg(
-        F.collect_list(F.when(F.col("start") >= 0, edge)).alias("edges"),
-        F.collect_list(F.when(F.col("start") < 0, F.col("place"))).alias("places"),
-    ).select("edges", "places")
+    return edges.select(F.when(F.col("start") < 0, -1 - F.col("place")).otherwise(edge).alias("row"))
 
 
 PACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -265,8 +266,31 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(number), length, ids
 
 
+def split(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole units' rows of ``lattice``: the edges, how many each unit has, the places, and the unit of each place."""
+    place = row < 0
+    unit = np.cumsum(place & ~np.append(place[1:], True)) - 1
+    return row[~place], np.bincount(unit[~place]), -1 - row[place], unit[place]
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of ``lattice`` in lots of about ``LOT`` that part no unit: a unit begins with a place that an edge follows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        size += len(held[-1])
+        if size >= LOT:
+            row = np.concatenate(held)
+            at = np.flatnonzero((row[:-1] < 0) & (row[1:] >= 0))[-1]  # where the unit that may go on begins
+            if at:
+                yield row[:at]
+            held, size = [row[at:]], len(row) - at
+    if size:
+        yield np.concatenate(held)
+
+
 def pack(edges: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows (block, 0, data) with the ids of what each block needs of the lattices ``edges(edges, places)``."""
+    """Rows (block, 0, data) with the ids of what each block needs of the lattices ``edges(row)``."""
     scores = np.zeros(len(vocabulary.decoded))
     scores[[i for _, _, i in vocabulary.pieces]] = [s for _, s, _ in vocabulary.pieces]
     unknown = vocabulary.unknown_score
@@ -288,12 +312,11 @@ def pack(edges: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             held.clear()
             return rows({"block": block, "kind": [0] * len(block), "data": data}, PACK)
 
-        for batch in batches:
-            edges, places = batch.column(0), batch.column(1)
-            times = np.diff(places.offsets.to_numpy())
-            flat, length = viterbi(edges.flatten().to_numpy(), np.diff(edges.offsets.to_numpy()), shared.value, unknown)
-            begin, n = np.repeat(np.cumsum(length) - length, times), np.repeat(length, times)
-            held.append((places.flatten().to_numpy(), n, take(flat, begin, n).astype(np.int32)))
+        for lot in whole_units(batches):
+            own, count, places, unit = split(lot)
+            flat, length = viterbi(own, count, shared.value, unknown)
+            begin, n = (np.cumsum(length) - length)[unit], length[unit]
+            held.append((places, n, take(flat, begin, n).astype(np.int32)))
             size += len(n)
             if size > 2_000_000:
                 yield flush()
@@ -323,10 +346,8 @@ def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             if fresh:
                 words = BlockWords()
             before = len(words.units)
-            for text in batch.column(1).to_pylist():
-                deque(map(words.__getitem__, words_of(text)), maxlen=0)
-            short = [(u.replace(" ", SPACE), k) for k, u in enumerate(words.found, before) if len(u) <= LONGEST_UNIT]
-            words.clear_new()
+            found, _, _ = words.add(list(chain.from_iterable(map(words_of, batch.column(1).to_pylist()))))
+            short = [(u.replace(" ", SPACE), k) for k, u in enumerate(found, before) if len(u) <= LONGEST_UNIT]
             yield rows({"unit": [u for u, _ in short], "place": [(block << 32) + k for _, k in short]}, schema)
 
     return docs.mapInArrow(lean(run), "unit string, place long")
@@ -349,20 +370,20 @@ def number_words(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLO
             if fresh:
                 words, part = BlockWords(), 0
             part += 1
-            before, known, at, sizes, hashes = len(words.units), len(words), array("i"), [], []
-            for text in batch.column(1).to_pylist():
-                some = words_of(text)
-                at.extend(map(words.__getitem__, some))
-                sizes.append(len(some))
-                hashes.append(xxhash.xxh3_64_intdigest(b" " + text.encode() if text else b""))
-            doc, word, made = batch.column(0), marked(np.array(at), known), marked(np.array(words.made), before)
-            columns = (doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(False), hashes, sizes, word, words.parts, made)
+            before, known, of_docs = len(words.units), len(words), batch.column(1).to_pylist()
+            hashes = [xxhash.xxh3_64_intdigest(b" " + text.encode() if text else b"") for text in of_docs]
+            of_docs = list(map(words_of, of_docs))
+            flat = list(chain.from_iterable(of_docs))
+            found, made, parts = words.add(flat)
+            word = marked(np.fromiter(map(words.__getitem__, flat), np.int64, len(flat)), known)
+            made = marked(np.fromiter(map(words.units.__getitem__, made), np.int64, len(made)), before)
+            doc, sizes = batch.column(0), list(map(len, of_docs))
+            columns = (doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(False), hashes, sizes, word, parts, made)
             data, kinds = [squeezed(*map(np.asarray, columns, PART))], [part]
-            long = [(k, shared.value.ids(u)) for k, u in enumerate(words.found, before) if len(u) > LONGEST_UNIT]
+            long = [(k, shared.value.ids(u)) for k, u in enumerate(found, before) if len(u) > LONGEST_UNIT]
             if long:
                 data.append(packed(*map(np.array, ([k for k, _ in long], [len(x) for _, x in long], [i for _, x in long for i in x]))))
                 kinds.append(0)
-            words.clear_new()
             yield rows({"block": [block] * len(data), "kind": kinds, "data": data}, PACK)
 
     return docs.mapInArrow(lean(run), PACK_TYPE)

@@ -486,3 +486,46 @@ def test_blocks_shuffle_numbers_of_words(spark):
     one = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in pieces.encode(df).collect()}
     many = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in pieces.encode(df, block_chars=20_000).collect()}
     assert one == many and len(one) == len(texts) and [k for k, (_, same) in one.items() if not same] == [len(texts) - 1]
+
+
+def test_lattice_rows_stay_in_order_and_are_not_grouped_again(spark, monkeypatch):
+    """One shuffle deals the units out; edges are told apart by order, whatever the lots."""
+    v = pieces.Vocabulary()
+    ids, rng = {t: i for t, _, i in v.pieces}, np.random.default_rng(5)
+    places = {}
+    for place in rng.permutation(900).tolist():
+        unit = pieces.SPACE + "".join(rng.choice(list("aenst🙂"), rng.integers(0, 5)))
+        places.setdefault(unit, []).append((3 << 32) + place)
+    listed = spark.createDataFrame([(u, p) for u, own in places.items() for p in own], "unit string, place long")
+    made = pieces.lattice(listed, v)
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    batches = made.coalesce(1).toArrow().to_batches()
+    monkeypatch.setattr(pieces, "LOT", 100)
+    got = {}
+    for lot in pieces.whole_units(small for b in batches for i in range(0, b.num_rows, 7) for small in [b.slice(i, 7)]):
+        edges, count, place, unit = pieces.split(lot)
+        for k, own in enumerate(np.split(edges, np.cumsum(count)[:-1])):
+            got[tuple(sorted(place[unit == k].tolist()))] = sorted(own.tolist())
+    edge = lambda u, a, b: (b << pieces.END) + (a << pieces.START) + ids.get(u[a:b], -1 - ord(u[a])) + pieces.LOWEST
+    assert got == {
+        tuple(sorted(own)): sorted(
+            edge(u, a, b) for a in range(len(u)) for b in range(a + 1, len(u) + 1) if u[a:b] in ids or b == a + 1
+        )
+        for u, own in places.items()
+    }
+
+
+def test_words_of_a_batch_divided_together_match_words_one_by_one():
+    texts = ["a b, c", " lead  two", "tail ", "", "x", "a\n_b² é", "tail", "b, a", "  ", "z.z ² c"]
+    words, units = [w for t in texts for w in pieces.words_of(t)], {}
+    block = pieces.BlockWords()
+    for some in (words[:7], words[7:], words):
+        known = len(block)
+        new, before = [w for w in dict.fromkeys(some) if w not in block], len(units)
+        found, made, parts = block.add(some)
+        assert list(block)[known:] == new and list(block.values()) == list(range(len(block)))
+        assert made == [u for w in new for u in pieces.units_of(w)]
+        assert parts.tolist() == [len(pieces.units_of(w)) for w in new]
+        for u in made:
+            units.setdefault(u, len(units))
+        assert block.units == units and found == list(units)[before:]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,22 @@ def cut(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What a query has shuffled is removed when it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a table made by ``cut`` that nothing will read again."""
     spark = df.sparkSession
@@ -217,8 +230,9 @@ def total_counts(df: DataFrame, size: int) -> np.ndarray:
         return pa.Table.from_batches([rows(first, COUNTS)])
 
     kind = "chunk int, part int, counts binary"
-    some = df.groupBy("chunk", "part").applyInArrow(add, kind)
-    got = some.groupBy("chunk").applyInArrow(add, kind).collect()
+    with shuffles_removed(df.sparkSession):
+        some = df.groupBy("chunk", "part").applyInArrow(add, kind)
+        got = some.groupBy("chunk").applyInArrow(add, kind).collect()
     parts = [np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])]
     return np.concatenate(parts) if parts else np.zeros(size, np.int64)
 

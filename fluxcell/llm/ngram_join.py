@@ -31,7 +31,7 @@ from fluxcell.llm.common import (
 WORDS = 5
 SKETCH_BITS = 20
 BLOCK_TOKENS = 1 << 20  # that one trie holds, about
-FILTER_BITS = 24  # size of the fixed-size filter of candidates' doc_ids
+FILTER_BITS = 24  # size of the fixed-size filters of candidates' doc_ids and of nodes
 QUERIES = 128  # sets that traverse a trie together
 SALTS = 64
 PIVOTS = 8
@@ -117,6 +117,25 @@ def shared_tokens(found: DataFrame) -> DataFrame:
     return both.where(other & (F.col("last").isNull() | (F.col("last") != F.col("node")))).select("token", "salt", "node")
 
 
+def filter_place(key: str):
+    """A key's bit in a filter of fixed size."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+
+
+def filter_words(df: DataFrame, key: str) -> DataFrame:
+    """Rows (w, bits) of the filter of a column's values: words of 64 bits, 2 ** (FILTER_BITS - 6) at most."""
+    at = df.select(filter_place(key).alias("at"))
+    at = at.select(F.expr("cast(at div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    return at.groupBy("w").agg(F.bit_or("b").alias("bits"))
+
+
+def let_pass(df: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """The rows that a filter lets pass, without a shuffle: all whose key it holds, and a share of others."""
+    at = df.withColumn("at", filter_place(key)).withColumn("v", F.expr("cast(at div 64 as int)"))
+    bit = F.expr("shiftrightunsigned(bits, cast(at % 64 as int)) & 1L")
+    return at.join(F.broadcast(words), (F.col("v") == F.col("w")) & (bit == 1)).select(*df.columns)
+
+
 def crossing(told: DataFrame) -> DataFrame:
     """Rows (token, x, block, label) whose token stands in other classes (labels) and in other blocks too, by one shuffle."""
     w = Window.partitionBy("token")
@@ -325,7 +344,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     for _ in range(PEELS):
         has = found.groupBy("node").agg(F.count("*").alias("has"))
         able = has.join(sizes, F.col("node") == F.col("h")).where(F.col("has") >= need).select("node")
-        before, found = found, cut(shared_tokens(found.join(cut(able, "able", small=True), "node", "left_semi")), "shared")
+        # the filter also lets through some nodes that are not able, which costs rows and no links
+        able = cut(filter_words(able, "node"), "able", small=True)
+        before, found = found, cut(shared_tokens(let_pass(found, "node", able)), "shared")
         drop(before)
     spot = Window.partitionBy("token", "salt").orderBy("node")
     chained = found.withColumn("last", F.lag("node").over(spot))
@@ -368,13 +389,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     dealt = cut(dealt, "blocks", small=True)
 
     # sets are made where the text is read, of documents that a filter of fixed size lets pass
-    place = lambda doc: F.shiftrightunsigned(F.xxhash64(doc), 64 - FILTER_BITS)
-    words = dealt.select(place("__doc").alias("at")).select(
-        F.expr("cast(at div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b")
-    )
     bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # len(bits) rows at most
-        bits[r["w"]] = r["b"]
+    for r in filter_words(dealt, "__doc").collect():  # len(bits) rows at most
+        bits[r["w"]] = r["bits"]
     maybe = spark.sparkContext.broadcast(bits.view(np.uint8))
     set_schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("tokens", pa.binary())])
 
@@ -388,7 +405,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             data = {"h": [h for h, _ in two], "g": [g for _, g in two], "tokens": tokens}
             yield rows(data | {"doc_id": batch.column(0).to_pylist()}, set_schema)
 
-    made = docs.select("doc_id", place("doc_id").alias("at"), "text")
+    made = docs.select("doc_id", filter_place("doc_id").alias("at"), "text")
     made = made.mapInArrow(lean(whole), "doc_id long, h long, g long, tokens binary")
     # a repeated doc_id may bring another text
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("node_h")) & (F.col("g") == F.col("node_g"))

@@ -1,5 +1,8 @@
 """Edge cases and brute-force checks of joins, mixing, vectors, dialogues and components."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +122,32 @@ def test_ngram_join_packs_sets_and_drops_tables_it_is_done_with(spark, monkeypat
     assert len(list(tmp_path.glob("shared-*"))) == 1 and len(list(tmp_path.glob("told-*"))) <= 1
 
 
+def test_filter_of_nodes_takes_no_shuffle_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 12)
+    nodes = spark.range(-3000, 3000, 20).select(F.col("id").alias("node"))
+    words = common.cut(ngram_join.filter_words(nodes, "node"), "able", small=True)
+    assert words.count() <= 64
+    found = spark.range(-3000, 3000).selectExpr("id div 3 as token", "0 as salt", "id as node")
+    kept = ngram_join.let_pass(found, "node", words)
+    assert kept.columns == ["token", "salt", "node"] and "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    got = [r["node"] for r in kept.collect()]
+    assert len(got) == len(set(got)) < 1000 and set(range(-3000, 3000, 20)) <= set(got)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {p.name for d in folders for p in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP, None)
+    made = common.cut(spark.range(5000).repartition(3, "id"), "made")
+    counts = spark.createDataFrame([(0, k, np.arange(4).tobytes()) for k in range(3)], "chunk int, part int, counts binary")
+    assert common.total_counts(counts, 4).tolist() == [0, 3, 6, 9]
+    for _ in range(50):  # they are removed beside what follows
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and made.count() == 5000 and spark.conf.get(common.CLEANUP, None) == setting
+
+
 def test_ngram_join_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other words in this one"), (9, None)], "doc_id long, text string")
     got = ngram_join.similar_documents(df).collect()

@@ -10,6 +10,7 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxcell.llm.common import lean, rows, sliced, table
+from fluxcell.llm.common import lean, rows, sliced, table, texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -124,33 +125,44 @@ class Paths:
         return ids
 
 
-class BlockWords(dict):
-    """A block's words by number, in order of first sight; and its units, numbered likewise.
+class BlockWords:
+    """The words and units of a block's texts, each numbered in order of first sight: both passes over a block number alike.
 
-    Both passes over a block number alike. A batch's new words are divided into units together, by one search.
+    ``word`` has the words of all texts, one text after the other, ``sizes`` how many each text has; ``made`` the units that
+    make the distinct words, ``parts`` how many make each; ``units`` the distinct units.
     """
 
-    def __init__(self):
-        self.units: dict[str, int] = {}
-
-    def add(self, words: list[str]) -> tuple[list[str], list[str], np.ndarray]:
-        """Number a batch's words: the units that are new, the units that make the new words, and how many make each."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self]
-        self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+    def __init__(self, texts: pa.Array):
+        text = texts.fill_null("")
+        whole = pc.or_(pc.starts_with(text, " "), pc.match_substring(text, "  ")).to_numpy(False)  # as in ``words_of``
+        each, alone = pc.split_pattern(text.filter(pa.array(~whole)), " "), text.filter(pa.array(whole))
+        flat, stops = each.flatten(), each.offsets.to_numpy()
+        every = pa.concat_arrays([flat, pc.binary_join_element_wise("", alone, " ")]).dictionary_encode()
+        self.word, distinct = every.indices.to_numpy(), every.dictionary
+        begin, self.sizes = np.zeros(len(text), np.int64), np.ones(len(text), np.int64)
+        begin[~whole], self.sizes[~whole] = stops[:-1], np.diff(stops)
+        begin[whole] = len(flat) + np.arange(len(alone))
+        self.sizes[pc.equal(pc.binary_length(text), 0).to_numpy(False)] = 0
+        if self.sizes.sum() < len(self.word) or len(alone):  # else words stand as they were numbered
+            self.word = take(self.word, begin, self.sizes)
+            first = np.full(len(distinct), len(self.word))
+            first[self.word[::-1]] = np.arange(len(self.word))[::-1]
+            order = np.argsort(first, kind="stable")[: int((first < len(self.word)).sum())]
+            number = np.zeros(len(distinct), np.int64)
+            number[order] = np.arange(len(order))
+            self.word, distinct = number[self.word], distinct.take(pa.array(order))
         made, parts = [], [np.zeros(0, np.int64)]
-        for alone, some in groupby(fresh, lambda w: w[:1] in ("", " ")):
-            if alone:
-                each = list(map(units_of, some))
-                made += chain.from_iterable(each)
-                parts.append(np.array(list(map(len, each))))
+        for odd, some in groupby(distinct.to_pylist(), lambda w: w[:1] in ("", " ")):
+            if odd:
+                own = list(map(units_of, some))
+                made += chain.from_iterable(own)
+                parts.append(np.array(list(map(len, own))))
             else:  # words without a space in them, together: each one's first unit, and no other, begins with a space
                 own = UNIT.findall(" " + " ".join(some))
                 made += own
                 parts.append(np.diff(np.flatnonzero([u[0] == " " for u in own]), append=len(own)))
-        units = self.units
-        found = [u for u in dict.fromkeys(made) if u not in units]
-        units.update(zip(found, range(len(units), len(units) + len(found)), strict=True))
-        return found, made, np.concatenate(parts)
+        units = pa.array(made, pa.string()).dictionary_encode()
+        self.made, self.units, self.parts = units.indices.to_numpy(), units.dictionary, np.concatenate(parts)
 
 
 def take(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -327,14 +339,17 @@ def pack(edges: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return edges.mapInArrow(lean(run), PACK_TYPE)
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
-    """(block, whether it is the block's first batch, batch): a task's rows in blocks of about ``most`` bytes."""
-    block, size, fresh = TaskContext.get().partitionId() << 10, 0, True
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(block, its batches): a task's rows in blocks of about ``most`` bytes."""
+    block, held, size = TaskContext.get().partitionId() << 10, [], 0
     for batch in sliced(batches, "text", 2 << 20):
         if size > most:
-            block, size, fresh = block + 1, 0, True
-        yield block, fresh, batch
-        size, fresh = size + batch.column(1).nbytes, False
+            yield block, held
+            block, held, size = block + 1, [], 0
+        held.append(batch)
+        size += batch.column(1).nbytes
+    if held:
+        yield block, held
 
 
 def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -342,13 +357,11 @@ def list_units(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     schema = pa.schema([("unit", pa.string()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, fresh, batch in in_blocks(batches, block_chars):
-            if fresh:
-                words = BlockWords()
-            before = len(words.units)
-            found, _, _ = words.add(list(chain.from_iterable(map(words_of, batch.column(1).to_pylist()))))
-            short = [(u.replace(" ", SPACE), k) for k, u in enumerate(found, before) if len(u) <= LONGEST_UNIT]
-            yield rows({"unit": [u for u, _ in short], "place": [(block << 32) + k for _, k in short]}, schema)
+        for block, held in in_blocks(batches, block_chars):
+            units = BlockWords(pa.concat_arrays([b.column(1) for b in held])).units
+            places = pa.array((block << 32) + np.arange(len(units)))
+            all_units = pa.RecordBatch.from_arrays([pc.replace_substring(units, " ", SPACE), places], schema=schema)
+            yield all_units.filter(pc.less_equal(pc.utf8_length(units), LONGEST_UNIT))
 
     return docs.mapInArrow(lean(run), "unit string, place long")
 
@@ -365,26 +378,24 @@ def number_words(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLO
     shared = docs.sparkSession.sparkContext.broadcast(Paths(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = 0
-        for block, fresh, batch in in_blocks(batches, block_chars):
-            if fresh:
-                words, part = BlockWords(), 0
-            part += 1
-            before, known, of_docs = len(words.units), len(words), batch.column(1).to_pylist()
-            hashes = [xxhash.xxh3_64_intdigest(b" " + text.encode() if text else b"") for text in of_docs]
-            of_docs = list(map(words_of, of_docs))
-            flat = list(chain.from_iterable(of_docs))
-            found, made, parts = words.add(flat)
-            word = marked(np.fromiter(map(words.__getitem__, flat), np.int64, len(flat)), known)
-            made = marked(np.fromiter(map(words.units.__getitem__, made), np.int64, len(made)), before)
-            doc, sizes = batch.column(0), list(map(len, of_docs))
-            columns = (doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(False), hashes, sizes, word, parts, made)
-            data, kinds = [squeezed(*map(np.asarray, columns, PART))], [part]
-            long = [(k, shared.value.ids(u)) for k, u in enumerate(found, before) if len(u) > LONGEST_UNIT]
-            if long:
-                data.append(packed(*map(np.array, ([k for k, _ in long], [len(x) for _, x in long], [i for _, x in long for i in x]))))
-                kinds.append(0)
-            yield rows({"block": [block] * len(data), "kind": kinds, "data": data}, PACK)
+        for block, held in in_blocks(batches, block_chars):
+            words = BlockWords(pa.concat_arrays([b.column(1) for b in held]))
+            long = np.flatnonzero(pc.greater(pc.utf8_length(words.units), LONGEST_UNIT).to_numpy(False))
+            if len(long):
+                ids = [shared.value.ids(words.units[k].as_py()) for k in long.tolist()]
+                data = packed(long, np.array(list(map(len, ids))), np.array(list(chain.from_iterable(ids))))
+                yield rows({"block": [block], "kind": [0], "data": [data]}, PACK)
+            ends, made_ends = (np.concatenate([[0], np.cumsum(x)]) for x in (words.sizes, words.parts))
+            known, before, row = 0, 0, 0
+            for part, batch in enumerate(held, 1):
+                doc, sizes = batch.column(0), words.sizes[row : row + len(batch)]
+                word = words.word[ends[row] : ends[row + len(batch)]]
+                now = max(known, int(word.max(initial=-1)) + 1)
+                parts, made = words.parts[known:now], words.made[made_ends[known] : made_ends[now]]
+                hashes = [xxhash.xxh3_64_intdigest(b" " + t if t else b"") for t in texts(batch.column(1))]
+                columns = (doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(False), hashes, sizes, marked(word, known), parts, marked(made, before))
+                known, before, row = now, max(before, int(made.max(initial=-1)) + 1), row + len(batch)
+                yield rows({"block": [block], "kind": [part], "data": [squeezed(*map(np.asarray, columns, PART))]}, PACK)
 
     return docs.mapInArrow(lean(run), PACK_TYPE)
 

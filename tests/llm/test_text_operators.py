@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -515,17 +516,18 @@ def test_lattice_rows_stay_in_order_and_are_not_grouped_again(spark, monkeypatch
     }
 
 
-def test_words_of_a_batch_divided_together_match_words_one_by_one():
-    texts = ["a b, c", " lead  two", "tail ", "", "x", "a\n_b² é", "tail", "b, a", "  ", "z.z ² c"]
-    words, units = [w for t in texts for w in pieces.words_of(t)], {}
-    block = pieces.BlockWords()
-    for some in (words[:7], words[7:], words):
-        known = len(block)
-        new, before = [w for w in dict.fromkeys(some) if w not in block], len(units)
-        found, made, parts = block.add(some)
-        assert list(block)[known:] == new and list(block.values()) == list(range(len(block)))
-        assert made == [u for w in new for u in pieces.units_of(w)]
-        assert parts.tolist() == [len(pieces.units_of(w)) for w in new]
-        for u in made:
-            units.setdefault(u, len(units))
-        assert block.units == units and found == list(units)[before:]
+@pytest.mark.parametrize("odd", [True, False])
+def test_words_of_a_block_divided_together_match_words_one_by_one(odd):
+    """Without a look-up for each word and unit in Python; texts with spaces in a row are one word."""
+    texts = ["a b, c", "x", "a\n_b² é", "tail", "b, a", "z.z ² c", "b, zz"]
+    if odd:
+        texts[1:1] = ["", " lead  two", "tail ", None, "  ", " lead  two", "q  r", " "]
+    block = pieces.BlockWords(pa.array(texts))
+    words, units = {}, {}
+    flat = [words.setdefault(w, len(words)) for t in texts for w in pieces.words_of(t)]
+    made = [units.setdefault(u, len(units)) for w in words for u in pieces.units_of(w)]
+    assert block.sizes.tolist() == [len(pieces.words_of(t)) for t in texts] and block.word.tolist() == flat
+    assert block.units.to_pylist() == list(units) and block.made.tolist() == made
+    assert block.parts.tolist() == [len(pieces.units_of(w)) for w in words]
+    none = pieces.BlockWords(pa.array([None, ""], pa.string()))
+    assert [len(x) for x in (none.word, none.units, none.made, none.parts)] == [0, 0, 0, 0] and none.sizes.tolist() == [0, 0]

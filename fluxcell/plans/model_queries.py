@@ -30,7 +30,7 @@ def query(sql: str | None = None, prefix: str = B.COUNTS_SQL):
 
 def low(spark, d, k: int = 3):
     """Cells in k principal components, with their projected velocities."""
-    v = vel(spark, d)
+    v = cut(vel(spark, d))
     x, vec, _, _ = decompose.pca(v.select("cell_id", "x"), 64, k)
     q = [list(map(float, row)) for row in vec.T]
     from fluxcell.functions.scalars import project

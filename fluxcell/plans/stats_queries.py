@@ -330,15 +330,16 @@ vv AS (SELECT v.cell_id, v.x, list(ma.m - v.x[ma.k] ORDER BY ma.k) AS v FROM v J
 def vel(spark, d, near=None):
     """Vectors with v = mean of the neighbours less x."""
     p = B.vectors(spark, d)
-    e = (knn(spark, d) if near is None else near).select(F.col("i").alias("cell_id"), "j").join(p.select(F.col("cell_id").alias("j"), "x"), "j")
-    m = e.select("cell_id", F.posexplode("x").alias("k", "x")).groupBy("cell_id", "k").agg(F.avg("x").alias("m"))
-    m = m.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m"))
-    return p.join(m, "cell_id").select("cell_id", "x", F.zip_with("m", "x", lambda a, b: a - b).alias("v"), "label")
+    e = (knn(spark, d) if near is None else near).select(F.col("i").alias("cell_id"), "j").join(p.select(F.col("cell_id").alias("j"), F.col("x").alias("y")), "j")
+    m = e.groupBy("cell_id").agg(F.collect_list("y").alias("ys"))  # a cell has few neighbours, whose vectors travel whole
+    total = F.aggregate("ys", F.transform("x", lambda z: F.lit(0.0)), lambda s, y: F.zip_with(s, y, lambda a, b: a + b))
+    return p.join(m, "cell_id").select("cell_id", "x", F.zip_with(total, "x", lambda a, b: a / F.size("ys") - b).alias("v"), "label")
 
 
 def _confidence(method):
     def run(spark, d):
-        return stats.neighbour_confidence(vel(spark, d), knn(spark, d), method).select("i", r("confidence"))
+        near = knn(spark, d)
+        return stats.neighbour_confidence(cut(vel(spark, d, near)), near, method).select("i", r("confidence"))
 
     return run
 

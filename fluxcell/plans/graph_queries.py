@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxcell.functions import scalars as S
+from fluxcell.functions.lineage import cut
 from fluxcell.operators import clustering, community, flows, graph, joint, kinetics, matrix, moments, neighbours, sampling, trees
 from fluxcell.plans import bindings as B
 
@@ -338,7 +339,7 @@ one AS""")
 
 @query("SELECT i, round(weight, 6) AS weight_a, round(a.bw, 6) AS bw_a, round(b.bw, 6) AS bw_b FROM mw JOIN bwa a USING (i) JOIN bwb b USING (i)", JOINT)
 def weighted_neighbours(spark, d):
-    a, b = (joint.unit_vectors(v) for v in _modalities(spark, d))
+    a, b = (cut(joint.unit_vectors(v)) for v in _modalities(spark, d))
     w = joint.modality_weights(graph.nearest(a, a, K), graph.nearest(b, b, K), a, b, K)
     return w.select("i", r("weight", "weight_a"), r("bw_a"), r("bw_b"))
 
@@ -361,13 +362,14 @@ def joint_neighbours(spark, d):
 @query()
 def grid_velocity(spark, d):
     v = B.vectors(spark, d)
-    e = knn(spark, d).join(v.select(F.col("cell_id").alias("j"), "x"), "j")
+    e = knn(spark, d).join(v.select(F.col("cell_id").alias("j"), F.slice("x", 1, 2).alias("x")), "j")
     near = e.groupBy("i").agg(F.avg(F.get("x", 0)).alias("a"), F.avg(F.get("x", 1)).alias("b"))
     p = v.join(near, F.col("cell_id") == F.col("i")).select(
         "cell_id",
         F.slice("x", 1, 2).alias("x"),
         F.array(F.col("a") - F.get("x", 0), F.col("b") - F.get("x", 1)).alias("v"),
     )
+    p = cut(p)
     bounds = p.agg(
         F.min(F.get("x", 0)).alias("x0"), F.max(F.get("x", 0)).alias("x1"), F.min(F.get("x", 1)).alias("y0"), F.max(F.get("x", 1)).alias("y1")
     )
